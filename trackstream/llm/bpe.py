@@ -23,7 +23,7 @@ NONE = np.int32(2**31 - 1)
 #: Pieces of more bytes than this are merged one by one with a heap, in n log n; a matrix row would take n * n steps.
 MATRIX_BYTES = 1024
 #: Pieces remembered by a task before it starts its cache anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 #: Characters of text handled at a time within an Arrow batch.
 SLICE_CHARS = 1_000_000
 
