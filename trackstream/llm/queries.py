@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackstream.llm import bpe, decontam, fingerprints, simhash, toxicity
-from trackstream.llm.common import fold, table
+from trackstream.llm import bpe, decontam, fingerprints, licenses, pii, rollups, simhash, toxicity, urls
+from trackstream.llm.common import fold, materialize, shared_dir, table
+
+
+# The host-and-path rules that the URL query is defined with.
+URL_RULES = [
+    urls.Rule("org", "/", "allow"),
+    urls.Rule("example.org", "/es/", "block"),
+    urls.Rule("example.org", "/en/1", "block"),
+    urls.Rule("com", "/fr/", "allow"),
+    urls.Rule("com", "/de/", "block"),
+]
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +28,78 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    mined = urls.mine(pages, "page_id", "url", labels.select("doc_id", bad.cast("int").alias("block")))
+    judged = urls.judge(pages.select("page_id", "url"), "url", URL_RULES, mined)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_confidence")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, "text", pii.fit(docs, "text"))
+    base = F.filter("pii", lambda s: s["base"])
+    counts = [F.size(F.filter("pii", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.as_text(base), 256).alias("base_sha256"), pii.as_text(F.col("pii")).alias("spans"))
+
+
+def _word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
+
+
+def _letter_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"))
+
+
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches: all documents come; exact copies but the first go; documents with an ``@`` are recounted without
+    their address-like words. The second batch is committed twice, as after a lost driver."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/tables/rollup-{uuid.uuid4().hex}"
+    text = F.coalesce("text", F.lit(""))
+    versions = {"words_v1": _word_count(text), "pieces_v1": _letter_count(text)}
+    ledger = materialize(rollups.counted(docs, "doc_id", versions), "ledger")
+    rollups.commit(rollups.inserts(ledger), folder, "b1")
+    digests = materialize(docs.select("doc_id", F.sha2(text, 256).alias("digest")), "digests")
+    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copies = materialize(digests.join(firsts, "digest").where("doc_id > first").select("doc_id"), "copies")
+    gone = ledger.join(copies, "doc_id", "left_semi")
+    rollups.commit(rollups.deletes(gone), folder, "b2")
+    rollups.commit(rollups.deletes(gone), folder, "b2")
+    changed = docs.where(F.contains(text, F.lit("@"))).join(copies, "doc_id", "left_anti")
+    changed = changed.withColumn("text", F.regexp_replace("text", r"[^\x20\x09-\x0D]*@[^\x20\x09-\x0D]*", ""))
+    after = materialize(rollups.counted(changed, "doc_id", {"words_v1": _word_count(F.col("text")), "pieces_v1": _letter_count(F.col("text"))}), "recounted")
+    before = ledger.join(after.select("doc_id").distinct(), "doc_id", "left_semi")
+    rollups.commit(rollups.revisions(before, after), folder, "b3")
+    return rollups.totals(spark, folder)
+
+
+OP5_SQL = r"""
+WITH copies AS (SELECT *, doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS copy FROM documents),
+left_over AS (SELECT source, lang, CASE WHEN contains(coalesce(text, ''), '@')
+    THEN regexp_replace(text, '[^\x20\x09-\x0D]*@[^\x20\x09-\x0D]*', '', 'g') ELSE coalesce(text, '') END AS text
+    FROM copies WHERE NOT copy),
+counts AS (
+    SELECT source, lang, 'words_v1' AS tokenizer, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM left_over
+    UNION ALL
+    SELECT source, lang, 'pieces_v1', len(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]')) FROM left_over)
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM counts GROUP BY ALL
+"""
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs, "text")
+    n = F.col("licenses")
+    spans = F.array_join(F.transform(n, lambda x: F.concat_ws(":", x["license"], x["start"], x["end"], F.size(x["missing"]), F.size(x["added"]))), ",")
+    return found.select("doc_id", F.size(n).cast("long").alias("n_notices"), licenses.names(n).alias("licenses"), spans.alias("notices"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", max_bits=2, size=3)
     return found.withColumn("fingerprint", simhash.as_hex(F.col("fingerprint")))
@@ -55,8 +134,8 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_fingerprints": op3_fingerprints, "op6_simhash": op6_simhash, "op9_toxicity": op9_toxicity, "op10_decontam": op10_decontam}
+    return {"op1_bpe": op1_bpe, "op2_urls": op2_urls, "op3_fingerprints": op3_fingerprints, "op4_pii": op4_pii, "op5_token_rollup": op5_token_rollup, "op7_licenses": op7_licenses, "op6_simhash": op6_simhash, "op9_toxicity": op9_toxicity, "op10_decontam": op10_decontam}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_token_rollup": OP5_SQL}
