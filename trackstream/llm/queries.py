@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackstream.llm import bpe, decontam, fingerprints, licenses, pii, rollups, simhash, toxicity, urls
+from trackstream.llm import bpe, decontam, fingerprints, katz, licenses, pii, rollups, simhash, toxicity, urls
 from trackstream.llm.common import fold, materialize, shared_dir, table
 
 
@@ -44,7 +44,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(docs, "text", pii.fit(docs, "text"))
     base = F.filter("pii", lambda s: s["base"])
-    counts = [F.size(F.filter("pii", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    counts = [F.expr(f"cast(size(filter(pii, s -> s.base and s.kind = {k})) as bigint)").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.as_text(base), 256).alias("base_sha256"), pii.as_text(F.col("pii")).alias("spans"))
 
 
@@ -105,6 +105,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", simhash.as_hex(F.col("fingerprint")))
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = katz.score(table(spark, sf_dir, "documents"), "doc_id", "text", fold(F.col("doc_id"), 7) != 2)
+    return scored.withColumn("held_out", fold(F.col("doc_id"), 7) == 2)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, toxicity.in_training())
@@ -134,7 +139,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_urls": op2_urls, "op3_fingerprints": op3_fingerprints, "op4_pii": op4_pii, "op5_token_rollup": op5_token_rollup, "op7_licenses": op7_licenses, "op6_simhash": op6_simhash, "op9_toxicity": op9_toxicity, "op10_decontam": op10_decontam}
+    return {"op1_bpe": op1_bpe, "op2_urls": op2_urls, "op3_fingerprints": op3_fingerprints, "op4_pii": op4_pii, "op5_token_rollup": op5_token_rollup, "op7_licenses": op7_licenses, "op6_simhash": op6_simhash, "op8_katz": op8_katz, "op9_toxicity": op9_toxicity, "op10_decontam": op10_decontam}
 
 
 def oracle_sql() -> dict[str, str]:
