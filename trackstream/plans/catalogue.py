@@ -5,11 +5,256 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from trackstream import schemas
+from trackstream.functions.geo import round2
+from trackstream.operators import cdc, geofence, ingest, motion, orders, serving, sinks
+from trackstream.plans.oracle import SQL
+from trackstream.sources import tables as t
+from trackstream.streaming import twins
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def gated(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.gate(ingest.decode(t.location_messages(spark, d)))
+
+
+def valid(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.valid(gated(spark, d))
+
+
+def fence_events(spark: SparkSession, d: str) -> DataFrame:
+    return geofence.transitions(valid(spark, d), t.fences(spark))
+
+
+def versions(spark: SparkSession, d: str) -> DataFrame:
+    """The fence event log as a replacing table holds it: every third event was written again later."""
+    e = fence_events(spark, d)
+    first = e.withColumn("ingested_at", F.col("event_ms") + 1_000)
+    again = e.where("event_ms % 3 = 0").withColumn("ingested_at", F.col("event_ms") + 60_000)
+    return first.unionByName(again)
+
+
+def normalised(spark: SparkSession, d: str) -> DataFrame:
+    return cdc.normalise(t.order_messages(spark, d))
+
+
+def changes(spark: SparkSession, d: str) -> DataFrame:
+    return cdc.changes(normalised(spark, d))
+
+
+def order_rows(spark: SparkSession, d: str) -> DataFrame:
+    return t.table(spark, d, "orders").selectExpr("o_orderkey as id", "o_custkey as customer_id", "o_orderstatus as status", "cast(o_totalprice as decimal(12, 2)) as total_amount")
+
+
+def row_rules(spark: SparkSession, d: str) -> DataFrame:
+    items = orders.rule_violations(t.order_items(spark, d), "order_id", {"quantity > 0": F.col("quantity") > 0, "unit_price >= 0": F.col("unit_price") >= 0})
+    totals = orders.rule_violations(order_rows(spark, d), "id", {"total >= 0": F.col("total_amount") >= 0})
+    return items.unionByName(totals).unionByName(orders.rule_violations(t.shifts(spark, d), "id", {"ended >= started": F.col("ended_ms") >= F.col("started_ms")}))
+
+
+def snapshots(spark: SparkSession, d: str) -> DataFrame:
+    s = motion.snapshots(valid(spark, d), t.NOW_MS)
+    return s.withColumns({"derived_speed_kph": round2(F.col("derived_speed_kph")), "trip_distance_m": round2(F.col("trip_distance_m"))})
+
+
+def evolved(spark: SparkSession, d: str) -> DataFrame:
+    v = valid(spark, d).drop("arrival_ms")
+    old = v.where("event_id % 2 <> 0").select(*[f.split()[0] for f in schemas.LOCATION_V1.split(", ")])
+    return ingest.union_versions(old, v.where("event_id % 2 = 0"))
+
+
+def dead_letters(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads of decode failures whole; of invalid samples, up to the reason (floats print differently elsewhere)."""
+    letters = ingest.dead_letters(gated(spark, d))
+    start = F.when(F.col("reason") == "decode-failure", F.col("payload")).otherwise(F.regexp_extract("payload", r'^\{"reason":"[^"]*"', 0))
+    return letters.select("offset", "reason", start.alias("payload_start"))
+
+
+def strict(spark: SparkSession, d: str) -> DataFrame:
+    rows = ingest.decode(t.location_messages(spark, d)).where("error is null")
+    return rows.select("event_id", ingest.strictly_valid().alias("strictly_valid"), ingest.has_kinematics().alias("has_kinematics"))
+
+
+def split_windows(spark: SparkSession, d: str) -> DataFrame:
+    return motion.speed_windows(motion.with_lateness(valid(spark, d)).where("not late"))
+
+
+def fence_lookup(spark: SparkSession, d: str) -> DataFrame:
+    inside = geofence.membership(valid(spark, d).select("event_id", "latitude", "longitude"), t.fences(spark))
+    return inside.groupBy("event_id").agg(F.array_join(F.sort_array(F.collect_list(F.col("fence_id").cast("string"))), ",").alias("fences"), F.count("*").alias("n")).where("n > 1").drop("n")
+
+
+def fence_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Events with the version of their fence's definition; each fence changes once."""
+    first = t.fences(spark).select(F.col("id").alias("fence_id"), F.lit(0).cast("long").alias("valid_from"), F.lit(1).alias("version"))
+    second = first.select("fence_id", (F.lit(t.EPOCH_MS + 3_600_000) + F.col("fence_id") * 60_000).alias("valid_from"), F.lit(2).alias("version"))
+    return geofence.as_of(fence_events(spark, d).select("event_id", "fence_id", "event_ms"), first.unionByName(second), "fence_id", ["version"])
+
+
+def latest(spark: SparkSession, d: str) -> DataFrame:
+    return serving.latest(valid(spark, d), ["driver_id"], ["event_ms", "event_id"])
+
+
+def insert_ignore_twice(spark: SparkSession, d: str) -> DataFrame:
+    rows, path = valid(spark, d).select("driver_id", "event_ms", "event_id"), t.scratch(spark, "insert-ignore")
+    for _ in range(2):  # the second time, nothing is new
+        sinks.insert_ignore(rows, path, ["driver_id", "event_ms"], "event_ms")
+    return spark.read.parquet(path).select("driver_id", "event_ms", "event_id")
+
+
+def replacing_twice(spark: SparkSession, d: str) -> DataFrame:
+    path = t.scratch(spark, "replacing")
+    for _ in range(2):
+        sinks.append_versions(versions(spark, d).select("event_id", "transition", "event_ms", "ingested_at"), path, "event_ms")
+    return serving.newest_version(spark.read.parquet(path), "event_id", "ingested_at").select("event_id", "transition", "event_ms", "ingested_at")
+
+
+def upsert_three_times(spark: SparkSession, d: str) -> DataFrame:
+    rows, folder = valid(spark, d).select("driver_id", "event_ms", "event_id", "latitude", "longitude"), t.scratch(spark, "upsert")
+    half = F.expr(f"event_ms < {t.EPOCH_MS} + 600000")
+    sinks.upsert_latest(rows.where(~half), folder, ["driver_id"], ["event_ms", "event_id"], 1)
+    sinks.upsert_latest(rows.where(half), folder, ["driver_id"], ["event_ms", "event_id"], 2)  # older rows change nothing newer
+    return spark.read.parquet(sinks.upsert_latest(rows.where(half), folder, ["driver_id"], ["event_ms", "event_id"], 3))
+
+
+def facts_twice(spark: SparkSession, d: str) -> DataFrame:
+    path = t.scratch(spark, "facts")
+    done = t.deliveries(spark, d).where("delivered_ms is not null").selectExpr("order_id", "restaurant_id", "delivered_ms", "delivered_ms - delivered_ms % 86400000 as day_ms")
+    for _ in range(2):
+        sinks.merge_facts(done, path, "order_id", "day_ms")
+    return spark.read.parquet(path).select("order_id", "restaurant_id", "delivered_ms", F.col("day_ms").cast("long").alias("day_ms"))
+
+
+def with_item_text(spark: SparkSession, d: str) -> DataFrame:
+    nested = orders.with_items(order_rows(spark, d), t.order_items(spark, d))
+    return nested.select("id", "status", F.expr("array_join(transform(items, i -> concat_ws(':', i.line, i.quantity, i.unit_price)), ',')").alias("items"))
+
+
+def current_orders(spark: SparkSession, d: str) -> DataFrame:
+    return cdc.current(changes(spark, d)).select("id", "customer_id", "status", "total_amount", "lsn")
+
+
+def one_trail(spark: SparkSession, d: str) -> DataFrame:
+    """Every change of the last order that went all the way."""
+    rows = cdc.deduplicated(changes(spark, d))
+    chosen = rows.where("op = 'UPDATE' and after.status = 'DELIVERED'").agg(F.max("after.id").alias("id"))
+    mine = rows.join(F.broadcast(chosen), F.col("key") == F.col("id").cast("string"), "left_semi")  # one row
+    return mine.select("key", "op", F.col("before.status").alias("before_status"), F.col("after.status").alias("after_status"), "lsn")
+
+
+def state_by_lsn(spark: SparkSession, d: str) -> DataFrame:
+    """Status by key, never moved backwards: later lsns first, then the earlier ones replayed."""
+    rows = changes(spark, d).where("op <> 'DELETE'").select("key", F.col("after.status").alias("status"), "lsn")
+    late, early = rows.where("lsn % 100 > 2"), rows.where("lsn % 100 <= 2")
+    return sinks.latest_state(sinks.latest_state(None, late, ["key"], ["lsn"]), early, ["key"], ["lsn"])
+
+
+def normalised_flat(spark: SparkSession, d: str) -> DataFrame:
+    return normalised(spark, d).select("op", "key", "lsn", "ts_ms", "from_snapshot", F.col("before.status").alias("before_status"), F.col("after.status").alias("after_status"), "tombstone", "error", "offset")
+
+
+def enriched_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries with their customers. No hint: the customer table grows, so the join strategy is left to its size."""
+    named = order_rows(spark, d).join(t.table(spark, d, "customer"), F.col("customer_id") == F.col("c_custkey")).select("id", "c_name")
+    return t.deliveries(spark, d).drop("id").join(named, F.col("order_id") == F.col("id")).select("order_id", "c_name", "restaurant_id", "driver_id")
+
+
+def gap_on_delivery(spark: SparkSession, d: str) -> DataFrame:
+    gaps = motion.gps_gaps(valid(spark, d), 90_000).select(F.col("driver_id").alias("g"), "event_ms")
+    busy = (F.col("driver_id") == F.col("g")) & F.col("event_ms").between(F.col("picked_up_ms"), F.coalesce("delivered_ms", F.col("picked_up_ms") + 3_600_000))
+    return t.deliveries(spark, d).join(gaps, busy).select("driver_id", "event_ms").distinct()
+
+
+def enriched_state(spark: SparkSession, d: str) -> DataFrame:
+    zone = fence_events(spark, d).where("fence_id = 4").select("driver_id", "event_ms", F.col("transition").alias("zone_state"), F.lit(None).cast("long").alias("current_order"))
+    given = serving.latest(t.deliveries(spark, d).select("driver_id", F.col("assigned_ms").alias("event_ms"), F.col("order_id").alias("current_order")), ["driver_id", "event_ms"], ["current_order"])
+    given = given.withColumn("zone_state", F.lit(None).cast("string"))
+    return motion.enrich_latest(valid(spark, d), zone.unionByName(given), ["zone_state", "current_order"])
+
+
+def joined_orders(spark: SparkSession, d: str) -> DataFrame:
+    return order_rows(spark, d).join(t.deliveries(spark, d).withColumnRenamed("id", "delivery_id"), F.col("id") == F.col("order_id")).select("order_id", "status", "delivery_id", "driver_id")
+
+
+def legs(spark: SparkSession, d: str) -> DataFrame:
+    return motion.legs(valid(spark, d)).where("prev_ms is not null")
+
+
+QUERIES: dict[str, Query] = {
+    "ingest_validate": valid,
+    "dead_letters": dead_letters,
+    "ingest_quality_counts": lambda s, d: ingest.quality_counts(gated(s, d)),
+    "ingest_quality_rate_1m": lambda s, d: ingest.quality_rate(gated(s, d)),
+    "strict_validity": strict,
+    "schema_evolution_union": evolved,
+    "legs": lambda s, d: legs(s, d).select("event_id", "driver_id", "leg_ms", round2(F.col("leg_m")).alias("leg_m"), round2(F.col("leg_kph")).alias("leg_kph")),
+    "leg_bearings": lambda s, d: legs(s, d).where("leg_m > 1").select("event_id", round2(F.col("bearing")).alias("bearing")),
+    "driver_sessions": lambda s, d: motion.session_totals(valid(s, d)),
+    "driver_snapshots": snapshots,
+    "impossible_speed_alerts": lambda s, d: motion.impossible_speeds(valid(s, d)).drop("detail").withColumn("leg_kph", round2(F.col("leg_kph"))),
+    "gps_gap_alerts": lambda s, d: motion.gps_gaps(valid(s, d)),
+    "speed_window_1m": lambda s, d: motion.speed_windows(valid(s, d)),
+    "speed_window_1m_late_split": split_windows,
+    "late_samples": lambda s, d: ingest.late_letters(motion.with_lateness(valid(s, d)).where("late")),
+    "speed_sliding_5m": lambda s, d: motion.sliding_speeds(valid(s, d)),
+    "active_drivers_30s": lambda s, d: motion.active_drivers(valid(s, d)),
+    "driver_mean_speed": lambda s, d: motion.mean_speeds(valid(s, d)),
+    "geofence_membership": lambda s, d: geofence.membership(valid(s, d), t.fences(s)).select("event_id", "fence_id", "fence_name", "fence_type"),
+    "geofence_lookup": fence_lookup,
+    "geofence_events": fence_events,
+    "geofence_dwell_p95": lambda s, d: geofence.dwell_p95(fence_events(s, d)),
+    "geofence_versions": fence_versions,
+    "driver_current_state": lambda s, d: latest(s, d).select("driver_id", "event_id", "event_ms", "latitude", "longitude", "speed_kph"),
+    "latest_positions_top10": lambda s, d: latest(s, d).selectExpr("driver_id", "event_ms", "latitude", "longitude", "floor(speed_kph * 10 + 0.5) / 10 as speed_kph").orderBy("driver_id").limit(10),
+    "events_dedup_final": lambda s, d: serving.newest_version(versions(s, d), "event_id", "ingested_at").select("event_id", "driver_id", "fence_id", "transition", "event_ms", "ingested_at"),
+    "raw_vs_unique": lambda s, d: serving.raw_and_unique(versions(s, d), "event_id"),
+    "distinct_keys": lambda s, d: serving.distinct_keys(valid(s, d), ["driver_id", "event_ms"]),
+    "row_counts": lambda s, d: serving.row_counts({"driver_state": valid(s, d), "speed_windows": motion.speed_windows(valid(s, d)), "geofence_events": fence_events(s, d)}),
+    "sink_insert_ignore_replay": insert_ignore_twice,
+    "sink_replacing_replay": replacing_twice,
+    "latest_state_upsert": upsert_three_times,
+    "fact_merge": facts_twice,
+    "order_totals": lambda s, d: orders.order_totals(t.order_items(s, d)),
+    "order_with_items": with_item_text,
+    "order_total_mismatch": lambda s, d: orders.total_mismatches(order_rows(s, d), t.order_items(s, d)),
+    "orders_by_status": lambda s, d: orders.by_status(order_rows(s, d), "P").select("id", "customer_id", "status"),
+    "drivers_by_status": lambda s, d: orders.by_status(t.shifts(s, d), "ACTIVE").select("id", "driver_id", "status").orderBy("id"),
+    "dq_row_rules": row_rules,
+    "dq_uniqueness": lambda s, d: orders.repeated(t.shifts(s, d).where("status = 'ACTIVE'"), ["driver_id"]),
+    "dq_orphans": lambda s, d: orders.orphans(order_rows(s, d), "customer_id", t.table(s, d, "customer").where("c_custkey % 101 <> 0"), "c_custkey").select("id", "customer_id"),
+    "illegal_transitions": lambda s, d: cdc.transitions(changes(s, d)),
+    "terminal_orders": lambda s, d: t.order_steps(s, d).where(F.col("status").isin(*cdc.TERMINAL_ORDERS)).groupBy("status").agg(F.count("*").alias("n")),
+    "cdc_normalised": normalised_flat,
+    "cdc_op_counts": lambda s, d: cdc.op_counts(normalised(s, d)),
+    "cdc_current_orders": current_orders,
+    "cdc_order_history": lambda s, d: cdc.history(changes(s, d)),
+    "cdc_dedup": lambda s, d: cdc.deduplicated(changes(s, d)).select("key", "lsn", "op"),
+    "cdc_changed_columns": lambda s, d: cdc.changed_columns(changes(s, d), ["id", "customer_id", "status", "total_amount"]),
+    "cdc_lsn_regressions": lambda s, d: cdc.regressions(changes(s, d)),
+    "cdc_business_events": lambda s, d: cdc.business_events(changes(s, d)),
+    "cdc_trail_for_order": one_trail,
+    "cdc_state_by_lsn": state_by_lsn,
+    "shift_hours": lambda s, d: orders.shift_hours(t.shifts(s, d), t.NOW_MS),
+    "delivery_route_distance": lambda s, d: orders.route_lengths(t.deliveries(s, d)),
+    "delivery_p95_by_hour": lambda s, d: orders.delivery_p95(t.deliveries(s, d)),
+    "deliveries_completed_1m": lambda s, d: orders.completed_per_minute(t.deliveries(s, d)),
+    "pickup_to_delivered": lambda s, d: orders.pickup_to_delivered(t.deliveries(s, d)),
+    "order_delivery_join": joined_orders,
+    "fact_dim_enrich": enriched_facts,
+    "pickup_timeouts": lambda s, d: orders.pickup_timeouts(t.deliveries(s, d)),
+    "gps_gap_on_delivery": gap_on_delivery,
+    "geofence_missed": lambda s, d: orders.missed_fences(t.deliveries(s, d), fence_events(s, d)),
+    "delivery_events_interval_join": lambda s, d: orders.delivery_events(t.deliveries(s, d), fence_events(s, d)),
+    "driver_state_enriched": enriched_state,
+}
+
+
+def queries() -> dict[str, Query]:
+    return QUERIES | twins.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL | twins.SQL
