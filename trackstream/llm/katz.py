@@ -6,8 +6,8 @@ context exactly. Scoring needs every document's bigrams beside the corpus counts
 1. Documents become chunks of about ``CHUNK_TOKENS`` tokens, each with its own word list, in a table bucketed by chunk.
 2. Each chunk sends its distinct words, then its distinct bigrams, as packed arrays to the partition of their key; there
    counts are summed over all chunks and answered to each chunk in the order in which it asked.
-3. Per context, answers carry what its backoff weight needs (how many successors were seen once, twice, ..., and their
-   unigram mass). So a chunk scores its tokens locally once the corpus-wide counts of counts are known.
+3. Per context, answers carry what its backoff weight needs (how many successors were seen once, twice, ..., and with
+   what words). So a chunk scores its tokens locally once the corpus-wide counts of counts are known.
 
 A bigram is sent once a chunk however often it occurs. Contexts with a large share of all tokens are dealt over several
 partitions by successor. Words are told apart by 64-bit hashes. Only sums of counts reach the driver.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from trackstream.llm.common import materialize, shared_dir
 
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 1_500_000
 #: Tokens of the corpus for each partition of bigram counts.
 PART_TOKENS = 500_000
 #: Counts up to this one are discounted.
@@ -44,22 +44,33 @@ SCORED = "doc_id {id}, n_tokens bigint, n_known bigint, base_score double, score
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed blob."""
-    head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), len(a)))], np.int64)
-    return zstandard.compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]), 1)
+    """Arrays of integers, none negative, as one compressed blob: least width, and like bytes side by side."""
+    head, parts = [len(arrays)], []
+    for a in arrays:
+        kind = np.min_scalar_type(int(a.max()) if len(a) else 0)
+        head += [ord(kind.char), len(a)]
+        parts.append(np.ascontiguousarray(a.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T).tobytes())
+    return zstandard.compress(b"".join([np.array(head, np.int64).tobytes(), *parts]), 3)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     raw = zstandard.decompress(blob)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    head, at, out = np.frombuffer(raw, np.int64, 2 * n, 8), 8 + 16 * n, []
-    for kind, size in head.reshape(-1, 2):
-        array = np.frombuffer(raw, np.dtype(chr(kind)), int(size), at)
-        out.append(array)
-        at += array.nbytes
+    at, out = 8 + 16 * n, []
+    for char, size in np.frombuffer(raw, np.int64, 2 * n, 8).reshape(-1, 2):
+        kind = np.dtype(chr(char))
+        planes = np.frombuffer(raw, np.uint8, int(size) * kind.itemsize, at).reshape(kind.itemsize, -1)
+        array = np.ascontiguousarray(planes.T).view(kind).ravel()
+        out.append(array.astype(np.int64) if kind.itemsize < 8 else array)
+        at += planes.nbytes
     return out
 
 
+def unpack_hashed(blob: bytes, *places: int) -> list[np.ndarray]:
+    """As unpack(), the arrays at ``places`` (the first, if none is given) being hashes."""
+    return [a.astype(np.uint64) if i in (places or (0,)) else a.astype(np.int64) for i, a in enumerate(unpack(blob))]
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One 64-bit key of two hashes, in order."""
     x = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + b
@@ -154,7 +165,7 @@ def ask_words(table: DataFrame, parts: int) -> DataFrame:
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for chunk, words in zip(batch["chunk"], batch["words"], strict=True):
-                hashes, seen = unpack(words)
+                hashes, seen = unpack_hashed(words)
                 of = (hashes % np.uint64(parts)).astype(np.int32)
                 order = np.argsort(of, kind="stable")
                 ends = np.searchsorted(of[order], np.arange(parts + 1))
@@ -180,7 +191,7 @@ def answer_words(asked: DataFrame) -> DataFrame:
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
-        parts = [unpack(x) for x in group["data"]]
+        parts = [unpack_hashed(x) for x in group["data"]]
         keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
         total = np.bincount(place, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
         bucket, rows, at = int(group["bucket"].iloc[0]), [], 0
@@ -196,7 +207,7 @@ class Bigrams:
     """A chunk's distinct bigrams and the partitions that count them. Built alike when asking and when scoring."""
 
     def __init__(self, row: pd.Series, answers: pd.DataFrame, word_parts: int, parts: int, total: int):
-        self.hashes, _ = unpack(row["words"])
+        self.hashes, _ = unpack_hashed(row["words"])
         self.codes, self.sizes, learn = unpack(row["codes"])
         self.learn = np.repeat(learn.astype(bool), self.sizes)
         of = (self.hashes % np.uint64(word_parts)).astype(np.int32)
@@ -237,19 +248,30 @@ def ask_bigrams(table: DataFrame, words: DataFrame, word_parts: int, parts: int,
             b = Bigrams(row, right, word_parts, parts, unigrams.total)
             for bucket, own, contexts in b.asked():
                 runs = np.bincount(np.searchsorted(contexts, b.left[own]), minlength=len(contexts)).astype(np.int32)
-                data = pack(b.hashes[contexts], runs, b.hashes[b.right[own]], b.counts[b.right[own]].astype(np.int32 if unigrams.total < 2**31 else np.int64), b.seen[own])
+                data = pack(b.hashes[contexts], runs, b.hashes[b.right[own]], b.counts[b.right[own]], b.seen[own])
                 rows.append((row["chunk"], bucket, data))
         return pd.DataFrame(rows, columns=["chunk", "bucket", "data"])
 
     return table.select("chunk", "words", "codes").groupBy("chunk").cogroup(words.groupBy("chunk")).applyInPandas(ask, ASKED)
 
 
-def answer_bigrams(asked: DataFrame, unigrams: Unigrams) -> DataFrame:
-    """Corpus counts of each bigram asked for; per context, how its successors' counts are made up, and their mass."""
+def _made_up(owner: np.ndarray, counts: np.ndarray, n: int) -> list[np.ndarray]:
+    """Per owner, how many counts are 1, 2, ... GT_K, and the sum of all larger ones: discounts can be applied later."""
+    small = [np.bincount(owner[counts == r], minlength=n).astype(np.int64) for r in range(1, GT_K + 1)]
+    return [*small, np.bincount(owner[counts > GT_K], counts[counts > GT_K], n).astype(np.int64)]
+
+
+def _kept(made: list[np.ndarray], d: np.ndarray) -> np.ndarray:
+    """Sum of discounted counts, from ``_made_up``."""
+    return made[-1] + sum(d[r] * r * made[r - 1] for r in range(1, GT_K + 1))
+
+
+def answer_bigrams(asked: DataFrame) -> DataFrame:
+    """Corpus counts of each bigram asked for; per context, how its successors' counts, as bigrams and as words, are made up."""
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
-        parts = [unpack(x) for x in group["data"]]
+        parts = [unpack_hashed(x, 0, 2) for x in group["data"]]
         contexts, context_of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         runs = np.concatenate([p[1] for p in parts])
         context = np.repeat(context_of, runs)
@@ -257,15 +279,12 @@ def answer_bigrams(asked: DataFrame, unigrams: Unigrams) -> DataFrame:
         keys, first, place = np.unique(key, return_index=True, return_inverse=True)
         total = np.bincount(place, np.concatenate([p[4] for p in parts]), len(keys)).astype(np.int64)
         seen = np.flatnonzero(total)
-        owner, count, n = context[first][seen], total[seen], len(contexts)
-        mass = unigrams.probability(np.concatenate([p[3] for p in parts])[first][seen])
-        made = [np.bincount(owner[count == r], minlength=n).astype(np.int32) for r in range(1, GT_K + 1)]
-        made.append(np.bincount(owner[count > GT_K], count[count > GT_K], n).astype(np.int64))
-        made.append(np.bincount(owner, mass, n))
+        owner, n = context[first][seen], len(contexts)
+        made = _made_up(owner, total[seen], n) + _made_up(owner, np.concatenate([p[3] for p in parts])[first][seen], n)
         bucket, rows, at, c = int(group["bucket"].iloc[0]), [], 0, 0
         for chunk, p in zip(group["chunk"], parts, strict=True):
             own, of = total[place[at : at + len(p[2])]], context_of[c : c + len(p[0])]
-            rows.append((chunk, 1, bucket, pack(own.astype(np.int32 if not len(own) or own.max() < 2**31 else np.int64), *(m[of] for m in made)), None))
+            rows.append((chunk, 1, bucket, pack(own, *(m[of] for m in made)), None))
             at, c = at + len(p[2]), c + len(p[0])
         return _told(rows, bucket, 1, _histogram(total))
 
@@ -283,11 +302,11 @@ def score_chunks(table: DataFrame, answers: DataFrame, word_parts: int, parts: i
             kept, mass, small = np.zeros(len(b.hashes)), np.zeros(len(b.hashes)), np.zeros(len(b.hashes), bool)
             told = dict(zip(right["bucket"][right["kind"] == 1], right["data"][right["kind"] == 1], strict=True))
             for bucket, own, contexts in b.asked():
-                totals, *made, above, masses = unpack(told[bucket])
+                totals, *made = unpack(told[bucket])
                 count[own] = totals
-                kept[contexts] += above + sum(d[r] * r * m for r, m in enumerate(made, 1))
-                small[contexts] |= sum(made) > 0
-                mass[contexts] += masses
+                kept[contexts] += _kept(made[: GT_K + 1], d)
+                small[contexts] |= sum(made[:GT_K]) > 0
+                mass[contexts] += unigrams.scale * _kept(made[GT_K + 1 :], unigrams.d) / max(unigrams.total, 1)
             out.append(_score(row, b, count, kept, mass, small, unigrams, d))
         return pd.concat(out)
 
@@ -341,7 +360,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFra
     total, distinct, *n = _sums(words)
     unigrams = Unigrams(total, distinct, [0, *n])
     asked = ask_bigrams(table, words.where("chunk != ''").select("chunk", "bucket", "data"), word_parts, parts, unigrams)
-    pairs = materialize(answer_bigrams(asked, unigrams), "katz-bigrams")
+    pairs = materialize(answer_bigrams(asked), "katz-bigrams")
     _, _, *n = _sums(pairs)
     both = words.unionByName(pairs).where("chunk != ''").select("chunk", "kind", "bucket", "data")
     scored = score_chunks(table, both, word_parts, parts, unigrams, discounts([0, *n]))
