@@ -37,7 +37,7 @@ GT_K = 5
 #: Buckets of the chunk table.
 TABLE_BUCKETS = 64
 
-END = b"\0"  # no word contains it alone: words are runs without white space, and this one stands for the end of a text
+END = b" "  # stands for the end of a text; no word has white space
 ASKED = "chunk string, bucket int, data binary"
 ANSWERED = "chunk string, kind int, bucket int, data binary, stats array<bigint>"
 SCORED = "doc_id {id}, n_tokens bigint, n_known bigint, base_score double, score double"
