@@ -6,8 +6,8 @@ from trackstream.operators.cdc import EVENTS, NEXT_STATUS
 from trackstream.sources.tables import EPOCH_MS, NOW_MS, PATH
 
 _DIST = (
-    "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin((radians({c}) - radians({a})) / 2), 2) "
-    "+ cos(radians({a})) * cos(radians({c})) * pow(sin((radians({d}) - radians({b})) / 2), 2))))"
+    "CASE WHEN ({a}) IS NOT NULL AND ({c}) IS NOT NULL THEN 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin((radians({c}) - radians({a})) / 2), 2) "
+    "+ cos(radians({a})) * cos(radians({c})) * pow(sin((radians({d}) - radians({b})) / 2), 2)))) END"
 )
 
 

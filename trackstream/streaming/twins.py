@@ -1,3 +1,146 @@
-"""Streaming queries."""
-QUERIES: dict = {}
-SQL: dict = {}
+"""Registered streaming queries: the tables replayed as streams, to be compared with what SQL says of the whole."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trackstream.functions.ids import alert_id
+from trackstream.operators import ingest, motion, orders, sinks
+from trackstream.plans import oracle
+from trackstream.sources import tables as t
+from trackstream.streaming import jobs
+
+#: Micro-batches of a replay, and how much time each brings.
+CHUNKS, CHUNK_MS = 5, 300_000
+PARTITIONS = 4
+
+
+def _valid(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.valid(ingest.gate(ingest.decode(t.location_messages(spark, d))))
+
+
+def _stream(spark: SparkSession, d: str, by: str, columns: list[str] | None = None) -> DataFrame:
+    """Valid samples as a stream, ordered in chunks of ``by``; a sample of driver -1 far ahead flushes what is open."""
+    rows = _valid(spark, d)
+    chunk = F.least(F.lit(CHUNKS - 1), F.floor((F.col(by) - t.EPOCH_MS) / CHUNK_MS))
+    end = spark.range(1).select(*[(F.lit(-1).cast("long") if c in ("driver_id", "event_id") else F.lit(t.NOW_MS) if c.endswith("_ms") else F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    end = end.withColumns({"latitude": F.lit(0.0), "longitude": F.lit(0.0)})
+    return jobs.replay(rows.withColumn("chunk", chunk), "chunk", CHUNKS, end.select(rows.columns))
+
+
+def _tagged_windows(spark: SparkSession, d: str) -> DataFrame:
+    with jobs.stateful(spark, PARTITIONS):
+        return jobs.drained(jobs.speed_windows(_stream(spark, d, "arrival_ms"))).where("driver_id >= 0")
+
+
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    return _tagged_windows(spark, d).where("kind = 'window'").drop("kind", "event_id", "event_ms")
+
+
+def stream_late(spark: SparkSession, d: str) -> DataFrame:
+    return _tagged_windows(spark, d).where("kind = 'late'").select("event_id", "driver_id", "event_ms")
+
+
+def stream_state(spark: SparkSession, d: str) -> DataFrame:
+    with jobs.stateful(spark, PARTITIONS):
+        told = jobs.drained(jobs.driver_state(_stream(spark, d, "event_ms")))
+    return told.where("kind = 'snapshot' and driver_id >= 0").drop("kind")
+
+
+def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
+    with jobs.stateful(spark, PARTITIONS):
+        told = jobs.drained(jobs.driver_state(_stream(spark, d, "event_ms")))
+    alerts = told.where("kind <> 'snapshot' and driver_id >= 0")
+    return alerts.select(alert_id(F.col("kind"), F.col("driver_id"), F.col("event_ms")).alias("alert_id"), "kind", "driver_id", "event_ms")
+
+
+def stream_fences(spark: SparkSession, d: str) -> DataFrame:
+    with jobs.stateful(spark, PARTITIONS):
+        return jobs.drained(jobs.fence_transitions(_stream(spark, d, "event_ms"), t.fences(spark))).where("driver_id >= 0")
+
+
+def stream_mean_speed(spark: SparkSession, d: str) -> DataFrame:
+    with jobs.stateful(spark, PARTITIONS):
+        return jobs.drained(motion.mean_speeds(_stream(spark, d, "arrival_ms")), "complete").where("driver_id >= 0")
+
+
+def stream_pickup_timeouts(spark: SparkSession, d: str) -> DataFrame:
+    rows = t.deliveries(spark, d)
+    assigned = rows.select("order_id", "driver_id", F.lit("DRIVER_ASSIGNED").alias("kind"), F.col("assigned_ms").alias("event_ms"))
+    picked = rows.select("order_id", "driver_id", F.lit("PICKED_UP").alias("kind"), F.col("picked_up_ms").alias("event_ms"))
+    events = assigned.unionByName(picked).withColumn("chunk", F.least(F.lit(3), F.floor((F.col("event_ms") - t.EPOCH_MS) / 600_000)))
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("order_id"), F.lit(-1).cast("long").alias("driver_id"), F.lit("END").alias("kind"), F.lit(t.NOW_MS).alias("event_ms"))
+    with jobs.stateful(spark, PARTITIONS):
+        late = jobs.drained(jobs.pickup_timeouts(jobs.replay(events, "chunk", 4, end), orders.PICKUP_TIMEOUT_MS))
+    return late.select(F.concat_ws(":", F.lit("ORDER_PICKUP_TIMEOUT"), "order_id", "event_ms").alias("alert_id"), "order_id", "driver_id", "event_ms")
+
+
+def stream_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Insert-ignore from ``foreachBatch``; the stream brings every sample twice."""
+    path = t.scratch(spark, "stream-sink")
+    rows = _stream(spark, d, "arrival_ms").where("driver_id >= 0").select("driver_id", "event_ms", "event_id")
+    write = sinks.each_batch(lambda b: sinks.insert_ignore(b.unionByName(b), path, ["driver_id", "event_ms"], "event_ms"))
+    for _ in range(2):  # a second run without its checkpoint replays everything
+        rows.writeStream.foreachBatch(write).option("checkpointLocation", t.scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).select("driver_id", "event_ms", "event_id")
+
+
+def stream_latest(spark: SparkSession, d: str) -> DataFrame:
+    """Latest position by driver, upserted batch by batch under the batch's own number."""
+    folder, last = t.scratch(spark, "stream-upsert"), []
+
+    def write(batch: DataFrame, number: int) -> None:
+        last[:] = [sinks.upsert_latest(batch, folder, ["driver_id"], ["event_ms", "event_id"], number + 1)]
+
+    rows = _stream(spark, d, "arrival_ms").where("driver_id >= 0").select("driver_id", "event_ms", "event_id", "latitude", "longitude")
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", t.scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(last[0])
+
+
+def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Exact replays dropped within the watermark."""
+    twice = _valid(spark, d).select("event_id", "driver_id", "event_ms", "arrival_ms", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    chunk = F.least(F.lit(CHUNKS - 1), F.floor((F.col("arrival_ms") - t.EPOCH_MS) / CHUNK_MS))
+    stream = jobs.timed(jobs.replay(twice.withColumn("chunk", chunk).drop("copy"), "chunk", CHUNKS), "10 minutes")
+    with jobs.stateful(spark, PARTITIONS):
+        return jobs.drained(stream.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "driver_id", "event_ms"))
+
+
+QUERIES = {
+    "stream_speed_window_1m": stream_windows,
+    "stream_late_samples": stream_late,
+    "stream_driver_snapshots": stream_state,
+    "stream_alerts": stream_alerts,
+    "stream_geofence_events": stream_fences,
+    "stream_driver_mean_speed": stream_mean_speed,
+    "stream_pickup_timeouts": stream_pickup_timeouts,
+    "stream_sink_insert_ignore": stream_sink,
+    "stream_latest_state": stream_latest,
+    "stream_dedup_replays": stream_dedup,
+}
+
+#: Rows of one micro-batch never make each other late: lateness is judged by the chunks before.
+_CHUNKED = f"""
+chunked AS (SELECT *, least({CHUNKS - 1}, (arrival_ms - {t.EPOCH_MS}) // {CHUNK_MS}) AS chunk FROM valid),
+tops AS (SELECT chunk, max(max(event_ms)) OVER (ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM chunked GROUP BY chunk),
+judged AS (SELECT c.*, coalesce(event_ms - event_ms % 60000 + 59999 <= top - 5001, FALSE) AS late FROM chunked c JOIN tops USING (chunk))
+"""
+_snapshots = oracle.SQL["driver_snapshots"]
+
+SQL = {
+    "stream_speed_window_1m": oracle.loc("SELECT * FROM win", _CHUNKED, oracle.windows("judged", "WHERE NOT late")),
+    "stream_late_samples": oracle.loc("SELECT event_id, driver_id, event_ms FROM judged WHERE late", _CHUNKED),
+    "stream_driver_snapshots": f"SELECT * EXCLUDE (processing_lag_ms) FROM ({_snapshots})",
+    "stream_alerts": oracle.loc(
+        """SELECT concat_ws(':', 'IMPOSSIBLE_SPEED', driver_id, event_ms) AS alert_id, 'IMPOSSIBLE_SPEED' AS kind, driver_id, event_ms FROM legs WHERE leg_kph > 150 AND leg_ms <= 120000
+        UNION ALL SELECT concat_ws(':', 'GPS_GAP', driver_id, event_ms + 120000), 'GPS_GAP', driver_id, event_ms + 120000
+        FROM (SELECT *, lead(event_ms) OVER (PARTITION BY driver_id ORDER BY event_ms, event_id) AS nxt FROM valid) WHERE nxt IS NULL OR nxt - event_ms > 120000"""
+    ),
+    "stream_geofence_events": oracle.loc("SELECT driver_id, fence_id, transition, lat, lon, event_ms FROM fence_events"),
+    "stream_driver_mean_speed": oracle.SQL["driver_mean_speed"],
+    "stream_pickup_timeouts": oracle.SQL["pickup_timeouts"],
+    "stream_sink_insert_ignore": oracle.SQL["sink_insert_ignore_replay"],
+    "stream_latest_state": oracle.SQL["latest_state_upsert"],
+    "stream_dedup_replays": oracle.loc("SELECT event_id, driver_id, event_ms FROM valid"),
+}
