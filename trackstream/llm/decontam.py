@@ -21,7 +21,7 @@ BLOCK_WORDS = 2_000_000
 
 _SPACE = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 NORMAL = bytes(ord(chr(b).lower()) if b < 0x80 else b for b in _SPACE)
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # in texts as they are, capitals included
 
 RESULT = (
     "struct<n_words:bigint,hits:array<struct<first:int,last:int>>,items:array<string>,"
