@@ -127,11 +127,22 @@ def scan(
         ranges = F.concat(*[F.col(f"{c}.hits") for c in inner])
         n_hit = F.size(F.array_distinct(F.flatten(F.transform(ranges, lambda h: F.sequence(h["first"], h["last"]))))).cast("long")
         items = F.array_distinct(F.concat(*[F.col(f"{c}.items") for c in inner]))
-        spans = F.array_sort(F.array_distinct(F.concat(*[F.col(f"{c}.spans") for c in inner])))
+        spans = _merged(F.array_sort(F.concat(*[F.col(f"{c}.spans") for c in inner])))
     result = F.struct(F.col(f"{inner[0]}.n_words").alias("n_words"), n_hit.alias("n_hit"), F.array_sort(items).alias("items"), spans.alias("spans"))
     return scanned.withColumn(out_col, result).drop(*inner)
 
 
+def _merged(spans: Column) -> Column:
+    """Sorted spans, joined where they overlap."""
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(F.coalesce(s["start"] <= last["end"], F.lit(False)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), add)
+
+
 def contaminated(result: Column, share: int = 20) -> Column:
     """At least one word in ``share`` is hit."""
     return (result["n_hit"] > 0) & (share * result["n_hit"] >= result["n_words"])
@@ -143,9 +154,9 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, text_col: str, item_
     return judged.where(~contaminated(F.col("_contamination"))).drop("_contamination")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, size: int = 13) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, size: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with the hit words cut out of the texts."""
-    judged = scan(docs, benchmark, text_col, item_col, item_text_col, size, out_col="_contamination")
+    judged = scan(docs, benchmark, text_col, item_col, item_text_col, size, block_words, out_col="_contamination")
     spans = F.col("_contamination.spans")
     text, n = F.col(text_col), F.size(spans)
     kept = F.transform(
