@@ -25,8 +25,8 @@ def test_first_and_second_sample(spark):
 
 
 def test_drivers_are_apart_and_state_expires(spark):
-    got = motion.snapshots(samples(spark, [(1, 40.1, 44.5, T0), (2, 40.2, 44.55, T0), (1, 40.11, 44.5, T0 + 1000), (1, 40.2, 44.5, T0 + 121_001)]), T0)
-    assert {(r.driver_id, r.event_ms - T0): r.sample_count for r in got.collect()} == {(1, 0): 1, (1, 1000): 2, (2, 0): 1, (1, 121_001): 2}
+    got = motion.snapshots(samples(spark, [(1, 40.1, 44.5, T0), (2, 40.2, 44.55, T0), (1, 40.11, 44.5, T0 + 1000), (1, 40.2, 44.5, T0 + 121_000)]), T0)
+    assert {(r.driver_id, r.event_ms - T0): r.sample_count for r in got.collect()} == {(1, 0): 1, (1, 1000): 2, (2, 0): 1, (1, 121_000): 3}
     later = motion.snapshots(samples(spark, [(1, 40.1, 44.5, T0), (1, 40.11, 44.5, T0 + 120_001)]), T0)
     assert {r.sample_count for r in later.collect()} == {1}
 
