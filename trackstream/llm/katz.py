@@ -10,7 +10,8 @@ context exactly. Scoring needs every document's bigrams beside the corpus counts
    what words). So a chunk scores its tokens locally once the corpus-wide counts of counts are known.
 
 A bigram is sent once a chunk however often it occurs. Contexts with a large share of all tokens are dealt over several
-partitions by successor. Words are told apart by 64-bit hashes. Only sums of counts reach the driver.
+partitions by successor. Words are told apart by 64-bit hashes (56 bits within
+a partition of bigrams). Only sums of counts reach the driver.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ CHUNK_TOKENS = 1_500_000
 PART_TOKENS = 500_000
 #: Counts up to this one are discounted.
 GT_K = 5
+#: Bits left out of word hashes within a context's partition: 56 tell its words apart, and a byte a bigram is saved.
+SHORT = np.uint64(8)
 #: Buckets of the chunk table.
 TABLE_BUCKETS = 64
 
@@ -248,7 +251,7 @@ def ask_bigrams(table: DataFrame, words: DataFrame, word_parts: int, parts: int,
             b = Bigrams(row, right, word_parts, parts, unigrams.total)
             for bucket, own, contexts in b.asked():
                 runs = np.bincount(np.searchsorted(contexts, b.left[own]), minlength=len(contexts)).astype(np.int32)
-                data = pack(b.hashes[contexts], runs, b.hashes[b.right[own]], b.counts[b.right[own]], b.seen[own])
+                data = pack(b.hashes[contexts] >> SHORT, runs, b.hashes[b.right[own]] >> SHORT, b.counts[b.right[own]], b.seen[own])
                 rows.append((row["chunk"], bucket, data))
         return pd.DataFrame(rows, columns=["chunk", "bucket", "data"])
 
