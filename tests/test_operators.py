@@ -1,12 +1,13 @@
 """Single operators on literal rows."""
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from trackstream import schemas
 from trackstream.functions import geo, ids
 from trackstream.operators import cdc, geofence, ingest, motion, orders, serving, sinks
-from trackstream.sources import tables
+from trackstream.sources import tables, topics
 
 T0 = 1_800_000_000_000
 
@@ -183,3 +184,32 @@ def test_scalars(spark):
     ).first()
     assert 1050 < row.m < 1110 and row.east == pytest.approx(90) and row.none is None and row.half == pytest.approx(3.14159265 * 6371000, rel=1e-6)
     assert row.r == 1.0 and row.nan is False and len(row.id) == 24
+
+
+def test_topic_frames_and_fence_files(spark, tmp_path):
+    rows = spark.createDataFrame([(b"\x00\x00\x00\x00\x07abc",), (b"\x01junk!!",), (None,), (b"\x00",)], "value binary")
+    assert [r.schema_id for r in topics.schema_id(rows).collect()] == [7, None, None, None]
+    (tmp_path / "f.json").write_text('[{"id": 1, "name": "a", "type": "ZONE", "polygonWkt": "POLYGON((0 0, 1 0, 1 1, 0 0))"}, {"id": 2, "name": "b"}]')
+    fences = topics.fences_json(spark, str(tmp_path / "f.json"))
+    assert fences.columns == ["id", "name", "type", "polygonWkt"] and [r.id for r in geofence.split_fences(fences)[0].collect()] == [1]
+
+
+def test_series_reads_touched_slices(spark, tmp_path):
+    rows = spark.createDataFrame([(1, T0), (1, T0 + 5 * sinks.DAY_MS)], "driver_id long, event_ms long")
+    sinks.insert_ignore(rows, f"{tmp_path}/s", ["driver_id", "event_ms"], "event_ms")
+    got = topics.series(spark, f"{tmp_path}/s", "event_ms", T0, T0 + 1, sinks.DAY_MS)
+    assert got.count() == 1 and len(got.inputFiles()) >= 1
+
+
+def test_ingest_counters(spark):
+    gated = spark.createDataFrame([(None,), (None,), ("bad",)], "reason string")
+    seen = Observation("ingest")
+    gated.observe(seen, F.count_if(F.col("reason").isNull()).alias("valid")).count()
+    assert seen.get == {"valid": 2} and ingest.observed(gated).count() == 3
+
+
+def test_state_enriched_and_versions_as_of(spark):
+    given = samples(spark, [(7, 40.0, 44.0, T0), (7, 40.0, 44.0, T0 + 10)])
+    updates = spark.createDataFrame([(7, T0 + 5, "BUSY")], "driver_id long, event_ms long, shift string")
+    got = {r.event_ms - T0: r["shift"] for r in motion.enrich_latest(given, updates, ["shift"]).collect()}
+    assert got == {0: None, 10: "BUSY"}

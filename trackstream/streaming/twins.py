@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackstream.functions.ids import alert_id
-from trackstream.operators import ingest, motion, orders, sinks
+from trackstream.operators import geofence, ingest, motion, orders, sinks
 from trackstream.plans import oracle
 from trackstream.sources import tables as t
 from trackstream.streaming import jobs
@@ -107,7 +107,22 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
         return jobs.drained(stream.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "driver_id", "event_ms"))
 
 
+def stream_interval_join(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries and fence events, both as streams, met within each delivery's time."""
+    rows = t.deliveries(spark, d).selectExpr("order_id", "driver_id", "assigned_ms", "coalesce(delivered_ms, picked_up_ms + 3600000) as until_ms", "assigned_ms as event_ms", "0 as chunk")
+    events = geofence.transitions(_valid(spark, d), t.fences(spark)).selectExpr("driver_id", "fence_id", "transition", "event_ms", "0 as chunk")
+    with jobs.stateful(spark, PARTITIONS):
+        return jobs.drained(jobs.interval_join(jobs.replay(rows, "chunk", 1), jobs.replay(events, "chunk", 1)))
+
+
+def stream_active_drivers(spark: SparkSession, d: str) -> DataFrame:
+    with jobs.stateful(spark, PARTITIONS):
+        return jobs.drained(jobs.active_drivers(_stream(spark, d, "event_ms"))).where("drivers > 0 and window_start < %d" % (t.EPOCH_MS + 86_400_000))
+
+
 QUERIES = {
+    "stream_delivery_events": stream_interval_join,
+    "stream_active_drivers_30s": stream_active_drivers,
     "stream_speed_window_1m": stream_windows,
     "stream_late_samples": stream_late,
     "stream_driver_snapshots": stream_state,
@@ -129,6 +144,7 @@ judged AS (SELECT c.*, coalesce(event_ms - event_ms % 60000 + 59999 <= top - 500
 _snapshots = oracle.SQL["driver_snapshots"]
 
 SQL = {
+    "stream_delivery_events": oracle.SQL["delivery_events_interval_join"],
     "stream_speed_window_1m": oracle.loc("SELECT * FROM win", _CHUNKED, oracle.windows("judged", "WHERE NOT late")),
     "stream_late_samples": oracle.loc("SELECT event_id, driver_id, event_ms FROM judged WHERE late", _CHUNKED),
     "stream_driver_snapshots": f"SELECT * EXCLUDE (processing_lag_ms) FROM ({_snapshots})",
