@@ -145,14 +145,14 @@ ENVELOPES = [
 
 
 def test_envelopes(spark):
-    rows = spark.createDataFrame([("flowfleet.public.orders", *e) for e in ENVELOPES], "topic string, key string, value string, offset long")
+    rows = spark.createDataFrame([("fleet.public.orders", *e) for e in ENVELOPES], "topic string, key string, value string, offset long")
     got = cdc.normalise(rows).orderBy("offset").collect()
     assert [r.op for r in got] == ["UPDATE", "READ", "DELETE", "DELETE", None, "UNKNOWN"]
     assert got[0].lsn == 273827 and got[0].before.status == "CREATED" and got[0].after.status == "CONFIRMED"
     assert [r.from_snapshot for r in got] == [False, True, False, False, False, False]
     assert got[3].tombstone and got[3].before is None and got[4].error and got[5].lsn == 9
     assert cdc.current(cdc.changes(cdc.normalise(rows)).where("op <> 'UNKNOWN'")).select("id").collect() == [(7,)]
-    assert rows.select(cdc.routed(F.col("topic"))).first()[0] == "flowfleet.orders.cdc"
+    assert rows.select(cdc.routed(F.col("topic"))).first()[0] == "fleet.orders.cdc"
     left = cdc.changes(cdc.normalise(rows)).withColumn("image", cdc.surviving()).where("offset = 3").first()
     assert left.image.status == "CREATED"
 

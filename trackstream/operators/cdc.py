@@ -35,14 +35,14 @@ EVENTS = {
 }
 
 
-def table_of(topic: Column, pattern: str = r"^flowfleet\.public\.(.+)$") -> Column:
+def table_of(topic: Column, pattern: str = r"^fleet\.public\.(.+)$") -> Column:
     """Table name of a capture topic; null for other topics."""
     return F.nullif(F.regexp_extract(topic, pattern, 1), F.lit(""))
 
 
 def routed(topic: Column) -> Column:
     """The derived topic that a table's changes are routed to."""
-    return F.concat(F.lit("flowfleet."), table_of(topic), F.lit(".cdc"))
+    return F.concat(F.lit("fleet."), table_of(topic), F.lit(".cdc"))
 
 
 def normalise(messages: DataFrame, envelope: str = schemas.ENVELOPE) -> DataFrame:

@@ -115,7 +115,7 @@ def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when i = n and k % 1009 = 0 then named_struct('value', 'not-json', 'nth', 190) end))"
     )
     return s.selectExpr("k", f"explode({messages}) as m").selectExpr(
-        "'flowfleet.public.orders' as topic", "cast(k as string) as key", "m.value as value", "k * 1000 + m.nth as offset"
+        "'fleet.public.orders' as topic", "cast(k as string) as key", "m.value as value", "k * 1000 + m.nth as offset"
     )
 
 
