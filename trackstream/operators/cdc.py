@@ -48,7 +48,7 @@ def routed(topic: Column) -> Column:
 def normalise(messages: DataFrame, envelope: str = schemas.ENVELOPE) -> DataFrame:
     """Topic rows (topic, key, value, offset) to change rows; a null value is a DELETE without images, a bad one has an error."""
     e = F.from_json("value", f"{envelope}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    rows = messages.withColumn("e", e)
+    rows = messages.select("*", F.explode(F.array(e)).alias("e"))  # parsed once a row, not once a field
     tombstone = F.col("value").isNull()
     bad = ~tombstone & (F.col("e").isNull() | F.col("e._bad").isNotNull() | F.col("e.op").isNull())
     named = F.create_map(*[F.lit(x) for pair in OPS.items() for x in pair])

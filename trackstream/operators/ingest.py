@@ -20,7 +20,7 @@ def decode(messages: DataFrame, schema: str = schemas.LOCATION) -> DataFrame:
     """Topic rows to typed rows plus ``error``, ``raw_base64`` (of the first 256 bytes), topic, partition, offset, timestamp."""
     text = F.col("value").cast("string")
     record = F.from_json(text, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    rows = messages.withColumn("_r", record)
+    rows = messages.select("*", F.explode(F.array(record)).alias("_r"))  # parsed once a row, not once a field
     broken = F.col("_r").isNull() | F.col("_r._bad").isNotNull() | ~F.coalesce(F.substring(F.ltrim(text), 1, 1) == "{", F.lit(False))
     error = F.when(F.col("value").isNull(), "tombstone / null value").when(broken, "not decodable")
     fields = [f.split()[0] for f in schema.split(", ")]

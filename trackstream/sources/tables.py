@@ -65,7 +65,7 @@ def location_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_json(F.struct(*fields)).cast("binary")
     )
     return rows.select(
-        value.alias("value"),
+        F.explode(F.array(value)).alias("value"),  # made once a row, as if read from a topic
         F.lit("driver.location").alias("topic"),
         F.expr("cast(driver_id % 24 as int)").alias("partition"),
         F.col("event_id").alias("offset"),
