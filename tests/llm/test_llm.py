@@ -193,6 +193,45 @@ def test_pii_model_adds_and_base_stays(spark):
     assert pii.fit(docs(spark, []), "text").trees is None and pii.fit(docs(spark, ["x 1"]), "text").trees is None
 
 
+def test_pii_candidates_side_by_side():
+    def proposed(text, base=()):
+        return {(pii.KINDS[k], text[a:b]) for k, a, b in pii.candidates(text, base)}
+
+    assert ("phone", "415-555-0100") in proposed("2024-01-05 415-555-0100")
+    assert {("phone", "(415) 555-0100"), ("phone", "+1 415-555-0101")} <= proposed("(415) 555-0100 / +1 415-555-0101")
+    assert {("phone", f"415555010{i}") for i in range(3)} <= proposed("4155550100 4155550101 4155550102")
+    twice = "4465758382889437 4465758382889437"
+    assert [c for c in pii.candidates(twice) if c[0] == 2] == [(2, 0, 16), (2, 17, 33)]
+    text = "1.2.3.4 415-555-0100 bob [at] mail.com. x@y.de"
+    base = pii.base_spans(text)
+    assert [text[a:b] for _, a, b in base] == ["x@y.de", "1.2.3.4"]
+    assert {("phone", "415-555-0100"), ("email", "bob [at] mail.com")} <= proposed(text, base)
+    assert all(b <= s or e <= a for _, a, b in pii.candidates(text, base) for _, s, e in base)
+    words = "1 2 3 " * 200
+    assert len(pii.candidates(words)) <= 600 * 20 * 2
+
+
+def test_pii_numbers_side_by_side_are_found(spark):
+    rng = random.Random(6)
+
+    def number(n):
+        return "".join(str(rng.randrange(10)) for _ in range(n))
+
+    def card():
+        body = number(15)
+        return next(body + c for c in "0123456789" if pii.luhn(body + c))
+
+    texts = [f"und {i} the +1 ({number(3)}) 555-{number(4)} so {card()} an" for i in range(600)]
+    model = pii.fit(docs(spark, texts), "text")
+    one = card()
+    cases = [f"so {one} {one} an", "the 4155550100 4155550101 4155550102 so", "the (415) 555-0100 / (415) 555-0101 so"]
+    got = [[t[a:b] for _, a, b, _ in model.spans(t)] for t in cases]
+    assert got == [[one, one], ["4155550100", "4155550101", "4155550102"], ["(415) 555-0100", "(415) 555-0101"]]
+    asked = pii.Model(pii.Boosted(trees=0), [0.0] * 4)
+    asked.trees.cuts = [np.array([])] * len(pii.features("a", 0, 0, 1))
+    assert asked.spans("BOB AT MAIL DOT COM") == [(0, 0, 19, False)]
+
+
 # 5 token rollups
 
 
