@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -338,6 +339,16 @@ def test_license_notices(spark):
     assert licenses.scan(docs(spark, []), "text").count() == 0
 
 
+@pytest.mark.parametrize("name", [n for n, t in licenses.TEMPLATES.items() if len(t) > 60])
+@pytest.mark.parametrize(("mark", "width"), [("", 72), ("# ", 72), (" * ", 40)])
+def test_license_notices_over_lines(name, mark, width):
+    lines = textwrap.wrap(licenses.TEMPLATES[name] + ".", width - len(mark))
+    text = "This is the file of a program.\n" + "\n".join(mark + line for line in lines) + "\n\n" + "It is the end.\n" * 30
+    got = licenses.scan_text(text)
+    assert [(x["license"], x["missing"], x["added"]) for x in got] == [(name, [], [])]
+    assert " ".join(text[got[0]["start"] : got[0]["end"]].split()).startswith(licenses.TEMPLATES[name][:25])
+
+
 # 8 Katz
 
 
