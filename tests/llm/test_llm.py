@@ -339,6 +339,20 @@ def test_license_notices(spark):
     assert licenses.scan(docs(spark, []), "text").count() == 0
 
 
+def test_license_notices_beside_near_twins():
+    def names(text):
+        return [x["license"] for x in licenses.scan_text(text)]
+
+    apache, mit, gpl, cc = (licenses.TEMPLATES[n] + "." for n in ("Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC-4.0"))
+    assert names(f"{apache} {mit} {cc}") == ["Apache-2.0", "MIT", "CC-BY-NC-4.0"]
+    assert names(f"{apache} {gpl} {cc}") == ["Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0"]
+    rng = random.Random(8)
+    for _ in range(30):
+        chosen = rng.sample(sorted(set(licenses.TEMPLATES) - {"Apache-2.0"}), 4)
+        text = "\n".join(f"{' '.join(rng.choices('the of a lorem ipsum file and'.split(), k=rng.randrange(20)))} xx\n{licenses.TEMPLATES[n]}." for n in chosen)
+        assert names(text) == chosen
+
+
 @pytest.mark.parametrize("name", [n for n, t in licenses.TEMPLATES.items() if len(t) > 60])
 @pytest.mark.parametrize(("mark", "width"), [("", 72), ("# ", 72), (" * ", 40)])
 def test_license_notices_over_lines(name, mark, width):
