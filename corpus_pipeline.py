@@ -25,7 +25,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near duplicates."""
+    """Keeps the document of least id of each group of near duplicates.
+
+    Near means at most two differing bits of SimHash, which misses some copies with few edits (README: measured recall).
+    """
     bounded_batches(spark)
     return simhash.keep_one(docs, "doc_id", "text", max_bits=2).select(docs.columns)
 
