@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from tests.conftest import SF
-from tests.llm.test_llm import plain_components, plain_hits, plain_simhash
+from tests.llm.test_llm import plain_hits, plain_near
 from trackstream.llm import queries
 
 
@@ -20,8 +20,7 @@ def test_stages_keep_what_they_should(spark):
     ids = [{r.doc_id for r in d.select("doc_id").collect()} for d in seen]
     assert all(d.columns == docs.columns for d in seen[1:-1])
     after_toxic = {r.doc_id: r.text for r in seen[1].collect()}
-    groups = plain_components({i: plain_simhash(t) for i, t in after_toxic.items()})
-    assert ids[2] == set(groups.values())
+    assert ids[2] == {i for i, _ in plain_near(list(after_toxic.items()))}
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = set()
     for i in ids[2]:

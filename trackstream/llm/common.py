@@ -2,50 +2,108 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where intermediate tables go when the session names no shared folder (tests, local runs).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/trackstream"
-
-
 #: Rows of an Arrow batch. Documents can be long: 10,000 of them, Spark's default, fill a Python worker's memory.
 BATCH_ROWS = 500
+#: Bytes of an Arrow batch: a batch of very long documents ends here, well before ``BATCH_ROWS`` rows.
+BATCH_BYTES = "32m"
+#: A key is hot with more than one in so many of all rows: there are at most so many such keys, whatever the size.
+HOT_KEYS = 1000
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batches to ``rows`` rows, if they are larger."""
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: str = BATCH_BYTES) -> None:
+    """Lower the session's Arrow batches to ``rows`` rows, if they are larger, and to ``size`` bytes.
+
+    Python functions read these two settings when their query runs, so they stay lowered.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``, or a local default where it is unset."""
+    """The folder every executor sees: ``spark.checkpoint.dir``. Where it is unset, only a local master may go on."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = LOCAL_CHECKPOINTS
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.gettempdir() + "/trackstream-checkpoints"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    What it shuffled is deleted once it is written. The table stays until ``discard``.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    with shuffles_deleted(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Within, shuffle files go as soon as the query that wrote them has ended."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by ``materialize`` that nothing will read any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            spark = df.sparkSession
+            folder = re.match(r"(.*/tables/[^/]+-[0-9a-f]{32})/", files[0])
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder[1]) if folder else None
+            if path is not None:
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``checkpoint()`` into the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def hot_keys(counts: DataFrame, n_col: str) -> DataFrame:
+    """Of a row per key with its number of rows, the keys with more than one in ``HOT_KEYS`` of all: fewer than that."""
+    total = counts.agg(F.sum(n_col)).first()[0] or 0
+    return counts.where(F.col(n_col) > max(64, total // HOT_KEYS))
+
+
+def join_values(rows: DataFrame, values: DataFrame, key: str, n_col: str) -> DataFrame:
+    """``rows`` joined with ``values``, one row per key that tells in ``n_col`` how many rows have it.
+
+    The few hot keys (at most ``HOT_KEYS``) are broadcast, so that their rows stay where they are; only the others are
+    dealt by key. Rows without a value, and null keys, are left out.
+    """
+    hot = F.broadcast(hot_keys(values, n_col))
+    cold = values.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key)).drop(n_col)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackstream.llm.common import cut
+from trackstream.llm.common import cut, join_values
 
 
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node that can be reached.
 
     Labels fall along links and along label pointers in turn, so long chains need few rounds. Every round is cut with
-    ``checkpoint()``. No edges give no rows.
+    ``checkpoint()``. Nodes with very many links, and labels with very many nodes, are joined by broadcast
+    (``join_values``), so no star meets in one task. No edges give no rows; repeated edges and loops change nothing.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct()
-    both = cut(both)
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")))
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = cut(edges.select(ways.alias("e")).select("e.*").where("a != b").distinct())
+    labels = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label"), F.count("*").alias("links")).withColumnRenamed("a", "node"))
     for _ in range(max_rounds):
-        seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
-        lowered = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
-        lowered = cut(lowered)
-        jump = lowered.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = cut(lowered.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")))
+        seen = join_values(both, labels.select(F.col("node").alias("b"), "label", "links"), "b", "links").groupBy("a").agg(F.min("label").alias("low"))
+        lowered = cut(labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", "links", F.col("label").alias("old"), F.least("label", "low").alias("label")))
+        used = lowered.groupBy("label").agg(F.count("*").alias("n"))
+        jump = used.join(lowered.select(F.col("node").alias("label"), F.col("label").alias("further")), "label")
+        labels = cut(join_values(lowered, jump, "label", "n").select("node", "links", "old", F.least("label", "further").alias("label")))
         if not labels.where("old != label").limit(1).count():
             return labels.select("node", F.col("label").alias("component"))
-        labels = labels.select("node", "label")
+        labels = labels.drop("old")
     raise RuntimeError(f"labels still change after {max_rounds} rounds")

@@ -8,10 +8,14 @@ Segment values shared by very many distinct fingerprints (a large group of near
 fingerprints in and beside them are linked through the values within one bit of them instead: two fingerprints differ in
 at most two bits exactly if such a value is common to both, and no such value has more than 65 holders. That is exact,
 linear, and needs no pairs.
+
+``near_duplicates`` links by fingerprint alone. ``keep_one`` links by similarity: fingerprints of the words propose pairs
+within a wider radius, by the same variants, and the shingle sets of the two texts decide.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackstream.llm.common import materialize, text_input
+from trackstream.llm.common import discard, join_values, materialize, text_input
 from trackstream.llm.components import components
 
 BITS = 64
@@ -98,7 +102,9 @@ def _differing(a: Column, b: Column) -> Column:
 
 
 def links(prints: DataFrame, max_bits: int = 2, dense: int = DENSE) -> DataFrame:
-    """Pairs (a, b) of nodes that connect all fingerprints within ``max_bits`` (0, 1 or 2) of each other.
+    """Pairs (a, b) of nodes that connect all fingerprints within ``max_bits`` (0, 1 or 2) of each other, and no others.
+
+    For more bits see ``near_pairs``, whose pairs are verified by their texts.
 
     ``prints`` has distinct ``fp`` and a ``node`` id each. Sparse fingerprints give every such pair; dense ones give
     pairs with the same connected components.
@@ -137,14 +143,16 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, max_bits: int =
     """Per document: ``doc_id``, ``fingerprint`` (signed long) and ``component_id``, the smallest id linked to it.
 
     Null and empty texts have fingerprint 0 and are linked like any others. Repeated rows keep a row each. A row with a
-    null id gets a fingerprint, takes no part in linking, and has a null component. An empty table gives no rows.
+    null id gets a fingerprint, takes no part in linking, and has a null component. An empty table gives no rows. Only
+    id and text are used, so other columns may have any names.
     """
     prints = materialize(text_input(docs, id_col, text_col).select("doc_id", fingerprint(F.col("text"), size).alias("fp")), "simhash")
     known = prints.where(F.col("doc_id").isNotNull())
-    nodes = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    joined = components(links(nodes, max_bits, dense))
-    of_print = nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = known.join(of_print, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+    nodes = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "simhash-nodes")
+    edges = materialize(links(nodes.select("fp", "node"), max_bits, dense), "simhash-links")
+    of_print = materialize(nodes.join(components(edges), "node", "left").select("fp", "copies", F.coalesce("component", "node").alias("component_id")), "simhash-groups")
+    discard(nodes, edges)
+    out = join_values(known, of_print, "fp", "copies").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
     return out.unionByName(prints.where(F.col("doc_id").isNull()).select("doc_id", F.col("fp").alias("fingerprint"), F.lit(None).cast(out.schema["component_id"].dataType).alias("component_id")))
 
 
@@ -152,9 +160,172 @@ def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, id_col: str, text_col: str, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, one row an id; rows with a null id all stay."""
-    groups = near_duplicates(docs, id_col, text_col, max_bits)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+# Near copies by similarity: word SimHashes propose, five-word shingles decide.
+
+#: Independent fingerprints of a text's distinct words. A pair is proposed if one of them is within the radius.
+PRINTS = 2
+RADIUS = 5
+#: Proposed pairs whose shingle fingerprints differ in more bits than this are not compared: at a similarity of 0.8 the
+#: expected distance is under 10 bits with a deviation under 3, between unrelated texts 32.
+SHINGLE_RADIUS = 20
+#: Nodes of a large family that meet each other at a time.
+PART = 16
+
+
+def _bits(hashes: np.ndarray) -> int:
+    """SimHash of hashes as a signed 64-bit number."""
+    if not len(hashes):
+        return 0
+    ones = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def _remixed(h: np.ndarray, k: int) -> np.ndarray:
+    x = (h ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of word shingles, repeats included, from the hashes of the words; a shorter text is one shingle."""
+    n = min(size, len(words))
+    if not n:
+        return words
+    out = np.zeros(len(words) - n + 1, np.uint64)
+    for i in range(n):
+        out = _remixed(out ^ words[i : len(words) - n + 1 + i], 1)
+    return out
+
+
+def sketch_text(text: str, size: int) -> tuple[list[int], int]:
+    """(word fingerprints, shingle fingerprint) of a text; all 0 without words."""
+    words = np.array([xxhash.xxh64_intdigest(w) for w in text.encode().lower().split()], np.uint64)
+    distinct = np.unique(words)
+    return [_bits(_remixed(distinct, k)) for k in range(1, PRINTS + 1)], _bits(np.unique(shingle_hashes(words, size)))
+
+
+def sketches(text: Column, size: int) -> Column:
+    @F.pandas_udf("struct<prints:array<bigint>,shingles:bigint>")
+    def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([sketch_text(t or "", size) for t in batch], columns=["prints", "shingles"])
+
+    return sketched(text)
+
+
+def _texts(text: Column) -> dict[str, Column]:
+    """128 bits that tell texts apart."""
+    return {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)}
+
+
+def near_pairs(nodes: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
+    """Proposed pairs (a, b), a < b, over ``nodes`` (node long, prints array<bigint>, shingles bigint).
+
+    A pair is proposed if some print of both is within ``radius``: one of ``radius // 2 + 1`` segments then differs by at
+    most a bit, so equal one-wildcard variants are joined. Segment values with more than ``dense`` nodes (a large family
+    of near copies) leave the join: the nodes at and beside such a value are dealt by it together with each segment value of
+    the next print. Each such group proposes all pairs with its least node, and all pairs within the radius inside parts
+    of about ``PART`` nodes (``dense``, if it has no more). That is linear, and every member meets many others.
+    """
+    ends = _segments(radius)
+    width_bits = max(w for _, w in ends)
+    parts = [
+        F.struct(F.lit(p * len(ends) + s).alias("segment"), F.lit(width).alias("width"), F.col("prints")[p].alias("fp"), F.col("prints")[(p + 1) % PRINTS].alias("other"), _segment(F.col("prints")[p], low, width).alias("value"))
+        for p in range(PRINTS)
+        for s, (low, width) in enumerate(ends)
+    ]
+    rows = nodes.select("node", F.explode(F.array(*parts)).alias("s")).select("node", "s.*")
+    crowded = materialize(rows.groupBy("segment", "width", "value").agg(F.count("*").alias("n")).where(F.col("n") > dense).drop("n"), "crowded")
+    crowds = crowded.count()
+    sparse = rows.join(crowded, ["segment", "width", "value"], "left_anti") if crowds else rows
+    # a signature is segment, wildcard and the other bits, packed into one number
+    signs = sparse.select("node", "fp", "segment", "value", F.explode(F.expr("sequence(-1, width - 1)")).alias("wildcard"))
+    mask = F.when(F.col("wildcard") < 0, F.lit(0).cast("long")).otherwise(_bit(F.greatest("wildcard", F.lit(0))))
+    kind = F.shiftleft(F.col("segment").cast("long") * 64 + F.col("wildcard") + 1, width_bits)
+    signs = signs.select(
+        "node",
+        "fp",
+        kind.bitwiseOR(F.col("value").bitwiseAND(F.bitwise_not(mask))).alias("sign"),
+        F.when(F.col("wildcard") < 0, F.lit(2)).when(F.col("value").bitwiseAND(mask) == 0, F.lit(0)).otherwise(F.lit(1)).cast("tinyint").alias("bit"),
+    )
+    left, right = signs.where("bit != 1").alias("l"), signs.where("bit != 0").drop("bit").alias("r")
+    once = (F.col("l.bit") == 0) | (F.col("l.node") < F.col("r.node"))
+    joined = left.join(right, (F.col("l.sign") == F.col("r.sign")) & once & (_differing(F.col("l.fp"), F.col("r.fp")) <= radius))
+    pairs = joined.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+    if crowds:
+        flips = F.expr("concat(array(value), transform(sequence(0, width - 1), i -> value ^ shiftleft(1L, i)))")
+        beside = crowded.select("segment", F.col("value").alias("crowd"), F.explode(flips).alias("value"))
+        finer = F.array(*[F.struct(F.lit(s).alias("t"), _segment(F.col("other"), low, width).alias("u")) for s, (low, width) in enumerate(ends)])
+        dealt = rows.join(beside, ["segment", "value"]).select("node", "fp", "segment", "crowd", F.explode(finer).alias("f"))
+        dealt = materialize(dealt.select("node", "fp", F.xxhash64("segment", "crowd", "f.t", "f.u").alias("crowd")), "crowds")
+        least = dealt.groupBy("crowd").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+        stars = join_values(dealt, least.withColumn("size", F.col("n")), "crowd", "n")
+        part = F.pmod(F.xxhash64("node", "crowd"), F.when(F.col("size") <= dense, F.lit(1)).otherwise(F.ceil(F.col("size") / PART)))
+        met = stars.groupBy("crowd", part.alias("part")).agg(F.collect_list(F.struct("node", "fp")).alias("m"))  # about ``dense`` at most
+        ahead = F.expr(f"flatten(transform(m, x -> transform(filter(m, y -> y.node > x.node and bit_count(x.fp ^ y.fp) <= {radius}), y -> struct(x.node as a, y.node as b))))")
+        pairs = pairs.unionByName(stars.where("a != node").select("a", F.col("node").alias("b"))).unionByName(met.select(F.explode(ahead).alias("p")).select("p.*"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def groups_of_texts(docs: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, size: int = 5, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
+    """Per distinct text (k1, k2): ``first``, its least id, and ``keeper``, whether it stands for its group.
+
+    Texts are linked if the Jaccard similarity of their sets of ``size``-word shingles is ``similarity`` or more and the
+    word fingerprints propose them; groups are connected components. A group's keeper has the least (id, k1, k2), null
+    ids last.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = rows.withColumns(_texts(F.col("text")))
+    ids = texts.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.any_value("text").alias("text"))
+    nodes = materialize(ids.select("k1", "k2", "first", "text", sketches(F.col("text"), size).alias("s")).withColumn("node", F.monotonically_increasing_id()), "texts")
+    pairs = materialize(near_pairs(nodes.select("node", "s.prints", "s.shingles"), radius, dense), "pairs")
+    shingles = nodes.select("node", "s.shingles")
+    a, b = (shingles.select(F.col("node").alias(c), F.col("shingles").alias(f"h{c}")) for c in "ab")
+    likely = materialize(pairs.join(a, "a").join(b, "b").where(_differing(F.col("ha"), F.col("hb")) <= SHINGLE_RADIUS).select("a", "b"), "likely")
+    used = likely.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    sets = used.join(nodes.select("node", "text"), "node").select("node", "n", _shingle_set(F.col("text"), size).alias("set"))
+    sets = materialize(sets, "shingles")
+    both = likely
+    for c in "ab":
+        both = join_values(both, sets.select(F.col("node").alias(c), "n", F.col("set").alias(f"set_{c}")), c, "n")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    alike = common >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - common)
+    edges = materialize(both.where(alike).select("a", "b"), "alike")
+    found = components(edges)
+    of_node = nodes.select("node", "k1", "k2", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    order = F.struct(F.col("first").isNull().alias("last"), "first", "k1", "k2")
+    keepers = of_node.groupBy("component").agg(F.min(order).alias("best")).select("best.*").drop("last").withColumn("keeper", F.lit(True))
+    done = materialize(keepers, "keepers")
+    discard(nodes, pairs, likely, sets, edges)
+    return done
+
+
+def _shingle_set(text: Column, size: int) -> Column:
+    @F.pandas_udf("array<bigint>")
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for t in batch:
+                words = np.array([xxhash.xxh64_intdigest(w) for w in (t or "").encode().lower().split()], np.uint64)
+                out.append(np.unique(shingle_hashes(words, size)).view(np.int64))
+            yield pd.Series(out, dtype=object)
+
+    return hashed(text)
+
+
+def keep_one(docs: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, size: int = 5, radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs`` for each group of near copies: rows are judged by their texts, and the least id stays.
+
+    Two texts under one id are judged apart. Of repeated rows (id and text alike) one stays. A null id comes last in its
+    group, so such a row stays only where no other has its text or a near copy of it. Null and empty texts are copies of
+    each other. An empty table stays empty. All columns are kept, whatever their names.
+    """
+    keepers = groups_of_texts(docs, id_col, text_col, similarity, size, radius)
+    keys = _texts(F.coalesce(F.col(text_col), F.lit("")))
+    own = {f"_{uuid.uuid4().hex}": c for c in (F.col(id_col), *keys.values())}
+    i, a, b = own
+    kept = keepers.select(F.col("first").alias(f"{i}_"), F.col("k1").alias(f"{a}_"), F.col("k2").alias(f"{b}_"))
+    same = F.col(i).eqNullSafe(F.col(f"{i}_")) & (F.col(a) == F.col(f"{a}_")) & (F.col(b) == F.col(f"{b}_"))
+    return docs.withColumns(own).join(kept, same, "left_semi").dropDuplicates(list(own)).drop(*own)
