@@ -25,12 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near duplicates.
-
-    Near means at most two differing bits of SimHash, which misses some copies with few edits (README: measured recall).
-    """
+    """Keeps one document, that of least id, of each group of near copies: five-word shingles, a similarity of 0.8."""
     bounded_batches(spark)
-    return simhash.keep_one(docs, "doc_id", "text", max_bits=2).select(docs.columns)
+    return simhash.keep_one(docs, "doc_id", "text", similarity=0.8, size=5).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
