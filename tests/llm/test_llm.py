@@ -23,6 +23,32 @@ RANKS = P.path("byte_bpe_50k.tiktoken")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def test_decontamination_keeps_one_block_alive(spark, monkeypatch):
+    alive, most = [0], [0]
+    plain = type(spark.sparkContext).broadcast
+
+    def counted(self, value):
+        if isinstance(value, decontam.Windows):
+            assert len(value.items) <= 80  # about ``block_windows``
+            alive[0] += 1
+            most[0] = max(most[0], alive[0])
+        made = plain(self, value)
+        drop = made.destroy
+
+        def destroy(*a):
+            alive[0] -= isinstance(value, decontam.Windows)
+            drop(*a)
+
+        made.destroy = destroy
+        return made
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", counted)
+    bench = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(40)], "item_id long, text string")
+    texts = [f"a b {' '.join(f'w{i}x{k}' for k in range(20))} c" for i in range(40)]
+    got = decontam.scan(docs(spark, texts), bench, "text", "item_id", "text", block_windows=100).collect()
+    assert most[0] == 1 and all(r.contamination.n_hit == 20 and r.contamination["items"] == [str(r.doc_id)] for r in got)
+
+
 def docs(spark, texts, extra=False):
     rows = [(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, DOCS)
@@ -569,8 +595,8 @@ def plain_hits(text, items, size=13):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_words", [10**6, 40])
-def test_decontamination_by_brute_force(spark, block_words):
+@pytest.mark.parametrize("block_windows", [10**6, 200])
+def test_decontamination_by_brute_force(spark, block_windows):
     rng = random.Random(9)
     items = [(i, " ".join(rng.choice("abcde") * rng.randrange(1, 3) for _ in range(rng.choice([2, 5, 13, 20, 30])))) for i in range(30)] + [(100, None), (101, "!!"), (2, "x Y z")]
     texts = [t or "" for t in ODD]
@@ -581,23 +607,25 @@ def test_decontamination_by_brute_force(spark, block_words):
         texts.append(" ".join(words[:at]) + ", " + "-".join(item[rng.randrange(len(item) + 1) if item else 0 :]).upper() + "\n" + " ".join(words[at:]))
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = docs(spark, texts, True)
-    judged = decontam.scan(df, bench, "text", "item_id", "text", block_words=block_words)
+    judged = decontam.scan(df, bench, "text", "item_id", "text", block_windows=block_windows)
     dirty = set()
     for r in judged.collect():
         n, hit, found = plain_hits(texts[r.doc_id], items)
         assert (r.contamination.n_words, r.contamination.n_hit, r.contamination["items"]) == (n, hit, found), r.doc_id
         dirty |= {r.doc_id} if hit and 20 * hit >= n else set()
+    again = decontam.scan(df.withColumn("contamination", F.lit(1)), bench.unionByName(bench), "text", "item_id", "text")
+    assert sorted(map(str, again.collect())) == sorted(map(str, judged.select(again.columns).collect()))
     left = decontam.remove_documents(df, bench, "text", "item_id", "text")
     assert {r.doc_id for r in left.collect()} == set(range(len(texts))) - dirty and left.columns == df.columns
     assert decontam.scan(df.limit(0), bench, "text", "item_id", "text").count() == 0
     assert decontam.scan(df, bench.limit(0), "text", "item_id", "text").where("contamination.n_hit > 0").count() == 0
 
 
-@pytest.mark.parametrize("block_words", [10**6, 5])
-def test_decontamination_cuts_spans(spark, block_words):
+@pytest.mark.parametrize("block_windows", [10**6, 3])
+def test_decontamination_cuts_spans(spark, block_windows):
     item = " ".join(f"q{i}" for i in range(15))
     texts = [f"Keep this. {item.upper()}! And that {item}", "nothing", None]
     rest = " ".join(f"q{i}" for i in range(1, 15))
     bench = spark.createDataFrame([(1, item), (2, rest)], "item_id long, text string")
-    got = [r.text for r in decontam.remove_spans(docs(spark, texts), bench, "text", "item_id", "text", block_words=block_words).orderBy("doc_id").collect()]
+    got = [r.text for r in decontam.remove_spans(docs(spark, texts), bench, "text", "item_id", "text", block_windows=block_windows).orderBy("doc_id").collect()]
     assert got == ["Keep this. ! And that ", "nothing", None]

@@ -1,56 +1,60 @@
 """Benchmark decontamination: a broadcast set of normalised test n-grams, scanned over every training token window.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased. A window is ``size`` consecutive
-words of an item, or all words of a shorter one. The benchmark is broadcast in blocks of at most ``block_words`` words;
-each block is one pass over the documents' words, so a benchmark of any size works with bounded memory. Set members are
+words of an item, or all words of a shorter one. Distinct windows, each with its items, are made by Spark and dealt by
+hash into blocks of about ``block_windows`` entries; only one block at a time is on the driver and in the workers. A
+benchmark of one block needs one pass; further blocks each take a pass over what the pass before wrote. Set members are
 the windows themselves, so a hit needs no further proof of equality.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+import string
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of benchmark text broadcast at a time.
-BLOCK_WORDS = 2_000_000
+from trackstream.llm.common import discard, materialize
+
+#: Entries (a window with one of its items) broadcast at a time.
+BLOCK_WINDOWS = 1_000_000
 
 _SPACE = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 NORMAL = bytes(ord(chr(b).lower()) if b < 0x80 else b for b in _SPACE)
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # in texts as they are, capitals included
 
-RESULT = (
-    "struct<n_words:bigint,hits:array<struct<first:int,last:int>>,items:array<string>,"
-    "spans:array<struct<start:int,end:int>>>"
-)
+RESULT = "struct<n_words:bigint,n_hit:bigint,items:array<string>,hits:array<struct<first:int,last:int>>,spans:array<struct<start:int,end:int>>>"
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode().translate(NORMAL).split()
 
 
+def windows(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> DataFrame:
+    """(window, items): every distinct window, its words joined by a space, and the ids of its items as strings."""
+    lower = F.translate(F.col(text_col), string.ascii_uppercase, string.ascii_lowercase)
+    words = F.filter(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    each = benchmark.select(F.col(item_col).cast("string").alias("item"), words.alias("w")).where("size(w) > 0")
+    k = F.least(F.lit(size), F.size("w"))
+    cut = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))
+    return each.select("item", F.explode(F.array_distinct(cut)).alias("window")).groupBy("window").agg(F.collect_set("item").alias("items"))
+
+
 class Windows:
     """Hash set of windows, with the ids of the items that they come from, and their words."""
 
-    def __init__(self, items: list[tuple[str | None, str | None]], size: int):
-        of = defaultdict(set)
-        for item, text in items:
-            words = words_of(text or "")
-            if words:
-                k = min(size, len(words))
-                for i in range(len(words) - k + 1):
-                    of[tuple(words[i : i + k])].add(item)
-        self.items = dict(of)
-        self.words = {w for window in of for w in window}
-        self.sizes = sorted({len(window) for window in of})
+    def __init__(self, rows: list[tuple[str, list[str]]]):
+        self.items = {w.encode(): items for w, items in rows}
+        self.words = {w for window in self.items for w in window.split(b" ")}
+        self.sizes = sorted({window.count(b" ") + 1 for window in self.items})
         self.runs = re.compile(b"\x01{%d,}" % self.sizes[0]) if self.sizes else None
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-        """Hit ranges of word positions (both inclusive, merged) and the items of the hit windows."""
+        """Hit ranges of word positions (both inclusive) and the items of the hit windows."""
         hits: list[tuple[int, int]] = []
         items: set = set()
         if self.runs is None or len(words) < self.sizes[0]:
@@ -59,18 +63,22 @@ class Windows:
         for run in self.runs.finditer(known):  # only where all words are words of the benchmark
             for k in self.sizes:
                 for i in range(run.start(), run.end() - k + 1):
-                    found = self.items.get(tuple(words[i : i + k]))
+                    found = self.items.get(b" ".join(words[i : i + k]))
                     if found is not None:
-                        items |= found
+                        items.update(found)
                         hits.append((i, i + k - 1))
-        hits.sort()
-        merged: list[tuple[int, int]] = []
-        for a, b in hits:
-            if merged and a <= merged[-1][1] + 1:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        return merged, items
+        return hits, items
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Inclusive ranges, sorted and joined where they overlap or adjoin."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _char_spans(text: str, hits: list[tuple[int, int]]) -> list[dict]:
@@ -79,68 +87,64 @@ def _char_spans(text: str, hits: list[tuple[int, int]]) -> list[dict]:
     return [{"start": spans[a][0], "end": spans[b][1]} for a, b in hits]
 
 
-def _scanner(shared, text: Column) -> Column:
-    @F.pandas_udf(RESULT)
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        windows = shared.value
-        for batch in batches:
-            rows = []
-            for t in batch:
-                words = words_of(t or "")
-                hits, items = windows.scan(words)
-                ids = sorted(i for i in items if i is not None)
-                rows.append((len(words), [{"first": a, "last": b} for a, b in hits], ids, _char_spans(t, hits) if hits else []))
-            yield pd.DataFrame(rows, columns=["n_words", "hits", "items", "spans"])
+def _scanner(shared, text: Column, before: Column | None) -> Column:
+    """The result for one block, together with the result ``before`` of other blocks."""
+
+    def judge(t: str | None, told: dict | None) -> tuple:
+        words = words_of(t or "")
+        hits, items = shared.value.scan(words)
+        if told is not None:
+            hits += [(h["first"], h["last"]) for h in told["hits"]]
+            items |= set(told["items"])
+        hits = merged(hits)
+        n = sum(b - a + 1 for a, b in hits)
+        return len(words), n, sorted(items), [{"first": a, "last": b} for a, b in hits], _char_spans(t, hits) if hits else []
+
+    names = ["n_words", "n_hit", "items", "hits", "spans"]
+    if before is None:
 
-    return scan(text)
+        @F.pandas_udf(RESULT)
+        def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame([judge(t, None) for t in batch], columns=names)
 
+        return scan(text)
+
+    @F.pandas_udf(RESULT)
+    def scan_on(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        for batch, told in batches:
+            yield pd.DataFrame([judge(t, x) for t, x in zip(batch, told.to_dict("records"), strict=True)], columns=names)
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, size: int, block_words: int) -> Iterator[Windows]:
-    """Windows of the benchmark, in blocks of about ``block_words`` words, one block at a time on the driver."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0  # a word and what parts it take two bytes at least
-    n = int(total // block_words) + 1
-    for k in range(n):
-        yield Windows([tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()], size)
+    return scan_on(text, before)
 
 
 def scan(
-    docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, size: int = 13, block_words: int = BLOCK_WORDS, out_col: str = "contamination"
+    docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, size: int = 13, block_windows: int = BLOCK_WINDOWS, out_col: str = "contamination"
 ) -> DataFrame:
-    """``docs`` with a struct column: n_words, n_hit, items (ids as sorted strings), spans (code points, end exclusive).
+    """``docs`` with a struct column: n_words, n_hit, items (ids as sorted strings), hits (word positions, inclusive) and
+    spans (code points, end exclusive), both merged.
 
     Null and empty texts have no words. Items without words have no windows; items with a null id are hit but not
-    listed. Repeated rows are judged alike. All other columns of ``docs`` pass through.
+    listed. Repeated rows are judged alike, and repeated items count once. An empty table, on either side, gives no hits.
+    A column of the name ``out_col`` is replaced; all other columns of ``docs`` pass through.
     """
     spark: SparkSession = docs.sparkSession
-    found = [
-        _scanner(spark.sparkContext.broadcast(block), F.col(text_col))
-        for block in blocks_of(benchmark, item_col, item_text_col, size, block_words)
-    ]
-    inner = [f"{out_col}__{i}" for i in range(len(found))]
-    scanned = docs.withColumns(dict(zip(inner, found, strict=True)))
-    if len(inner) == 1:
-        (c,) = inner
-        n_hit = F.aggregate(f"{c}.hits", F.lit(0).cast("long"), lambda a, h: a + h["last"] - h["first"] + 1)
-        items, spans = F.col(f"{c}.items"), F.col(f"{c}.spans")
-    else:  # a word may be hit from several blocks
-        ranges = F.concat(*[F.col(f"{c}.hits") for c in inner])
-        n_hit = F.size(F.array_distinct(F.flatten(F.transform(ranges, lambda h: F.sequence(h["first"], h["last"]))))).cast("long")
-        items = F.array_distinct(F.concat(*[F.col(f"{c}.items") for c in inner]))
-        spans = _merged(F.array_sort(F.concat(*[F.col(f"{c}.spans") for c in inner])))
-    result = F.struct(F.col(f"{inner[0]}.n_words").alias("n_words"), n_hit.alias("n_hit"), F.array_sort(items).alias("items"), spans.alias("spans"))
-    return scanned.withColumn(out_col, result).drop(*inner)
-
-
-def _merged(spans: Column) -> Column:
-    """Sorted spans, joined where they overlap."""
-
-    def add(done: Column, s: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when(F.coalesce(s["start"] <= last["end"], F.lit(False)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
-
-    return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), add)
+    found = materialize(windows(benchmark, item_col, item_text_col, size), "windows")
+    entries = found.agg(F.sum(F.size("items") + 1)).first()[0] or 0
+    blocks = int(entries // block_windows) + 1
+    rest, done = docs.drop(out_col), None
+    for k in range(blocks):
+        shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in found.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).collect()]))
+        scanned = rest.withColumn(out_col, _scanner(shared, F.col(text_col), F.col(out_col) if k else None))
+        if k == blocks - 1:
+            break
+        rest = materialize(scanned, "scanned")
+        shared.destroy()
+        if done is not None:
+            discard(done)
+        done = rest
+    discard(found)
+    return scanned
 
 
 def contaminated(result: Column, share: int = 20) -> Column:
@@ -149,15 +153,17 @@ def contaminated(result: Column, share: int = 20) -> Column:
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, size: int = 13) -> DataFrame:
-    """``docs`` without contaminated documents; columns as they were."""
-    judged = scan(docs, benchmark, text_col, item_col, item_text_col, size, out_col="_contamination")
-    return judged.where(~contaminated(F.col("_contamination"))).drop("_contamination")
+    """``docs`` without contaminated documents; columns as they were, whatever their names. Texts without words stay."""
+    name = f"_{uuid.uuid4().hex}"
+    judged = scan(docs, benchmark, text_col, item_col, item_text_col, size, out_col=name)
+    return judged.where(~contaminated(F.col(name))).drop(name)
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, size: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with the hit words cut out of the texts."""
-    judged = scan(docs, benchmark, text_col, item_col, item_text_col, size, block_words, out_col="_contamination")
-    spans = F.col("_contamination.spans")
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, size: int = 13, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """``docs`` with the hit words cut out of the texts; a null text stays null."""
+    name = f"_{uuid.uuid4().hex}"
+    judged = scan(docs, benchmark, text_col, item_col, item_text_col, size, block_windows, out_col=name)
+    spans = F.col(f"{name}.spans")
     text, n = F.col(text_col), F.size(spans)
     kept = F.transform(
         F.sequence(F.lit(0), n),
@@ -167,4 +173,4 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col:
             F.coalesce(F.try_element_at(spans, i + 1)["start"], F.length(text)) - F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(spans, F.greatest(i, F.lit(1)))["end"]),
         ),
     )
-    return judged.withColumn(text_col, F.when(n > 0, F.array_join(kept, "")).otherwise(text)).drop("_contamination")
+    return judged.withColumn(text_col, F.when(n > 0, F.array_join(kept, "")).otherwise(text)).drop(name)
