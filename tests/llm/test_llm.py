@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -120,6 +121,50 @@ def test_rules_are_mined_from_labels(spark):
     assert (index.best({"a", "b"}), index.best({"b"}), index.best({"a"}), index.best(set())) == (0.9, 0.5, 0, 0)
 
 
+def test_mined_rules_by_brute_force(spark):
+    rng = random.Random(12)
+    words = [f"w{chr(97 + i)}" for i in range(7)]
+    rows, labels = [], []
+    for i in range(400):
+        chosen = [w for w in words if rng.random() < 0.4]
+        block = int({"wa", "wb"} <= set(chosen) or "wc" in chosen and rng.random() < 0.85 or rng.random() < 0.05)
+        rows.append((i, f"http://x{i % 3}.net/{'/'.join(chosen)}/both/always?k={i}"))
+        labels.append((i, block))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    tokens = {r.page_id: set(r.t) for r in pages.select("page_id", urls.tokens(F.col("url")).alias("t")).collect()}
+    mined = urls.mine(pages, "page_id", "url", spark.createDataFrame(labels, "doc_id long, block int"), support=0.05)
+    of = dict(labels)
+    index: dict = defaultdict(set)
+    for i, ts in tokens.items():
+        for t in ts:
+            index[t].add(i)
+    # of tokens on the very same pages, the first stands for all
+    stand = {frozenset(v): min(k for k, x in index.items() if x == v) for v in index.values() if len(v) >= 20}
+    items = sorted(stand.values())
+    rules = []
+    for k in range(1, len(items) + 1):
+        for combination in itertools.combinations(items, k):
+            seen = set.intersection(*(index[t] for t in combination))
+            hits = sum(of[i] for i in seen)
+            if hits >= 20 and hits / len(seen) >= urls.MIN_CONFIDENCE:
+                rules.append((combination, hits / len(seen)))
+    want = []
+    for c, sure in rules:
+        if not any(set(k) <= set(c) and s >= sure for k, s in want):
+            want.append((c, sure))
+    assert sorted((c, round(s, 9)) for c, s in mined) == sorted((c, round(s, 9)) for c, s in want) and (("p:wa", "p:wb"), 1.0) in mined
+    judged = {r.page_id: (r.verdict, r.block_confidence) for r in urls.judge(pages.withColumn("host", F.lit(1)), "url", [], mined).collect()}
+    for i, ts in tokens.items():
+        best = max((s for c, s in want if set(c) <= ts), default=0.0)
+        assert judged[i] == ("block" if best else "allow", pytest.approx(best))
+
+
+def test_odd_pages(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (1, "http://a.org/x"), (None, None), (2, "http://" + "a" * 5000 + ".com/" + "b/" * 5000)], "page_id long, url string")
+    got = urls.judge(pages, "url", queries.URL_RULES, [(("h:a", "p:x"), 0.9)])
+    assert got.count() == 4 and {r.verdict for r in got.collect()} == {"allow"} and urls.judge(pages.limit(0), "url", [], []).count() == 0
+
+
 # 3 fingerprints
 
 
@@ -259,6 +304,62 @@ def test_pii_numbers_side_by_side_are_found(spark):
     assert asked.spans("BOB AT MAIL DOT COM") == [(0, 0, 19, False)]
 
 
+def planted(rng, i):
+    """A text with personal data in spellings that the exact rules miss: text and [(kind, start, end)]."""
+
+    def n(k):
+        return "".join(str(rng.randrange(10)) for _ in range(k))
+
+    def card():
+        body = "4" + n(14)
+        return next(body + c for c in "0123456789" if pii.luhn(body + c))
+
+    mail = rng.choice(["{u} [at] {d}", "{u}(at){d}", "{u} at {e}"]).format(u=f"bob{n(2)}.x", d=f"host{i % 7}.example.com", e=f"host{i % 7} dot example dot com")
+    ip = rng.choice(["[.]", "(.)", " dot "]).join(str(rng.randrange(1, 256)) for _ in range(4))
+    c = card()
+    cards = rng.choice([".", "/"]).join(c[k : k + 4] for k in range(0, 16, 4))
+    phone = rng.choice([f"({n(3)}) 555-{n(4)}", f"1 ({n(3)}) 555-{n(4)}"])
+    noise = [f"version {n(1)}.{n(2)}", f"on 20{rng.randrange(10, 30)}-0{rng.randrange(1, 10)}-1{n(1)}", f"no. {n(5)}", f"token {n(3)}ab{n(9)}cd"]
+    parts = [(0, mail), (1, ip), (2, cards), (3, phone), *((None, x) for x in noise)]
+    rng.shuffle(parts)
+    text, spans = "the", []
+    for kind, part in parts:
+        text += rng.choice([" und ", " so it is ", " with the ", ", then "])
+        if kind is not None:
+            spans.append((kind, len(text), len(text) + len(part)))
+        text += part
+    return text + " end.", spans
+
+
+def test_pii_of_held_out_spellings(spark):
+    """Learned from exactly spelt data only; measured on other documents with planted respellings."""
+    rows = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    model = pii.fit(docs(spark, rows), "text")
+    rng = random.Random(31)
+    hit, told, want = Counter(), Counter(), Counter()
+    for i in range(400):
+        text, spans = planted(rng, i)
+        base = {s[:3] for s in model.spans(text) if s[3]}
+        got = {s[:3] for s in model.spans(text) if not s[3]}
+        for kind in range(4):
+            own = {s for s in spans if s[0] == kind and s not in base}
+            mine = {s for s in got if s[0] == kind}
+            hit[kind] += len(own & mine)
+            told[kind] += len(mine)
+            want[kind] += len(own)
+    figures = {pii.KINDS[k]: (round(hit[k] / max(told[k], 1), 3), round(hit[k] / max(want[k], 1), 3)) for k in range(4)}
+    print("precision, recall:", figures)
+    assert all(p >= 0.9 and r >= 0.9 for p, r in figures.values()), figures
+
+
+def test_pii_of_odd_texts(spark):
+    texts = ["1.2.3." + "0" * 5000, "1.2.3." + "0" * 5000 + "7", None, "", "1 " * 50_000, "x 4155550100 " * 2]
+    model = pii.fit(docs(spark, texts * 30), "text")
+    got = pii.find(docs(spark, texts).withColumn("pii", F.lit(1)), "text", model).orderBy("doc_id").collect()
+    assert [len([s for s in r.pii if s.base]) for r in got] == [1, 1, 0, 0, 0, 0]
+    assert pii.find(docs(spark, []), "text", model).count() == 0
+
+
 # 5 token rollups
 
 
@@ -283,6 +384,45 @@ def test_rollup_batches_are_idempotent(spark, tmp_path):
     assert {(r.source, r.n_docs, r.n_tokens) for r in rollups.totals(spark, f"{tmp_path}/c").collect()} == got
 
 
+def test_rollup_retries(spark, tmp_path):
+    df = docs(spark, ["a b", "a b c", "x y z"])
+    ledger = rollups.counted(df, "doc_id", {"w": F.size(F.split("text", " "))})
+    folder, into = f"{tmp_path}/r", f"{tmp_path}/c"
+
+    def sums(at):
+        return {r.source: (r.n_docs, r.n_tokens) for r in rollups.totals(spark, at).collect()}
+
+    rollups.commit(rollups.inserts(ledger), folder, "b1")
+    rollups.commit(rollups.deletes(ledger.where("doc_id = 0")), folder, "b2")
+    assert sums(folder) == {"s0": (1, 3), "s1": (1, 3)}
+    rollups.commit(rollups.deletes(ledger.limit(0)), folder, "b2")  # the batch is now empty
+    assert sums(folder) == {"s0": (2, 5), "s1": (1, 3)}
+    rollups.commit(rollups.deletes(ledger.where("doc_id = 0")), folder, "b2")
+    rollups.compact(spark, folder, into, "all")
+    assert rollups.folded(spark, into) == ["b1", "b2"] and not rollups.commit(rollups.deletes(ledger.where("doc_id = 0")), into, "b2")
+    assert rollups.commit(rollups.inserts(ledger.where("doc_id = 1")), into, "b4") and sums(into) == {"s0": (1, 3), "s1": (2, 6)}
+    rollups.compact(spark, into, f"{tmp_path}/d", "more")
+    assert rollups.folded(spark, f"{tmp_path}/d") == ["all", "b1", "b2", "b4"] and sums(f"{tmp_path}/d") == sums(into)
+    with pytest.raises(ValueError, match="batch name"):
+        rollups.commit(rollups.inserts(ledger), folder, "../b")
+
+
+def test_rollup_of_null_and_repeated_ids(spark, tmp_path):
+    rows = [(1, "a@b c", "en", "s", 0), (1, "plain text", "en", "s", 0), (None, "x@y z", "en", "s", 0), (2, "plain text", "en", "s", 0), (3, "q@r", "en", "s", 0), (3, "q@r", "en", "s", 0)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.tokenizer: (r.n_docs, r.n_tokens) for r in queries.op5_token_rollup(spark, str(tmp_path)).collect()}
+    # the copy under id 2 goes; ids 1 and 3 (twice) lose an address each; the row without an id stays as it is
+    assert got["words_v1"] == (5, 1 + 2 + 2 + 0 + 0)
+
+
+def test_rollup_with_a_bpe_version(spark, tmp_path, reference):
+    texts = [t or "" for t in ODD]
+    ledger = rollups.counted(docs(spark, texts), "doc_id", {"byte_bpe_50k": F.size(bpe.encode(F.col("text"), RANKS, P.PATTERN))})
+    rollups.commit(rollups.inserts(ledger), f"{tmp_path}/r", "b1")
+    got = rollups.totals(spark, f"{tmp_path}/r").agg(F.sum("n_tokens"), F.sum("n_docs")).first()
+    assert tuple(got) == (sum(len(reference.encode_ordinary(t)) for t in texts), len(texts))
+
+
 # 6 SimHash
 
 
@@ -426,7 +566,7 @@ def test_license_notices(spark):
     got = licenses.scan(docs(spark, texts, True), "text").orderBy("doc_id").collect()
     names = [[x.license for x in r.licenses] for r in got]
     assert names[:7] == [["Apache-2.0"], ["MIT"], [], [], [], ["CC-BY-NC-4.0"], ["GPL-3.0", "GPL-3.0"]] and names[8] == ["CC-BY-4.0"]
-    assert all(x.missing for x in got[7].licenses)
+    assert [(x.license, x.missing) for x in got[7].licenses] == [("GPL-2.0", [])]
     one = got[0].licenses[0]
     assert texts[0][one.start : one.end] == "Licensed under the Apache License, Version 2.0" and not one.missing and not one.added
     assert licenses.scan(docs(spark, []), "text").count() == 0
@@ -446,6 +586,48 @@ def test_license_notices_beside_near_twins():
         assert names(text) == chosen
 
 
+def test_license_versions_must_be_exact():
+    def names(text):
+        return [x["license"] for x in licenses.scan_text(text)]
+
+    assert names("Licensed under the Apache License, Version 1.1") == names("Licensed under CC BY 3.0") == []
+    assert names("This work is licensed under the GNU General Public License, version 4") == []
+    assert names("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1") == []
+    assert names(licenses.TEMPLATES["GPL-3.0 header"].replace("version 3", "version 4")) == []
+    wrapped = "\n".join(f" * {x}" for x in textwrap.wrap(licenses.TEMPLATES["MIT licence"], 72))
+    assert names(f"/*\n{wrapped}.\n */\nint main() {{}}\n") == ["MIT licence"]
+
+
+def test_licenses_by_brute_force():
+    """Every template against every offset of the text, without cues, blocks or savings."""
+
+    def plain(words):
+        found = set()
+        for name, text in licenses.TEMPLATES.items():
+            wording = [w.lower() for w in re.findall(r"[^\W_]+(?:\.[0-9]+)*", text)]
+            for i in range(len(words)):
+                if words[i : i + len(wording)] == wording:
+                    found.add((i, len(wording), name))
+        # the longest of overlapping ones stands
+        out = []
+        for i, n, name in sorted(found, key=lambda x: (-x[1], x[0])):
+            if all(i + n <= j or j + m <= i for j, m, _ in out):
+                out.append((i, n, name))
+        return sorted((i, name) for i, _, name in out)
+
+    rng = random.Random(21)
+    filler = "the of and license software permission is under version copyright 2 3.0 redistribution lorem ipsum".split()
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            parts += rng.choices(filler, k=rng.randrange(25)) + ["qq"] + licenses.TEMPLATES[rng.choice(sorted(licenses.TEMPLATES))].split() + ["qq"]
+        words = [w.lower() for w in re.findall(r"[^\W_]+(?:\.[0-9]+)*", " ".join(parts))]
+        text = " ".join(words[i] + ("\n" if rng.random() < 0.1 else "") for i in range(len(words)))
+        starts = [m.start() for m in re.finditer(r"\S+", text)]
+        got = sorted((starts.index(x["start"]), x["license"]) for x in licenses.scan_text(text) if not x["missing"] and not x["added"])
+        assert got == plain(words)
+
+
 @pytest.mark.parametrize("name", [n for n, t in licenses.TEMPLATES.items() if len(t) > 60])
 @pytest.mark.parametrize(("mark", "width"), [("", 72), ("# ", 72), (" * ", 40)])
 def test_license_notices_over_lines(name, mark, width):

@@ -292,17 +292,21 @@ def decode(ids: Column, ranks_path: str, pattern: str) -> Column:
 
 
 def with_tokens(docs: DataFrame, text_col: str, ranks_path: str, pattern: str, ids_col: str = "token_ids") -> DataFrame:
-    """``docs`` and its ids; all its other columns pass through."""
+    """``docs`` and its ids; a column of the name ``ids_col`` is replaced, all others pass through."""
     return docs.withColumn(ids_col, encode(F.col(text_col), ranks_path, pattern))
 
 
 def with_decoded(docs: DataFrame, ids_col: str, ranks_path: str, pattern: str, out_col: str = "decoded") -> DataFrame:
-    """``docs`` and the bytes that its ids stand for."""
+    """``docs`` and the bytes that its ids stand for; a column of the name ``out_col`` is replaced."""
     return docs.withColumn(out_col, decode(F.col(ids_col), ranks_path, pattern))
 
 
 def digests(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern: str) -> DataFrame:
-    """Per document: number of ids, and SHA-256 of the ids' decimal text and of the decoded bytes."""
+    """Per row: number of ids, and SHA-256 of the ids' decimal text and of the decoded bytes.
+
+    A null or empty text has no ids and decodes to nothing. Repeated rows give repeated results; a null id stays null; an
+    empty table gives no rows. Of pairs of equal rank in a piece, the leftmost merges first.
+    """
     both = with_decoded(with_tokens(docs, text_col, ranks_path, pattern, "_ids"), "_ids", ranks_path, pattern, "_bytes")
     ids = F.col("_ids")
     return both.select(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackstream.llm import bpe, decontam, fingerprints, katz, licenses, pii, rollups, simhash, toxicity, urls
-from trackstream.llm.common import fold, materialize, shared_dir, table
+from trackstream.llm.common import discard, fold, join_values, materialize, new_path, table
 
 
 # The host-and-path rules that the URL query is defined with.
@@ -58,24 +57,27 @@ def _letter_count(text: Column) -> Column:
 
 def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches: all documents come; exact copies but the first go; documents with an ``@`` are recounted without
-    their address-like words. The second batch is committed twice, as after a lost driver."""
+    their address-like words. The second batch is committed twice, as after a lost driver. Documents without an id cannot
+    be told apart later: they come and stay as they are. Documents are told by id and text, so a repeated id is no harm."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/tables/rollup-{uuid.uuid4().hex}"
+    folder = new_path(spark, "rollup")
     text = F.coalesce("text", F.lit(""))
+    digest = F.sha2(text, 256)
     versions = {"words_v1": _word_count(text), "pieces_v1": _letter_count(text)}
-    ledger = materialize(rollups.counted(docs, "doc_id", versions), "ledger")
+    ledger = materialize(rollups.counted(docs, "doc_id", versions, {"digest": digest}), "ledger")
     rollups.commit(rollups.inserts(ledger), folder, "b1")
-    digests = materialize(docs.select("doc_id", F.sha2(text, 256).alias("digest")), "digests")
-    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = materialize(digests.join(firsts, "digest").where("doc_id > first").select("doc_id"), "copies")
-    gone = ledger.join(copies, "doc_id", "left_semi")
+    digests = ledger.where("tokenizer = 'words_v1'").select("doc_id", "digest")
+    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = materialize(join_values(digests, firsts, "digest", "n").where("doc_id > first").select("doc_id", "digest").distinct(), "copies")
+    gone = ledger.join(copies, ["doc_id", "digest"], "left_semi")
     rollups.commit(rollups.deletes(gone), folder, "b2")
     rollups.commit(rollups.deletes(gone), folder, "b2")
-    changed = docs.where(F.contains(text, F.lit("@"))).join(copies, "doc_id", "left_anti")
-    changed = changed.withColumn("text", F.regexp_replace("text", r"[^\x20\x09-\x0D]*@[^\x20\x09-\x0D]*", ""))
-    after = materialize(rollups.counted(changed, "doc_id", {"words_v1": _word_count(F.col("text")), "pieces_v1": _letter_count(F.col("text"))}), "recounted")
-    before = ledger.join(after.select("doc_id").distinct(), "doc_id", "left_semi")
+    changed = docs.where(F.col("doc_id").isNotNull() & F.contains(text, F.lit("@"))).withColumn("digest", digest)
+    changed = changed.join(copies, ["doc_id", "digest"], "left_anti").withColumn("text", F.regexp_replace("text", r"[^\x20\x09-\x0D]*@[^\x20\x09-\x0D]*", ""))
+    after = materialize(rollups.counted(changed, "doc_id", versions, {"digest": F.col("digest")}), "recounted")
+    before = ledger.join(after.select("doc_id", "digest").distinct(), ["doc_id", "digest"], "left_semi")
     rollups.commit(rollups.revisions(before, after), folder, "b3")
+    discard(ledger, copies, after)
     return rollups.totals(spark, folder)
 
 

@@ -241,7 +241,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, fit_doc
 def judge(docs: DataFrame, model: Model, text_col: str, out_col: str = "toxicity") -> DataFrame:
     """``docs`` with a struct column: score (0 to 1) and segments, the significant passages in code points.
 
-    Null and empty texts have no passages and the score of a text without evidence. All other columns pass through.
+    Null and empty texts have no passages and the score of a text without evidence. Repeated rows are judged alike, and of
+    passages with equal scores each is told. An empty table stays empty. A column of the name ``out_col`` is replaced; all
+    others pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fitting sample
 

@@ -1,7 +1,8 @@
 """URL filters: explicit host-and-path rules first, association rules for the rest.
 
-FP-growth mines URL token combinations that go with labels, on a bounded sample of labelled pages (``FIT_PAGES``). Rules
-that conclude a label are pruned by support, confidence and by any simpler rule that is at least as sure. A URL's tokens
+FP-growth mines URL token combinations that go with labels, on a bounded sample of labelled pages (``FIT_PAGES``). Tokens
+below the support are left out first, as no rule can have them, and of tokens that the same pages have one stands for
+all. Rules that conclude a label are pruned by support, confidence and by any simpler rule that is at least as sure. A URL's tokens
 find the rules that they satisfy by an inverted index on each rule's rarest token. Every URL is judged.
 """
 
@@ -23,8 +24,6 @@ MIN_SUPPORT = 0.001
 MIN_CONFIDENCE = 0.7
 #: Labelled pages that a combination is seen in, at least, however few there are.
 MIN_PAGES = 10
-#: Tokens of a URL that take part in mining; with the support this bounds the number of rules: 2 ** 10 / MIN_SUPPORT.
-MINED_TOKENS = 10
 BLOCK, ALLOW = "label:block", "label:allow"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -78,26 +77,40 @@ def explicit(url_host: Column, url_path: Column, rules: list[Rule]) -> tuple[Col
 def mine(pages: DataFrame, id_col: str, url_col: str, labels: DataFrame, fit_pages: int = FIT_PAGES, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> list[tuple[tuple[str, ...], float]]:
     """Pruned rules (tokens, confidence) that conclude a block. ``labels``: (doc_id, block 0/1).
 
-    Rows with a null id, url or label teach nothing; no labelled page at all gives no rules.
+    Rows with a null id, url or label teach nothing, and repeated rows teach once. A page with both labels counts under
+    each. No labelled page at all gives no rules.
     """
     rows = labels.select("doc_id", "block").where("doc_id is not null and block in (0, 1)").distinct()
     available = rows.count()
     rows = rows.where(sampled(F.col("doc_id"), fit_pages / available)) if available > fit_pages else rows
     known = pages.select(F.col(id_col).alias("doc_id"), F.col(url_col).alias("url")).where("url is not null").join(F.broadcast(rows), "doc_id")
     label = F.when(F.col("block") == 1, F.lit(BLOCK)).otherwise(F.lit(ALLOW))
-    baskets = known.select(F.concat(F.slice(tokens(F.col("url")), 1, MINED_TOKENS), F.array(label)).alias("items")).cache()
-    n = baskets.count()
+    pages_of = known.select(F.col("doc_id"), F.explode(tokens(F.col("url"))).alias("token"), label.alias("label")).distinct()
+    n = known.select("doc_id").distinct().count()
     if n < MIN_PAGES:
         return []
     support = max(support, MIN_PAGES / n)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=8).fit(baskets)
-    found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK)).where(~F.array_contains("antecedent", ALLOW))
-    rules = sorted(((tuple(sorted(r.antecedent)), r.confidence) for r in found.select("antecedent", "confidence").collect()), key=lambda r: (len(r[0]), r[0]))
-    baskets.unpersist()
-    kept: list[tuple[tuple[str, ...], float]] = []
-    for items, sure in rules:
-        if not any(set(k) <= set(items) and s >= sure for k, s in kept):
+    uses = pages_of.groupBy("token").agg(F.count_distinct("doc_id").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
+    kept = uses.where(F.col("n") >= support * n).groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token")  # at most a page's tokens / support
+    baskets = pages_of.join(kept, "token").groupBy("doc_id").agg(F.array_union(F.collect_set("token"), F.collect_set("label")).alias("items"))
+    bare = known.select("doc_id", label.alias("label")).join(baskets, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("label").alias("items"))
+    baskets = baskets.unionByName(bare).select("items").cache()
+    try:
+        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+        found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK)).where(~F.array_contains("antecedent", ALLOW))
+        rules = [(tuple(sorted(r.antecedent)), r.confidence) for r in found.select("antecedent", "confidence").collect()]
+    finally:
+        baskets.unpersist()
+    return pruned(rules)
+
+
+def pruned(rules: list[tuple[tuple[str, ...], float]]) -> list[tuple[tuple[str, ...], float]]:
+    """Rules of which no simpler one is at least as sure."""
+    index, kept = Index([]), []
+    for items, sure in sorted(rules, key=lambda r: (len(r[0]), r[0])):
+        if index.best(set(items)) < sure:
             kept.append((items, sure))
+            index.by_token.setdefault(items[0], []).append((frozenset(items), sure))
     return kept
 
 
@@ -119,9 +132,11 @@ class Index:
 
 
 def judge(pages: DataFrame, url_col: str, rules: list[Rule], mined: list[tuple[tuple[str, ...], float]]) -> DataFrame:
-    """``pages`` with host, path, rule, verdict and block_confidence; other columns pass through.
+    """``pages`` with host, path, rule, verdict and block_confidence, which replace columns of these names; others pass through.
 
-    A null url, or one without ``://``, has an empty host and path and is judged by the mined rules alone: allowed.
+    A null url, or one without ``://``, has an empty host and path and is judged by the mined rules alone: allowed. Of
+    explicit rules of equal length that fit, the one given last counts. Repeated rows are judged alike; an empty table
+    stays empty.
     """
     shared = pages.sparkSession.sparkContext.broadcast(Index(mined))  # bounded by the support
 
