@@ -1,6 +1,10 @@
 """From raw documents to token ids in five stages, each one of the training-data operators.
 
 Every stage takes all rows that its predecessor kept and is written as Parquet before the next one reads it.
+
+In every stage a null text counts as empty, a null id is no reason to go, repeated rows are judged alike (the
+near-duplicate stage keeps one of them), an empty table stays empty, and the columns of ``documents`` are returned by all
+but the last stage.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackstream.llm import bpe, decontam, pii, simhash, toxicity
-from trackstream.llm.common import bounded_batches, materialize, table
+from trackstream.llm.common import bounded_batches, discard, materialize, table
 
 #: Documents with at least this probability of being toxic are rejected.
 TOXIC = 0.5
@@ -21,7 +25,7 @@ TOXIC = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the toxicity model, learned from training labels, calls toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.in_training())
-    return toxicity.judge(docs, model, "text", "_toxicity").where(F.col("_toxicity.score") < TOXIC).drop("_toxicity")
+    return toxicity.judge(docs, model, "text", "_toxicity").where(F.col("_toxicity.score") < TOXIC).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +76,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
