@@ -1,6 +1,7 @@
 """Training-data operators against brute force, on small tables with nulls, ties, repeats and clashing columns."""
 
 import base64
+import functools
 import hashlib
 import itertools
 import math
@@ -640,62 +641,116 @@ def test_license_notices_over_lines(name, mark, width):
 # 8 Katz
 
 
-def plain_katz(texts, train):
+def plain_katz(texts, train, order=2):
     tokens = {i: [*(t or "").encode().lower().split(), "END"] for i, t in texts.items()}
-    uni, bi = Counter(), Counter()
-    for i, ws in tokens.items():
+    grams = {n: Counter() for n in range(1, order + 1)}
+    padded = {i: ["END"] * (order - 1) + ws for i, ws in tokens.items()}
+    for i, ws in padded.items():
         if train(i):
-            uni.update(ws)
-            bi.update(zip(["END", *ws], ws, strict=False))
+            for n in grams:
+                grams[n].update(tuple(ws[k - n + 1 : k + 1]) for k in range(order - 1, len(ws)))
+    uni = Counter({g[0]: c for g, c in grams[1].items()})
     n, v = sum(uni.values()), len(uni)
+    d = {m: katz.discounts([0] + [sum(c == r for c in grams[m].values()) for r in range(1, 7)]) for m in grams}
 
-    def cut(counts):
-        return katz.discounts([0] + [sum(c == r for c in counts.values()) for r in range(1, 7)])
-
-    du, db = cut(uni), cut(bi)
-
-    def less(c, d):
-        return c * d[c] if c <= 5 else c
+    def less(c, m):
+        return c * d[m][c] if c <= 5 else c
 
-    kept = sum(less(c, du) for c in uni.values())
+    kept = sum(less(c, 1) for c in uni.values())
     scale = 1.0 if kept < n - 1e-9 else n / (n + 1)
-    pu = {w: scale * less(c, du) / n for w, c in uni.items()}
+    pu = {w: scale * less(c, 1) / n for w, c in uni.items()}
     unk = 1 - sum(pu.values())
-    after = defaultdict(list)
-    for (h, w), c in bi.items():
-        after[h].append((w, c))
+    after = {m: defaultdict(list) for m in grams}
+    for m in grams:
+        for g, c in grams[m].items():
+            after[m][g[:-1]].append((g[-1], c))
+
+    @functools.cache
+    def context(h):
+        seen, m = after[len(h) + 1][h], len(h) + 1
+        total = sum(c for _, c in seen)
+        s = 1.0 if any(x <= 5 for _, x in seen) else total / (total + 1)
+        alpha = (1 - s * sum(less(x, m) for _, x in seen) / total) / (1 - sum(p(h[1:], x) for x, _ in seen))
+        return total, s, alpha
 
     def p(h, w):
-        c = bi.get((h, w), 0)
-        if h not in after:
+        if not h:
             return pu.get(w, unk)
-        s = 1.0 if any(x <= 5 for _, x in after[h]) else uni[h] / (uni[h] + 1)
-        if c:
-            return s * less(c, db) / uni[h]
-        alpha = (1 - s * sum(less(x, db) for _, x in after[h]) / uni[h]) / (1 - sum(pu[x] for x, _ in after[h]))
-        return alpha * pu.get(w, unk)
+        if h not in after[len(h) + 1]:
+            return p(h[1:], w)
+        total, s, alpha = context(h)
+        c = grams[len(h) + 1].get((*h, w), 0)
+        return s * less(c, len(h) + 1) / total if c else alpha * p(h[1:], w)
 
     out = {}
     for i, ws in tokens.items():
-        pairs = list(zip(["END", *ws], ws, strict=False))
-        out[i] = (len(ws), sum(w in uni for w in ws), n, sum(math.log10((uni.get(w, 0) + 1) / (n + v + 1)) for w in ws), sum(math.log10(p(*x)) for x in pairs))
-    return out, p, uni, after, unk
+        base = sum(math.log10((uni.get(w, 0) + 1) / (n + v + 1)) for w in ws)
+        out[i] = (len(ws), sum(w in uni for w in ws), n, base, sum(math.log10(p(tuple(padded[i][k : k + order - 1]), w)) for k, w in enumerate(ws)))
+    return out, p, uni, after[order]
+
+
+def in_train():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
 
 
-@pytest.mark.parametrize("size", [(1_500_000, 500_000), (700, 500)])
-def test_katz_by_brute_force(spark, monkeypatch, size):
+@pytest.fixture
+def katz_texts(spark):
+    return dict(enumerate(ODD + ["the cat sat on the mat " * 9, "the dog sat", "\x00 end END"] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]))
+
+
+@pytest.mark.parametrize(("order", "size"), [(2, (2_000_000, 1_000_000)), (2, (700, 500)), (3, (2_000_000, 1_000_000)), (3, (900, 400)), (1, (900, 400))])
+def test_katz_by_brute_force(spark, monkeypatch, katz_texts, order, size):
     monkeypatch.setattr(katz, "CHUNK_TOKENS", size[0])
     monkeypatch.setattr(katz, "PART_TOKENS", size[1])
-    texts = dict(enumerate(ODD + ["the cat sat on the mat " * 9, "the dog sat", "\x00 end END"] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]))
-    train = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
-    want, p, uni, after, unk = plain_katz(texts, train)
-    got = katz.score(docs(spark, list(texts.values()), True), "doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).collect()
-    assert len(got) == len(texts)
+    monkeypatch.setattr(katz, "MESSAGE", 1)
+    want, p, uni, after = plain_katz(katz_texts, lambda i: zlib.crc32(str(i).encode()) % 7 != 2, order)
+    got = katz.score(docs(spark, list(katz_texts.values()), True), "doc_id", "text", in_train(), order).collect()
+    assert len(got) == len(katz_texts)
     for r in got:
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3]
         assert r.base_score == pytest.approx(want[r.doc_id][3], rel=1e-9) and r.score == pytest.approx(want[r.doc_id][4], rel=1e-9, abs=1e-9)
     for h in list(after)[:20]:  # each context's probabilities sum to one
         assert sum(p(h, w) for w in uni) + p(h, "never seen") == pytest.approx(1, abs=1e-9)
+    assert not [t.name for t in spark.catalog.listTables() if "katz" in t.name]
+
+
+@pytest.mark.parametrize(("order", "part"), [(2, 1_000_000), (3, 400)])
+def test_katz_tables_score_other_texts(spark, monkeypatch, katz_texts, order, part):
+    monkeypatch.setattr(katz, "PART_TOKENS", part)
+    monkeypatch.setattr(katz, "MESSAGE", 1)
+    own = {i: t for i, t in katz_texts.items() if i % 3}
+    model = katz.fit(docs(spark, list(katz_texts.values())).where("doc_id % 3 <> 0"), "doc_id", "text", F.lit(True), order)
+    want, p, uni, after = plain_katz(katz_texts, lambda i: i in own, order)
+    got = katz.score_texts(model, docs(spark, list(katz_texts.values()), True), "doc_id", "text").collect()
+    assert len(got) == len(katz_texts)
+    for r in got:
+        assert (r.n_tokens, r.n_known) == want[r.doc_id][:2] and r.score == pytest.approx(want[r.doc_id][4], rel=1e-9, abs=1e-9)
+    # the stored tables: n-grams with their counts, and every context's probabilities sum to one
+    hashes = {xxhash.xxh64_intdigest(" " if w == "END" else w, 42): w for w in uni}
+    word = {r.id: hashes[r.hash % 2**64] for r in model.words().where("count > 0").collect()}
+    assert {w: r for w, r in uni.items()} == {word[r.id]: r["count"] for r in model.words().where("count > 0").collect()}
+    grams = {tuple(word[r[k]] for k in range(order)): r["count"] for r in model.grams(order).collect()}
+    assert grams == {(*h, w): c for h, seen in after.items() for w, c in seen}
+    for r in model.contexts(order).limit(30).collect():
+        h = tuple(word[r[k]] for k in range(order - 1))
+        below = {w: p(h[1:], w) for w in [*uni, "never seen"]}
+        d = model.d[order]
+        seen = {w: r.scale * c * (d[c] if c <= 5 else 1) / r.total for w, c in after[h]}
+        assert sum(seen.get(w, r.backoff * q) for w, q in below.items()) == pytest.approx(1, abs=1e-9)
+
+
+def test_katz_messages_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(katz, "CHUNK_TOKENS", 50)
+    monkeypatch.setattr(katz, "PART_TOKENS", 50)
+    monkeypatch.setattr(katz, "MESSAGE", 10)
+    rng = random.Random(5)
+    told = {}
+    for n in (200, 800):
+        given = docs(spark, [" ".join(f"w{rng.randrange(500)}" for _ in range(24)) for _ in range(n)]).coalesce(1)
+        _, table, answers, plan = katz._fit(given, "doc_id", "text", F.lit(True), 2)
+        told[n] = answers.where("chunk != '' and n = 2").count()
+        assert told[n] <= 25 * n / 10 * 1.5 + table.count() + plan.parts[2] and plan.parts[2] > 3
+    assert told[800] <= 5 * told[200]  # four times the corpus; chunks times partitions of a fixed size were sixteen times
 
 
 def test_katz_without_training_or_rows(spark):

@@ -1,86 +1,64 @@
-"""Katz backoff scoring: bigrams back off to unigrams, and unigrams to the one unknown word.
-
-Counts are discounted by Good-Turing (Katz's form, counts above ``GT_K`` stay whole) and backoff weights normalise each
-context exactly. Scoring needs every document's bigrams beside the corpus counts, so what moves is kept small:
-
-1. Documents become chunks of about ``CHUNK_TOKENS`` tokens, each with its own word list, in a table bucketed by chunk.
-2. Each chunk sends its distinct words, then its distinct bigrams, as packed arrays to the partition of their key; there
-   counts are summed over all chunks and answered to each chunk in the order in which it asked.
-3. Per context, answers carry what its backoff weight needs (how many successors were seen once, twice, ..., and with
-   what words). So a chunk scores its tokens locally once the corpus-wide counts of counts are known.
-
-A bigram is sent once a chunk however often it occurs. Contexts with a large share of all tokens are dealt over several
-partitions by successor. Words are told apart by 64-bit hashes (56 bits within
-a partition of bigrams). Only sums of counts reach the driver.
+"""Katz backoff over stored n-gram tables: order ``n`` backs off to ``n - 1``, down to words and the one unknown word.
+
+Counts are discounted by Good-Turing (Katz's form; counts above ``GT_K`` stay whole) and backoff weights normalise each
+context exactly. A ``Model`` is a set of Parquet tables partitioned by hash: words (hash, id, count), and for every order
+the n-grams with their counts and the contexts with what their backoff weights need. ``score_texts`` scores any texts from
+these tables with Spark joins, one order after the other.
+
+Scoring the corpus itself needs each document's n-grams beside the corpus counts. Joining a row for every token would move
+several times the input (README), so documents travel as chunks:
+
+1. Documents become chunks, each with its own word list.
+2. Order by order, each chunk sends its distinct n-grams, with its counts of them, to the partition of their context; there
+   counts are summed over all chunks, written to the model's table, and answered to each chunk in the order it asked.
+3. Per context, answers carry how its successors' counts are made up and the mass that the lower order gives them. So a
+   chunk can score its tokens once the corpus-wide counts of counts are known.
+
+A chunk sends an n-gram once however often it occurs. Contexts with a large share of all tokens are dealt over several
+partitions by successor. Chunks and partitions grow with the root of the corpus once their message would hold fewer than
+``MESSAGE`` tokens, so that the number of messages stays in proportion to the corpus. Words are told apart by 64-bit
+hashes, n-grams by exact ids of their words. Only sums of counts reach the driver.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from trackstream.llm.common import materialize, shared_dir
+from trackstream.llm.common import discard, materialize
 
-CHUNK_TOKENS = 1_500_000
-#: Tokens of the corpus for each partition of bigram counts.
-PART_TOKENS = 500_000
+#: Tokens of a chunk, and of the corpus for each partition of counts, at least.
+CHUNK_TOKENS = 2_000_000
+PART_TOKENS = 1_000_000
+#: Tokens for each message from a chunk to a partition, at least, on average.
+MESSAGE = 64
 #: Counts up to this one are discounted.
 GT_K = 5
-#: Bits left out of word hashes within a context's partition: 56 tell its words apart, and a byte a bigram is saved.
-SHORT = np.uint64(8)
-#: Buckets of the chunk table.
-TABLE_BUCKETS = 64
 
 END = b" "  # stands for the end of a text; no word has white space
-ASKED = "chunk string, bucket int, data binary"
-ANSWERED = "chunk string, kind int, bucket int, data binary, stats array<bigint>"
+SEED = 42  # Spark's xxhash64
+WIDE = np.int64(1 << 32)  # ids are below 2 ** 31
+UNKNOWN = -1
+
+CHUNK = "chunk string, docs array<{id}>, n bigint, words array<bigint>, seen array<int>, codes array<int>, sizes array<int>, learn array<boolean>"
+ASKED = "chunk string, bucket int, hashes array<bigint>, contexts array<array<int>>, runs array<int>, words array<int>, seen array<int>, lower array<int>, values array<double>"
+ANSWERED = (
+    "chunk string, bucket int, counts array<int>, ids array<int>, made array<array<int>>, mass array<double>, stats array<bigint>, "
+    "hashes array<bigint>, grams array<array<int>>, contexts array<array<int>>"
+)
 SCORED = "doc_id {id}, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of integers, none negative, as one compressed blob: least width, and like bytes side by side."""
-    head, parts = [len(arrays)], []
-    for a in arrays:
-        kind = np.min_scalar_type(int(a.max()) if len(a) else 0)
-        head += [ord(kind.char), len(a)]
-        parts.append(np.ascontiguousarray(a.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T).tobytes())
-    return zstandard.compress(b"".join([np.array(head, np.int64).tobytes(), *parts]), 3)
-
-
-def unpack(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.decompress(blob)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    at, out = 8 + 16 * n, []
-    for char, size in np.frombuffer(raw, np.int64, 2 * n, 8).reshape(-1, 2):
-        kind = np.dtype(chr(char))
-        planes = np.frombuffer(raw, np.uint8, int(size) * kind.itemsize, at).reshape(kind.itemsize, -1)
-        array = np.ascontiguousarray(planes.T).view(kind).ravel()
-        out.append(array.astype(np.int64) if kind.itemsize < 8 else array)
-        at += planes.nbytes
-    return out
-
-
-def unpack_hashed(blob: bytes, *places: int) -> list[np.ndarray]:
-    """As unpack(), the arrays at ``places`` (the first, if none is given) being hashes."""
-    return [a.astype(np.uint64) if i in (places or (0,)) else a.astype(np.int64) for i, a in enumerate(unpack(blob))]
-
-
-def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One 64-bit key of two hashes, in order."""
-    x = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + b
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(29))
-
-
 def discounts(n: list[int], k: int = GT_K) -> np.ndarray:
     """d[r] for r = 0..k (d[0] unused) from counts of counts n[1..k + 1].
 
@@ -115,28 +93,53 @@ class Unigrams:
         return np.where(counts > 0, self.scale * discounted(counts, self.d) / self.total, self.unknown)
 
 
-def chunks(docs: DataFrame, train: Column) -> DataFrame:
-    """Rows of about ``CHUNK_TOKENS`` tokens: word hashes, training counts and token codes of a run of documents."""
+@dataclass
+class Plan:
+    """What tasks need to know: partitions by order, and the words' and higher orders' discounts found so far."""
+
+    parts: dict[int, int]
+    unigrams: Unigrams | None = None
+    d: dict[int, np.ndarray] = field(default_factory=dict)
+
+
+def sizes(tokens: int) -> tuple[int, int]:
+    """Tokens of a chunk and of a partition: the constants, or more where messages would get too small."""
+    least = math.isqrt(MESSAGE * tokens)
+    return max(CHUNK_TOKENS, least), max(PART_TOKENS, least)
+
+
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One 64-bit key of two, in order."""
+    x = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + b
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+def chunks(docs: DataFrame, train: Column, size: int) -> DataFrame:
+    """Rows of about ``size`` tokens: word hashes, training counts and token codes of a run of documents."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = CHUNK.format(id=kind)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         ids: list = []
         learn: list[bool] = []
-        sizes: list[int] = []
+        lengths: list[int] = []
         codes: list[np.ndarray] = []
         index: dict[bytes, int] = {}
 
-        def flush() -> pd.DataFrame:
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in index), np.uint64, len(index))
+        def flush() -> list[pa.RecordBatch]:
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in index), np.uint64, len(index)).view(np.int64)
             flat = np.concatenate(codes)
-            weight = np.repeat(np.array(learn, bool), sizes)
+            weight = np.repeat(np.array(learn, bool), lengths)
             seen = np.bincount(flat[weight], minlength=len(index)).astype(np.int32)
-            row = (f"{part}-{number}", list(ids), len(flat), pack(hashes, seen), pack(flat, np.array(sizes, np.int32), np.array(learn, np.uint8)))
-            return pd.DataFrame([row], columns=["chunk", "ids", "n", "words", "codes"])
+            row = {"chunk": f"{part}-{number}", "docs": ids, "n": len(flat), "words": hashes, "seen": seen, "codes": flat}
+            return _written([row | {"sizes": np.array(lengths), "learn": np.array(learn, bool)}], schema).to_batches()
 
         pending = 0
         for batch in batches:
-            for doc_id, text, used in zip(batch["doc_id"], batch["text"], batch["train"], strict=True):
+            for doc_id, text, used in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "train")), strict=True):
                 if not ids:
                     index = {END: 0}
                 words = text.encode().lower().split()
@@ -145,197 +148,354 @@ def chunks(docs: DataFrame, train: Column) -> DataFrame:
                 code = np.empty(len(words) + 1, np.int32)
                 code[:-1] = np.fromiter(map(index.__getitem__, words), np.int32, len(words))
                 code[-1] = 0
-                ids.append(None if pd.isna(doc_id) else doc_id)
-                learn.append(bool(used))
-                sizes.append(len(code))
+                ids.append(doc_id)
+                learn.append(used)
+                lengths.append(len(code))
                 codes.append(code)
                 pending += len(code)
-                if pending >= CHUNK_TOKENS:
-                    yield flush()
+                if pending >= size:
+                    yield from flush()
                     number, pending = number + 1, 0
-                    ids, learn, sizes, codes = [], [], [], []
+                    ids, learn, lengths, codes = [], [], [], []
         if ids:
-            yield flush()
+            yield from flush()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
-    return rows.mapInPandas(encode, f"chunk string, ids array<{kind}>, n bigint, words binary, codes binary")
-
-
-def ask_words(table: DataFrame, parts: int) -> DataFrame:
-    """Each chunk's distinct words and training counts, by partition of the word."""
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for chunk, words in zip(batch["chunk"], batch["words"], strict=True):
-                hashes, seen = unpack_hashed(words)
-                of = (hashes % np.uint64(parts)).astype(np.int32)
-                order = np.argsort(of, kind="stable")
-                ends = np.searchsorted(of[order], np.arange(parts + 1))
-                rows = [(chunk, b, pack(hashes[o], seen[o])) for b in range(parts) if len(o := order[ends[b] : ends[b + 1]])]
-                yield pd.DataFrame(rows, columns=["chunk", "bucket", "data"])
-
-    return table.select("chunk", "words").mapInPandas(ask, ASKED)
-
-
-def _histogram(counts: np.ndarray) -> list[int]:
-    """Sum, number, and counts of counts 1 to GT_K + 1."""
-    seen = counts[counts > 0]
-    return [int(seen.sum()), len(seen), *(int((seen == r).sum()) for r in range(1, GT_K + 2))]
-
-
-def _told(rows: list[tuple], bucket: int, kind: int, stats: list[int]) -> pd.DataFrame:
-    rows.append(("", kind, bucket, b"", stats))
-    return pd.DataFrame(rows, columns=["chunk", "kind", "bucket", "data", "stats"])
-
-
-def answer_words(asked: DataFrame) -> DataFrame:
-    """Corpus counts of each word asked for, and one row of sums a partition."""
-
-    def answer(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk")
-        parts = [unpack_hashed(x) for x in group["data"]]
-        keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        total = np.bincount(place, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
-        bucket, rows, at = int(group["bucket"].iloc[0]), [], 0
-        for chunk, (k, _) in zip(group["chunk"], parts, strict=True):
-            rows.append((chunk, 0, bucket, pack(total[place[at : at + len(k)]]), None))
-            at += len(k)
-        return _told(rows, bucket, 0, _histogram(total))
-
-    return asked.groupBy("bucket").applyInPandas(answer, ANSWERED)
-
-
-class Bigrams:
-    """A chunk's distinct bigrams and the partitions that count them. Built alike when asking and when scoring."""
-
-    def __init__(self, row: pd.Series, answers: pd.DataFrame, word_parts: int, parts: int, total: int):
-        self.hashes, _ = unpack_hashed(row["words"])
-        self.codes, self.sizes, learn = unpack(row["codes"])
-        self.learn = np.repeat(learn.astype(bool), self.sizes)
-        of = (self.hashes % np.uint64(word_parts)).astype(np.int32)
-        self.counts = np.empty(len(of), np.int64)  # corpus count of each word of the chunk
-        for bucket, data in zip(answers["bucket"], answers["data"], strict=True):
-            self.counts[of == bucket] = unpack(data)[0]
-        before = np.concatenate([[0], self.codes[:-1]])  # a text starts after an end
-        width = len(self.hashes)
-        pairs, self.place = np.unique(before.astype(np.int64) * width + self.codes, return_inverse=True)
-        self.left, self.right = pairs // width, pairs % width
-        self.seen = np.bincount(self.place, self.learn, len(pairs)).astype(np.int32)
+    return rows.mapInArrow(encode, schema)
+
+
+class Order:
+    """A chunk's distinct n-grams of one order and the partitions that count them. Built alike whenever it is needed."""
+
+    def __init__(self, n: int, context: np.ndarray, members: np.ndarray, chunk: Chunk, held: np.ndarray, parts: int):
+        self.n, self.context, self.members = n, context, members
+        width = len(chunk.hashes)
+        grams, self.place = np.unique(context.astype(np.int64) * width + chunk.codes, return_inverse=True)
+        self.left, self.right = grams // width, grams % width
+        self.seen = np.bincount(self.place, chunk.learn, len(grams)).astype(np.int32)
+        self.low = np.empty(len(grams), np.int64)  # each n-gram without its first word, among those of the order below
+        self.low[self.place] = chunk.orders[-1].place if chunk.orders else chunk.codes
+        self.keys = chunk.ids[members].astype(np.int32)
+        key = np.zeros(len(members), np.uint64)
+        for column in self.keys.T:
+            key = mix(key, column.astype(np.uint64))
         # a context with a large share of the tokens is dealt over several partitions
-        self.spread = np.minimum(parts, 1 + self.counts * 4 * parts // max(total, 1))
-        first = (self.hashes % np.uint64(parts)).astype(np.int64)
-        salt = mix(self.hashes[self.right], self.hashes[self.left]) % self.spread[self.left].astype(np.uint64)
+        self.spread = np.minimum(parts, 1 + held * 4 * parts // max(chunk.total, 1))
+        first = (key % np.uint64(parts)).astype(np.int64)
+        salt = mix(chunk.ids[self.right].astype(np.uint64), key[self.left]) % self.spread[self.left].astype(np.uint64)
         bucket = (first[self.left] + salt.astype(np.int64)) % parts
         self.order = np.argsort(bucket, kind="stable")  # by partition, context, successor
         self.ends = np.searchsorted(bucket[self.order], np.arange(parts + 1))
-        wide = np.flatnonzero((self.spread > 1) & np.isin(np.arange(width), self.left))
         self.wide: dict[int, list[int]] = {}
-        for h in wide:
+        for h in np.flatnonzero(self.spread > 1):
             for s in range(self.spread[h]):
                 self.wide.setdefault(int((first[h] + s) % parts), []).append(int(h))
 
     def asked(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(partition, its bigrams, its contexts): wide contexts are asked for even where no successor is."""
+        """(partition, its n-grams, its contexts): wide contexts are asked for even where no successor is."""
         for b in range(len(self.ends) - 1):
             own = self.order[self.ends[b] : self.ends[b + 1]]
             contexts = np.union1d(self.left[own], np.array(self.wide.get(b, []), np.int64))
             if len(contexts):
                 yield b, own, contexts
 
+    def answered(self, told: dict[int, dict], plan: Plan, lower: np.ndarray) -> None:
+        """Counts and probabilities of the n-grams from the partitions' answers and the order below."""
+        self.count = np.zeros(len(self.left), np.int64)
+        made, mass = np.zeros((GT_K + 1, len(self.members)), np.int64), np.zeros(len(self.members))
+        for bucket, own, contexts in self.asked():
+            row = told[bucket]
+            self.count[own] = row["counts"]
+            for r, column in enumerate(row["made"]):
+                made[r, contexts] += column
+            mass[contexts] += row["mass"]
+        if self.n not in plan.d:
+            return
+        d = plan.d[self.n]
+        scale, kept, total = _made(made, d)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            alpha = np.where(total > 0, (1.0 - scale * kept / np.maximum(total, 1)) / (1.0 - mass), 1.0)
+            seen = scale[self.left] * discounted(self.count, d) / total[self.left]
+        self.probability = np.where(self.count > 0, seen, alpha[self.left] * lower[self.low])
+
+
+def _made(made: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scale, discounted sum, sum) of each context's counts, from how many are 1 to GT_K and the sum of all larger."""
+    r = np.arange(1, GT_K + 1)[:, None]
+    kept, total = made[-1] + (d[1:, None] * r * made[:-1]).sum(0), made[-1] + (r * made[:-1]).sum(0)
+    # a context of large counts only leaves one count to the unseen
+    return np.where(made[:-1].sum(0) > 0, 1.0, total / (total + 1.0)), kept, total
+
+
+class Chunk:
+    """A chunk with the answers that it has so far, order by order."""
+
+    def __init__(self, row: dict, answers: list[dict], plan: Plan):
+        self.hashes, self.codes, self.sizes = row["words"], row["codes"].astype(np.int64), row["sizes"].astype(np.int64)
+        self.learn = np.repeat(row["learn"], self.sizes)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.plan, self.total, self.orders = plan, plan.unigrams.total, []
+        of = _bucket_of(self.hashes, plan.parts[1])
+        self.counts, self.ids = np.empty(len(of), np.int64), np.empty(len(of), np.int64)
+        for a in answers:
+            if a["n"] == 1:
+                own = of == a["bucket"]
+                self.counts[own], self.ids[own] = a["counts"], a["ids"]
+        self.probability = plan.unigrams.probability(self.counts)
+        for n in range(2, max(plan.parts) + 1):
+            mine = {a["bucket"]: a for a in answers if a["n"] == n}
+            order = self._order(n)
+            if not mine:
+                self.asking = order
+                return
+            order.answered(mine, plan, self.orders[-1].probability if self.orders else self.probability)
+            self.orders.append(order)
+
+    def _shifted(self, values: np.ndarray, start: int) -> np.ndarray:
+        """What stands before each token; ``start`` before a text's first."""
+        out = np.empty(len(values), np.int64)
+        out[1:] = values[:-1]
+        out[self.starts] = start
+        return out
+
+    def _order(self, n: int) -> Order:
+        before = self._shifted(self.codes, 0)  # a text starts after ends
+        if n == 2:
+            used, context = np.unique(before, return_inverse=True)
+            members, held = used[:, None], self.counts[used]
+        else:
+            last, width = self.orders[-1], len(self.hashes)
+            key = self._shifted(last.context, last.context[self.starts[0]]) * width + before
+            used, context = np.unique(key, return_inverse=True)
+            members = np.concatenate([last.members[used // width], (used % width)[:, None]], 1)
+            held = np.empty(len(used), np.int64)
+            held[context] = self._shifted(last.count[last.place], self.counts[0])
+        return Order(n, context, members, self, held, self.plan.parts[n])
+
+    def lower(self, order: Order) -> np.ndarray:
+        return (self.orders[-1].probability if self.orders else self.probability)[order.low]
+
+    def scores(self) -> dict[str, np.ndarray]:
+        top = self.orders[-1].probability[self.orders[-1].place] if self.orders else self.probability[self.codes]
+        base = np.log10((self.counts + 1.0) / (self.total + self.plan.unigrams.distinct + 1.0))
+        return {
+            "n_tokens": self.sizes,
+            "n_known": np.add.reduceat((self.counts > 0).astype(np.int64)[self.codes], self.starts),
+            "base_score": np.add.reduceat(base[self.codes], self.starts),
+            "score": np.add.reduceat(np.log10(top), self.starts),
+        }
 
-def ask_bigrams(table: DataFrame, words: DataFrame, word_parts: int, parts: int, unigrams: Unigrams) -> DataFrame:
-    def ask(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, row in left.iterrows():
-            b = Bigrams(row, right, word_parts, parts, unigrams.total)
-            for bucket, own, contexts in b.asked():
-                runs = np.bincount(np.searchsorted(contexts, b.left[own]), minlength=len(contexts)).astype(np.int32)
-                data = pack(b.hashes[contexts] >> SHORT, runs, b.hashes[b.right[own]] >> SHORT, b.counts[b.right[own]], b.seen[own])
-                rows.append((row["chunk"], bucket, data))
-        return pd.DataFrame(rows, columns=["chunk", "bucket", "data"])
 
-    return table.select("chunk", "words", "codes").groupBy("chunk").cogroup(words.groupBy("chunk")).applyInPandas(ask, ASKED)
+def _bucket_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (hashes.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+
+
+_TYPES = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def _type(ddl: str) -> pa.DataType:
+    if ddl.startswith("array<"):
+        return pa.list_(pa.field("element", _type(ddl[6:-1])))
+    return _TYPES[ddl] if ddl in _TYPES else to_arrow_type(DataType.fromDDL(ddl))
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """Values of one column, lists of numbers being numpy arrays, without a Python object for every number."""
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    held = [v for v in values if v is not None]
+    ends = np.cumsum([0, *(0 if v is None else len(v) for v in values)]).astype(np.int32)
+    if pa.types.is_list(kind.value_type):
+        inner = _column([x for v in held for x in v], kind.value_type)
+    elif held and all(isinstance(v, np.ndarray) for v in held):
+        inner = pa.array(np.concatenate(held), kind.value_type, safe=False)
+    else:
+        inner = pa.array([x for v in held for x in v], kind.value_type)
+    return pa.ListArray.from_arrays(pa.array(ends), inner, type=kind, mask=pa.array([v is None for v in values], pa.bool_()))
+
+
+def _written(rows: list[dict], schema: str) -> pa.Table:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({name: _column([r.get(name) for r in rows], _type(ddl)) for name, ddl in fields})
+
+
+def _value(x: pa.Scalar):
+    if not pa.types.is_list(x.type) or x.values is None:
+        return x.as_py()
+    if pa.types.is_list(x.values.type):
+        return [_value(v) for v in x.values]
+    return x.values.to_numpy(zero_copy_only=False) if not x.values.null_count else x.values.to_pylist()
+
+
+def _read(table: pa.Table | pa.RecordBatch) -> list[dict]:
+    """Rows as dicts; lists of numbers are numpy arrays."""
+    columns = [[_value(x) for x in table.column(name)] for name in table.schema.names]
+    return [dict(zip(table.schema.names, r, strict=True)) for r in zip(*columns, strict=True)]
+
+
+def ask_words(table: DataFrame, plan: Plan) -> DataFrame:
+    """Each chunk's distinct words and training counts, by partition of the word."""
+    parts = plan.parts[1]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _read(batch):
+                of = _bucket_of(row["words"], parts)
+                order = np.argsort(of, kind="stable")
+                ends = np.searchsorted(of[order], np.arange(parts + 1))
+                cuts = ((b, order[ends[b] : ends[b + 1]]) for b in range(parts))
+                told = [{"chunk": row["chunk"], "bucket": b, "hashes": row["words"][o], "seen": row["seen"][o]} for b, o in cuts if len(o)]
+                yield from _written(told, ASKED).to_batches()
+
+    return table.select("chunk", "words", "seen").mapInArrow(ask, ASKED)
 
 
-def _made_up(owner: np.ndarray, counts: np.ndarray, n: int) -> list[np.ndarray]:
-    """Per owner, how many counts are 1, 2, ... GT_K, and the sum of all larger ones: discounts can be applied later."""
-    small = [np.bincount(owner[counts == r], minlength=n).astype(np.int64) for r in range(1, GT_K + 1)]
-    return [*small, np.bincount(owner[counts > GT_K], counts[counts > GT_K], n).astype(np.int64)]
+def _histogram(counts: np.ndarray) -> list[int]:
+    """Sum, number, and counts of counts 1 to GT_K + 1."""
+    seen = counts[counts > 0]
+    return [int(seen.sum()), len(seen), *(int((seen == r).sum()) for r in range(1, GT_K + 2))]
+
+
+def answer_words(asked: DataFrame, plan: Plan) -> DataFrame:
+    """Corpus count and id of each word asked for, and one row a partition for the model. Frequent words have small ids."""
+    parts = plan.parts[1]
 
+    def answer(group: pa.Table) -> pa.Table:
+        asks = _read(group.select(["chunk", "bucket", "hashes", "seen"]))
+        keys, place = np.unique(np.concatenate([a["hashes"] for a in asks]), return_inverse=True)
+        total = np.bincount(place, np.concatenate([a["seen"] for a in asks]), len(keys)).astype(np.int64)
+        bucket, rows, at = asks[0]["bucket"], [], 0
+        ids = np.empty(len(keys), np.int64)
+        ids[np.argsort(-total, kind="stable")] = np.arange(len(keys)) * parts + bucket
+        for a in asks:
+            own = place[at : at + len(a["hashes"])]
+            rows.append({"chunk": a["chunk"], "bucket": bucket, "counts": total[own], "ids": ids[own]})
+            at += len(own)
+        rows.append({"chunk": "", "bucket": bucket, "hashes": keys, "ids": ids, "counts": total, "stats": _histogram(total)})
+        return _written(rows, ANSWERED)
 
-def _kept(made: list[np.ndarray], d: np.ndarray) -> np.ndarray:
-    """Sum of discounted counts, from ``_made_up``."""
-    return made[-1] + sum(d[r] * r * made[r - 1] for r in range(1, GT_K + 1))
+    return asked.groupBy("bucket").applyInArrow(answer, ANSWERED)
 
 
-def answer_bigrams(asked: DataFrame) -> DataFrame:
-    """Corpus counts of each bigram asked for; per context, how its successors' counts, as bigrams and as words, are made up."""
+def _of_chunk(table: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
+    told = answers.where("chunk != ''").select("chunk", "n", "bucket", "counts", "ids", "made", "mass")
+    return table.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, schema)
 
-    def answer(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk")
-        parts = [unpack_hashed(x, 0, 2) for x in group["data"]]
-        contexts, context_of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        runs = np.concatenate([p[1] for p in parts])
-        context = np.repeat(context_of, runs)
-        key = mix(np.repeat(np.concatenate([p[0] for p in parts]), runs), np.concatenate([p[2] for p in parts]))
-        keys, first, place = np.unique(key, return_index=True, return_inverse=True)
-        total = np.bincount(place, np.concatenate([p[4] for p in parts]), len(keys)).astype(np.int64)
+
+def ask_grams(table: DataFrame, answers: DataFrame, plan: Plan) -> DataFrame:
+    """Each chunk's distinct n-grams of the next order, with what the order below makes of them, by partition of context."""
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for row in _read(left):
+            c = Chunk(row, _read(right), plan)
+            o = c.asking
+            distinct, code = np.unique(c.lower(o), return_inverse=True)
+            for bucket, own, contexts in o.asked():
+                runs = np.bincount(np.searchsorted(contexts, o.left[own]), minlength=len(contexts)).astype(np.int32)
+                used, lower = np.unique(code[own], return_inverse=True)
+                more = {"contexts": list(o.keys[contexts].T), "runs": runs, "words": c.ids[o.right[own]].astype(np.int32)}
+                rows.append({"chunk": row["chunk"], "bucket": bucket, **more, "seen": o.seen[own], "lower": lower.astype(np.int32), "values": distinct[used]})
+        return _written(rows, ASKED)
+
+    return _of_chunk(table.select("chunk", "words", "codes", "sizes", "learn"), answers, ask, ASKED)
+
+
+def answer_grams(asked: DataFrame) -> DataFrame:
+    """Corpus count of each n-gram asked for; per context, how its successors' counts are made up and their lower mass."""
+
+    def answer(group: pa.Table) -> pa.Table:
+        asks = _read(group.drop_columns(["hashes"]))
+        members = [np.concatenate([a["contexts"][k] for a in asks]).astype(np.int64) for k in range(len(asks[0]["contexts"]))]
+        code = np.zeros(len(members[0]), np.int64)
+        for column in members:
+            _, first, code = np.unique(code * WIDE + column, return_index=True, return_inverse=True)
+        members, n = [m[first] for m in members], len(first)
+        context = np.repeat(code, np.concatenate([a["runs"] for a in asks]))
+        word = np.concatenate([a["words"] for a in asks])
+        grams, at, place = np.unique(context * WIDE + word, return_index=True, return_inverse=True)
+        total = np.bincount(place, np.concatenate([a["seen"] for a in asks]), len(grams)).astype(np.int64)
+        lower = np.concatenate([a["values"][a["lower"]] for a in asks])[at]
         seen = np.flatnonzero(total)
-        owner, n = context[first][seen], len(contexts)
-        made = _made_up(owner, total[seen], n) + _made_up(owner, np.concatenate([p[3] for p in parts])[first][seen], n)
-        bucket, rows, at, c = int(group["bucket"].iloc[0]), [], 0, 0
-        for chunk, p in zip(group["chunk"], parts, strict=True):
-            own, of = total[place[at : at + len(p[2])]], context_of[c : c + len(p[0])]
-            rows.append((chunk, 1, bucket, pack(own, *(m[of] for m in made)), None))
-            at, c = at + len(p[2]), c + len(p[0])
-        return _told(rows, bucket, 1, _histogram(total))
-
-    return asked.groupBy("bucket").applyInPandas(answer, ANSWERED)
-
-
-def score_chunks(table: DataFrame, answers: DataFrame, word_parts: int, parts: int, unigrams: Unigrams, d: np.ndarray) -> DataFrame:
-    kind = table.schema["ids"].dataType.elementType.simpleString()
-
-    def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in left.iterrows():
-            b = Bigrams(row, right[right["kind"] == 0], word_parts, parts, unigrams.total)
-            count = np.zeros(len(b.left), np.int64)
-            kept, mass, small = np.zeros(len(b.hashes)), np.zeros(len(b.hashes)), np.zeros(len(b.hashes), bool)
-            told = dict(zip(right["bucket"][right["kind"] == 1], right["data"][right["kind"] == 1], strict=True))
-            for bucket, own, contexts in b.asked():
-                totals, *made = unpack(told[bucket])
-                count[own] = totals
-                kept[contexts] += _kept(made[: GT_K + 1], d)
-                small[contexts] |= sum(made[:GT_K]) > 0
-                mass[contexts] += unigrams.scale * _kept(made[GT_K + 1 :], unigrams.d) / max(unigrams.total, 1)
-            out.append(_score(row, b, count, kept, mass, small, unigrams, d))
-        return pd.concat(out)
-
-    return table.drop("n").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, SCORED.format(id=kind))
-
-
-def _score(row: pd.Series, b: Bigrams, count, kept, mass, small, unigrams: Unigrams, d: np.ndarray) -> pd.DataFrame:
-    known = b.counts > 0
-    own = np.maximum(b.counts, 1)
-    scale = np.where(small, 1.0, own / (own + 1.0))  # a context of large counts only leaves one count to the unseen
-    with np.errstate(divide="ignore", invalid="ignore"):
-        alpha = np.where(known, (1.0 - scale * kept / own) / (1.0 - mass), 1.0)
-        lower = np.log10(unigrams.probability(b.counts))
-        seen = np.log10(scale[b.left] * discounted(count, d) / own[b.left])
-        pair = np.where(count > 0, seen, np.log10(alpha)[b.left] + lower[b.right])
-    base = np.log10((b.counts + 1.0) / (unigrams.total + unigrams.distinct + 1.0))
-    at = np.concatenate([[0], np.cumsum(b.sizes)[:-1]]).astype(np.int64)
-    return pd.DataFrame(
-        {
-            "doc_id": pd.Series(list(row["ids"]), dtype=object),
-            "n_tokens": b.sizes.astype(np.int64),
-            "n_known": np.add.reduceat(known[b.codes].astype(np.int64), at),
-            "base_score": np.add.reduceat(base[b.codes], at),
-            "score": np.add.reduceat(pair[b.place], at),
-        }
-    )
+        owner, counts = (grams // WIDE)[seen], total[seen]
+        made = [np.bincount(owner[counts == r], minlength=n).astype(np.int64) for r in range(1, GT_K + 1)]
+        made.append(np.bincount(owner[counts > GT_K], counts[counts > GT_K], n).astype(np.int64))
+        mass = np.bincount(owner, lower[seen], n)
+        bucket, rows, i, c = asks[0]["bucket"], [], 0, 0
+        for a in asks:
+            own, of = total[place[i : i + len(a["words"])]], code[c : c + len(a["runs"])]
+            rows.append({"chunk": a["chunk"], "bucket": bucket, "counts": own, "made": [m[of] for m in made], "mass": mass[of]})
+            i, c = i + len(own), c + len(of)
+        table = [*(m[owner] for m in members), (grams % WIDE)[seen]]
+        rows.append({"chunk": "", "bucket": bucket, "counts": counts, "grams": table, "contexts": members, "made": made, "mass": mass, "stats": _histogram(total)})
+        return _written(rows, ANSWERED)
+
+    return asked.groupBy("bucket").applyInArrow(answer, ANSWERED)
+
+
+@dataclass
+class Model:
+    """The stored tables of a fitted corpus, and the discounts of each order."""
+
+    order: int
+    tables: dict[int, DataFrame]
+    unigrams: Unigrams
+    d: dict[int, np.ndarray]
+
+    def words(self) -> DataFrame:
+        """(hash, id, count) of every word; the count is 0 for words outside the training documents."""
+        own = self.tables[1].where("chunk = ''")
+        return own.select(F.inline(F.arrays_zip(F.col("hashes").alias("hash"), F.col("ids").alias("id"), F.col("counts").alias("count")))).toDF("hash", "id", "count")
+
+    def grams(self, n: int) -> DataFrame:
+        """(w1, ..., wn, count) of every n-gram of the training documents, words by id."""
+        columns = [F.col("grams")[k] for k in range(n)]
+        return self.tables[n].where("chunk = ''").select(F.inline(F.arrays_zip(*columns, "counts"))).toDF(*[f"w{k + 1}" for k in range(n)], "count")
+
+    def contexts(self, n: int) -> DataFrame:
+        """(w1, ..., w<n-1>, total, scale, backoff) of every context of order ``n``."""
+        keys = [f"w{k + 1}" for k in range(n - 1)]
+        made = [f"made{r}" for r in range(1, GT_K + 2)]
+        columns = [*(F.col("contexts")[k] for k in range(n - 1)), *(F.col("made")[r] for r in range(GT_K + 1)), "mass"]
+        rows = self.tables[n].where("chunk = ''").select(F.inline(F.arrays_zip(*columns))).toDF(*keys, *made, "mass")
+        sums = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in (*made, "mass")])  # a wide context has several rows
+        small = sum((F.col(m) for m in made[:-1]), F.lit(0))
+        total = sum((r * F.col(m) for r, m in enumerate(made[:-1], 1)), F.col(made[-1]))
+        kept = sum((float(self.d[n][r]) * r * F.col(m) for r, m in enumerate(made[:-1], 1)), F.col(made[-1]))
+        parts = sums.withColumns({"total": total, "kept": kept}).where("total > 0")
+        parts = parts.withColumn("scale", F.when(small > 0, F.lit(1.0)).otherwise(F.col("total") / (F.col("total") + 1.0)))
+        return parts.select(*keys, "total", "scale", ((1.0 - F.col("scale") * F.col("kept") / F.col("total")) / (1.0 - F.col("mass"))).alias("backoff"))
+
+    def discounted(self, n: int, count: Column) -> Column:
+        out = count.cast("double")
+        for r in range(1, GT_K + 1):
+            out = F.when(count == r, F.lit(float(r * (self.unigrams.d if n == 1 else self.d[n])[r]))).otherwise(out)
+        return out
+
+
+def _fit(docs: DataFrame, id_col: str, text_col: str, train: Column, order: int) -> tuple[Model, DataFrame, DataFrame, Plan]:
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    guess = int(rows.agg(F.sum(F.length("text") / 6 + 1)).first()[0] or 0)
+    table = materialize(chunks(rows, train, sizes(guess)[0]), "katz-chunks")
+    tokens = table.agg(F.sum("n")).first()[0] or 0
+    parts = int(tokens // sizes(tokens)[1]) + 1
+    plan = Plan({1: parts // 4 + 1})
+    tables: dict[int, DataFrame] = {}
+    answers = None
+    for n in range(1, order + 1):
+        if n == 1:
+            made = answer_words(ask_words(table, plan), plan)
+        else:
+            plan.parts[n] = parts
+            made = answer_grams(ask_grams(table, answers, plan))
+        tables[n] = materialize(made.withColumn("n", F.lit(n)), f"katz-{n}")
+        answers = tables[n] if answers is None else answers.unionByName(tables[n])
+        total, distinct, *counts = _sums(tables[n])
+        if n == 1:
+            plan.unigrams = Unigrams(total, distinct, [0, *counts])
+        else:
+            plan.d[n] = discounts([0, *counts])
+    return Model(order, tables, plan.unigrams, plan.d), table, answers, plan
 
 
 def _sums(answers: DataFrame) -> list[int]:
@@ -343,28 +503,61 @@ def _sums(answers: DataFrame) -> list[int]:
     return [int(x or 0) for x in stats]
 
 
-def score(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFrame:
+def fit(docs: DataFrame, id_col: str, text_col: str, train: Column, order: int = 2) -> Model:
+    """The tables of the rows of ``docs`` where ``train`` holds; see ``score`` for tokens, nulls and repeated rows."""
+    model, table, _, _ = _fit(docs, id_col, text_col, train, order)
+    discard(table)
+    return model
+
+
+def score(docs: DataFrame, id_col: str, text_col: str, train: Column, order: int = 2) -> DataFrame:
     """Per document: doc_id, n_tokens, n_known, train_tokens, base_score and score (log10), learned where ``train`` holds.
 
-    Tokens are words (runs without ASCII white space, A-Z lower-cased) and one end a text, which is also the context of
-    its first token. Null and empty texts are an end alone. All unseen words are one unknown word. ``train`` may use
+    Tokens are words (runs without ASCII white space, A-Z lower-cased) and one end a text; ends are also the context of a
+    text's first tokens. Null and empty texts are an end alone. All unseen words are one unknown word. ``train`` may use
     ``doc_id``; where it is null, a row is scored but not learned from. Repeated rows count and are scored each. An empty
-    table gives no rows.
+    table gives no rows. Only id and text are used, so other columns may have any names.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    name = f"katz_chunks_{uuid.uuid4().hex}"
-    made = chunks(rows, train)
-    made.write.format("parquet").option("path", f"{shared_dir(spark)}/tables/{name}").bucketBy(TABLE_BUCKETS, "chunk").saveAsTable(name)
-    table = spark.table(name)
-    tokens = table.agg(F.sum("n")).first()[0] or 0
-    word_parts, parts = int(tokens // (4 * PART_TOKENS)) + 1, int(tokens // PART_TOKENS) + 1
-    words = materialize(answer_words(ask_words(table, word_parts)), "katz-words")
-    total, distinct, *n = _sums(words)
-    unigrams = Unigrams(total, distinct, [0, *n])
-    asked = ask_bigrams(table, words.where("chunk != ''").select("chunk", "bucket", "data"), word_parts, parts, unigrams)
-    pairs = materialize(answer_bigrams(asked), "katz-bigrams")
-    _, _, *n = _sums(pairs)
-    both = words.unionByName(pairs).where("chunk != ''").select("chunk", "kind", "bucket", "data")
-    scored = score_chunks(table, both, word_parts, parts, unigrams, discounts([0, *n]))
-    return scored.withColumn("train_tokens", F.lit(total).cast("long"))
+    model, table, answers, plan = _fit(docs, id_col, text_col, train, order)
+    kind = table.schema["docs"].dataType.elementType.simpleString()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        told = _read(right)
+        found = [Chunk(row, told, plan).scores() for row in _read(left.drop_columns(["docs"]))]
+        ids = pa.concat_arrays([x.values for x in left.column("docs")]).cast(_type(kind))
+        return pa.table({"doc_id": ids, **{c: np.concatenate([f[c] for f in found]) for c in found[0]}})
+
+    scored = _of_chunk(table.drop("n", "seen"), answers, run, SCORED.format(id=kind))
+    return scored.withColumn("train_tokens", F.lit(model.unigrams.total).cast("long"))
+
+
+def score_texts(model: Model, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n_tokens, n_known, score) of any texts from the model's tables, by joins, one order after the other.
+
+    Each row of ``docs`` is scored, repeated ones too; nulls and empty texts as in ``score``.
+    """
+    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    end, n = F.xxhash64(F.lit(END.decode())), model.order
+    words = F.transform(F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    padded = F.concat(F.array_repeat(end, n - 1), words, F.array(end))
+    rows = docs.select(F.col(id_col).alias("doc_id"), padded.alias("h")).withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows, "katz-texts")
+    at = F.explode(F.transform(F.sequence(F.lit(1), F.size("h") - (n - 1)), lambda i: F.slice("h", i, n)))
+    tokens = rows.select("doc_id", "row", at.alias("h")).select("doc_id", "row", *[F.col("h")[k].alias(f"h{k + 1}") for k in range(n)])
+    known = model.words().where("count > 0")
+    for k in range(1, n + 1):
+        tokens = tokens.join(known.select(F.col("hash").alias(f"h{k}"), F.col("id").alias(f"t{k}"), F.col("count").alias(f"c{k}")), f"h{k}", "left")
+        tokens = tokens.withColumn(f"t{k}", F.coalesce(f"t{k}", F.lit(UNKNOWN))).drop(f"h{k}", *([f"c{k}"] if k < n else []))
+    count = F.col(f"c{n}")
+    u = model.unigrams
+    p = F.when(count > 0, u.scale * model.discounted(1, count) / max(u.total, 1)).otherwise(F.lit(float(u.unknown)))
+    tokens = tokens.withColumn("known", (F.coalesce(count, F.lit(0)) > 0).cast("long")).withColumn("p", p).drop(f"c{n}")
+    for m in range(2, n + 1):
+        names = [f"t{n - m + 1 + k}" for k in range(m)]
+        grams = model.grams(m).toDF(*names, "count")
+        contexts = model.contexts(m).toDF(*names[:-1], "total", "scale", "backoff")
+        tokens = tokens.join(contexts, names[:-1], "left").join(grams, names, "left")
+        seen = F.col("scale") * model.discounted(m, F.col("count")) / F.col("total")
+        tokens = tokens.withColumn("p", F.when(F.col("count") > 0, seen).otherwise(F.coalesce("backoff", F.lit(1.0)) * F.col("p"))).drop("total", "scale", "backoff", "count")
+    sums = tokens.groupBy("row", "doc_id").agg(F.count("*").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum(F.log10("p")).alias("score"))
+    return sums.drop("row")
