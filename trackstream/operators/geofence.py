@@ -19,17 +19,25 @@ def split_fences(fences: DataFrame) -> tuple[DataFrame, DataFrame]:
     return made.where("edges is not null"), made.where("edges is null").select(*fences.columns)
 
 
+def _validity(fences: DataFrame) -> list[str]:
+    return [c for c in ("valid_from", "valid_to") if c in fences.columns]
+
+
 def membership(points: DataFrame, fences: DataFrame, broadcast_fences: int = BROADCAST_FENCES) -> DataFrame:
     """(point columns, fence_id, fence_name, fence_type) for each point strictly inside a fence.
 
     ``points`` have latitude and longitude. The number of fences is checked: few are broadcast, many are joined on the
-    grid cells that their bounding boxes touch.
+    grid cells that their bounding boxes touch. Fences with ``valid_from`` and ``valid_to`` (null: open) are versions of a
+    definition, and a point with ``event_ms`` is held against the one that was valid then.
     """
     usable, _ = split_fences(fences)
-    shapes = usable.select(F.col("id").alias("fence_id"), F.col("name").alias("fence_name"), F.col("type").alias("fence_type"), "edges", "min_x", "max_x", "min_y", "max_y")
+    shapes = usable.select(F.col("id").alias("fence_id"), F.col("name").alias("fence_name"), F.col("type").alias("fence_type"), "edges", "min_x", "max_x", "min_y", "max_y", *_validity(fences))
+    inside = F.expr(geo.INSIDE)
+    if "valid_from" in fences.columns:
+        inside &= (F.col("event_ms") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("event_ms") < F.col("valid_to")))
     at = points.withColumns({"lat": F.col("latitude"), "lon": F.col("longitude")})
     if usable.limit(broadcast_fences + 1).count() <= broadcast_fences:
-        joined = at.join(F.broadcast(shapes), F.expr(geo.INSIDE))
+        joined = at.join(F.broadcast(shapes), inside)
     else:
 
         def cell(c: str):
@@ -37,12 +45,13 @@ def membership(points: DataFrame, fences: DataFrame, broadcast_fences: int = BRO
 
         spread = shapes.withColumn("cx", F.explode(F.sequence(cell("min_x"), cell("max_x")))).withColumn("cy", F.explode(F.sequence(cell("min_y"), cell("max_y"))))
         at = at.withColumns({"cx": cell("lon"), "cy": cell("lat")})
-        joined = at.join(spread, (at.cx == spread.cx) & (at.cy == spread.cy) & F.expr(geo.INSIDE)).drop(spread.cx).drop(spread.cy).drop("cx", "cy")
+        joined = at.join(spread, (at.cx == spread.cx) & (at.cy == spread.cy) & inside).drop(spread.cx).drop(spread.cy).drop("cx", "cy")
     return joined.select(*points.columns, "fence_id", "fence_name", "fence_type")
 
 
 def transitions(samples: DataFrame, fences: DataFrame) -> DataFrame:
-    """ENTER and EXIT events by driver and fence; a driver starts outside, and only changes are told.
+    """ENTER and EXIT events by driver and fence; a driver starts outside, and only changes are told. A new version of a
+    fence (see ``membership``) keeps who was inside: the next sample tells whether that changed.
 
     A fence sample is an ENTER if the driver's sample before it was not inside, and the sample after the last inside one
     is the EXIT, so samples outside every fence are never multiplied by the fences.
@@ -76,11 +85,13 @@ def dwell_p95(events: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
     )
 
 
-def as_of(events: DataFrame, versions: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Events with the version of ``key`` that was valid at ``event_ms``; ``versions`` have key, valid_from and columns."""
-    told = versions.select(key, F.col("valid_from").alias("event_ms"), F.struct(*columns).alias("_v"), F.lit(0).alias("_rank"))
-    names = [c for c in events.columns if c not in (key, "event_ms")]
-    both = events.withColumn("_rank", F.lit(1)).unionByName(told, allowMissingColumns=True)
-    order = W.partitionBy(key).orderBy("event_ms", "_rank").rowsBetween(W.unboundedPreceding, W.currentRow)
-    seen = both.withColumn("_v", F.last("_v", ignorenulls=True).over(order)).where("_rank = 1")
-    return seen.select(key, "event_ms", *names, *[F.col(f"_v.{c}").alias(c) for c in columns])
+def as_of(events: DataFrame, versions: DataFrame, key: str, columns: list[str], broadcast_keys: int = BROADCAST_FENCES) -> DataFrame:
+    """Events with the version of ``key`` that was valid at ``event_ms``; ``versions`` have key, valid_from and columns.
+
+    A key's versions are few and travel as one sorted array, broadcast where the keys are few (checked), so that events of
+    a busy fence stay where they are. Events before the first version, or of an unknown key, get nulls.
+    """
+    told = versions.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("valid_from", *columns))).alias("_v"))
+    told = F.broadcast(told) if told.limit(broadcast_keys + 1).count() <= broadcast_keys else told
+    last = F.try_element_at(F.filter("_v", lambda v: v["valid_from"] <= F.col("event_ms")), F.lit(-1))
+    return events.join(told, key, "left").withColumn("_v", last).select(*events.columns, *[F.col(f"_v.{c}").alias(c) for c in columns])

@@ -11,11 +11,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackstream.functions import geo, ids
+from trackstream.sources.scratch import written
 
 GAP_MS = 120_000
 MAX_KPH = 150.0
 WINDOW_MS = 60_000
 OUT_OF_ORDER_MS = 5_000
+#: Rows of a slice of arrival time, about, and quantiles that arrival time is cut at, at most.
+SLICE_ROWS = 100_000
+COARSE = 1_000
 
 
 def _of_driver(*more: str):
@@ -80,7 +84,7 @@ def snapshots(samples: DataFrame, now_ms: int, gap_ms: int = GAP_MS) -> DataFram
 def impossible_speeds(samples: DataFrame, max_kph: float = MAX_KPH) -> DataFrame:
     """Alerts for consecutive samples that imply more than ``max_kph``."""
     kind = F.lit("IMPOSSIBLE_SPEED")
-    detail = F.format_string("%.0f km/h over %.1fs", F.col("leg_kph"), F.col("leg_ms") / 1000.0)
+    detail = F.format_string("%.0f km/h over %.1fs between samples", F.col("leg_kph"), F.col("leg_ms") / 1000.0)
     return legs(samples).where(F.col("leg_kph") > max_kph).select(
         ids.alert_id(kind, F.col("driver_id"), F.col("event_ms")).alias("alert_id"), kind.alias("kind"), "driver_id", "event_ms", "leg_kph", detail.alias("detail")
     )
@@ -93,7 +97,7 @@ def gps_gaps(samples: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
     quiet = quiet.where(F.col("next_ms").isNull() | (F.col("next_ms") - F.col("event_ms") > gap_ms)).withColumn("alert_ms", F.col("event_ms") + gap_ms)
     return quiet.select(
         ids.alert_id(kind, F.col("driver_id"), F.col("alert_ms")).alias("alert_id"), kind.alias("kind"), "driver_id", F.col("alert_ms").alias("event_ms"),
-        F.format_string("no GPS sample for %ds", F.lit(gap_ms // 1000)).alias("detail"),
+        F.format_string("no GPS sample for %ds (event time)", F.lit(gap_ms // 1000)).alias("detail"),
     )
 
 
@@ -121,20 +125,34 @@ def speed_windows(samples: DataFrame, size_ms: int = WINDOW_MS) -> DataFrame:
     )
 
 
-def with_lateness(samples: DataFrame, size_ms: int = WINDOW_MS, bound_ms: int = OUT_OF_ORDER_MS, slices: int = 256) -> DataFrame:
+def arrival_slices(samples: DataFrame, rows: int = SLICE_ROWS, coarse: int = COARSE) -> DataFrame:
+    """Samples with ``slice``, a number that rises with arrival time; a slice has about ``rows`` rows, however many there are.
+
+    Arrival time is cut at up to ``coarse`` quantiles, so bursts get slices of their own, and each of those cells evenly.
+    """
+    n = samples.count()
+    cells = max(1, min(coarse, n // rows))
+    cuts = samples.agg(F.percentile_approx("arrival_ms", F.array(*[F.lit(i / cells) for i in range(1, cells)]), 100 * cells)).first()[0] if cells > 1 else []
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<bigint>")
+    cut = samples.withColumn("cell", F.size(F.filter(bounds, lambda c: c < F.col("arrival_ms"))))
+    known = cut.groupBy("cell").agg(F.min("arrival_ms").alias("low"), F.max("arrival_ms").alias("high"), F.ceil(F.count("*") / rows).alias("parts"))
+    offsets = known.withColumn("first", F.coalesce(F.sum("parts").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # at most ``coarse`` rows
+    part = F.floor((F.col("arrival_ms") - F.col("low")) * F.col("parts") / (F.col("high") - F.col("low") + 1))
+    return cut.join(F.broadcast(offsets), "cell").withColumn("slice", F.col("first") + part).drop("cell", "low", "high", "parts", "first")
+
+
+def with_lateness(samples: DataFrame, size_ms: int = WINDOW_MS, bound_ms: int = OUT_OF_ORDER_MS, rows: int = SLICE_ROWS) -> DataFrame:
     """Samples with ``late``: their window had closed when they came, by a watermark over all drivers in arrival order.
 
-    A running maximum over the whole table would be one task. Arrival time is cut into ``slices``; each slice's maximum
-    is known first, and the few running maxima of those are joined back, so each slice is worked through on its own.
+    A running maximum over the whole table would be one task. Arrival time is cut into slices of about ``rows`` rows; each
+    slice's maximum is known first, and the running maxima of those are joined back, so each slice is worked through on
+    its own. Samples are read several times, so they are written once first.
     """
-    span = samples.agg(F.min("arrival_ms").alias("low"), F.max("arrival_ms").alias("high"))
-    cut = samples.crossJoin(F.broadcast(span))  # one row
-    width = F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / slices))
-    cut = cut.withColumn("slice", F.floor((F.col("arrival_ms") - F.col("low")) / width)).drop("low", "high")
+    cut = arrival_slices(written(samples, "lateness"), rows)
     tops = cut.groupBy("slice").agg(F.max("event_ms").alias("top"))
-    before = tops.select("slice", F.max("top").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)).alias("before"))  # at most ``slices`` rows
+    before = tops.select("slice", F.max("top").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)).alias("before"))  # one row a slice
     own = W.partitionBy("slice").orderBy("arrival_ms", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    seen = cut.join(F.broadcast(before), "slice").withColumn("seen", F.greatest("before", F.max("event_ms").over(own)))
+    seen = cut.join(before, "slice").withColumn("seen", F.greatest("before", F.max("event_ms").over(own)))
     closes = geo.window_start(F.col("event_ms"), size_ms) + size_ms - 1
     return seen.withColumn("late", closes <= F.col("seen") - bound_ms - 1).drop("slice", "before", "seen")
 
@@ -156,6 +174,11 @@ def active_drivers(samples: DataFrame, size_ms: int = 30_000, slide_ms: int = 10
     return each.distinct().groupBy("window_start").agg(F.count("*").alias("drivers"))
 
 
+def speed_stats(samples: DataFrame) -> DataFrame:
+    """One row: samples processed, and drivers seen, which are those with a reported speed."""
+    return samples.agg(F.count("*").alias("processed"), F.count_distinct(F.when(F.col("speed_kph").isNotNull(), F.col("driver_id"))).alias("drivers_seen"))
+
+
 def mean_speeds(samples: DataFrame) -> DataFrame:
     """Mean reported speed by driver; samples without a speed count as processed only."""
     return samples.groupBy("driver_id").agg(

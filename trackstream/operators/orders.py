@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from trackstream.functions import geo
 
 PICKUP_TIMEOUT_MS = 600_000
+#: Time buckets in which intervals and events meet.
+BUCKET_MS = 600_000
 
 
 def order_totals(items: DataFrame) -> DataFrame:
@@ -67,19 +69,37 @@ def pickup_timeouts(deliveries: DataFrame, timeout_ms: int = PICKUP_TIMEOUT_MS)
     return late.select(F.concat_ws(":", F.lit("ORDER_PICKUP_TIMEOUT"), F.col("order_id"), at).alias("alert_id"), "order_id", "driver_id", at.alias("event_ms"))
 
 
+def within(spans: DataFrame, low: str, high: str, events: DataFrame, at: str, keys: list[str], bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Spans met with the events of equal ``keys`` at a time in [low, high], both ends included.
+
+    Keys alone would pair all spans of a driver with all its events, so both sides meet by time bucket as well: a span is
+    dealt to the buckets that it touches, an event to its own, hence every pair is made once. Columns other than ``keys``
+    must differ. Spans with a null end meet nothing.
+    """
+    first, last = F.floor(F.col(low) / bucket_ms), F.floor(F.col(high) / bucket_ms)
+    dealt = spans.where(F.col(low) <= F.col(high)).withColumn("_bucket", F.explode(F.sequence(first, last)))
+    near = events.withColumn("_bucket", F.floor(F.col(at) / bucket_ms))
+    return dealt.join(near, [*keys, "_bucket"]).where(F.col(at).between(F.col(low), F.col(high))).drop("_bucket")
+
+
 def missed_fences(deliveries: DataFrame, events: DataFrame) -> DataFrame:
     """Our reading of a missed geofence: picked up without entering a restaurant fence since assignment."""
-    enters = events.where("transition = 'ENTER' and fence_type = 'RESTAURANT'").select(F.col("driver_id").alias("d"), F.col("event_ms").alias("enter_ms"))
-    picked = deliveries.where("picked_up_ms is not null")
-    seen = (F.col("driver_id") == F.col("d")) & F.col("enter_ms").between(F.col("assigned_ms"), F.col("picked_up_ms"))
-    return picked.join(enters, seen, "left_anti").select("order_id", "driver_id", F.col("picked_up_ms").alias("event_ms"))
+    enters = events.where("transition = 'ENTER' and fence_type = 'RESTAURANT'").select("driver_id", F.col("event_ms").alias("enter_ms"))
+    picked = deliveries.where("picked_up_ms is not null").select("id", "order_id", "driver_id", "assigned_ms", "picked_up_ms")
+    seen = within(picked, "assigned_ms", "picked_up_ms", enters, "enter_ms", ["driver_id"]).select("id").distinct()
+    return picked.join(seen, "id", "left_anti").select("order_id", "driver_id", F.col("picked_up_ms").alias("event_ms"))
 
 
 def delivery_events(deliveries: DataFrame, events: DataFrame) -> DataFrame:
     """Deliveries met with the fence events of their driver between assignment and delivery (interval join)."""
-    e = events.select(F.col("driver_id").alias("d"), "fence_id", "transition", F.col("event_ms").alias("at_ms"))
-    within = (F.col("driver_id") == F.col("d")) & F.col("at_ms").between(F.col("assigned_ms"), F.coalesce("delivered_ms", F.col("picked_up_ms") + 3_600_000))
-    return deliveries.join(e, within).select("order_id", "driver_id", "fence_id", "transition", F.col("at_ms").alias("event_ms"))
+    spans = deliveries.select("order_id", "driver_id", "assigned_ms", F.coalesce("delivered_ms", F.col("picked_up_ms") + 3_600_000).alias("until_ms"))
+    return within(spans, "assigned_ms", "until_ms", events.select("driver_id", "fence_id", "transition", "event_ms"), "event_ms", ["driver_id"]).select("order_id", "driver_id", "fence_id", "transition", "event_ms")
+
+
+def gaps_on_delivery(deliveries: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(driver_id, event_ms) of gap alerts that fall between pickup and delivery."""
+    spans = deliveries.select("driver_id", "picked_up_ms", F.coalesce("delivered_ms", F.col("picked_up_ms") + 3_600_000).alias("until_ms"))
+    return within(spans, "picked_up_ms", "until_ms", gaps.select("driver_id", "event_ms"), "event_ms", ["driver_id"]).select("driver_id", "event_ms").distinct()
 
 
 def rule_violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackstream.operators import ingest
+from trackstream.sources.scratch import written
+
 HOUR_MS, DAY_MS = 3_600_000, 86_400_000
 
 
@@ -24,10 +27,17 @@ def _sliced(rows: DataFrame, time_col: str, slice_ms: int) -> DataFrame:
     return rows.withColumn("slice", F.floor(F.col(time_col) / slice_ms))
 
 
-def insert_ignore(batch: DataFrame, path: str, keys: list[str], time_col: str, slice_ms: int = DAY_MS) -> None:
-    """Append the rows whose key is not there yet. ``time_col`` is part of the key, so only touched slices are read."""
+def insert_ignore(batch: DataFrame, path: str, keys: list[str], time_col: str, slice_ms: int = DAY_MS, by: list[str] | None = None) -> None:
+    """Append the rows whose key is not there yet; of rows of one key in a batch, the first by ``by`` (all columns).
+
+    ``time_col`` is part of the key, so only the slices that the batch touches are read. The batch is written once into the
+    table's own staging folder, so its source is not computed twice.
+    """
     spark = batch.sparkSession
-    fresh = _sliced(batch.dropDuplicates(keys), time_col, slice_ms)
+    rest = [c for c in batch.columns if c not in keys]
+    order = F.struct(*(by or rest or keys))
+    first = batch.groupBy(*keys).agg(F.min_by(F.struct(*(rest or keys)), order).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    fresh = written(_sliced(first.select(batch.columns), time_col, slice_ms), "staged")
     if _exists(spark, path):
         known = spark.read.parquet(path)
         touched = [r[0] for r in fresh.select("slice").distinct().collect()]  # slices of one batch
@@ -57,24 +67,64 @@ def latest_state(current: DataFrame | None, batch: DataFrame, keys: list[str], b
     return top.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Version numbers of the complete states in a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(p)] if fs.exists(p) else []
+    done = [f.getName() for f in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return sorted(int(n[2:]) for n in done if n.startswith("v=") and n[2:].isdigit())
+
+
 def upsert_latest(batch: DataFrame, folder: str, keys: list[str], by: list[str], version: int) -> str:
-    """Write the state after a batch as ``folder/v=<version>``, from the version before; a repeated version is rewritten."""
+    """Write the state after a batch as ``folder/v=<version>``, from the greatest complete version below.
+
+    Versions may have gaps; a repeated version is rewritten from what was before it. A version below all that are there
+    has lost its base and is refused. The whole state is rewritten, which suits a row for each key.
+    """
     spark = batch.sparkSession
-    before = f"{folder}/v={version - 1}"
-    current = spark.read.parquet(before) if _exists(spark, before) else None
+    there = _versions(spark, folder)
+    below = [v for v in there if v < version]
+    if there and not below and version not in there:
+        raise ValueError(f"{folder} begins with version {there[0]}, so version {version} has no state to start from")
+    current = spark.read.parquet(f"{folder}/v={below[-1]}") if below else None
     latest_state(current, batch, keys, by).write.mode("overwrite").parquet(f"{folder}/v={version}")
     return f"{folder}/v={version}"
 
 
-def merge_facts(staged: DataFrame, path: str, key: str, date_col: str) -> None:
-    """Append staged facts that are not in the warehouse yet, one for each key, partitioned by date."""
+def merge_facts(staged: DataFrame, path: str, key: str, date_col: str, by: list[str] | None = None) -> None:
+    """Append staged facts that are not in the warehouse yet, one for each key (the first by ``by``), partitioned by date.
+
+    A key fixes its date, so only the partitions of the batch's dates are read.
+    """
     spark = staged.sparkSession
-    fresh = staged.dropDuplicates([key])
+    rest = [c for c in staged.columns if c != key]
+    first = staged.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*(by or rest))).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    fresh = written(first.select(staged.columns), "facts")
     if _exists(spark, path):
-        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
+        dates = [r[0] for r in fresh.select(date_col).distinct().collect()]  # dates of one batch
+        known = spark.read.parquet(path).where(F.col(date_col).isin(dates)).select(key)
+        fresh = fresh.join(known, key, "left_anti")
     fresh.write.mode("append").partitionBy(date_col).parquet(path)
 
 
+def to_topic(rows: DataFrame, key: str, topic: str) -> DataFrame:
+    """Rows as messages: (topic, key, value), the key as text and the row as JSON with its nulls."""
+    return rows.select(F.lit(topic).alias("topic"), F.col(key).cast("string").alias("key"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def split_letters(gated: DataFrame, valid_path: str, letters_path: str) -> None:
+    """One pass of a gated batch into two sinks: valid rows, and dead letters as text messages."""
+    rows = written(gated, "gated")
+    ingest.valid(rows).write.mode("append").parquet(valid_path)
+    ingest.dead_letters(rows).write.mode("append").parquet(letters_path)
+
+
+def to_jdbc(batch: DataFrame, url: str, table: str, rows: int = 500, **options: str) -> None:
+    """Append to a database table in statements of ``rows`` rows; a failed task is tried again by Spark."""
+    batch.write.format("jdbc").option("url", url).option("dbtable", table).option("batchsize", rows).options(**options).mode("append").save()
+
+
 def each_batch(write: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function; the batch is kept while it is used more than once."""
 

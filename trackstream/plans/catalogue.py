@@ -12,6 +12,7 @@ from trackstream.functions.geo import round2
 from trackstream.operators import cdc, geofence, ingest, motion, orders, serving, sinks
 from trackstream.plans.oracle import SQL
 from trackstream.sources import tables as t
+from trackstream.sources import topics
 from trackstream.streaming import twins
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +74,22 @@ def dead_letters(spark: SparkSession, d: str) -> DataFrame:
     return letters.select("offset", "reason", start.alias("payload_start"))
 
 
+def dead_letter_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every field of the payloads, read back from their JSON text, and the order in which they stand."""
+    letters = ingest.dead_letters(gated(spark, d))
+    parsed = F.from_json("payload", "reason string, error string, driverId long, latitude double, longitude double, eventTime long, topic string, partition int, `offset` long, rawBase64 string")
+    return letters.select(F.col("offset").alias("id"), F.array_join(F.json_object_keys("payload"), ",").alias("fields"), parsed.alias("p")).select("id", "fields", "p.*")
+
+
+def framed(spark: SparkSession, d: str) -> DataFrame:
+    """Records of both schema versions on one topic, each framed with its schema's id and decoded by it."""
+    v = valid(spark, d).drop("arrival_ms")
+    names = {1: schemas.LOCATION_V1, 2: schemas.LOCATION}
+    each = [topics.framed(v.where(f"event_id % 2 = {2 - k}").select(*[f.split()[0] for f in schema.split(", ")]), k) for k, schema in names.items()]
+    rows = each[0].unionByName(each[1])
+    return ingest.union_versions(*[topics.framed_rows(rows, schema, k).select("record.*") for k, schema in names.items()])
+
+
 def strict(spark: SparkSession, d: str) -> DataFrame:
     rows = ingest.decode(t.location_messages(spark, d)).where("error is null")
     return rows.select("event_id", ingest.strictly_valid().alias("strictly_valid"), ingest.has_kinematics().alias("has_kinematics"))
@@ -84,7 +101,7 @@ def split_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def fence_lookup(spark: SparkSession, d: str) -> DataFrame:
     inside = geofence.membership(valid(spark, d).select("event_id", "latitude", "longitude"), t.fences(spark))
-    return inside.groupBy("event_id").agg(F.array_join(F.sort_array(F.collect_list(F.col("fence_id").cast("string"))), ",").alias("fences"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return inside.groupBy("event_id").agg(F.array_join(F.sort_array(F.collect_list(F.col("fence_id").cast("string"))), ",").alias("fences"), F.count("*").alias("n")).drop("n")
 
 
 def fence_versions(spark: SparkSession, d: str) -> DataFrame:
@@ -94,6 +111,34 @@ def fence_versions(spark: SparkSession, d: str) -> DataFrame:
     return geofence.as_of(fence_events(spark, d).select("event_id", "fence_id", "event_ms"), first.unionByName(second), "fence_id", ["version"])
 
 
+def fence_history(spark: SparkSession) -> DataFrame:
+    """Two versions of each fence: the second, from a time of its own, is half as wide and lies further east."""
+    boxes = t.fences(spark)
+    change = F.lit(t.EPOCH_MS + 600_000) + F.col("id") * 60_000
+    first = boxes.withColumns({"valid_from": F.lit(0).cast("long"), "valid_to": change})
+    second = spark.createDataFrame([(i, n, k, _shifted(w)) for i, n, k, w in t.FENCES], schemas.FENCE).withColumns({"valid_from": change, "valid_to": F.lit(None).cast("long")})
+    return first.unionByName(second)
+
+
+def _shifted(wkt: str) -> str:
+    """The fixed boxes, their western edge moved to the middle."""
+    points = [p.split() for p in wkt[9:-2].split(", ")]
+    xs = sorted({float(x) for x, _ in points})
+    return "POLYGON((" + ", ".join(f"{(xs[0] + xs[1]) / 2 if float(x) == xs[0] else float(x):.4f} {y}" for x, y in points) + "))"
+
+
+def zone_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Samples within the suppliers' zones, whose definitions are read from JSON files; unusable ones are left out."""
+    path = t.scratch(spark, "zones")
+    t.zones(spark, d).write.json(path)
+    zones = topics.fences_json(spark, path, multi_line=False)
+    return geofence.membership(valid(spark, d).select("event_id", "latitude", "longitude"), zones).select("event_id", "fence_id")
+
+
+def zones_rejected(spark: SparkSession, d: str) -> DataFrame:
+    return geofence.split_fences(t.zones(spark, d))[1].select("id", "name")
+
+
 def latest(spark: SparkSession, d: str) -> DataFrame:
     return serving.latest(valid(spark, d), ["driver_id"], ["event_ms", "event_id"])
 
@@ -128,6 +173,115 @@ def facts_twice(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select("order_id", "restaurant_id", "delivered_ms", F.col("day_ms").cast("long").alias("day_ms"))
 
 
+def speed_windows_twice(spark: SparkSession, d: str) -> DataFrame:
+    """Closed windows inserted twice: nothing is new the second time, and no window of a key is replaced."""
+    path, rows = t.scratch(spark, "windows"), motion.speed_windows(valid(spark, d))
+    sinks.insert_ignore(rows, path, ["driver_id", "window_start"], "window_start", sinks.HOUR_MS)
+    sinks.insert_ignore(rows.withColumn("sample_count", F.col("sample_count") + 1), path, ["driver_id", "window_start"], "window_start", sinks.HOUR_MS)
+    return spark.read.parquet(path).drop("slice")
+
+
+def alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts of all kinds with nullable order and driver ids."""
+    none = F.lit(None).cast("long").alias("order_id")
+    v = valid(spark, d)
+    speed = motion.impossible_speeds(v).select("alert_id", "kind", none, "driver_id", "event_ms")
+    gaps = motion.gps_gaps(v).select("alert_id", "kind", none, "driver_id", "event_ms")
+    late = orders.pickup_timeouts(t.deliveries(spark, d)).select("alert_id", F.lit("ORDER_PICKUP_TIMEOUT").alias("kind"), "order_id", F.lit(None).cast("long").alias("driver_id"), "event_ms")
+    return speed.unionByName(gaps).unionByName(late)
+
+
+def alerts_twice(spark: SparkSession, d: str) -> DataFrame:
+    path = t.scratch(spark, "alerts")
+    for k in (1, 2):
+        sinks.append_versions(alerts(spark, d).withColumn("ingested_at", F.col("event_ms") + 1_000 * k), path, "event_ms", 30 * sinks.DAY_MS)
+    return serving.newest_version(spark.read.parquet(path), "alert_id", "ingested_at").drop("slice")
+
+
+def derived_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Speed windows, fence events and alerts sent as messages and scanned again by topic, each with its own schema."""
+    path = t.scratch(spark, "topics")
+    sent = {"speed.windows": (motion.speed_windows(valid(spark, d)), "driver_id"), "geofence.events": (fence_events(spark, d), "driver_id"), "alerts": (alerts(spark, d), "alert_id")}
+    for topic, (rows, key) in sent.items():
+        sinks.to_topic(rows, key, topic).write.mode("append").parquet(path)
+    scans = [topics.topic_scan(spark.read.parquet(path), topic, rows.schema) for topic, (rows, _) in sent.items()]
+    told = [
+        scans[0].select("topic", "key", F.concat_ws("|", "window_start", "sample_count").alias("told")),
+        scans[1].select("topic", "key", F.concat_ws("|", "event_id", "transition").alias("told")),
+        scans[2].select("topic", "key", F.concat_ws("|", "kind", F.coalesce(F.col("order_id").cast("string"), F.lit("-")), "event_ms").alias("told")),
+    ]
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
+def status_with_items(spark: SparkSession, d: str) -> DataFrame:
+    nested = orders.with_items(orders.by_status(order_rows(spark, d), "P"), t.order_items(spark, d))
+    return nested.select("id", "customer_id", "status", F.expr("array_join(transform(items, i -> concat_ws(':', i.line, i.quantity, i.unit_price)), ',')").alias("items"))
+
+
+def unique_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Values that occur more than once under a key that must be unique; nulls may repeat."""
+    again = t.deliveries(spark, d).where("order_id % 500 = 3").selectExpr("id + 1 as id", "order_id")
+    keys = {
+        "customers.email": (t.customers(spark, d), "email"),
+        "vehicles.plate": (t.vehicles(spark, d), "plate"),
+        "deliveries.order_id": (t.deliveries(spark, d).select("id", "order_id").unionByName(again), "order_id"),
+        "driver_shifts.driver_id active": (t.shifts(spark, d).where("status = 'ACTIVE'"), "driver_id"),
+    }
+    found = [orders.repeated(rows, [key]).select(F.lit(name).alias("rule"), F.col(key).cast("string").alias("value"), "n") for name, (rows, key) in keys.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+def foreign_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of all seven references whose parent is not there (some parents are taken away to have any)."""
+    o = order_rows(spark, d).withColumn("restaurant_id", F.expr("id % 40 % 4 + 1"))
+    dr, de = t.drivers(spark, d), t.deliveries(spark, d)
+    keys = {
+        "drivers.vehicle_id": (dr, "id", "vehicle_id", t.vehicles(spark, d), "id"),
+        "driver_shifts.driver_id": (t.shifts(spark, d), "id", "driver_id", dr.where("id % 37 <> 0"), "id"),
+        "orders.customer_id": (o, "id", "customer_id", t.customers(spark, d).where("id % 101 <> 0"), "id"),
+        "orders.restaurant_id": (o, "id", "restaurant_id", t.restaurants(spark), "id"),
+        "order_items.order_id": (t.order_items(spark, d), "line", "order_id", o.where("id % 211 <> 0"), "id"),
+        "deliveries.order_id": (de, "id", "order_id", o.where("id % 211 <> 0"), "id"),
+        "deliveries.driver_id": (de, "id", "driver_id", dr.where("id % 37 <> 0"), "id"),
+    }
+    found = None
+    for name, (child, id_col, key, parent, parent_key) in keys.items():
+        rows = orders.orphans(child.select(F.col(id_col).cast("long").alias("_id"), key), key, parent, parent_key)
+        rows = rows.select(F.lit(name).alias("reference"), F.col("_id").alias("id"), F.col(key).cast("long").alias("missing"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def zone_rules(spark: SparkSession, d: str) -> DataFrame:
+    return orders.rule_violations(t.zones(spark, d), "id", {"polygon is not blank": F.trim("polygonWkt") != ""})
+
+
+def fact_dims(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries with customer, driver, vehicle and restaurant; a vehicle that is not there leaves nulls."""
+    o = order_rows(spark, d).select(F.col("id").alias("order_id"), "customer_id")
+    named = [df.select(F.col("id").alias(key), F.col(value).alias(name), *more) for df, key, value, name, more in (
+        (t.customers(spark, d), "customer_id", "name", "customer", []), (t.drivers(spark, d), "driver_id", "name", "driver", ["vehicle_id"]),
+        (t.vehicles(spark, d), "vehicle_id", "type", "vehicle", []), (t.restaurants(spark), "restaurant_id", "name", "restaurant", []))]
+    facts = t.deliveries(spark, d).select("order_id", "driver_id", "restaurant_id").join(o, "order_id")
+    facts = facts.join(named[0], "customer_id").join(named[1], "driver_id").join(named[2], "vehicle_id", "left").join(named[3], "restaurant_id")
+    return facts.select("order_id", "customer", "driver", "vehicle", "restaurant")
+
+
+def captured(spark: SparkSession, d: str) -> DataFrame:
+    return cdc.normalise(t.captured_messages(spark, d), schemas.ENVELOPE_ANY)
+
+
+def captured_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of all captured tables by the topic that they are routed to."""
+    rows = captured(spark, d).where("error is null").withColumn("topic", cdc.routed(F.concat(F.lit("fleet.public."), F.col("table"))))
+    return rows.groupBy("topic", "table", "op").agg(F.count("*").alias("n"))
+
+
+def terminal_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    rows = cdc.changes(captured(spark, d)).where("`table` = 'deliveries'").select(F.col("after").getItem("status").alias("status"))
+    return rows.where(F.col("status").isin(*cdc.TERMINAL_DELIVERIES)).groupBy("status").agg(F.count("*").alias("n"))
+
+
 def with_item_text(spark: SparkSession, d: str) -> DataFrame:
     nested = orders.with_items(order_rows(spark, d), t.order_items(spark, d))
     return nested.select("id", "status", F.expr("array_join(transform(items, i -> concat_ws(':', i.line, i.quantity, i.unit_price)), ',')").alias("items"))
@@ -163,16 +317,16 @@ def enriched_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gap_on_delivery(spark: SparkSession, d: str) -> DataFrame:
-    gaps = motion.gps_gaps(valid(spark, d), 90_000).select(F.col("driver_id").alias("g"), "event_ms")
-    busy = (F.col("driver_id") == F.col("g")) & F.col("event_ms").between(F.col("picked_up_ms"), F.coalesce("delivered_ms", F.col("picked_up_ms") + 3_600_000))
-    return t.deliveries(spark, d).join(gaps, busy).select("driver_id", "event_ms").distinct()
+    return orders.gaps_on_delivery(t.deliveries(spark, d), motion.gps_gaps(valid(spark, d), 90_000))
 
 
 def enriched_state(spark: SparkSession, d: str) -> DataFrame:
     zone = fence_events(spark, d).where("fence_id = 4").select("driver_id", "event_ms", F.col("transition").alias("zone_state"), F.lit(None).cast("long").alias("current_order"))
     given = serving.latest(t.deliveries(spark, d).select("driver_id", F.col("assigned_ms").alias("event_ms"), F.col("order_id").alias("current_order")), ["driver_id", "event_ms"], ["current_order"])
-    given = given.withColumn("zone_state", F.lit(None).cast("string"))
-    return motion.enrich_latest(valid(spark, d), zone.unionByName(given), ["zone_state", "current_order"])
+    shift = t.shifts(spark, d)
+    turns = shift.selectExpr("driver_id", "started_ms as event_ms", "'ACTIVE' as shift_status").unionByName(shift.where("ended_ms is not null").selectExpr("driver_id", "ended_ms as event_ms", "status as shift_status"))
+    updates = zone.unionByName(given, allowMissingColumns=True).unionByName(turns, allowMissingColumns=True)
+    return motion.enrich_latest(valid(spark, d), updates, ["zone_state", "current_order", "shift_status"])
 
 
 def joined_orders(spark: SparkSession, d: str) -> DataFrame:
@@ -186,15 +340,33 @@ def legs(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "ingest_validate": valid,
     "dead_letters": dead_letters,
+    "dead_letter_fields": dead_letter_fields,
+    "framed_schema_route": framed,
+    "geofence_events_versioned": lambda s, d: geofence.transitions(valid(s, d), fence_history(s)).select("driver_id", "fence_id", "transition", "lat", "lon", "event_ms"),
+    "zone_lookup_json": zone_lookup,
+    "zones_rejected": zones_rejected,
+    "driver_speed_stats": lambda s, d: motion.speed_stats(valid(s, d)),
+    "sink_speed_windows_replay": speed_windows_twice,
+    "sink_alerts_replay": alerts_twice,
+    "derived_topic_scan": derived_topics,
+    "orders_by_status_with_items": status_with_items,
+    "dq_unique_keys": unique_keys,
+    "dq_foreign_keys": foreign_keys,
+    "dq_zone_rules": zone_rules,
+    "fact_dims_enrich": fact_dims,
+    "cdc_captured_op_counts": captured_counts,
+    "cdc_captured_events": lambda s, d: cdc.business_events(cdc.changes(captured(s, d)).where("`table` in ('deliveries', 'driver_shifts')")),
+    "cdc_surviving_image": lambda s, d: changes(s, d).withColumn("image", cdc.surviving()).select("key", "lsn", "op", "image.status", "image.total_amount", "offset"),
+    "terminal_deliveries": terminal_deliveries,
     "ingest_quality_counts": lambda s, d: ingest.quality_counts(gated(s, d)),
     "ingest_quality_rate_1m": lambda s, d: ingest.quality_rate(gated(s, d)),
     "strict_validity": strict,
     "schema_evolution_union": evolved,
     "legs": lambda s, d: legs(s, d).select("event_id", "driver_id", "leg_ms", round2(F.col("leg_m")).alias("leg_m"), round2(F.col("leg_kph")).alias("leg_kph")),
-    "leg_bearings": lambda s, d: legs(s, d).where("leg_m > 1").select("event_id", round2(F.col("bearing")).alias("bearing")),
+    "leg_bearings": lambda s, d: legs(s, d).where("leg_m > 0").select("event_id", F.round(F.col("bearing"), 1).alias("bearing")),
     "driver_sessions": lambda s, d: motion.session_totals(valid(s, d)),
     "driver_snapshots": snapshots,
-    "impossible_speed_alerts": lambda s, d: motion.impossible_speeds(valid(s, d)).drop("detail").withColumn("leg_kph", round2(F.col("leg_kph"))),
+    "impossible_speed_alerts": lambda s, d: motion.impossible_speeds(valid(s, d)).withColumn("leg_kph", round2(F.col("leg_kph"))),
     "gps_gap_alerts": lambda s, d: motion.gps_gaps(valid(s, d)),
     "speed_window_1m": lambda s, d: motion.speed_windows(valid(s, d)),
     "speed_window_1m_late_split": split_windows,

@@ -19,6 +19,10 @@ def r2(x: str) -> str:
     return f"floor(({x}) * 100 + 0.5) / 100"
 
 
+def r1(x: str) -> str:
+    return f"round({x}, 1)"
+
+
 LOC = f"""
 b AS (SELECT event_id, user_id AS driver_id, value, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k,
         (epoch_us(ts) - 1704067200000000) // 1920000 AS e FROM events),
@@ -132,6 +136,11 @@ def both(body: str, *ctes: str) -> str:
 _snap = "PARTITION BY driver_id, session ORDER BY event_ms, event_id"
 _samples = "event_id, driver_id, event_ms, latitude, longitude, speed_kph, heading_degrees, vehicle_type"
 
+_ALERTS = """SELECT concat_ws(':', 'IMPOSSIBLE_SPEED', driver_id, event_ms) AS alert_id, 'IMPOSSIBLE_SPEED' AS kind, NULL::BIGINT AS order_id, driver_id, event_ms FROM legs WHERE leg_kph > 150
+    UNION ALL SELECT concat_ws(':', 'GPS_GAP', driver_id, event_ms + 120000), 'GPS_GAP', NULL, driver_id, event_ms + 120000
+    FROM (SELECT *, lead(event_ms) OVER (PARTITION BY driver_id ORDER BY event_ms, event_id) AS nxt FROM valid) WHERE nxt IS NULL OR nxt - event_ms > 120000
+    UNION ALL SELECT concat_ws(':', 'ORDER_PICKUP_TIMEOUT', order_id, assigned_ms + 600000), 'ORDER_PICKUP_TIMEOUT', order_id, NULL, assigned_ms + 600000 FROM del WHERE picked_up_ms IS NULL OR picked_up_ms - assigned_ms > 600000"""
+
 SQL: dict[str, str] = {
     "ingest_validate": loc(f"SELECT {_samples}, arrival_ms FROM valid"),
     "dead_letters": loc(
@@ -152,8 +161,8 @@ SQL: dict[str, str] = {
         f"""SELECT event_id, driver_id, leg_ms, {r2('leg_m')} AS leg_m, {r2('leg_kph')} AS leg_kph FROM legs WHERE prev_ms IS NOT NULL"""
     ),
     "leg_bearings": loc(
-        f"""SELECT event_id, {r2("fmod(degrees(atan2(sin(radians(longitude) - radians(prev_lon)) * cos(radians(latitude)), cos(radians(prev_lat)) * sin(radians(latitude)) - sin(radians(prev_lat)) * cos(radians(latitude)) * cos(radians(longitude) - radians(prev_lon)))) + 360.0, 360.0)")} AS bearing
-        FROM legs WHERE prev_ms IS NOT NULL AND leg_m > 1"""
+        f"""SELECT event_id, {r1("fmod(degrees(atan2(sin(radians(longitude) - radians(prev_lon)) * cos(radians(latitude)), cos(radians(prev_lat)) * sin(radians(latitude)) - sin(radians(prev_lat)) * cos(radians(latitude)) * cos(radians(longitude) - radians(prev_lon)))) + 360.0, 360.0)")} AS bearing
+        FROM legs WHERE prev_ms IS NOT NULL AND leg_m > 0"""
     ),
     "driver_sessions": loc("SELECT driver_id, session, min(event_ms) AS start_ms, max(event_ms) AS end_ms, count(*) AS samples FROM sess GROUP BY 1, 2", SESSIONS),
     "driver_snapshots": loc(
@@ -166,10 +175,11 @@ SQL: dict[str, str] = {
         f"sd AS (SELECT *, {dist('a', 'b', 'latitude', 'longitude')} AS m FROM sp)",
     ),
     "impossible_speed_alerts": loc(
-        f"SELECT concat_ws(':', 'IMPOSSIBLE_SPEED', driver_id, event_ms) AS alert_id, 'IMPOSSIBLE_SPEED' AS kind, driver_id, event_ms, {r2('leg_kph')} AS leg_kph FROM legs WHERE leg_kph > 150"
+        f"""SELECT concat_ws(':', 'IMPOSSIBLE_SPEED', driver_id, event_ms) AS alert_id, 'IMPOSSIBLE_SPEED' AS kind, driver_id, event_ms, {r2('leg_kph')} AS leg_kph,
+        CAST(floor(leg_kph + 0.5) AS BIGINT) || ' km/h over ' || ((leg_ms + 50) // 1000) || '.' || ((leg_ms + 50) // 100 % 10) || 's between samples' AS detail FROM legs WHERE leg_kph > 150"""
     ),
     "gps_gap_alerts": loc(
-        """SELECT concat_ws(':', 'GPS_GAP', driver_id, event_ms + 120000) AS alert_id, 'GPS_GAP' AS kind, driver_id, event_ms + 120000 AS event_ms, 'no GPS sample for 120s' AS detail
+        """SELECT concat_ws(':', 'GPS_GAP', driver_id, event_ms + 120000) AS alert_id, 'GPS_GAP' AS kind, driver_id, event_ms + 120000 AS event_ms, 'no GPS sample for 120s (event time)' AS detail
         FROM (SELECT *, lead(event_ms) OVER (PARTITION BY driver_id ORDER BY event_ms, event_id) AS nxt FROM valid) WHERE nxt IS NULL OR nxt - event_ms > 120000"""
     ),
     "speed_window_1m": loc("SELECT * FROM win", windows("valid")),
@@ -185,7 +195,7 @@ SQL: dict[str, str] = {
     ),
     "driver_mean_speed": loc(f"SELECT driver_id, {r2('avg(speed_kph)')} AS mean_speed_kph, count(speed_kph) AS with_speed, count(*) AS processed FROM valid GROUP BY 1"),
     "geofence_membership": loc("SELECT event_id, fence_id, fence_name, fence_type FROM flags WHERE inside"),
-    "geofence_lookup": loc("SELECT event_id, string_agg(fence_id::VARCHAR, ',' ORDER BY fence_id) AS fences FROM flags WHERE inside GROUP BY 1 HAVING count(*) > 1"),
+    "geofence_lookup": loc("SELECT event_id, string_agg(fence_id::VARCHAR, ',' ORDER BY fence_id) AS fences FROM flags WHERE inside GROUP BY 1"),
     "geofence_events": loc("SELECT * FROM fence_events"),
     "geofence_dwell_p95": loc(
         f"""SELECT fence_id, enter_ms - enter_ms % 3600000 AS hour_ms, count(*) AS stays, {r2('quantile_cont(exit_ms - enter_ms, 0.95)')} AS p95_dwell_ms
@@ -273,6 +283,74 @@ SQL: dict[str, str] = {
     ),
     "driver_state_enriched": both(
         """SELECT v.driver_id, v.event_ms, v.event_id, (SELECT arg_max(transition, f.event_ms) FROM fence_events f WHERE f.driver_id = v.driver_id AND f.fence_id = 4 AND f.event_ms <= v.event_ms) AS zone_state,
-        (SELECT arg_max(order_id, (assigned_ms, order_id)) FROM del WHERE del.driver_id = v.driver_id AND assigned_ms <= v.event_ms) AS current_order FROM valid v"""
+        (SELECT arg_max(order_id, (assigned_ms, order_id)) FROM del WHERE del.driver_id = v.driver_id AND assigned_ms <= v.event_ms) AS current_order,
+        (SELECT arg_max(st, at) FROM (SELECT driver_id AS d, started_ms AS at, 'ACTIVE' AS st FROM shift UNION ALL SELECT driver_id, ended_ms, status FROM shift WHERE ended_ms IS NOT NULL) WHERE d = v.driver_id AND at <= v.event_ms) AS shift_status FROM valid v"""
+    ),
+    "dead_letter_fields": loc(
+        """SELECT event_id AS id, CASE WHEN undecodable THEN 'reason,error,topic,partition,offset,rawBase64' ELSE 'reason,driverId,latitude,longitude,eventTime,topic,partition,offset' END AS fields, reason,
+        CASE WHEN undecodable THEN 'not decodable' END AS error, CASE WHEN NOT undecodable THEN driver_id END AS "driverId", CASE WHEN NOT undecodable THEN latitude END AS latitude,
+        CASE WHEN NOT undecodable THEN longitude END AS longitude, CASE WHEN NOT undecodable THEN event_ms END AS "eventTime", 'driver.location' AS topic, CAST(driver_id % 24 AS INT) AS partition,
+        event_id AS "offset", CASE WHEN undecodable THEN base64('\\x00\\xFF'::BLOB || event_id::VARCHAR::BLOB) END AS "rawBase64" FROM gated WHERE reason IS NOT NULL"""
+    ),
+    "geofence_events_versioned": loc(
+        """SELECT driver_id, fence_id, CASE WHEN inside THEN 'ENTER' ELSE 'EXIT' END AS transition, latitude AS lat, longitude AS lon, event_ms FROM (
+        SELECT *, coalesce(lag(inside) OVER (PARTITION BY driver_id, fence_id ORDER BY event_ms, event_id), FALSE) AS was FROM (
+        SELECT v.*, fence_id, longitude > CASE WHEN event_ms >= 1704067800000 + fence_id * 60000 THEN round((x1 + x2) / 2, 4) ELSE x1 END AND longitude < x2 AND latitude > y1 AND latitude < y2 AS inside
+        FROM valid v, fences f)) WHERE inside <> was"""
+    ),
+    "zone_lookup_json": loc(
+        """SELECT event_id, s_suppkey AS fence_id FROM valid, (SELECT s_suppkey, CAST(printf('%.4f', 44.49 + (s_suppkey * 7 % 100) * 0.0005) AS DOUBLE) AS x, CAST(printf('%.4f', 40.165 + (s_suppkey * 13 % 60) * 0.0005) AS DOUBLE) AS y,
+        CAST(printf('%.4f', 44.49 + (s_suppkey * 7 % 100) * 0.0005 + 0.002) AS DOUBLE) AS u, CAST(printf('%.4f', 40.165 + (s_suppkey * 13 % 60) * 0.0005 + 0.002) AS DOUBLE) AS w FROM supplier WHERE s_suppkey % 17 NOT IN (3, 5))
+        WHERE longitude > x AND longitude < u AND latitude > y AND latitude < w"""
+    ),
+    "zones_rejected": "SELECT s_suppkey AS id, 'zone ' || s_suppkey AS name FROM supplier WHERE s_suppkey % 17 IN (3, 5)",
+    "driver_speed_stats": loc("SELECT count(*) AS processed, count(DISTINCT driver_id) FILTER (speed_kph IS NOT NULL) AS drivers_seen FROM valid"),
+    "sink_speed_windows_replay": loc("SELECT * FROM win", windows("valid")),
+    "sink_alerts_replay": both(f"SELECT *, event_ms + 2000 AS ingested_at FROM ({_ALERTS})"),
+    "derived_topic_scan": both(
+        f"""SELECT 'speed.windows' AS topic, driver_id::VARCHAR AS key, window_start || '|' || sample_count AS told FROM win UNION ALL SELECT 'geofence.events', driver_id::VARCHAR, event_id || '|' || transition FROM fence_events
+        UNION ALL SELECT 'alerts', alert_id, kind || '|' || coalesce(order_id::VARCHAR, '-') || '|' || event_ms FROM ({_ALERTS})""",
+        windows("valid"),
+    ),
+    "orders_by_status_with_items": cdc(
+        """SELECT id, customer_id, ord.status, coalesce(string_agg(line || ':' || quantity || ':' || unit_price, ',' ORDER BY line, quantity, unit_price), '') AS items FROM ord LEFT JOIN items ON id = order_id WHERE ord.status = 'P' GROUP BY ALL"""
+    ),
+    "dq_unique_keys": cdc(
+        """SELECT rule, value, count(*) AS n FROM (
+        SELECT 'customers.email' AS rule, 'c' || CASE WHEN c_custkey % 100 = 0 THEN c_custkey - 1 ELSE c_custkey END || '@mail.example' AS value FROM customer
+        UNION ALL SELECT 'vehicles.plate', 'P' || CASE WHEN p_partkey % 200 = 0 THEN p_partkey - 1 ELSE p_partkey END FROM part WHERE p_partkey % 300 <> 7
+        UNION ALL SELECT 'deliveries.order_id', order_id::VARCHAR FROM del UNION ALL SELECT 'deliveries.order_id', order_id::VARCHAR FROM del WHERE order_id % 500 = 3
+        UNION ALL SELECT 'driver_shifts.driver_id active', driver_id::VARCHAR FROM shift WHERE status = 'ACTIVE') GROUP BY ALL HAVING count(*) > 1"""
+    ),
+    "dq_foreign_keys": cdc(
+        """SELECT 'drivers.vehicle_id' AS reference, driver_id AS id, CASE WHEN driver_id % 41 = 0 THEN -driver_id - 1 ELSE driver_id % 97 + 1 END AS missing FROM dr
+            WHERE CASE WHEN driver_id % 41 = 0 THEN -driver_id - 1 ELSE driver_id % 97 + 1 END NOT IN (SELECT p_partkey FROM part)
+        UNION ALL SELECT 'driver_shifts.driver_id', id, driver_id FROM shift WHERE driver_id % 37 = 0
+        UNION ALL SELECT 'orders.customer_id', id, customer_id FROM ord WHERE customer_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 101 <> 0)
+        UNION ALL SELECT 'orders.restaurant_id', id, id % 40 % 4 + 1 FROM ord WHERE id % 40 % 4 + 1 NOT IN (1, 2, 3)
+        UNION ALL SELECT 'order_items.order_id', line, order_id FROM items WHERE order_id NOT IN (SELECT id FROM ord WHERE id % 211 <> 0)
+        UNION ALL SELECT 'deliveries.order_id', id, order_id FROM del WHERE order_id NOT IN (SELECT id FROM ord WHERE id % 211 <> 0)
+        UNION ALL SELECT 'deliveries.driver_id', id, driver_id FROM del WHERE driver_id NOT IN (SELECT driver_id FROM dr WHERE driver_id % 37 <> 0)"""
+    ),
+    "dq_zone_rules": "SELECT s_suppkey AS key, 'polygon is not blank' AS rule FROM supplier WHERE s_suppkey % 17 = 3",
+    "fact_dims_enrich": cdc(
+        """SELECT del.order_id, c_name AS customer, 'driver ' || dr.driver_id AS driver, CASE p_partkey % 3 WHEN 0 THEN 'BICYCLE' WHEN 1 THEN 'SCOOTER' WHEN 2 THEN 'CAR' END AS vehicle,
+        CASE restaurant_id WHEN 1 THEN 'Republic Square pickup' WHEN 2 THEN 'Opera pickup' ELSE 'Cascade pickup' END AS restaurant FROM del JOIN ord ON ord.id = del.order_id JOIN customer ON c_custkey = customer_id
+        JOIN dr USING (driver_id) LEFT JOIN part ON p_partkey = CASE WHEN dr.driver_id % 41 = 0 THEN -dr.driver_id - 1 ELSE dr.driver_id % 97 + 1 END"""
+    ),
+    "cdc_captured_op_counts": cdc(
+        """SELECT 'fleet.' || t || '.cdc' AS topic, t AS "table", op, count(*) AS n FROM (
+        SELECT 'orders' AS t, op FROM ch UNION ALL SELECT 'orders', 'DELETE' FROM trail WHERE i = n AND k % 19 = 0
+        UNION ALL SELECT 'order_items', 'CREATE' FROM items UNION ALL SELECT 'drivers', 'READ' FROM dr
+        UNION ALL SELECT 'driver_shifts', 'CREATE' FROM shift UNION ALL SELECT 'driver_shifts', 'UPDATE' FROM shift WHERE ended_ms IS NOT NULL
+        UNION ALL SELECT 'deliveries', 'CREATE' FROM del UNION ALL SELECT 'deliveries', 'UPDATE' FROM del, range(CASE WHEN delivered_ms IS NULL THEN 2 ELSE 3 END)) GROUP BY ALL"""
+    ),
+    "cdc_captured_events": cdc(
+        """SELECT CAST(id AS VARCHAR) AS key, id * 10 + 1 AS lsn, 'DRIVER_SHIFT_STARTED' AS event_type, started_ms AS event_ms FROM shift
+        UNION ALL SELECT CAST(id AS VARCHAR), id * 10 + 2, 'DRIVER_SHIFT_ENDED', ended_ms FROM shift WHERE ended_ms IS NOT NULL
+        UNION ALL SELECT CAST(id AS VARCHAR), id * 10 + 1, 'DRIVER_ASSIGNED', assigned_ms FROM del UNION ALL SELECT CAST(id AS VARCHAR), id * 10 + 2, 'DRIVER_ARRIVED', picked_up_ms - 30000 FROM del"""
     ),
+    "cdc_surviving_image": cdc("""SELECT CAST(k AS VARCHAR) AS key, lsn, op, CASE WHEN op = 'DELETE' THEN before ELSE status END AS status, CAST(total_amount AS VARCHAR) AS total_amount, off AS "offset" FROM ch"""),
+    "terminal_deliveries": cdc("SELECT CASE WHEN order_id % 29 = 0 THEN 'FAILED' ELSE 'DELIVERED' END AS status, count(*) AS n FROM del WHERE delivered_ms IS NOT NULL GROUP BY 1"),
 }
+SQL["framed_schema_route"] = SQL["schema_evolution_union"]

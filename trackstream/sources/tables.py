@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackstream import schemas
+from trackstream.sources.scratch import scratch as scratch  # noqa: PLC0414
 
 # Four fences as WKT; the first three are restaurants.
 FENCES = [
@@ -26,22 +25,15 @@ NOW_MS = EPOCH_MS + 40 * 86_400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see: under ``spark.checkpoint.dir``, or a local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/trackstream"
-    return f"{root.rstrip('/')}/fleet/{name}-{uuid.uuid4().hex}"
-
-
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GPS samples in the order of ``(arrival_ms, event_id)``, a few of them bad, late or not decodable."""
     e = table(spark, sf_dir, "events").selectExpr(
         "event_id", "user_id as driver_id", "value", "event_type",
         "cast(get_json_object(props, '$.k') as int) as k",
-        "(unix_micros(cast(ts as timestamp)) - 1704067200000000) div 1920000 as e",
+        "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz)) div 1920000 as e",
     )
     p = e.selectExpr("*", f"{EPOCH_MS} + e as event_ms", "40 + (driver_id % 7) * 15 as v")
     return p.selectExpr(
@@ -81,7 +73,7 @@ def order_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each status that an order goes through: k, customer_id, total_amount, n, i, status, before, lsn, ts_ms."""
     o = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey as k", "o_custkey as customer_id", "cast(o_totalprice as decimal(12, 2)) as total_amount",
-        "unix_millis(cast(o_orderdate as timestamp)) as t0",
+        "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(o_orderdate as timestamp_ntz)) div 1000 as t0",
         "case when o_orderkey % 11 = 0 then 3 when o_orderstatus = 'F' then 7 when o_orderstatus = 'P' then 5 else 2 end as n",
     )
     path = ", ".join(f"'{s}'" for s in PATH)
@@ -152,3 +144,68 @@ def shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     second = d.where("driver_id % 50 = 0").selectExpr("driver_id * 10 + 1 as id", "driver_id", "'ACTIVE' as status", f"{EPOCH_MS} + 20000000 as started_ms", "cast(null as long) as ended_ms")
     return first.unionByName(second)
+
+
+def drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drivers with a vehicle each; every forty-first has one that is not there."""
+    d = table(spark, sf_dir, "events").select(F.col("user_id").alias("id")).distinct()
+    return d.selectExpr(
+        "id", "concat('driver ', id) as name", "element_at(array('OFFLINE', 'AVAILABLE', 'ON_DELIVERY'), cast(id % 3 as int) + 1) as status",
+        "if(id % 41 = 0, -id - 1, id % 97 + 1) as vehicle_id",
+    )
+
+
+def vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vehicle for each part; plates repeat for every two hundredth, and a few are unknown."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey as id", "element_at(array('BICYCLE', 'SCOOTER', 'CAR'), cast(p_partkey % 3 as int) + 1) as type",
+        "case when p_partkey % 300 = 7 then null when p_partkey % 200 = 0 then concat('P', p_partkey - 1) else concat('P', p_partkey) end as plate",
+    )
+
+
+def restaurants(spark: SparkSession) -> DataFrame:
+    return fences(spark).where("type = 'RESTAURANT'").select("id", "name")
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with an email each, which every hundredth shares with the one before."""
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey as id", "c_name as name", "concat('c', if(c_custkey % 100 = 0, c_custkey - 1, c_custkey), '@mail.example') as email")
+
+
+def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delivery zone for each supplier: a box, but for some without a text."""
+    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as id", "44.49 + (s_suppkey * 7 % 100) * 0.0005 as x", "40.165 + (s_suppkey * 13 % 60) * 0.0005 as y")
+    box = "concat('POLYGON((', {0}, ' ', {1}, ', ', {2}, ' ', {1}, ', ', {2}, ' ', {3}, ', ', {0}, ' ', {3}, ', ', {0}, ' ', {1}, '))')"
+    at = [f"format_string('%.4f', cast({v} as double))" for v in ("x", "y", "x + 0.002", "y + 0.002")]
+    return s.selectExpr("id", "concat('zone ', id) as name", "'ZONE' as type", f"case id % 17 when 3 then '  ' when 5 then 'not a polygon' else {box.format(*at)} end as polygonWkt")
+
+
+def captured_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change envelopes of all five captured tables on their topics: (topic, key, value, offset)."""
+    source = "named_struct('table', '{}', 'lsn', lsn, 'snapshot', 'false')"
+    envelope = "to_json(named_struct('before', before, 'after', after, 'source', {}, 'op', op, 'ts_ms', ts_ms))"
+
+    def on(rows: DataFrame, name: str) -> DataFrame:
+        value = envelope.format(source.format(name))
+        return rows.selectExpr(f"'fleet.public.{name}' as topic", "key", f"{value} as value", "lsn as offset")
+
+    steps = deliveries(spark, sf_dir).selectExpr(
+        "id", "order_id", "driver_id", "explode(array_compact(array("
+        "named_struct('i', 1, 'was', cast(null as string), 'is', 'DRIVER_ASSIGNED', 'at', assigned_ms), named_struct('i', 2, 'was', 'DRIVER_ASSIGNED', 'is', 'AT_PICKUP', 'at', picked_up_ms - 30000), "
+        "named_struct('i', 3, 'was', 'AT_PICKUP', 'is', 'PICKED_UP', 'at', picked_up_ms), if(delivered_ms is not null, named_struct('i', 4, 'was', 'PICKED_UP', 'is', if(order_id % 29 = 0, 'FAILED', 'DELIVERED'), 'at', delivered_ms), null)))) as s",
+    )
+    image = "map('id', cast(id as string), 'status', {})"
+    delivery = steps.selectExpr(
+        "cast(id as string) as key", f"if(s.i > 1, {image.format('s.was')}, null) as before", f"{image.format('s.is')} as after", "id * 10 + s.i as lsn", "if(s.i = 1, 'c', 'u') as op", "s.at as ts_ms"
+    )
+    shift = shifts(spark, sf_dir).selectExpr("*", "explode(if(ended_ms is null, array(1), array(1, 2))) as i").selectExpr(
+        "cast(id as string) as key", f"if(i = 2, {image.format(chr(39) + 'ACTIVE' + chr(39))}, null) as before", f"{image.format('if(i = 2, status, ' + chr(39) + 'ACTIVE' + chr(39) + ')')} as after",
+        "id * 10 + i as lsn", "if(i = 1, 'c', 'u') as op", "if(i = 1, started_ms, ended_ms) as ts_ms",
+    )
+    none = "cast(null as map<string, string>) as before"
+    driver = drivers(spark, sf_dir).selectExpr("cast(id as string) as key", none, f"{image.format('status')} as after", "id as lsn", "'r' as op", f"{EPOCH_MS} as ts_ms")
+    item = order_items(spark, sf_dir).selectExpr("concat(order_id, '-', line) as key", none, "map('order_id', cast(order_id as string), 'quantity', cast(quantity as string)) as after", "order_id * 10 + line as lsn", "'c' as op", f"{EPOCH_MS} as ts_ms")
+    rows = order_messages(spark, sf_dir).select("topic", "key", "value", "offset")
+    for name, df in (("deliveries", delivery), ("driver_shifts", shift), ("drivers", driver), ("order_items", item)):
+        rows = rows.unionByName(on(df, name))
+    return rows

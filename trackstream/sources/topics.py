@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trackstream import schemas
 
@@ -31,9 +32,29 @@ def avro_rows(rows: DataFrame, schema_json: str, id_: int) -> DataFrame:
     return framed.withColumn("record", from_avro(body, schema_json, {"mode": "PERMISSIVE"}))
 
 
-def fences_json(spark: SparkSession, path: str) -> DataFrame:
-    """Fence definitions from one JSON array; the schema is declared, never inferred."""
-    return spark.read.schema(schemas.FENCE).option("multiLine", True).json(path)
+def framed(rows: DataFrame, id_: int) -> DataFrame:
+    """Rows as registry-framed messages with JSON bodies: a zero byte, the schema's id in four bytes, the record."""
+    head = F.unhex(F.lit(f"00{id_:08x}"))
+    return rows.select(F.concat(head, F.to_json(F.struct("*")).cast("binary")).alias("value"))
+
+
+def framed_rows(rows: DataFrame, schema: str, id_: int) -> DataFrame:
+    """Messages framed with one schema's id, their JSON bodies decoded by it; a body that does not fit gives nulls.
+
+    The same route as ``avro_rows``, for where Spark's Avro package is not there.
+    """
+    body = F.expr(f"substring(value, {FRAME + 1})").cast("string")
+    return schema_id(rows).where(F.col("schema_id") == id_).withColumn("record", F.from_json(body, schema))
+
+
+def topic_scan(messages: DataFrame, topic: str, schema: StructType) -> DataFrame:
+    """Messages of one topic with the fields of their JSON values beside topic and key."""
+    return messages.where(F.col("topic") == topic).select("topic", "key", F.from_json("value", schema).alias("r")).select("topic", "key", "r.*")
+
+
+def fences_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Fence definitions from one JSON array, or from files with one definition a line; the schema is declared."""
+    return spark.read.schema(schemas.FENCE).option("multiLine", multi_line).json(path)
 
 
 def series(spark: SparkSession, path: str, time_col: str, from_ms: int, to_ms: int, slice_ms: int) -> DataFrame:
