@@ -87,21 +87,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def hot_keys(counts: DataFrame, n_col: str) -> DataFrame:
-    """Of a row per key with its number of rows, the keys with more than one in ``HOT_KEYS`` of all: fewer than that."""
-    total = counts.agg(F.sum(n_col)).first()[0] or 0
-    return counts.where(F.col(n_col) > max(64, total // HOT_KEYS))
-
-
 def join_values(rows: DataFrame, values: DataFrame, key: str, n_col: str) -> DataFrame:
     """``rows`` joined with ``values``, one row per key that tells in ``n_col`` how many rows have it.
 
-    The few hot keys (at most ``HOT_KEYS``) are broadcast, so that their rows stay where they are; only the others are
-    dealt by key. Rows without a value, and null keys, are left out.
+    The rows of a key with more than one in ``HOT_KEYS`` of all are dealt over several tasks, in proportion, and its value
+    is repeated for each. There are fewer than ``HOT_KEYS`` such keys, whatever the size, so their list is broadcast; the
+    values are not. Rows without a value, and null keys, are left out.
     """
-    hot = F.broadcast(hot_keys(values, n_col))
-    cold = values.join(hot.select(key), key, "left_anti")
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key)).drop(n_col)
+    total = values.agg(F.sum(n_col)).first()[0] or 0
+    told = values.withColumn("_salts", F.ceil(F.col(n_col) / max(64, total // HOT_KEYS))).drop(n_col)
+    hot = F.broadcast(told.where("_salts > 1").select(key, F.col("_salts").alias("_of")))
+    salt = F.when(F.col("_of").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_of"))).cast("long")
+    dealt = told.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts")
+    return rows.join(hot, key, "left").withColumn("_salt", salt).drop("_of").join(dealt, [key, "_salt"]).drop("_salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

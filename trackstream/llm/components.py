@@ -12,8 +12,8 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node that can be reached.
 
     Labels fall along links and along label pointers in turn, so long chains need few rounds. Every round is cut with
-    ``checkpoint()``. Nodes with very many links, and labels with very many nodes, are joined by broadcast
-    (``join_values``), so no star meets in one task. No edges give no rows; repeated edges and loops change nothing.
+    ``checkpoint()``. The links of nodes that have very many, and the nodes of labels that have very many, are dealt over
+    several tasks (``join_values``), so no star meets in one. No edges give no rows; repeated edges and loops change nothing.
     """
     ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     both = cut(edges.select(ways.alias("e")).select("e.*").where("a != b").distinct())
