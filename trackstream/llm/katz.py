@@ -49,11 +49,14 @@ END = b" "  # stands for the end of a text; no word has white space
 SEED = 42  # Spark's xxhash64
 WIDE = np.int64(1 << 32)  # ids are below 2 ** 31
 UNKNOWN = -1
+#: Passes over the chunks to count n-grams: each moves the n-grams of its share of the partitions, so that this much less
+#: lies on disk at a time; every pass builds the chunks' n-grams anew.
+PASSES = 3
 
-CHUNK = "chunk string, docs array<{id}>, n bigint, words array<bigint>, seen array<int>, codes array<int>, sizes array<int>, learn array<boolean>"
-ASKED = "chunk string, bucket int, hashes array<bigint>, contexts array<array<int>>, runs array<int>, words array<int>, seen array<int>, lower array<int>, values array<double>"
+CHUNK = "chunk string, docs array<{id}>, n bigint, words array<bigint>, seen array<int>, codes_lo array<smallint>, codes_hi array<smallint>, sizes array<int>, learn array<boolean>"
+ASKED = "chunk string, bucket int, hashes array<bigint>, contexts array<array<int>>, runs array<int>, words_lo array<smallint>, words_hi array<smallint>, seen array<int>, lower_lo array<smallint>, lower_hi array<smallint>, values array<double>"
 ANSWERED = (
-    "chunk string, bucket int, counts array<int>, ids array<int>, made array<array<int>>, mass array<double>, stats array<bigint>, "
+    "chunk string, bucket int, counts array<int>, ids_lo array<smallint>, ids_hi array<smallint>, made array<array<int>>, mass array<double>, stats array<bigint>, "
     "hashes array<bigint>, grams array<array<int>>, contexts array<array<int>>"
 )
 SCORED = "doc_id {id}, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -134,7 +137,7 @@ def chunks(docs: DataFrame, train: Column, size: int) -> DataFrame:
             flat = np.concatenate(codes)
             weight = np.repeat(np.array(learn, bool), lengths)
             seen = np.bincount(flat[weight], minlength=len(index)).astype(np.int32)
-            row = {"chunk": f"{part}-{number}", "docs": ids, "n": len(flat), "words": hashes, "seen": seen, "codes": flat}
+            row = {"chunk": f"{part}-{number}", "docs": ids, "n": len(flat), "words": hashes, "seen": seen, **_halves("codes", flat)}
             return _written([row | {"sizes": np.array(lengths), "learn": np.array(learn, bool)}], schema).to_batches()
 
         pending = 0
@@ -191,9 +194,9 @@ class Order:
             for s in range(self.spread[h]):
                 self.wide.setdefault(int((first[h] + s) % parts), []).append(int(h))
 
-    def asked(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def asked(self, share: int = 0, of: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(partition, its n-grams, its contexts): wide contexts are asked for even where no successor is."""
-        for b in range(len(self.ends) - 1):
+        for b in range(share, len(self.ends) - 1, of):
             own = self.order[self.ends[b] : self.ends[b + 1]]
             contexts = np.union1d(self.left[own], np.array(self.wide.get(b, []), np.int64))
             if len(contexts):
@@ -231,7 +234,7 @@ class Chunk:
     """A chunk with the answers that it has so far, order by order."""
 
     def __init__(self, row: dict, answers: list[dict], plan: Plan):
-        self.hashes, self.codes, self.sizes = row["words"], row["codes"].astype(np.int64), row["sizes"].astype(np.int64)
+        self.hashes, self.codes, self.sizes = row["words"], _whole(row, "codes"), row["sizes"].astype(np.int64)
         self.learn = np.repeat(row["learn"], self.sizes)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.plan, self.total, self.orders = plan, plan.unigrams.total, []
@@ -240,7 +243,7 @@ class Chunk:
         for a in answers:
             if a["n"] == 1:
                 own = of == a["bucket"]
-                self.counts[own], self.ids[own] = a["counts"], a["ids"]
+                self.counts[own], self.ids[own] = a["counts"], _whole(a, "ids")
         self.probability = plan.unigrams.probability(self.counts)
         for n in range(2, max(plan.parts) + 1):
             mine = {a["bucket"]: a for a in answers if a["n"] == n}
@@ -290,7 +293,7 @@ def _bucket_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (hashes.view(np.uint64) % np.uint64(parts)).astype(np.int32)
 
 
-_TYPES = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+_TYPES = {"string": pa.string(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
 def _type(ddl: str) -> pa.DataType:
@@ -319,6 +322,15 @@ def _written(rows: list[dict], schema: str) -> pa.Table:
     return pa.table({name: _column([r.get(name) for r in rows], _type(ddl)) for name, ddl in fields})
 
 
+def _halves(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
+    """Numbers below 2 ** 31 as two columns of 16 bits: most upper halves are 0 and cost next to nothing on disk."""
+    return {f"{name}_lo": (values & 0xFFFF).astype(np.uint16).view(np.int16), f"{name}_hi": (values >> 16).astype(np.int16)}
+
+
+def _whole(row: dict, name: str) -> np.ndarray:
+    return row[f"{name}_lo"].view(np.uint16).astype(np.int64) | row[f"{name}_hi"].astype(np.int64) << 16
+
+
 def _value(x: pa.Scalar):
     if not pa.types.is_list(x.type) or x.values is None:
         return x.as_py()
@@ -369,21 +381,22 @@ def answer_words(asked: DataFrame, plan: Plan) -> DataFrame:
         ids[np.argsort(-total, kind="stable")] = np.arange(len(keys)) * parts + bucket
         for a in asks:
             own = place[at : at + len(a["hashes"])]
-            rows.append({"chunk": a["chunk"], "bucket": bucket, "counts": total[own], "ids": ids[own]})
+            rows.append({"chunk": a["chunk"], "bucket": bucket, "counts": total[own], **_halves("ids", ids[own])})
             at += len(own)
-        rows.append({"chunk": "", "bucket": bucket, "hashes": keys, "ids": ids, "counts": total, "stats": _histogram(total)})
+        rows.append({"chunk": "", "bucket": bucket, "hashes": keys, **_halves("ids", ids), "counts": total, "stats": _histogram(total)})
         return _written(rows, ANSWERED)
 
     return asked.groupBy("bucket").applyInArrow(answer, ANSWERED)
 
 
 def _of_chunk(table: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
-    told = answers.where("chunk != ''").select("chunk", "n", "bucket", "counts", "ids", "made", "mass")
+    told = answers.where("chunk != ''").select("chunk", "n", "bucket", "counts", "ids_lo", "ids_hi", "made", "mass")
     return table.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def ask_grams(table: DataFrame, answers: DataFrame, plan: Plan) -> DataFrame:
-    """Each chunk's distinct n-grams of the next order, with what the order below makes of them, by partition of context."""
+def ask_grams(table: DataFrame, answers: DataFrame, plan: Plan, share: int = 0, of: int = 1) -> DataFrame:
+    """Each chunk's distinct n-grams of the next order, with what the order below makes of them, by partition of context;
+    only those of every ``of``-th partition, from ``share`` on."""
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -391,14 +404,14 @@ def ask_grams(table: DataFrame, answers: DataFrame, plan: Plan) -> DataFrame:
             c = Chunk(row, _read(right), plan)
             o = c.asking
             distinct, code = np.unique(c.lower(o), return_inverse=True)
-            for bucket, own, contexts in o.asked():
+            for bucket, own, contexts in o.asked(share, of):
                 runs = np.bincount(np.searchsorted(contexts, o.left[own]), minlength=len(contexts)).astype(np.int32)
                 used, lower = np.unique(code[own], return_inverse=True)
-                more = {"contexts": list(o.keys[contexts].T), "runs": runs, "words": c.ids[o.right[own]].astype(np.int32)}
-                rows.append({"chunk": row["chunk"], "bucket": bucket, **more, "seen": o.seen[own], "lower": lower.astype(np.int32), "values": distinct[used]})
+                more = {"contexts": list(o.keys[contexts].T), "runs": runs, **_halves("words", c.ids[o.right[own]])}
+                rows.append({"chunk": row["chunk"], "bucket": bucket, **more, "seen": o.seen[own], **_halves("lower", lower), "values": distinct[used]})
         return _written(rows, ASKED)
 
-    return _of_chunk(table.select("chunk", "words", "codes", "sizes", "learn"), answers, ask, ASKED)
+    return _of_chunk(table.select("chunk", "words", "codes_lo", "codes_hi", "sizes", "learn"), answers, ask, ASKED)
 
 
 def answer_grams(asked: DataFrame) -> DataFrame:
@@ -412,10 +425,10 @@ def answer_grams(asked: DataFrame) -> DataFrame:
             _, first, code = np.unique(code * WIDE + column, return_index=True, return_inverse=True)
         members, n = [m[first] for m in members], len(first)
         context = np.repeat(code, np.concatenate([a["runs"] for a in asks]))
-        word = np.concatenate([a["words"] for a in asks])
+        word = np.concatenate([_whole(a, "words") for a in asks])
         grams, at, place = np.unique(context * WIDE + word, return_index=True, return_inverse=True)
         total = np.bincount(place, np.concatenate([a["seen"] for a in asks]), len(grams)).astype(np.int64)
-        lower = np.concatenate([a["values"][a["lower"]] for a in asks])[at]
+        lower = np.concatenate([a["values"][_whole(a, "lower")] for a in asks])[at]
         seen = np.flatnonzero(total)
         owner, counts = (grams // WIDE)[seen], total[seen]
         made = [np.bincount(owner[counts == r], minlength=n).astype(np.int64) for r in range(1, GT_K + 1)]
@@ -423,7 +436,7 @@ def answer_grams(asked: DataFrame) -> DataFrame:
         mass = np.bincount(owner, lower[seen], n)
         bucket, rows, i, c = asks[0]["bucket"], [], 0, 0
         for a in asks:
-            own, of = total[place[i : i + len(a["words"])]], code[c : c + len(a["runs"])]
+            own, of = total[place[i : i + len(a["seen"])]], code[c : c + len(a["runs"])]
             rows.append({"chunk": a["chunk"], "bucket": bucket, "counts": own, "made": [m[of] for m in made], "mass": mass[of]})
             i, c = i + len(own), c + len(of)
         table = [*(m[owner] for m in members), (grams % WIDE)[seen]]
@@ -444,8 +457,9 @@ class Model:
 
     def words(self) -> DataFrame:
         """(hash, id, count) of every word; the count is 0 for words outside the training documents."""
-        own = self.tables[1].where("chunk = ''")
-        return own.select(F.inline(F.arrays_zip(F.col("hashes").alias("hash"), F.col("ids").alias("id"), F.col("counts").alias("count")))).toDF("hash", "id", "count")
+        columns = F.arrays_zip("hashes", "ids_lo", "ids_hi", "counts")
+        rows = self.tables[1].where("chunk = ''").select(F.inline(columns)).toDF("hash", "lo", "hi", "count")
+        return rows.select("hash", (F.col("hi").cast("int") * 65536 + F.pmod(F.col("lo").cast("int"), F.lit(65536))).alias("id"), "count")
 
     def grams(self, n: int) -> DataFrame:
         """(w1, ..., wn, count) of every n-gram of the training documents, words by id."""
@@ -484,11 +498,13 @@ def _fit(docs: DataFrame, id_col: str, text_col: str, train: Column, order: int)
     answers = None
     for n in range(1, order + 1):
         if n == 1:
-            made = answer_words(ask_words(table, plan), plan)
+            made = [answer_words(ask_words(table, plan), plan)]
         else:
             plan.parts[n] = parts
-            made = answer_grams(ask_grams(table, answers, plan))
-        tables[n] = materialize(made.withColumn("n", F.lit(n)), f"katz-{n}")
+            made = [answer_grams(ask_grams(table, answers, plan, share, PASSES)) for share in range(PASSES)]
+        for share in made:
+            one = materialize(share.withColumn("n", F.lit(n)), f"katz-{n}")
+            tables[n] = tables[n].unionByName(one) if n in tables else one
         answers = tables[n] if answers is None else answers.unionByName(tables[n])
         total, distinct, *counts = _sums(tables[n])
         if n == 1:
