@@ -1,5 +1,9 @@
 """Single operators on literal rows."""
 
+import base64
+import random
+import re
+
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -8,6 +12,8 @@ from trackstream import schemas
 from trackstream.functions import geo, ids
 from trackstream.operators import cdc, geofence, ingest, motion, orders, serving, sinks
 from trackstream.sources import tables, topics
+from trackstream.sources.scratch import scratch
+from trackstream.streaming import jobs
 
 T0 = 1_800_000_000_000
 
@@ -39,7 +45,7 @@ def test_impossible_speed(spark, lat, lon, ms, alerts):
 
 def test_gap_at_the_end_of_input(spark):
     (gap,) = motion.gps_gaps(samples(spark, [(7, 40.1776, 44.5126, T0)])).collect()
-    assert gap.event_ms == T0 + 120_000 and gap.alert_id == f"GPS_GAP:7:{T0 + 120_000}" and gap.detail == "no GPS sample for 120s"
+    assert gap.event_ms == T0 + 120_000 and gap.alert_id == f"GPS_GAP:7:{T0 + 120_000}" and gap.detail == "no GPS sample for 120s (event time)"
 
 
 def test_window_takes_samples_out_of_order(spark):
@@ -213,3 +219,123 @@ def test_state_enriched_and_versions_as_of(spark):
     updates = spark.createDataFrame([(7, T0 + 5, "BUSY")], "driver_id long, event_ms long, shift string")
     got = {r.event_ms - T0: r["shift"] for r in motion.enrich_latest(given, updates, ["shift"]).collect()}
     assert got == {0: None, 10: "BUSY"}
+
+
+def test_first_write_wins_by_order(spark, tmp_path):
+    rows = spark.createDataFrame([(1, T0, 3), (1, T0, 1), (1, T0, 2)], "driver_id long, event_ms long, event_id long")
+    sinks.insert_ignore(rows, f"{tmp_path}/i", ["driver_id", "event_ms"], "event_ms", by=["event_id"])
+    sinks.insert_ignore(rows.withColumn("event_id", F.lit(0).cast("long")), f"{tmp_path}/i", ["driver_id", "event_ms"], "event_ms")
+    assert [r.event_id for r in spark.read.parquet(f"{tmp_path}/i").collect()] == [1]
+
+
+def test_upsert_keeps_state_over_gaps(spark, tmp_path):
+    def batch(*rows):
+        return spark.createDataFrame(list(rows), "k long, at long")
+
+    sinks.upsert_latest(batch((1, 5)), f"{tmp_path}/u", ["k"], ["at"], 2)
+    last = sinks.upsert_latest(batch((2, 1)), f"{tmp_path}/u", ["k"], ["at"], 7)
+    assert sorted(spark.read.parquet(last).collect()) == [(1, 5), (2, 1)]
+    again = sinks.upsert_latest(batch((2, 1)), f"{tmp_path}/u", ["k"], ["at"], 7)
+    assert sorted(spark.read.parquet(again).collect()) == [(1, 5), (2, 1)]
+    with pytest.raises(ValueError, match="no state to start from"):
+        sinks.upsert_latest(batch((9, 9)), f"{tmp_path}/u", ["k"], ["at"], 1)
+
+
+def test_facts_read_only_their_dates(spark, tmp_path):
+    facts = spark.createDataFrame([("a", 1, 1), ("a", 2, 1), ("b", 1, 2)], "event_id string, v int, day int")
+    for _ in range(2):
+        sinks.merge_facts(facts, f"{tmp_path}/f", "event_id", "day", by=["v"])
+    assert sorted(spark.read.parquet(f"{tmp_path}/f").select("event_id", "v", "day").collect()) == [("a", 1, 1), ("b", 1, 2)]
+
+
+def test_alerts_with_and_without_ids(spark, tmp_path):
+    alerts = spark.createDataFrame([("A:1:1", "A", None, 1, T0), ("B:2:1", "B", 2, None, T0)], "alert_id string, kind string, order_id long, driver_id long, event_ms long")
+    for k in (1, 2):
+        sinks.append_versions(alerts.withColumn("ingested_at", F.lit(k)), f"{tmp_path}/a", "event_ms", 30 * sinks.DAY_MS)
+    got = serving.newest_version(spark.read.parquet(f"{tmp_path}/a"), "alert_id", "ingested_at").orderBy("alert_id").collect()
+    assert [(r.order_id, r.driver_id, r.ingested_at) for r in got] == [(None, 1, 2), (2, None, 2)]
+
+
+def test_database_table_there_and_back(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = spark.createDataFrame([(i, i * 0.5) for i in range(1200)], "id long, v double")
+    sinks.to_jdbc(rows, url, "facts", **driver)
+    got = topics.jdbc(spark, url, "facts", "ID", 0, 1200, 4, **driver)
+    assert got.rdd.getNumPartitions() == 4 and sorted(tuple(r) for r in got.collect()) == [(i, i * 0.5) for i in range(1200)]
+
+
+def test_framed_records_by_schema(spark):
+    old = spark.createDataFrame([(1, 7, T0, 40.0, 44.0)], schemas.LOCATION_V1)
+    new = spark.createDataFrame([(2, 7, T0, 40.0, 44.0, 5.0, 10, "CAR")], schemas.LOCATION)
+    rows = topics.framed(old, 1).unionByName(topics.framed(new, 2)).unionByName(spark.createDataFrame([(b"\x00\x00\x00\x00\x02junk",), (b"bare",)], "value binary"))
+    assert [r.record.event_id for r in topics.framed_rows(rows, schemas.LOCATION_V1, 1).collect()] == [1]
+    assert [r.record.event_id if r.record else None for r in topics.framed_rows(rows, schemas.LOCATION, 2).collect()] == [2, None]
+
+
+def test_long_bytes_are_cut(spark):
+    rows = spark.createDataFrame([(b"\x01" * 1000, "t", 0, 1, T0)], "value binary, topic string, partition int, offset long, timestamp long")
+    (r,) = ingest.decode(rows).collect()
+    assert base64.b64decode(r.raw_base64) == b"\x01" * 256
+
+
+def test_alert_texts(spark):
+    (fast,) = motion.impossible_speeds(samples(spark, [(7, 40.1776, 44.5126, T0), (7, 40.3, 44.7, T0 + 5000)])).collect()
+    assert re.fullmatch(r"\d+ km/h over 5\.0s between samples", fast.detail)
+    (gap,) = motion.gps_gaps(samples(spark, [(7, 40.1776, 44.5126, T0)])).collect()
+    assert gap.detail == "no GPS sample for 120s (event time)"
+
+
+@pytest.mark.parametrize("bucket", [7, 1000, 10**9])
+def test_spans_meet_events(spark, bucket):
+    rng = random.Random(bucket)
+    spans = [(i, rng.randrange(3), low, low + rng.randrange(-5, 60) if rng.random() < 0.9 else None) for i, low in enumerate(rng.randrange(200) for _ in range(60))]
+    events = [(rng.randrange(3), rng.randrange(250)) for _ in range(120)]
+    a, b = spark.createDataFrame(spans, "id int, k int, low long, high long"), spark.createDataFrame(events, "k int, at long")
+    got = sorted((r.id, r["at"]) for r in orders.within(a, "low", "high", b, "at", ["k"], bucket).collect())
+    assert got == sorted((i, t) for i, k, low, high in spans for j, t in events if j == k and high is not None and low <= t <= high)
+
+
+def test_slices_follow_the_rows(spark):
+    def slices(n, rows):
+        given = samples(spark, [(7, 40.0, 44.0, T0 + (i % 10 if i % 2 else i * 50)) for i in range(n)])  # half of it in one burst
+        return motion.arrival_slices(given, rows).groupBy("slice").count().collect()
+
+    few, many = slices(400, 50), slices(1600, 50)
+    assert len(few) >= 5 and len(many) >= 2 * len(few)
+    order = motion.arrival_slices(samples(spark, [(7, 40.0, 44.0, T0 + i * i) for i in range(300)]), 20).orderBy("arrival_ms").collect()
+    assert [r["slice"] for r in order] == sorted(r["slice"] for r in order)
+
+
+def test_versions_of_a_busy_fence(spark):
+    events = spark.createDataFrame([(i, 1 + (i > 90), T0 + i) for i in range(100)] + [(200, 9, T0)], "event_id long, fence_id long, event_ms long")
+    versions = spark.createDataFrame([(1, T0, "a"), (1, T0 + 50, "b"), (2, T0 + 95, "c")], "fence_id long, valid_from long, name string")
+    for limit in (100, 0):
+        got = {r.event_id: r.name for r in geofence.as_of(events, versions, "fence_id", ["name"], limit).collect()}
+        assert got == {i: ("b" if i >= 50 else "a") if i <= 90 else ("c" if i >= 95 else None) for i in range(100)} | {200: None}
+
+
+def test_new_shape_of_a_fence_keeps_who_was_inside(spark):
+    box = "POLYGON(({0} 0, {1} 0, {1} 9, {0} 9, {0} 0))"
+    fences = spark.createDataFrame([(1, "f", "ZONE", box.format(0, 9), 0, T0 + 15), (1, "f", "ZONE", box.format(5, 9), T0 + 15, None)], schemas.FENCE + ", valid_from long, valid_to long")
+    path = [(7, 4.0, 7.0, T0), (7, 4.0, 7.0, T0 + 20), (7, 4.0, 2.0, T0 + 30), (8, 4.0, 2.0, T0), (8, 4.0, 2.0, T0 + 20)]
+    got = [(e.driver_id, e.transition, e.event_ms - T0) for e in geofence.transitions(samples(spark, path), fences).orderBy("driver_id", "event_ms").collect()]
+    assert got == [(7, "ENTER", 0), (7, "EXIT", 30), (8, "ENTER", 0), (8, "EXIT", 20)]
+
+
+def test_replay_writes_many_files_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "FILE_ROWS", 300)
+    rows = spark.range(3000).selectExpr("id", "id div 1000 as chunk")
+    replayed = jobs.replay(rows, "chunk", spark.range(1).selectExpr("id"))
+    assert (replayed.files, replayed.rows) == (4, 3000)
+    seen = []
+    query = replayed.stream.writeStream.foreachBatch(lambda b, n: seen.append(sorted(r.id // 1000 for r in b.collect()))).option("checkpointLocation", scratch(spark, "p")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [set(s) for s in seen] == [{0}, {1}, {2}, {0}] and [len(s) for s in seen] == [1000, 1000, 1000, 1]
+
+
+def test_an_idle_source_holds_nothing_back(spark):
+    with jobs.stateful(spark, 10, idle=True):
+        assert spark.conf.get("spark.sql.streaming.multipleWatermarkPolicy") == "max"
+    with jobs.stateful(spark, 10):
+        assert spark.conf.get("spark.sql.streaming.multipleWatermarkPolicy") == "min"
+    assert spark.conf.get("spark.sql.streaming.multipleWatermarkPolicy") == "min"

@@ -284,7 +284,7 @@ SQL: dict[str, str] = {
     "driver_state_enriched": both(
         """SELECT v.driver_id, v.event_ms, v.event_id, (SELECT arg_max(transition, f.event_ms) FROM fence_events f WHERE f.driver_id = v.driver_id AND f.fence_id = 4 AND f.event_ms <= v.event_ms) AS zone_state,
         (SELECT arg_max(order_id, (assigned_ms, order_id)) FROM del WHERE del.driver_id = v.driver_id AND assigned_ms <= v.event_ms) AS current_order,
-        (SELECT arg_max(st, at) FROM (SELECT driver_id AS d, started_ms AS at, 'ACTIVE' AS st FROM shift UNION ALL SELECT driver_id, ended_ms, status FROM shift WHERE ended_ms IS NOT NULL) WHERE d = v.driver_id AND at <= v.event_ms) AS shift_status FROM valid v"""
+        (SELECT arg_max(st, since) FROM (SELECT driver_id AS d, started_ms AS since, 'ACTIVE' AS st FROM shift UNION ALL SELECT driver_id, ended_ms, status FROM shift WHERE ended_ms IS NOT NULL) WHERE d = v.driver_id AND since <= v.event_ms) AS shift_status FROM valid v"""
     ),
     "dead_letter_fields": loc(
         """SELECT event_id AS id, CASE WHEN undecodable THEN 'reason,error,topic,partition,offset,rawBase64' ELSE 'reason,driverId,latitude,longitude,eventTime,topic,partition,offset' END AS fields, reason,

@@ -63,7 +63,7 @@ def series(spark: SparkSession, path: str, time_col: str, from_ms: int, to_ms: i
     return rows.where(F.col("slice").between(from_ms // slice_ms, (to_ms - 1) // slice_ms) & (F.col(time_col) >= from_ms) & (F.col(time_col) < to_ms))
 
 
-def jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int) -> DataFrame:
+def jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
     """A database table, read in ``parts`` ranges of a numeric key."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
     return reader.option("partitionColumn", key).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts).load()

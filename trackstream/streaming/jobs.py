@@ -4,22 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackstream.functions import geo
 from trackstream.operators import geofence
-from trackstream.sources.tables import scratch
+from trackstream.sources.scratch import scratch, written
 from trackstream.streaming import processors as p
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Rows of a replayed chunk for each file, and of a replay for each state partition, about.
+FILE_ROWS, STATE_ROWS = 20_000, 200_000
+
+
 @contextmanager
-def stateful(spark: SparkSession, partitions: int) -> Iterator[None]:
-    """State in RocksDB, dealt over ``partitions`` (a query keeps both from its first start on)."""
-    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.shuffle.partitions": str(partitions)}
+def stateful(spark: SparkSession, rows: int, idle: bool = False) -> Iterator[None]:
+    """State in RocksDB, dealt over partitions by the number of rows to come (a query keeps both from its first start on).
+
+    With ``idle``, the watermark of a query with several sources follows the source that is furthest ahead, so that one
+    without new rows holds nothing back; rows of the others that are behind it are late then.
+    """
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.shuffle.partitions": str(max(4, -(-rows // STATE_ROWS))),
+        "spark.sql.streaming.multipleWatermarkPolicy": "max" if idle else "min",
+    }
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -30,13 +43,30 @@ def stateful(spark: SparkSession, partitions: int) -> Iterator[None]:
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def replay(rows: DataFrame, chunk_col: str, chunks: int, last: DataFrame | None = None) -> DataFrame:
-    """A file stream that brings ``rows`` one chunk a micro-batch, and ``last`` after them all."""
+@dataclass
+class Replay:
+    """A file stream that brings one chunk a micro-batch, and how many rows there are in all."""
+
+    stream: DataFrame
+    rows: int
+    files: int
+
+
+def replay(rows: DataFrame, chunk_col: str, last: DataFrame | None = None) -> Replay:
+    """``rows`` as a stream of their chunks in order, each written as as many files as its size asks for; ``last`` after all.
+
+    Every chunk has the same number of files, which is what a micro-batch takes. The rows are computed once.
+    """
     spark, path = rows.sparkSession, scratch(rows.sparkSession, "stream")
-    parts = [rows.where(F.col(chunk_col) == i).drop(chunk_col) for i in range(chunks)] + ([last] if last is not None else [])
+    rows = written(rows, "replay")
+    sizes = {r[0]: r[1] for r in rows.groupBy(chunk_col).count().collect()}  # a handful of chunks
+    least = min(sizes.values(), default=0)
+    files = max(1, min(-(-max(sizes.values(), default=0) // FILE_ROWS), least // 100))  # so that no file stays empty
+    parts = [rows.where(F.col(chunk_col) == i).drop(chunk_col) for i in sorted(sizes)] + ([last] if last is not None else [])
     for part in parts:  # files are taken in the order in which they were written
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.repartition(1 if part is last else files).write.mode("append").parquet(path)
+    schema = rows.drop(chunk_col).schema
+    return Replay(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path), sum(sizes.values()), files)
 
 
 def kafka(spark: SparkSession, servers: str, topics: str) -> DataFrame:
@@ -103,11 +133,21 @@ def pickup_timeouts(events: DataFrame, timeout_ms: int, delay: str = "5 seconds"
 
 
 def active_drivers(samples: DataFrame, delay: str = "5 seconds", size: str = "30 seconds", slide: str = "10 seconds") -> DataFrame:
-    """Approximate number of distinct drivers over sliding windows (exact distinct counts have no streaming form)."""
-    w = timed(samples, delay).groupBy(F.window("event_time", size, slide)).agg(F.approx_count_distinct("driver_id", 0.01).alias("drivers"))
+    """Approximate number of distinct drivers over sliding windows (exact distinct counts have no streaming form).
+
+    Samples of driver -1 only move the watermark.
+    """
+    driver = F.when(F.col("driver_id") != -1, F.col("driver_id"))  # no filter, which would be pushed below the watermark
+    w = timed(samples, delay).groupBy(F.window("event_time", size, slide)).agg(F.approx_count_distinct(driver, 0.01).alias("drivers")).where("drivers > 0")
     return w.select(F.unix_millis("window.start").alias("window_start"), "drivers")
 
 
+def sessions(samples: DataFrame, gap: str = "120 seconds", delay: str = "5 seconds") -> DataFrame:
+    """Closed sessions of each driver: start, time of the last sample, samples. Native session windows."""
+    w = timed(samples, delay).groupBy("driver_id", F.session_window("event_time", gap)).agg(F.count("*").alias("samples"), F.min("event_ms").alias("start_ms"), F.max("event_ms").alias("end_ms"))
+    return w.select("driver_id", "start_ms", "end_ms", "samples")
+
+
 def interval_join(deliveries: DataFrame, events: DataFrame, delay: str = "5 seconds", reach: str = "2 hours") -> DataFrame:
     """Fence events within a delivery's time, both sides as streams (event_ms, driver_id on each)."""
     d = deliveries.withColumn("d_time", F.timestamp_millis("event_ms")).withWatermark("d_time", delay).withColumnRenamed("driver_id", "d").drop("event_ms")

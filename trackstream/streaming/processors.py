@@ -6,7 +6,6 @@ therefore sorts its rows and looks first whether a deadline lies before the row
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator
 from typing import Any
@@ -58,31 +57,31 @@ class SpeedWindows(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.windows = handle.getMapState("windows", "start long", "samples string")
+        self.samples = handle.getMapState("samples", "start long, event_ms long, event_id long", "lat double, lon double")
 
     def _business(self, timers: Any) -> float:
         now = timers.getCurrentWatermarkInMs()
         return now + self.horizon - self.bound - 1 if now > 0 else -math.inf
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        watermark, fresh = self._business(timerValues), {}
+        watermark, open_ = self._business(timerValues), set()
         for r in _in_event_order(rows):
             start = r.event_ms - r.event_ms % self.size
             if start + self.size - 1 <= watermark:
                 yield self.row("late", key[0], start, start + self.size, None, None, None, None, r.event_id, r.event_ms)
             else:
-                fresh.setdefault(start, []).append([r.event_ms, r.event_id, r.latitude, r.longitude])
-        for start, samples in fresh.items():
-            known = json.loads(self.windows.getValue((start,))[0]) if self.windows.containsKey((start,)) else []
-            self.windows.updateValue((start,), (json.dumps(known + samples),))
+                self.samples.updateValue((start, r.event_ms, r.event_id), (r.latitude, r.longitude))
+                open_.add(start)
+        for start in open_:
             self.handle.registerTimer(start + self.size + self.bound - self.horizon)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         start = expiredTimerInfo.getExpiryTimeInMs() - self.size - self.bound + self.horizon
-        if not self.windows.containsKey((start,)):
+        samples = sorted((*k[1:], *v) for k, v in self.samples.iterator() if k[0] == start)
+        for s in samples:
+            self.samples.removeKey((start, *s[:2]))
+        if not samples:
             return
-        samples = sorted(json.loads(self.windows.getValue((start,))[0]))
-        self.windows.removeKey((start,))
         total = top = 0.0
         moved = 0
         for a, b in zip(samples, samples[1:], strict=False):
@@ -96,30 +95,36 @@ class SpeedWindows(StatefulProcessor):
 
 
 class DriverState(StatefulProcessor):
-    """Snapshots after each sample, impossible-speed alerts, and gap alerts that also end the state."""
+    """Snapshots after each sample, impossible-speed alerts, and gap alerts that also end the state.
+
+    With ``gap_ms`` None there are no gap alerts, and the state of a driver ends ``ttl_ms`` of event time after its last
+    sample, if that is given. A timer does this, as the engine's own time to live knows processing time only.
+    """
 
     OUT = (
         "kind string, driver_id long, event_id long, event_ms long, lat double, lon double, prev_lat double, prev_lon double, "
         "reported_speed_kph double, derived_speed_kph double, heading int, vehicle_type string, trip_distance_m double, sample_count long"
     )
 
-    def __init__(self, gap_ms: int = GAP_MS, max_kph: float = MAX_KPH, ttl_ms: int | None = None):
+    def __init__(self, gap_ms: int | None = GAP_MS, max_kph: float = MAX_KPH, ttl_ms: int | None = None):
         self.row = _shape(self.OUT)
         self.gap, self.max_kph, self.ttl = gap_ms, max_kph, ttl_ms
+        self.life = min((x for x in (gap_ms, ttl_ms) if x is not None), default=None)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         fields = "event_ms long, lat double, lon double, speed double, heading int, metres double, n long"
-        self.last = handle.getValueState("last", fields, self.ttl) if self.ttl else handle.getValueState("last", fields)
+        self.last = handle.getValueState("last", fields)
 
-    def _gap(self, key: Any, last_ms: int) -> Row:
-        return self.row("GPS_GAP", key[0], None, last_ms + self.gap, *[None] * 10)
+    def _ended(self, key: Any, last_ms: int) -> Iterator[Row]:
+        if self.life == self.gap:
+            yield self.row("GPS_GAP", key[0], None, last_ms + self.gap, *[None] * 10)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         last = tuple(self.last.get()) if self.last.exists() else None
         for r in _in_event_order(rows):
-            if last and r.event_ms - last[0] > self.gap:  # its timer has not fired yet
-                yield self._gap(key, last[0])
+            if last and self.life is not None and r.event_ms - last[0] > self.life:  # its timer has not fired yet
+                yield from self._ended(key, last[0])
                 last = None
             kph, m = None, 0.0
             if last:
@@ -136,11 +141,12 @@ class DriverState(StatefulProcessor):
             self.last.update(last)
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            self.handle.registerTimer(last[0] + self.gap + 1)
+            if self.life is not None:
+                self.handle.registerTimer(last[0] + self.life + 1)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         if self.last.exists():
-            yield self._gap(key, self.last.get()[0])
+            yield from self._ended(key, self.last.get()[0])
             self.last.clear()
 
 

@@ -13,25 +13,30 @@ from trackstream.streaming import jobs
 
 #: Micro-batches of a replay, and how much time each brings.
 CHUNKS, CHUNK_MS = 5, 300_000
-PARTITIONS = 4
+#: A time to live short enough to end states within the tables' time.
+TTL_MS = 60_000
 
 
 def _valid(spark: SparkSession, d: str) -> DataFrame:
     return ingest.valid(ingest.gate(ingest.decode(t.location_messages(spark, d))))
 
 
-def _stream(spark: SparkSession, d: str, by: str, columns: list[str] | None = None) -> DataFrame:
+def _stream(spark: SparkSession, d: str, by: str) -> jobs.Replay:
     """Valid samples as a stream, ordered in chunks of ``by``; a sample of driver -1 far ahead flushes what is open."""
     rows = _valid(spark, d)
     chunk = F.least(F.lit(CHUNKS - 1), F.floor((F.col(by) - t.EPOCH_MS) / CHUNK_MS))
     end = spark.range(1).select(*[(F.lit(-1).cast("long") if c in ("driver_id", "event_id") else F.lit(t.NOW_MS) if c.endswith("_ms") else F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
     end = end.withColumns({"latitude": F.lit(0.0), "longitude": F.lit(0.0)})
-    return jobs.replay(rows.withColumn("chunk", chunk), "chunk", CHUNKS, end.select(rows.columns))
+    return jobs.replay(rows.withColumn("chunk", chunk), "chunk", end.select(rows.columns))
+
+
+def _run(spark: SparkSession, replayed: jobs.Replay, job, mode: str = "append") -> DataFrame:
+    with jobs.stateful(spark, replayed.rows):
+        return jobs.drained(job(replayed.stream), mode)
 
 
 def _tagged_windows(spark: SparkSession, d: str) -> DataFrame:
-    with jobs.stateful(spark, PARTITIONS):
-        return jobs.drained(jobs.speed_windows(_stream(spark, d, "arrival_ms"))).where("driver_id >= 0")
+    return _run(spark, _stream(spark, d, "arrival_ms"), jobs.speed_windows).where("driver_id >= 0")
 
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -43,26 +48,42 @@ def stream_late(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_state(spark: SparkSession, d: str) -> DataFrame:
-    with jobs.stateful(spark, PARTITIONS):
-        told = jobs.drained(jobs.driver_state(_stream(spark, d, "event_ms")))
-    return told.where("kind = 'snapshot' and driver_id >= 0").drop("kind")
+    return _run(spark, _stream(spark, d, "event_ms"), jobs.driver_state).where("kind = 'snapshot' and driver_id >= 0").drop("kind")
+
+
+def stream_state_ttl(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots whose state ends by its time to live, without alerts."""
+    told = _run(spark, _stream(spark, d, "event_ms"), lambda s: jobs.driver_state(s, gap_ms=None, ttl_ms=TTL_MS)).where("driver_id >= 0")
+    return told.where("kind in ('snapshot', 'GPS_GAP')").drop("kind")
 
 
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
-    with jobs.stateful(spark, PARTITIONS):
-        told = jobs.drained(jobs.driver_state(_stream(spark, d, "event_ms")))
-    alerts = told.where("kind <> 'snapshot' and driver_id >= 0")
+    alerts = _run(spark, _stream(spark, d, "event_ms"), jobs.driver_state).where("kind <> 'snapshot' and driver_id >= 0")
     return alerts.select(alert_id(F.col("kind"), F.col("driver_id"), F.col("event_ms")).alias("alert_id"), "kind", "driver_id", "event_ms")
 
 
 def stream_fences(spark: SparkSession, d: str) -> DataFrame:
-    with jobs.stateful(spark, PARTITIONS):
-        return jobs.drained(jobs.fence_transitions(_stream(spark, d, "event_ms"), t.fences(spark))).where("driver_id >= 0")
+    return _run(spark, _stream(spark, d, "event_ms"), lambda s: jobs.fence_transitions(s, t.fences(spark))).where("driver_id >= 0")
 
 
 def stream_mean_speed(spark: SparkSession, d: str) -> DataFrame:
-    with jobs.stateful(spark, PARTITIONS):
-        return jobs.drained(motion.mean_speeds(_stream(spark, d, "arrival_ms")), "complete").where("driver_id >= 0")
+    return _run(spark, _stream(spark, d, "arrival_ms"), motion.mean_speeds, "complete").where("driver_id >= 0")
+
+
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return _run(spark, _stream(spark, d, "event_ms"), jobs.sessions).where("driver_id >= 0")
+
+
+def stream_dead_letters(spark: SparkSession, d: str) -> DataFrame:
+    """One gate in a stream, two sinks: what each of them holds, row by row."""
+    rows = t.location_messages(spark, d)
+    chunk = F.least(F.lit(CHUNKS - 1), F.floor((F.col("timestamp") - t.EPOCH_MS) / CHUNK_MS))
+    stream = ingest.gate(ingest.decode(jobs.replay(rows.withColumn("chunk", chunk), "chunk").stream))
+    good, bad = t.scratch(spark, "valid"), t.scratch(spark, "letters")
+    write = sinks.each_batch(lambda b: sinks.split_letters(b, good, bad))
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", t.scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    letters = spark.read.parquet(bad).select("offset", F.lit("dead letter").alias("sink"), "reason")
+    return letters.unionByName(spark.read.parquet(good).select(F.col("event_id").alias("offset"), F.lit("valid").alias("sink"), F.lit(None).cast("string").alias("reason")))
 
 
 def stream_pickup_timeouts(spark: SparkSession, d: str) -> DataFrame:
@@ -71,15 +92,14 @@ def stream_pickup_timeouts(spark: SparkSession, d: str) -> DataFrame:
     picked = rows.select("order_id", "driver_id", F.lit("PICKED_UP").alias("kind"), F.col("picked_up_ms").alias("event_ms"))
     events = assigned.unionByName(picked).withColumn("chunk", F.least(F.lit(3), F.floor((F.col("event_ms") - t.EPOCH_MS) / 600_000)))
     end = spark.range(1).select(F.lit(-1).cast("long").alias("order_id"), F.lit(-1).cast("long").alias("driver_id"), F.lit("END").alias("kind"), F.lit(t.NOW_MS).alias("event_ms"))
-    with jobs.stateful(spark, PARTITIONS):
-        late = jobs.drained(jobs.pickup_timeouts(jobs.replay(events, "chunk", 4, end), orders.PICKUP_TIMEOUT_MS))
+    late = _run(spark, jobs.replay(events, "chunk", end), lambda s: jobs.pickup_timeouts(s, orders.PICKUP_TIMEOUT_MS))
     return late.select(F.concat_ws(":", F.lit("ORDER_PICKUP_TIMEOUT"), "order_id", "event_ms").alias("alert_id"), "order_id", "driver_id", "event_ms")
 
 
 def stream_sink(spark: SparkSession, d: str) -> DataFrame:
     """Insert-ignore from ``foreachBatch``; the stream brings every sample twice."""
     path = t.scratch(spark, "stream-sink")
-    rows = _stream(spark, d, "arrival_ms").where("driver_id >= 0").select("driver_id", "event_ms", "event_id")
+    rows = _stream(spark, d, "arrival_ms").stream.where("driver_id >= 0").select("driver_id", "event_ms", "event_id")
     write = sinks.each_batch(lambda b: sinks.insert_ignore(b.unionByName(b), path, ["driver_id", "event_ms"], "event_ms"))
     for _ in range(2):  # a second run without its checkpoint replays everything
         rows.writeStream.foreachBatch(write).option("checkpointLocation", t.scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
@@ -93,7 +113,7 @@ def stream_latest(spark: SparkSession, d: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         last[:] = [sinks.upsert_latest(batch, folder, ["driver_id"], ["event_ms", "event_id"], number + 1)]
 
-    rows = _stream(spark, d, "arrival_ms").where("driver_id >= 0").select("driver_id", "event_ms", "event_id", "latitude", "longitude")
+    rows = _stream(spark, d, "arrival_ms").stream.where("driver_id >= 0").select("driver_id", "event_ms", "event_id", "latitude", "longitude")
     rows.writeStream.foreachBatch(write).option("checkpointLocation", t.scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(last[0])
 
@@ -102,25 +122,28 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Exact replays dropped within the watermark."""
     twice = _valid(spark, d).select("event_id", "driver_id", "event_ms", "arrival_ms", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
     chunk = F.least(F.lit(CHUNKS - 1), F.floor((F.col("arrival_ms") - t.EPOCH_MS) / CHUNK_MS))
-    stream = jobs.timed(jobs.replay(twice.withColumn("chunk", chunk).drop("copy"), "chunk", CHUNKS), "10 minutes")
-    with jobs.stateful(spark, PARTITIONS):
-        return jobs.drained(stream.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "driver_id", "event_ms"))
+    replayed = jobs.replay(twice.withColumn("chunk", chunk).drop("copy"), "chunk")
+    return _run(spark, replayed, lambda s: jobs.timed(s, "10 minutes").dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "driver_id", "event_ms"))
 
 
 def stream_interval_join(spark: SparkSession, d: str) -> DataFrame:
-    """Deliveries and fence events, both as streams, met within each delivery's time."""
-    rows = t.deliveries(spark, d).selectExpr("order_id", "driver_id", "assigned_ms", "coalesce(delivered_ms, picked_up_ms + 3600000) as until_ms", "assigned_ms as event_ms", "0 as chunk")
-    events = geofence.transitions(_valid(spark, d), t.fences(spark)).selectExpr("driver_id", "fence_id", "transition", "event_ms", "0 as chunk")
-    with jobs.stateful(spark, PARTITIONS):
-        return jobs.drained(jobs.interval_join(jobs.replay(rows, "chunk", 1), jobs.replay(events, "chunk", 1)))
+    """Deliveries and fence events, both as streams in chunks of time, met within each delivery's time."""
+    chunk = f"least({CHUNKS - 1}, (event_ms - {t.EPOCH_MS}) div {CHUNK_MS}) as chunk"
+    rows = t.deliveries(spark, d).selectExpr("order_id", "driver_id", "assigned_ms", "coalesce(delivered_ms, picked_up_ms + 3600000) as until_ms", "assigned_ms as event_ms").selectExpr("*", chunk)
+    events = geofence.transitions(_valid(spark, d), t.fences(spark)).selectExpr("driver_id", "fence_id", "transition", "event_ms").selectExpr("*", chunk)
+    a, b = jobs.replay(rows, "chunk"), jobs.replay(events, "chunk")
+    with jobs.stateful(spark, a.rows + b.rows):
+        return jobs.drained(jobs.interval_join(a.stream, b.stream))
 
 
 def stream_active_drivers(spark: SparkSession, d: str) -> DataFrame:
-    with jobs.stateful(spark, PARTITIONS):
-        return jobs.drained(jobs.active_drivers(_stream(spark, d, "event_ms"))).where("drivers > 0 and window_start < %d" % (t.EPOCH_MS + 86_400_000))
+    return _run(spark, _stream(spark, d, "event_ms"), jobs.active_drivers)
 
 
 QUERIES = {
+    "stream_dead_letters": stream_dead_letters,
+    "stream_driver_state_ttl": stream_state_ttl,
+    "stream_driver_sessions": stream_sessions,
     "stream_delivery_events": stream_interval_join,
     "stream_active_drivers_30s": stream_active_drivers,
     "stream_speed_window_1m": stream_windows,
@@ -144,6 +167,9 @@ judged AS (SELECT c.*, coalesce(event_ms - event_ms % 60000 + 59999 <= top - 500
 _snapshots = oracle.SQL["driver_snapshots"]
 
 SQL = {
+    "stream_dead_letters": oracle.loc("SELECT event_id AS offset, CASE WHEN reason IS NULL THEN 'valid' ELSE 'dead letter' END AS sink, reason FROM gated").replace("AS offset", 'AS "offset"'),
+    "stream_driver_state_ttl": f"SELECT * EXCLUDE (processing_lag_ms) FROM ({_snapshots})".replace("> 120000", f"> {TTL_MS}"),
+    "stream_driver_sessions": oracle.loc("SELECT driver_id, min(event_ms) AS start_ms, max(event_ms) AS end_ms, count(*) AS samples FROM sess GROUP BY driver_id, session", oracle.SESSIONS.replace("> 120000", ">= 120000")),
     "stream_delivery_events": oracle.SQL["delivery_events_interval_join"],
     "stream_speed_window_1m": oracle.loc("SELECT * FROM win", _CHUNKED, oracle.windows("judged", "WHERE NOT late")),
     "stream_late_samples": oracle.loc("SELECT event_id, driver_id, event_ms FROM judged WHERE late", _CHUNKED),
