@@ -199,6 +199,15 @@ def test_fingerprints_of_few_and_no_rows(spark):
     assert fingerprints.fingerprint_edits(same, "doc_id", "text").count() == 4
 
 
+def test_runs_follow_the_size(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RUNS", 3)
+    for n in (100, 400):
+        given = spark.createDataFrame([(i * i, f"{i:04d}" * 5) for i in range(n)], "doc_id long, text string")
+        got = {r.doc_id: r.next_text for r in fingerprints.with_next(given, "doc_id", ["text"], run=4, run_bytes=200).collect()}
+        assert got == {i * i: f"{(i - 1) % n:04d}" * 5 for i in range(n)}
+        assert len(fingerprints.id_cuts(given, "doc_id", n * 20 // 200)) >= 0.8 * n / 10  # not the three runs that are left to few bytes
+
+
 def test_sketches_merge_and_estimate(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(3000)]

@@ -7,6 +7,8 @@ sketches estimate resemblance, containment and distinct counts.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ SHINGLE = 5
 K = 128
 #: Documents dealt to one run of neighbours when looking for each document's next, about.
 NEIGHBOURS = 256
+#: Runs up to which only their rows count, and bytes of values of a run beyond that.
+RUNS, RUN_BYTES = 2_000, 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -93,30 +97,43 @@ def as_text(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, id_col: str, value_cols: list[str], run: int = NEIGHBOURS, bounds: int = 2000) -> DataFrame:
+def id_cuts(docs: DataFrame, id_col: str, runs: int) -> list[int]:
+    """Upper ends of about ``runs`` runs of ids with like many rows, ascending; the last is the greatest id.
+
+    A range partitioning of the ids alone finds them; only its bounds, 8 bytes a run, reach the driver.
+    """
+    ids = docs.select(F.col(id_col).alias("id")).where("id is not null").repartitionByRange(runs, "id")
+    ends = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.max("id").alias("id"))
+    return sorted({r.id for r in ends.collect()})
+
+
+def with_next(docs: DataFrame, id_col: str, value_cols: list[str], run: int = NEIGHBOURS, run_bytes: int = RUN_BYTES) -> DataFrame:
     """Each row with ``next_<c>`` of the row that follows it by descending id; the first follows the last.
 
-    Ids are cut at quantiles (at most ``bounds`` of them, the only thing the driver sees) into runs, and each run
-    borrows the greatest row of the run below, so no window covers the whole table. Of repeated ids, each is followed
-    by the next row, in order of its values. Null ids come last of all. An empty table stays empty.
+    Ids are cut into runs of about ``run`` rows, and into more than ``RUNS`` runs only where each would else have more than
+    ``run_bytes`` of values, so a run stays small whatever the size. Each run borrows the greatest row of the run below,
+    so no window covers the whole table. A row finds its run in two steps: among every so many of the cuts, then among the
+    cuts in between, which are broadcast (8 bytes for each ``run_bytes`` of values). Of repeated ids, each is followed by
+    the next row, in order of its values. Null ids come last of all, in run 0. An empty table stays empty.
     """
-    count = docs.agg(F.count(id_col).alias("n"), F.max(id_col).alias("top")).first()
-    cuts: list[int] = []
-    if count.n:
-        parts = max(1, min(bounds, count.n // run))
-        at = [i / parts for i in range(1, parts)]
-        found = docs.agg(F.percentile_approx(id_col, F.array(*map(F.lit, at)), 100 * parts)).first()[0] if at else []
-        cuts = sorted({*found, count.top})
+    size = sum((F.octet_length(F.col(c).cast("string")) if dict(docs.dtypes)[c] == "string" else F.lit(0) for c in value_cols), F.lit(0))
+    count = docs.agg(F.count(id_col).alias("n"), F.sum(size).alias("bytes")).first()
+    runs = max(1, min(count.n // run, max(RUNS, (count.bytes or 0) // run_bytes)))
+    cuts = id_cuts(docs, id_col, runs) if count.n else [0]
+    step = max(1, math.isqrt(len(cuts)))
+    coarse = F.array(*[F.lit(c) for c in cuts[step - 1 :: step]]).cast("array<bigint>")
+    fine = docs.sparkSession.createDataFrame([(k, cuts[k * step : (k + 1) * step]) for k in range(-(-len(cuts) // step))], "_k int, _fine array<bigint>")
     known = F.col(id_col).isNotNull()
-    array = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array(F.lit(0).cast("long"))
+    at = docs.select(id_col, *value_cols, F.when(known, F.size(F.filter(coarse, lambda c: c < F.col(id_col)))).otherwise(F.lit(0)).alias("_k"))
+    at = at.join(F.broadcast(fine), "_k")
     # the run whose upper end is the first cut at or above the id; null ids follow run 0
-    run_of = F.when(known, F.size(F.filter(array, lambda c: c < F.col(id_col)))).otherwise(F.lit(0))
-    lends = known & F.array_contains(array, F.col(id_col))
+    run_of = F.when(known, F.col("_k") * step + F.size(F.filter("_fine", lambda c: c < F.col(id_col)))).otherwise(F.lit(0))
+    lends = known & F.array_contains("_fine", F.col(id_col))
     homes = F.array(
         F.struct(run_of.alias("run"), F.lit(0).alias("borrowed")),
-        F.when(lends, F.struct(F.pmod(run_of + 1, F.lit(max(1, len(cuts)))).alias("run"), F.lit(1).alias("borrowed"))),
+        F.when(lends, F.struct(F.pmod(run_of + 1, F.lit(len(cuts))).alias("run"), F.lit(1).alias("borrowed"))),
     )
-    dealt = docs.select(id_col, *value_cols, F.explode(F.filter(homes, lambda h: h.isNotNull())).alias("_home"))
+    dealt = at.select(id_col, *value_cols, F.explode(F.filter(homes, lambda h: h.isNotNull())).alias("_home"))
     order = W.partitionBy("_home.run").orderBy("_home.borrowed", F.col(id_col).desc_nulls_last(), *value_cols)
     following = {f"next_{c}": F.lead(c).over(order) for c in value_cols}
     return dealt.withColumns(following).where("_home.borrowed = 0").drop("_home")
@@ -126,7 +143,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str, text_col: str, k: int = K, s
     """Fingerprints of every text and of its edit, and their likenesses.
 
     The edit replaces the last third of a text's code points (rounded down) by the first as many of the next document's,
-    or by all of them where it has fewer. Null texts count as empty; a lone document is its own next.
+    or by all of them where it has fewer. Null texts count as empty; a lone document is its own next. Of repeated ids each
+    row has a next of its own, in order of text; null ids come last. Empty texts have empty fingerprints. An empty table
+    gives no rows. Only id and text are used, so other columns may have any names.
     """
     texts = text_input(docs, id_col, text_col).withColumn("own", sketch(F.col("text"), k, size))
     chained = with_next(texts, "doc_id", ["text", "own"])
