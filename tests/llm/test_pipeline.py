@@ -35,12 +35,27 @@ def test_stages_keep_what_they_should(spark):
 
 
 def test_stages_take_odd_rows(spark):
-    odd = [(1, None, None, None, None), (1, None, None, None, None), (None, "x", "en", "s", 1), (3, "", "en", "s", 0), (4, "long " * 5000, "en", "s", 25000)]
-    docs = spark.createDataFrame(odd, spark.read.parquet(f"{SF}/documents.parquet").schema)
-    for start in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            start = stage(spark, start, SF).cache()
-        start.collect()
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first().text
+    odd = [
+        (1, None, None, None, None), (1, None, None, None, None), (None, "x", "en", "s", 1), (3, "", "en", "s", 0), (4, "long " * 5000, "en", "s", 25000), (5, benchmark, "en", "s", 1),
+        (6, "mail a.b@mail.example.com now", None, None, None), (6, "mail a.b@mail.example.com now", None, None, None), (6, "another text of six", "en", "s", 1),
+    ]
+    docs = spark.createDataFrame(odd, spark.read.parquet(f"{SF}/documents.parquet").schema).withColumn("_toxicity", F.lit(1))
+    stages = dict(corpus_pipeline.STAGES)
+    tables = [docs]
+    for name in stages:
+        tables.append(stages[name](spark, tables[-1], SF).cache())
+        assert name == "tokens" or tables[-1].columns == docs.columns
+    toxic, near, clean, safe, tokens = [sorted(((r.doc_id, r.text) if "text" in r else r.doc_id for r in t.collect()), key=str) for t in tables[1:]]
+    assert toxic == sorted(((i, t) for i, t, *_ in odd), key=str)  # nothing toxic in them
+    assert near == sorted([(1, None), (None, "x"), (4, "long " * 5000), (5, benchmark), odd[6][:2], odd[8][:2]], key=str)  # 3 is a copy of 1
+    assert clean == sorted(set(near) - {(5, benchmark)}, key=str)
+    assert safe == sorted([(i, t.replace("a.b@mail.example.com", "[EMAIL]") if t else t) for i, t in clean], key=str)
+    assert tokens == sorted((i for i, _ in safe), key=str) and tables[-1].where("doc_id = 1").first().n_tokens == 0
+    start = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        start = stage(spark, start, SF).cache()
+        assert start.count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
