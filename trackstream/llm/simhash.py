@@ -168,8 +168,6 @@ RADIUS = 5
 #: Proposed pairs whose shingle fingerprints differ in more bits than this are not compared: at a similarity of 0.8 the
 #: expected distance is under 10 bits with a deviation under 3, between unrelated texts 32.
 SHINGLE_RADIUS = 20
-#: Nodes of a large family that meet each other at a time.
-PART = 16
 
 
 def _bits(hashes: np.ndarray) -> int:
@@ -226,8 +224,9 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> Da
     A pair is proposed if some print of both is within ``radius``: one of ``radius // 2 + 1`` segments then differs by at
     most a bit, so equal one-wildcard variants are joined. Segment values with more than ``dense`` nodes (a large family
     of near copies) leave the join: the nodes at and beside such a value are dealt by it together with each segment value of
-    the next print. Each such group proposes all pairs with its least node, and all pairs within the radius inside parts
-    of about ``PART`` nodes (``dense``, if it has no more). That is linear, and every member meets many others.
+    the next print. Each such group proposes all pairs with its least node, and, in parts of about ``dense`` nodes, each
+    node's pair with the next by fingerprint, if within the radius. That is linear, and as a node is in several groups for
+    each segment, it meets many others.
     """
     ends = _segments(radius)
     width_bits = max(w for _, w in ends)
@@ -262,9 +261,12 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> Da
         dealt = materialize(dealt.select("node", "fp", F.xxhash64("segment", "crowd", "f.t", "f.u").alias("crowd")), "crowds")
         least = dealt.groupBy("crowd").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
         stars = join_values(dealt, least.withColumn("size", F.col("n")), "crowd", "n")
-        part = F.pmod(F.xxhash64("node", "crowd"), F.when(F.col("size") <= dense, F.lit(1)).otherwise(F.ceil(F.col("size") / PART)))
-        met = stars.groupBy("crowd", part.alias("part")).agg(F.collect_list(F.struct("node", "fp")).alias("m"))  # about ``dense`` at most
-        ahead = F.expr(f"flatten(transform(m, x -> transform(filter(m, y -> y.node > x.node and bit_count(x.fp ^ y.fp) <= {radius}), y -> struct(x.node as a, y.node as b))))")
+        part = F.pmod(F.xxhash64("node", "crowd"), F.ceil(F.col("size") / dense))
+        met = stars.groupBy("crowd", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("fp", "node"))).alias("m"))  # about ``dense`` at most
+        near = F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda i: F.struct(F.element_at("m", i).alias("x"), F.element_at("m", i + 1).alias("y")))
+        near = F.filter(near, lambda p: _differing(p["x"]["fp"], p["y"]["fp"]) <= radius)
+        ahead = F.transform(near, lambda p: F.struct(p["x"]["node"].alias("a"), p["y"]["node"].alias("b")))
+        met = met.where("size(m) > 1")
         pairs = pairs.unionByName(stars.where("a != node").select("a", F.col("node").alias("b"))).unionByName(met.select(F.explode(ahead).alias("p")).select("p.*"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
