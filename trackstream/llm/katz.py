@@ -38,7 +38,7 @@ from pyspark.sql.types import DataType
 from trackstream.llm.common import discard, materialize
 
 #: Tokens of a chunk, and of the corpus for each partition of counts, at least.
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 PART_TOKENS = 1_000_000
 #: Tokens for each message from a chunk to a partition, at least, on average.
 MESSAGE = 64
@@ -53,7 +53,7 @@ UNKNOWN = -1
 #: lies on disk at a time; every pass builds the chunks' n-grams anew.
 PASSES = 3
 
-CHUNK = "chunk string, docs array<{id}>, n bigint, words array<bigint>, seen array<int>, codes_lo array<smallint>, codes_hi array<smallint>, sizes array<int>, learn array<boolean>"
+CHUNK = "chunk string, docs array<{id}>, n bigint, stop int, words array<bigint>, seen array<int>, codes_lo array<smallint>, codes_hi array<smallint>, sizes array<int>, learn array<boolean>"
 ASKED = "chunk string, bucket int, hashes array<bigint>, contexts array<array<int>>, runs array<int>, words_lo array<smallint>, words_hi array<smallint>, seen array<int>, lower_lo array<smallint>, lower_hi array<smallint>, values array<double>"
 ANSWERED = (
     "chunk string, bucket int, counts array<int>, ids_lo array<smallint>, ids_hi array<smallint>, made array<array<int>>, mass array<double>, stats array<bigint>, "
@@ -119,7 +119,8 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def chunks(docs: DataFrame, train: Column, size: int) -> DataFrame:
-    """Rows of about ``size`` tokens: word hashes, training counts and token codes of a run of documents."""
+    """Rows of about ``size`` tokens of a run of documents: word hashes, ascending, their training counts, and the tokens
+    as places in that list; ``stop`` is the place of the end token."""
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = CHUNK.format(id=kind)
@@ -133,11 +134,14 @@ def chunks(docs: DataFrame, train: Column, size: int) -> DataFrame:
         index: dict[bytes, int] = {}
 
         def flush() -> list[pa.RecordBatch]:
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in index), np.uint64, len(index)).view(np.int64)
-            flat = np.concatenate(codes)
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in index), np.uint64, len(index))
+            order = np.argsort(hashes)
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            flat = rank[np.concatenate(codes)]
             weight = np.repeat(np.array(learn, bool), lengths)
             seen = np.bincount(flat[weight], minlength=len(index)).astype(np.int32)
-            row = {"chunk": f"{part}-{number}", "docs": ids, "n": len(flat), "words": hashes, "seen": seen, **_halves("codes", flat)}
+            row = {"chunk": f"{part}-{number}", "docs": ids, "n": len(flat), "stop": int(rank[0]), "words": hashes[order].view(np.int64), "seen": seen, **_halves("codes", flat)}
             return _written([row | {"sizes": np.array(lengths), "learn": np.array(learn, bool)}], schema).to_batches()
 
         pending = 0
@@ -172,7 +176,7 @@ class Order:
 
     def __init__(self, n: int, context: np.ndarray, members: np.ndarray, chunk: Chunk, held: np.ndarray, parts: int):
         self.n, self.context, self.members = n, context, members
-        width = len(chunk.hashes)
+        width = len(chunk.ids)
         grams, self.place = np.unique(context.astype(np.int64) * width + chunk.codes, return_inverse=True)
         self.left, self.right = grams // width, grams % width
         self.seen = np.bincount(self.place, chunk.learn, len(grams)).astype(np.int32)
@@ -234,16 +238,13 @@ class Chunk:
     """A chunk with the answers that it has so far, order by order."""
 
     def __init__(self, row: dict, answers: list[dict], plan: Plan):
-        self.hashes, self.codes, self.sizes = row["words"], _whole(row, "codes"), row["sizes"].astype(np.int64)
+        self.stop, self.codes, self.sizes = row["stop"], _whole(row, "codes"), row["sizes"].astype(np.int64)
         self.learn = np.repeat(row["learn"], self.sizes)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.plan, self.total, self.orders = plan, plan.unigrams.total, []
-        of = _bucket_of(self.hashes, plan.parts[1])
-        self.counts, self.ids = np.empty(len(of), np.int64), np.empty(len(of), np.int64)
-        for a in answers:
-            if a["n"] == 1:
-                own = of == a["bucket"]
-                self.counts[own], self.ids[own] = a["counts"], _whole(a, "ids")
+        words = sorted((a for a in answers if a["n"] == 1), key=lambda a: a["bucket"])  # buckets and words both ascend by hash
+        self.counts = np.concatenate([a["counts"] for a in words]).astype(np.int64)
+        self.ids = np.concatenate([_whole(a, "ids") for a in words])
         self.probability = plan.unigrams.probability(self.counts)
         for n in range(2, max(plan.parts) + 1):
             mine = {a["bucket"]: a for a in answers if a["n"] == n}
@@ -262,17 +263,17 @@ class Chunk:
         return out
 
     def _order(self, n: int) -> Order:
-        before = self._shifted(self.codes, 0)  # a text starts after ends
+        before = self._shifted(self.codes, self.stop)  # a text starts after ends
         if n == 2:
             used, context = np.unique(before, return_inverse=True)
             members, held = used[:, None], self.counts[used]
         else:
-            last, width = self.orders[-1], len(self.hashes)
+            last, width = self.orders[-1], len(self.ids)
             key = self._shifted(last.context, last.context[self.starts[0]]) * width + before
             used, context = np.unique(key, return_inverse=True)
             members = np.concatenate([last.members[used // width], (used % width)[:, None]], 1)
             held = np.empty(len(used), np.int64)
-            held[context] = self._shifted(last.count[last.place], self.counts[0])
+            held[context] = self._shifted(last.count[last.place], self.counts[self.stop])
         return Order(n, context, members, self, held, self.plan.parts[n])
 
     def lower(self, order: Order) -> np.ndarray:
@@ -290,7 +291,8 @@ class Chunk:
 
 
 def _bucket_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return (hashes.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+    """Equal ranges of the unsigned hash."""
+    return ((hashes.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
 
 
 _TYPES = {"string": pa.string(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
@@ -352,11 +354,9 @@ def ask_words(table: DataFrame, plan: Plan) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _read(batch):
-                of = _bucket_of(row["words"], parts)
-                order = np.argsort(of, kind="stable")
-                ends = np.searchsorted(of[order], np.arange(parts + 1))
-                cuts = ((b, order[ends[b] : ends[b + 1]]) for b in range(parts))
-                told = [{"chunk": row["chunk"], "bucket": b, "hashes": row["words"][o], "seen": row["seen"][o]} for b, o in cuts if len(o)]
+                ends = np.searchsorted(_bucket_of(row["words"], parts), np.arange(parts + 1))
+                cuts = ((b, slice(ends[b], ends[b + 1])) for b in range(parts) if ends[b] < ends[b + 1])
+                told = [{"chunk": row["chunk"], "bucket": b, "hashes": row["words"][own], "seen": row["seen"][own]} for b, own in cuts]
                 yield from _written(told, ASKED).to_batches()
 
     return table.select("chunk", "words", "seen").mapInArrow(ask, ASKED)
@@ -411,7 +411,7 @@ def ask_grams(table: DataFrame, answers: DataFrame, plan: Plan, share: int = 0,
                 rows.append({"chunk": row["chunk"], "bucket": bucket, **more, "seen": o.seen[own], **_halves("lower", lower), "values": distinct[used]})
         return _written(rows, ASKED)
 
-    return _of_chunk(table.select("chunk", "words", "codes_lo", "codes_hi", "sizes", "learn"), answers, ask, ASKED)
+    return _of_chunk(table.select("chunk", "stop", "codes_lo", "codes_hi", "sizes", "learn"), answers, ask, ASKED)
 
 
 def answer_grams(asked: DataFrame) -> DataFrame:
@@ -543,7 +543,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, train: Column, order: int
         ids = pa.concat_arrays([x.values for x in left.column("docs")]).cast(_type(kind))
         return pa.table({"doc_id": ids, **{c: np.concatenate([f[c] for f in found]) for c in found[0]}})
 
-    scored = _of_chunk(table.drop("n", "seen"), answers, run, SCORED.format(id=kind))
+    scored = _of_chunk(table.drop("n", "words", "seen"), answers, run, SCORED.format(id=kind))
     return scored.withColumn("train_tokens", F.lit(model.unigrams.total).cast("long"))
 
 
