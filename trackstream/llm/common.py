@@ -76,9 +76,14 @@ def discard(*tables: DataFrame) -> None:
         if files:
             spark = df.sparkSession
             folder = re.match(r"(.*/tables/[^/]+-[0-9a-f]{32})/", files[0])
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder[1]) if folder else None
-            if path is not None:
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            if folder:
+                remove(spark, folder[1])
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate data."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

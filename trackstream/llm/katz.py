@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from trackstream.llm.common import discard, materialize
+from trackstream.llm.common import discard, materialize, new_path, remove
 
 #: Tokens of a chunk, and of the corpus for each partition of counts, at least.
 CHUNK_TOKENS = 1_000_000
@@ -53,11 +53,11 @@ UNKNOWN = -1
 #: lies on disk at a time; every pass builds the chunks' n-grams anew.
 PASSES = 3
 
-CHUNK = "chunk string, docs array<{id}>, n bigint, stop int, words array<bigint>, seen array<int>, codes_lo array<smallint>, codes_hi array<smallint>, sizes array<int>, learn array<boolean>"
-ASKED = "chunk string, bucket int, hashes array<bigint>, contexts array<array<int>>, runs array<int>, words_lo array<smallint>, words_hi array<smallint>, seen array<int>, lower_lo array<smallint>, lower_hi array<smallint>, values array<double>"
+CHUNK = "chunk string, kind string, docs array<{id}>, n bigint, stop int, words array<bigint>, seen array<int>, codes_lo array<smallint>, codes_hi array<smallint>, sizes array<int>, learn array<boolean>"
+ASKED = "chunk string, bucket int, hashes array<bigint>, contexts array<array<int>>, runs array<int>, wide array<int>, words_lo array<smallint>, words_hi array<smallint>, seen array<int>, lower_lo array<smallint>, lower_hi array<smallint>, values array<double>"
 ANSWERED = (
-    "chunk string, bucket int, counts array<int>, ids_lo array<smallint>, ids_hi array<smallint>, made array<array<int>>, mass array<double>, stats array<bigint>, "
-    "hashes array<bigint>, grams array<array<int>>, contexts array<array<int>>"
+    "chunk string, bucket int, counts array<int>, ids_lo array<smallint>, ids_hi array<smallint>, made array<array<int>>, mass array<double>, told array<int>, whole array<int>, "
+    "stats array<bigint>, hashes array<bigint>, grams array<array<int>>, contexts array<array<int>>"
 )
 SCORED = "doc_id {id}, n_tokens bigint, n_known bigint, base_score double, score double"
 
@@ -141,8 +141,9 @@ def chunks(docs: DataFrame, train: Column, size: int) -> DataFrame:
             flat = rank[np.concatenate(codes)]
             weight = np.repeat(np.array(learn, bool), lengths)
             seen = np.bincount(flat[weight], minlength=len(index)).astype(np.int32)
-            row = {"chunk": f"{part}-{number}", "docs": ids, "n": len(flat), "stop": int(rank[0]), "words": hashes[order].view(np.int64), "seen": seen, **_halves("codes", flat)}
-            return _written([row | {"sizes": np.array(lengths), "learn": np.array(learn, bool)}], schema).to_batches()
+            row = {"chunk": f"{part}-{number}", "kind": "codes", "docs": ids, "n": len(flat), "stop": int(rank[0]), **_halves("codes", flat)}
+            words = {"chunk": row["chunk"], "kind": "words", "words": hashes[order].view(np.int64), "seen": seen}
+            return _written([words, row | {"sizes": np.array(lengths), "learn": np.array(learn, bool)}], schema).to_batches()
 
         pending = 0
         for batch in batches:
@@ -174,14 +175,8 @@ def chunks(docs: DataFrame, train: Column, size: int) -> DataFrame:
 class Order:
     """A chunk's distinct n-grams of one order and the partitions that count them. Built alike whenever it is needed."""
 
-    def __init__(self, n: int, context: np.ndarray, members: np.ndarray, chunk: Chunk, held: np.ndarray, parts: int):
-        self.n, self.context, self.members = n, context, members
-        width = len(chunk.ids)
-        grams, self.place = np.unique(context.astype(np.int64) * width + chunk.codes, return_inverse=True)
-        self.left, self.right = grams // width, grams % width
-        self.seen = np.bincount(self.place, chunk.learn, len(grams)).astype(np.int32)
-        self.low = np.empty(len(grams), np.int64)  # each n-gram without its first word, among those of the order below
-        self.low[self.place] = chunk.orders[-1].place if chunk.orders else chunk.codes
+    def __init__(self, n: int, context: np.ndarray, members: np.ndarray, chunk: Chunk, held: np.ndarray, parts: int, share: int, of: int):
+        self.n, self.context, self.members, self.held = n, context, members, held
         self.keys = chunk.ids[members].astype(np.int32)
         key = np.zeros(len(members), np.uint64)
         for column in self.keys.T:
@@ -189,8 +184,19 @@ class Order:
         # a context with a large share of the tokens is dealt over several partitions
         self.spread = np.minimum(parts, 1 + held * 4 * parts // max(chunk.total, 1))
         first = (key % np.uint64(parts)).astype(np.int64)
-        salt = mix(chunk.ids[self.right].astype(np.uint64), key[self.left]) % self.spread[self.left].astype(np.uint64)
-        bucket = (first[self.left] + salt.astype(np.int64)) % parts
+
+        def bucket_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            salt = mix(chunk.ids[right].astype(np.uint64), key[left]) % self.spread[left].astype(np.uint64)
+            return (first[left] + salt.astype(np.int64)) % parts
+
+        tokens = slice(None) if of == 1 else np.flatnonzero(bucket_of(context, chunk.codes) % of == share)
+        width = len(chunk.ids)
+        grams, self.place = np.unique(context[tokens].astype(np.int64) * width + chunk.codes[tokens], return_inverse=True)
+        self.left, self.right = grams // width, grams % width
+        self.seen = np.bincount(self.place, chunk.learn[tokens], len(grams)).astype(np.int32)
+        self.low = np.empty(len(grams), np.int64)  # each n-gram without its first word, among those of the order below
+        self.low[self.place] = (chunk.orders[-1].place if chunk.orders else chunk.codes)[tokens]
+        bucket = bucket_of(self.left, self.right)
         self.order = np.argsort(bucket, kind="stable")  # by partition, context, successor
         self.ends = np.searchsorted(bucket[self.order], np.arange(parts + 1))
         self.wide: dict[int, list[int]] = {}
@@ -208,36 +214,33 @@ class Order:
 
     def answered(self, told: dict[int, dict], plan: Plan, lower: np.ndarray) -> None:
         """Counts and probabilities of the n-grams from the partitions' answers and the order below."""
-        self.count = np.zeros(len(self.left), np.int64)
+        self.count, total = np.zeros(len(self.left), np.int64), self.held  # a context is followed as often as it occurs
         made, mass = np.zeros((GT_K + 1, len(self.members)), np.int64), np.zeros(len(self.members))
+        whole, known = (np.zeros(len(self.members), bool) for _ in range(2))
         for bucket, own, contexts in self.asked():
             row = told[bucket]
             self.count[own] = row["counts"]
+            at = contexts[row["told"]]
+            known[at], whole[contexts[row["whole"]]] = True, True
             for r, column in enumerate(row["made"]):
-                made[r, contexts] += column
-            mass[contexts] += row["mass"]
+                made[r, at] += column
+            mass[at] += row["mass"]
         if self.n not in plan.d:
             return
         d = plan.d[self.n]
-        scale, kept, total = _made(made, d)
+        whole[known] = made[:-1].sum(0)[known] == 0
+        scale = np.where(whole, total / (total + 1.0), 1.0)  # a context of large counts only leaves one count to the unseen
+        kept = made[-1] + (d[1:, None] * np.arange(1, GT_K + 1)[:, None] * made[:-1]).sum(0)
         with np.errstate(divide="ignore", invalid="ignore"):
             alpha = np.where(total > 0, (1.0 - scale * kept / np.maximum(total, 1)) / (1.0 - mass), 1.0)
             seen = scale[self.left] * discounted(self.count, d) / total[self.left]
         self.probability = np.where(self.count > 0, seen, alpha[self.left] * lower[self.low])
 
 
-def _made(made: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(scale, discounted sum, sum) of each context's counts, from how many are 1 to GT_K and the sum of all larger."""
-    r = np.arange(1, GT_K + 1)[:, None]
-    kept, total = made[-1] + (d[1:, None] * r * made[:-1]).sum(0), made[-1] + (r * made[:-1]).sum(0)
-    # a context of large counts only leaves one count to the unseen
-    return np.where(made[:-1].sum(0) > 0, 1.0, total / (total + 1.0)), kept, total
-
-
 class Chunk:
     """A chunk with the answers that it has so far, order by order."""
 
-    def __init__(self, row: dict, answers: list[dict], plan: Plan):
+    def __init__(self, row: dict, answers: list[dict], plan: Plan, share: int = 0, of: int = 1):
         self.stop, self.codes, self.sizes = row["stop"], _whole(row, "codes"), row["sizes"].astype(np.int64)
         self.learn = np.repeat(row["learn"], self.sizes)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
@@ -248,10 +251,10 @@ class Chunk:
         self.probability = plan.unigrams.probability(self.counts)
         for n in range(2, max(plan.parts) + 1):
             mine = {a["bucket"]: a for a in answers if a["n"] == n}
-            order = self._order(n)
             if not mine:
-                self.asking = order
+                self.asking = self._order(n, share, of)
                 return
+            order = self._order(n)
             order.answered(mine, plan, self.orders[-1].probability if self.orders else self.probability)
             self.orders.append(order)
 
@@ -262,7 +265,8 @@ class Chunk:
         out[self.starts] = start
         return out
 
-    def _order(self, n: int) -> Order:
+    def _order(self, n: int, share: int = 0, of: int = 1) -> Order:
+        """The n-grams of an order; of those of every ``of``-th partition only, where that is asked for."""
         before = self._shifted(self.codes, self.stop)  # a text starts after ends
         if n == 2:
             used, context = np.unique(before, return_inverse=True)
@@ -274,7 +278,7 @@ class Chunk:
             members = np.concatenate([last.members[used // width], (used % width)[:, None]], 1)
             held = np.empty(len(used), np.int64)
             held[context] = self._shifted(last.count[last.place], self.counts[self.stop])
-        return Order(n, context, members, self, held, self.plan.parts[n])
+        return Order(n, context, members, self, held, self.plan.parts[n], share, of)
 
     def lower(self, order: Order) -> np.ndarray:
         return (self.orders[-1].probability if self.orders else self.probability)[order.low]
@@ -390,7 +394,7 @@ def answer_words(asked: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _of_chunk(table: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
-    told = answers.where("chunk != ''").select("chunk", "n", "bucket", "counts", "ids_lo", "ids_hi", "made", "mass")
+    told = answers.where("chunk != ''").select("chunk", "n", "bucket", "counts", "ids_lo", "ids_hi", "told", "made", "mass", "whole")
     return table.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, schema)
 
 
@@ -401,13 +405,13 @@ def ask_grams(table: DataFrame, answers: DataFrame, plan: Plan, share: int = 0,
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         for row in _read(left):
-            c = Chunk(row, _read(right), plan)
+            c = Chunk(row, _read(right), plan, share, of)
             o = c.asking
             distinct, code = np.unique(c.lower(o), return_inverse=True)
             for bucket, own, contexts in o.asked(share, of):
                 runs = np.bincount(np.searchsorted(contexts, o.left[own]), minlength=len(contexts)).astype(np.int32)
                 used, lower = np.unique(code[own], return_inverse=True)
-                more = {"contexts": list(o.keys[contexts].T), "runs": runs, **_halves("words", c.ids[o.right[own]])}
+                more = {"contexts": list(o.keys[contexts].T), "runs": runs, "wide": np.flatnonzero(o.spread[contexts] > 1).astype(np.int32), **_halves("words", c.ids[o.right[own]])}
                 rows.append({"chunk": row["chunk"], "bucket": bucket, **more, "seen": o.seen[own], **_halves("lower", lower), "values": distinct[used]})
         return _written(rows, ASKED)
 
@@ -434,10 +438,16 @@ def answer_grams(asked: DataFrame) -> DataFrame:
         made = [np.bincount(owner[counts == r], minlength=n).astype(np.int64) for r in range(1, GT_K + 1)]
         made.append(np.bincount(owner[counts > GT_K], counts[counts > GT_K], n).astype(np.int64))
         mass = np.bincount(owner, lower[seen], n)
+        large = sum(made[:-1]) == 0  # contexts without a small count
         bucket, rows, i, c = asks[0]["bucket"], [], 0, 0
         for a in asks:
             own, of = total[place[i : i + len(a["seen"])]], code[c : c + len(a["runs"])]
-            rows.append({"chunk": a["chunk"], "bucket": bucket, "counts": own, "made": [m[of] for m in made], "mass": mass[of]})
+            asking = np.zeros(len(of), bool)  # what a backoff weight needs is told where one is needed, and for wide contexts
+            asking[np.repeat(np.arange(len(of)), a["runs"])[own == 0]] = True
+            asking[a["wide"]] = True
+            at = np.flatnonzero(asking)
+            whole = np.flatnonzero(large[of] & ~asking)
+            rows.append({"chunk": a["chunk"], "bucket": bucket, "counts": own, "told": at, "made": [m[of[at]] for m in made], "mass": mass[of[at]], "whole": whole})
             i, c = i + len(own), c + len(of)
         table = [*(m[owner] for m in members), (grams % WIDE)[seen]]
         rows.append({"chunk": "", "bucket": bucket, "counts": counts, "grams": table, "contexts": members, "made": made, "mass": mass, "stats": _histogram(total)})
@@ -490,7 +500,10 @@ class Model:
 def _fit(docs: DataFrame, id_col: str, text_col: str, train: Column, order: int) -> tuple[Model, DataFrame, DataFrame, Plan]:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     guess = int(rows.agg(F.sum(F.length("text") / 6 + 1)).first()[0] or 0)
-    table = materialize(chunks(rows, train, sizes(guess)[0]), "katz-chunks")
+    made, path = chunks(rows, train, sizes(guess)[0]), new_path(docs.sparkSession, "katz-chunks")
+    made.write.partitionBy("kind").parquet(path)
+    kept = {kind: docs.sparkSession.read.schema(made.schema).parquet(f"{path}/kind={kind}").drop("kind") if guess else made.where(F.lit(False)).drop("kind") for kind in ("words", "codes")}
+    table = kept["codes"]
     tokens = table.agg(F.sum("n")).first()[0] or 0
     parts = int(tokens // sizes(tokens)[1]) + 1
     plan = Plan({1: parts // 4 + 1})
@@ -498,7 +511,7 @@ def _fit(docs: DataFrame, id_col: str, text_col: str, train: Column, order: int)
     answers = None
     for n in range(1, order + 1):
         if n == 1:
-            made = [answer_words(ask_words(table, plan), plan)]
+            made = [answer_words(ask_words(kept["words"], plan), plan)]
         else:
             plan.parts[n] = parts
             made = [answer_grams(ask_grams(table, answers, plan, share, PASSES)) for share in range(PASSES)]
@@ -509,6 +522,7 @@ def _fit(docs: DataFrame, id_col: str, text_col: str, train: Column, order: int)
         total, distinct, *counts = _sums(tables[n])
         if n == 1:
             plan.unigrams = Unigrams(total, distinct, [0, *counts])
+            remove(docs.sparkSession, f"{path}/kind=words")  # places in a chunk's list are enough from here on
         else:
             plan.d[n] = discounts([0, *counts])
     return Model(order, tables, plan.unigrams, plan.d), table, answers, plan
