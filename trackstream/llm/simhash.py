@@ -223,15 +223,14 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> Da
 
     A pair is proposed if some print of both is within ``radius``: one of ``radius // 2 + 1`` segments then differs by at
     most a bit, so equal one-wildcard variants are joined. Segment values with more than ``dense`` nodes (a large family
-    of near copies) leave the join: the nodes at and beside such a value are dealt by it together with each segment value of
-    the next print. Each such group proposes all pairs with its least node, and, in parts of about ``dense`` nodes, each
-    node's pair with the next by fingerprint, if within the radius. That is linear, and as a node is in several groups for
-    each segment, it meets many others.
+    of near copies) leave the join: the nodes at and beside such a value are dealt by it. Each such group proposes all
+    pairs with its least node, and, in parts of about ``dense`` nodes, each node's pairs with the next two by
+    fingerprint, if within the radius. That is linear, and as a node is in a group for most segments, it meets several others.
     """
     ends = _segments(radius)
     width_bits = max(w for _, w in ends)
     parts = [
-        F.struct(F.lit(p * len(ends) + s).alias("segment"), F.lit(width).alias("width"), F.col("prints")[p].alias("fp"), F.col("prints")[(p + 1) % PRINTS].alias("other"), _segment(F.col("prints")[p], low, width).alias("value"))
+        F.struct(F.lit(p * len(ends) + s).alias("segment"), F.lit(width).alias("width"), F.col("prints")[p].alias("fp"), _segment(F.col("prints")[p], low, width).alias("value"))
         for p in range(PRINTS)
         for s, (low, width) in enumerate(ends)
     ]
@@ -256,14 +255,15 @@ def near_pairs(nodes: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> Da
     if crowds:
         flips = F.expr("concat(array(value), transform(sequence(0, width - 1), i -> value ^ shiftleft(1L, i)))")
         beside = crowded.select("segment", F.col("value").alias("crowd"), F.explode(flips).alias("value"))
-        finer = F.array(*[F.struct(F.lit(s).alias("t"), _segment(F.col("other"), low, width).alias("u")) for s, (low, width) in enumerate(ends)])
-        dealt = rows.join(beside, ["segment", "value"]).select("node", "fp", "segment", "crowd", F.explode(finer).alias("f"))
-        dealt = materialize(dealt.select("node", "fp", F.xxhash64("segment", "crowd", "f.t", "f.u").alias("crowd")), "crowds")
+        dealt = materialize(rows.join(beside, ["segment", "value"]).select("node", "fp", F.xxhash64("segment", "crowd").alias("crowd")), "crowds")
         least = dealt.groupBy("crowd").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
         stars = join_values(dealt, least.withColumn("size", F.col("n")), "crowd", "n")
         part = F.pmod(F.xxhash64("node", "crowd"), F.ceil(F.col("size") / dense))
         met = stars.groupBy("crowd", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("fp", "node"))).alias("m"))  # about ``dense`` at most
-        near = F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda i: F.struct(F.element_at("m", i).alias("x"), F.element_at("m", i + 1).alias("y")))
+        near = F.concat(*[
+            F.transform(F.sequence(F.lit(1), F.greatest(F.size("m") - k, F.lit(1))), lambda i, k=k: F.struct(F.element_at("m", i).alias("x"), F.element_at("m", F.least(i + k, F.size("m"))).alias("y")))
+            for k in (1, 2)
+        ])
         near = F.filter(near, lambda p: _differing(p["x"]["fp"], p["y"]["fp"]) <= radius)
         ahead = F.transform(near, lambda p: F.struct(p["x"]["node"].alias("a"), p["y"]["node"].alias("b")))
         met = met.where("size(m) > 1")
