@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackstream.llm import bpe, decontam, fingerprints, katz, licenses, pii, rollups, simhash, toxicity, urls
+from trackstream.llm import bpe, decontam, fingerprints, katz, licenses, pii, rollups, simhash, toxicity, urls, wordbpe
 from trackstream.llm.common import discard, fold, join_values, materialize, new_path, table
 
 
@@ -143,8 +143,12 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordbpe.digests(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_urls": op2_urls, "op3_fingerprints": op3_fingerprints, "op4_pii": op4_pii, "op5_token_rollup": op5_token_rollup, "op7_licenses": op7_licenses, "op6_simhash": op6_simhash, "op8_katz": op8_katz, "op9_toxicity": op9_toxicity, "op10_decontam": op10_decontam}
+    return {"op1_bpe": op1_bpe, "op2_urls": op2_urls, "op3_fingerprints": op3_fingerprints, "op4_pii": op4_pii, "op5_token_rollup": op5_token_rollup, "op7_licenses": op7_licenses, "op6_simhash": op6_simhash, "op8_katz": op8_katz, "op9_toxicity": op9_toxicity, "op10_decontam": op10_decontam, "op13_word_bpe": op13_word_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
