@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackstream.llm import bpe, decontam, fingerprints, katz, licenses, pii, rollups, simhash, toxicity, urls, wordbpe
+from trackstream.llm import bpe, decontam, fingerprints, katz, licenses, merkle, pii, rollups, simhash, toxicity, urls, wordbpe
 from trackstream.llm.common import discard, fold, join_values, materialize, new_path, table
 
 
@@ -143,13 +143,78 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MERKLE_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without an id is a leaf as any other and is never tampered with."""
+    docs = table(spark, sf_dir, "documents").select(*MERKLE_FIELDS)
+    stripped = F.when(fold(F.col("doc_id"), 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    tampered = merkle.leaf(*map(F.col, MERKLE_FIELDS[:-1]), stripped)
+    found = merkle.manifest(docs, "doc_id", "source", MERKLE_FIELDS, {"tampered": tampered})
+    folded = merkle.fold(F.col("row.tampered"), F.col("witness"))
+    out = found.select(F.col("row.id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof(F.col("witness")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE crc AS MATERIALIZED (
+    SELECT doc_id, xor(4294967295::UBIGINT, list_reduce([4294967295::UBIGINT] || list_transform(range(1, length(d) + 1), lambda i: ascii(substr(d, i))::UBIGINT),
+        lambda c, b: list_reduce([xor(c, b)] || list_transform(range(8), lambda k: k::UBIGINT), lambda x, k: xor(x >> 1, 3988292384::UBIGINT * (x & 1))))) AS crc
+    FROM (SELECT DISTINCT doc_id, doc_id::VARCHAR AS d FROM documents)),
+told AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce('1' || source, '0') AS grp, text,
+        concat_ws('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+            coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+        CASE WHEN crc.crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS cut
+    FROM documents LEFT JOIN crc USING (doc_id)),
+digests AS (
+    SELECT rid, doc_id, grp, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+        sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS tampered FROM told),
+leaves AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM digests),
+nodes AS (
+    SELECT 0 AS level, grp, pos, leaf AS digest, count(*) OVER (PARTITION BY grp) AS n FROM leaves
+    UNION ALL
+    SELECT level + 1, grp, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (max(n) + 2) // 3 FROM nodes WHERE n > 1 GROUP BY level, grp, pos // 3),
+subroots AS MATERIALIZED (
+    SELECT grp, digest AS subroot, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos FROM nodes WHERE n = 1),
+tops AS (
+    SELECT 0 AS level, pos, subroot AS digest, count(*) OVER () AS n FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (max(n) + 2) // 3 FROM tops WHERE n > 1 GROUP BY level, pos // 3),
+runs AS MATERIALIZED (SELECT level, grp, pos // 3 AS up, list(digest ORDER BY pos) AS run FROM nodes WHERE n > 1 GROUP BY ALL),
+top_runs AS MATERIALIZED (SELECT level, pos // 3 AS up, list(digest ORDER BY pos) AS run FROM tops WHERE n > 1 GROUP BY ALL),
+walk AS (
+    SELECT rid, grp, 0 AS level, pos, tampered AS node, '' AS proof FROM leaves
+    UNION ALL
+    SELECT rid, w.grp, w.level + 1, w.pos // 3,
+        sha256(array_to_string(run[:w.pos % 3], '') || node || array_to_string(run[w.pos % 3 + 2:], '')),
+        proof || array_to_string(run[:w.pos % 3], '') || array_to_string(run[w.pos % 3 + 2:], '')
+    FROM walk w JOIN runs r ON r.level = w.level AND r.grp = w.grp AND r.up = w.pos // 3),
+at_subroot AS MATERIALIZED (
+    SELECT rid, grp, arg_max(node, level) AS node, arg_max(proof, level) AS proof FROM walk GROUP BY rid, grp),
+climb AS (
+    SELECT rid, 0 AS level, s.pos, node, proof FROM at_subroot JOIN subroots s USING (grp)
+    UNION ALL
+    SELECT rid, c.level + 1, c.pos // 3,
+        sha256(array_to_string(run[:c.pos % 3], '') || node || array_to_string(run[c.pos % 3 + 2:], '')),
+        proof || array_to_string(run[:c.pos % 3], '') || array_to_string(run[c.pos % 3 + 2:], '')
+    FROM climb c JOIN top_runs r ON r.level = c.level AND r.up = c.pos // 3),
+ends AS (SELECT rid, arg_max(node, level) AS folded_root, arg_max(proof, level) AS proof FROM climb GROUP BY rid),
+whole AS (SELECT digest AS root FROM tops WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN ends USING (rid) JOIN subroots USING (grp) CROSS JOIN whole
+"""
+
+
 def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.digests(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_urls": op2_urls, "op3_fingerprints": op3_fingerprints, "op4_pii": op4_pii, "op5_token_rollup": op5_token_rollup, "op7_licenses": op7_licenses, "op6_simhash": op6_simhash, "op8_katz": op8_katz, "op9_toxicity": op9_toxicity, "op10_decontam": op10_decontam, "op13_word_bpe": op13_word_bpe}
+    return {"op1_bpe": op1_bpe, "op2_urls": op2_urls, "op3_fingerprints": op3_fingerprints, "op4_pii": op4_pii, "op5_token_rollup": op5_token_rollup, "op7_licenses": op7_licenses, "op6_simhash": op6_simhash, "op8_katz": op8_katz, "op9_toxicity": op9_toxicity, "op10_decontam": op10_decontam, "op12_merkle": op12_merkle, "op13_word_bpe": op13_word_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_token_rollup": OP5_SQL}
+    return {"op5_token_rollup": OP5_SQL, "op12_merkle": OP12_SQL}
