@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackstream.llm import bpe, decontam, fingerprints, katz, licenses, merkle, pii, rollups, simhash, toxicity, urls, wordbpe
+from trackstream.llm import bpe, decontam, fingerprints, katz, licenses, merkle, pii, rollups, simhash, toxicity, urls, vectorcodes, wordbpe
 from trackstream.llm.common import discard, fold, join_values, materialize, new_path, table
 
 
@@ -143,6 +143,38 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+def _op11_sql(rounds: int = 6) -> str:
+    """Plain k-means by all distances, one pair of steps a round."""
+    near = """a{k} AS MATERIALIZED (
+    SELECT rid, part, min(d) AS d, arg_min(entry, d * 16 + entry) AS entry FROM (
+        SELECT rid, p.part, entry, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT AS d
+        FROM parts p JOIN c{k} ON c{k}.part = p.part) GROUP BY rid, part)"""
+    moved = """c{n} AS MATERIALIZED (
+    SELECT part, entry, coalesce(new, c) AS c FROM c{k} LEFT JOIN (
+        SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS new FROM (
+            SELECT a.part, entry, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{k} a JOIN parts p ON a.rid = p.rid AND a.part = p.part, range(1, len(x) + 1) t(i)
+            GROUP BY a.part, entry, i) GROUP BY part, entry) USING (part, entry))"""
+    steps = [near.format(k=0)]
+    for k in range(rounds):
+        steps += [moved.format(k=k, n=k + 1), near.format(k=k + 1)]
+    return """
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT rid, part, v[part * len(v) // 8 + 1 : (part + 1) * len(v) // 8] AS x FROM kept, range(8) t(part)),
+c0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, x AS c FROM parts WHERE rid <= 16),
+STEPS,
+coded AS (SELECT rid, string_agg(format('{:02x}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM aLAST GROUP BY rid),
+rows AS (SELECT vec_id, label, code, error FROM coded JOIN kept USING (rid)),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM cLAST)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM rows CROSS JOIN books
+""".replace("STEPS", ",\n".join(steps)).replace("LAST", str(rounds))
+
+
 MERKLE_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
@@ -213,8 +245,8 @@ def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_urls": op2_urls, "op3_fingerprints": op3_fingerprints, "op4_pii": op4_pii, "op5_token_rollup": op5_token_rollup, "op7_licenses": op7_licenses, "op6_simhash": op6_simhash, "op8_katz": op8_katz, "op9_toxicity": op9_toxicity, "op10_decontam": op10_decontam, "op12_merkle": op12_merkle, "op13_word_bpe": op13_word_bpe}
+    return {"op1_bpe": op1_bpe, "op2_urls": op2_urls, "op3_fingerprints": op3_fingerprints, "op4_pii": op4_pii, "op5_token_rollup": op5_token_rollup, "op7_licenses": op7_licenses, "op6_simhash": op6_simhash, "op8_katz": op8_katz, "op9_toxicity": op9_toxicity, "op10_decontam": op10_decontam, "op11_vector_codes": op11_vector_codes, "op12_merkle": op12_merkle, "op13_word_bpe": op13_word_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_token_rollup": OP5_SQL, "op12_merkle": OP12_SQL}
+    return {"op5_token_rollup": OP5_SQL, "op11_vector_codes": _op11_sql(), "op12_merkle": OP12_SQL}
