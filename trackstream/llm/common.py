@@ -52,11 +52,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     What it shuffled is deleted once it is written. The table stays until ``discard``.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    for scope in _SCOPES:
+        scope.paths.append(path)
     with shuffles_deleted(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scope:
+    """The tables written within ``temporary``."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` outlives the scope: the tables that it reads stay."""
+        read = "".join(df.inputFiles())
+        self.paths = [p for p in self.paths if p.rsplit("/", 1)[-1] not in read]
+        return df
+
+
+_SCOPES: list[Scope] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Scope]:
+    """Tables that are materialized within go at the end, also after an error, but for those that ``keep`` names."""
+    scope = Scope()
+    _SCOPES.append(scope)
+    try:
+        yield scope
+    finally:
+        _SCOPES.remove(scope)
+        for path in scope.paths:
+            remove(spark, path)
+
+
 @contextmanager
 def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
     """Within, shuffle files go as soon as the query that wrote them has ended."""

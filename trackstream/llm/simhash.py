@@ -9,8 +9,9 @@ fingerprints in and beside them are linked through the values within one bit of
 at most two bits exactly if such a value is common to both, and no such value has more than 65 holders. That is exact,
 linear, and needs no pairs.
 
-``near_duplicates`` links by fingerprint alone. ``keep_one`` links by similarity: fingerprints of the words propose pairs
-within a wider radius, by the same variants, and the shingle sets of the two texts decide.
+``near_duplicates`` links by fingerprint alone. ``keep_one`` links by similarity: these links of five-word fingerprints
+propose pairs, and so do min-hash bands, as fingerprints of texts with a similarity of 0.8 are some ten bits apart, beyond
+any radius that variants can index. The shingle sets of the two texts decide.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackstream.llm.common import discard, join_values, materialize, text_input
+from trackstream.llm.common import discard, join_values, materialize, temporary, text_input
 from trackstream.llm.components import components
 
 BITS = 64
@@ -104,8 +105,6 @@ def _differing(a: Column, b: Column) -> Column:
 def links(prints: DataFrame, max_bits: int = 2, dense: int = DENSE) -> DataFrame:
     """Pairs (a, b) of nodes that connect all fingerprints within ``max_bits`` (0, 1 or 2) of each other, and no others.
 
-    For more bits see ``near_pairs``, whose pairs are verified by their texts.
-
     ``prints`` has distinct ``fp`` and a ``node`` id each. Sparse fingerprints give every such pair; dense ones give
     pairs with the same connected components.
     """
@@ -160,14 +159,17 @@ def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-# Near copies by similarity: word SimHashes propose, five-word shingles decide.
+# Near copies by similarity: SimHash links and min-hash bands of five-word shingles propose, the shingle sets decide.
 
-#: Independent fingerprints of a text's distinct words. A pair is proposed if one of them is within the radius.
-PRINTS = 2
-RADIUS = 5
-#: Proposed pairs whose shingle fingerprints differ in more bits than this are not compared: at a similarity of 0.8 the
-#: expected distance is under 10 bits with a deviation under 3, between unrelated texts 32.
-SHINGLE_RADIUS = 20
+#: (min-hashes in a band, bands) of each level. A pair of similarity s shares one of b bands of r with probability
+#: 1 - (1 - s^r)^b: at 0.8 that is 0.998, 0.994 and 0.935. Only members of crowds that their band cannot settle go a level on.
+LEVELS = ((4, 12), (8, 28), (16, 96))
+#: A bucket with more texts than this is a crowd: its members meet one of them, not each other.
+CROWD = 32
+#: Texts outside the main group of a crowd that are compared with all of its members at a time.
+PIVOTS = 32
+#: Shingles handled at a time.
+SHINGLES = 1 << 14
 
 
 def _bits(hashes: np.ndarray) -> int:
@@ -175,8 +177,8 @@ def _bits(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     ones = np.zeros(BITS, np.int64)
-    for k in range(0, len(hashes), 1 << 14):
-        ones += np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for k in range(0, len(hashes), SHINGLES):
+        ones += np.unpackbits(hashes[k : k + SHINGLES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
@@ -186,145 +188,177 @@ def _remixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of word shingles, repeats included, from the hashes of the words; a shorter text is one shingle."""
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; a text of fewer words is one shingle, one without words has none."""
+    words = np.array([xxhash.xxh64_intdigest(w) for w in text.encode().lower().split()], np.uint64)
     n = min(size, len(words))
     if not n:
         return words
     out = np.zeros(len(words) - n + 1, np.uint64)
     for i in range(n):
         out = _remixed(out ^ words[i : len(words) - n + 1 + i], 1)
-    return out
+    return np.unique(out)
 
 
-def sketch_text(text: str, size: int) -> tuple[list[int], int]:
-    """(word fingerprints, shingle fingerprint) of a text; all 0 without words."""
-    words = np.array([xxhash.xxh64_intdigest(w) for w in text.encode().lower().split()], np.uint64)
-    distinct = np.unique(words)
-    return [_bits(_remixed(distinct, k)) for k in range(1, PRINTS + 1)], _bits(np.unique(shingle_hashes(words, size)))
+def band_keys(shingles: np.ndarray, level: int) -> np.ndarray:
+    """One number for each band of min-hashes; sets of similarity s share each with probability s to the band's width."""
+    rows, bands = LEVELS[level]
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    seeds = _remixed(np.arange(1, 2 * rows * bands + 1, dtype=np.uint64), level + 2)
+    least = np.full(rows * bands, 2**64 - 1, np.uint64)
+    for k in range(0, len(shingles), SHINGLES // 8):
+        mixed = (shingles[k : k + SHINGLES // 8, None] ^ seeds[: rows * bands]) * (seeds[rows * bands :] | np.uint64(1))
+        np.minimum(least, mixed.min(0), out=least)
+    key = np.arange(bands, dtype=np.uint64) + np.uint64(1000 * level)
+    for column in least.reshape(bands, rows).T:
+        key = _remixed(key ^ column, 1)
+    return key.view(np.int64)
 
 
 def sketches(text: Column, size: int) -> Column:
-    @F.pandas_udf("struct<prints:array<bigint>,shingles:bigint>")
+    """SimHash of the shingle set, its size, and the band keys of the first level."""
+
+    @F.pandas_udf("struct<fp:bigint,weight:int,keys:array<bigint>>")
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([sketch_text(t or "", size) for t in batch], columns=["prints", "shingles"])
+            sets = [shingle_set(t or "", size) for t in batch]
+            yield pd.DataFrame({"fp": [_bits(s) for s in sets], "weight": [len(s) for s in sets], "keys": [band_keys(s, 0) for s in sets]})
 
     return sketched(text)
 
 
+def _further_keys(text: Column, size: int, level: int) -> Column:
+    @F.pandas_udf("array<bigint>")
+    def keyed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([band_keys(shingle_set(t or "", size), level) for t in batch], dtype=object)
+
+    return keyed(text)
+
+
+def _shingle_set(text: Column, size: int) -> Column:
+    @F.pandas_udf("array<bigint>")
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([shingle_set(t or "", size).view(np.int64) for t in batch], dtype=object)
+
+    return hashed(text)
+
+
 def _texts(text: Column) -> dict[str, Column]:
     """128 bits that tell texts apart."""
     return {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)}
 
 
-def near_pairs(nodes: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
-    """Proposed pairs (a, b), a < b, over ``nodes`` (node long, prints array<bigint>, shingles bigint).
+def print_pairs(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, fp) that their fingerprints propose: within two bits, by ``links``.
 
-    A pair is proposed if some print of both is within ``radius``: one of ``radius // 2 + 1`` segments then differs by at
-    most a bit, so equal one-wildcard variants are joined. Segment values with more than ``dense`` nodes (a large family
-    of near copies) leave the join: the nodes at and beside such a value are dealt by it. Each such group proposes all
-    pairs with its least node, and, in parts of about ``dense`` nodes, each node's pairs with the next two by
-    fingerprint, if within the radius. That is linear, and as a node is in a group for most segments, it meets several others.
+    Of nodes with one fingerprint all meet the least, which stands for them.
     """
-    ends = _segments(radius)
-    width_bits = max(w for _, w in ends)
-    parts = [
-        F.struct(F.lit(p * len(ends) + s).alias("segment"), F.lit(width).alias("width"), F.col("prints")[p].alias("fp"), _segment(F.col("prints")[p], low, width).alias("value"))
-        for p in range(PRINTS)
-        for s, (low, width) in enumerate(ends)
-    ]
-    rows = nodes.select("node", F.explode(F.array(*parts)).alias("s")).select("node", "s.*")
-    crowded = materialize(rows.groupBy("segment", "width", "value").agg(F.count("*").alias("n")).where(F.col("n") > dense).drop("n"), "crowded")
-    crowds = crowded.count()
-    sparse = rows.join(crowded, ["segment", "width", "value"], "left_anti") if crowds else rows
-    # a signature is segment, wildcard and the other bits, packed into one number
-    signs = sparse.select("node", "fp", "segment", "value", F.explode(F.expr("sequence(-1, width - 1)")).alias("wildcard"))
-    mask = F.when(F.col("wildcard") < 0, F.lit(0).cast("long")).otherwise(_bit(F.greatest("wildcard", F.lit(0))))
-    kind = F.shiftleft(F.col("segment").cast("long") * 64 + F.col("wildcard") + 1, width_bits)
-    signs = signs.select(
-        "node",
-        "fp",
-        kind.bitwiseOR(F.col("value").bitwiseAND(F.bitwise_not(mask))).alias("sign"),
-        F.when(F.col("wildcard") < 0, F.lit(2)).when(F.col("value").bitwiseAND(mask) == 0, F.lit(0)).otherwise(F.lit(1)).cast("tinyint").alias("bit"),
-    )
-    left, right = signs.where("bit != 1").alias("l"), signs.where("bit != 0").drop("bit").alias("r")
-    once = (F.col("l.bit") == 0) | (F.col("l.node") < F.col("r.node"))
-    joined = left.join(right, (F.col("l.sign") == F.col("r.sign")) & once & (_differing(F.col("l.fp"), F.col("r.fp")) <= radius))
-    pairs = joined.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-    if crowds:
-        flips = F.expr("concat(array(value), transform(sequence(0, width - 1), i -> value ^ shiftleft(1L, i)))")
-        beside = crowded.select("segment", F.col("value").alias("crowd"), F.explode(flips).alias("value"))
-        dealt = materialize(rows.join(beside, ["segment", "value"]).select("node", "fp", F.xxhash64("segment", "crowd").alias("crowd")), "crowds")
-        least = dealt.groupBy("crowd").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-        stars = join_values(dealt, least.withColumn("size", F.col("n")), "crowd", "n")
-        part = F.pmod(F.xxhash64("node", "crowd"), F.ceil(F.col("size") / dense))
-        met = stars.groupBy("crowd", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("fp", "node"))).alias("m"))  # about ``dense`` at most
-        near = F.concat(*[
-            F.transform(F.sequence(F.lit(1), F.greatest(F.size("m") - k, F.lit(1))), lambda i, k=k: F.struct(F.element_at("m", i).alias("x"), F.element_at("m", F.least(i + k, F.size("m"))).alias("y")))
-            for k in (1, 2)
-        ])
-        near = F.filter(near, lambda p: _differing(p["x"]["fp"], p["y"]["fp"]) <= radius)
-        ahead = F.transform(near, lambda p: F.struct(p["x"]["node"].alias("a"), p["y"]["node"].alias("b")))
-        met = met.where("size(m) > 1")
-        pairs = pairs.unionByName(stars.where("a != node").select("a", F.col("node").alias("b"))).unionByName(met.select(F.explode(ahead).alias("p")).select("p.*"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def groups_of_texts(docs: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, size: int = 5, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
-    """Per distinct text (k1, k2): ``first``, its least id, and ``keeper``, whether it stands for its group.
+    prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "prints")
+    same = join_values(nodes.select("node", "fp"), prints.where("n > 1").select("fp", F.col("node").alias("a"), "n"), "fp", "n").select("a", F.col("node").alias("b"))
+    return links(prints.select("fp", "node"), 2, dense).select("a", "b").unionByName(same)
+
 
-    Texts are linked if the Jaccard similarity of their sets of ``size``-word shingles is ``similarity`` or more and the
-    word fingerprints propose them; groups are connected components. A group's keeper has the least (id, k1, k2), null
-    ids last.
+def bucket_pairs(keyed: DataFrame, similarity: float, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs a, b; members of crowds: key, node) of ``keyed`` rows (key, node, weight), ``weight`` being a set's size.
+
+    The members of a bucket of up to ``crowd`` meet each other; those of a crowd meet its least member. Sets whose sizes
+    rule the similarity out do not meet.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = rows.withColumns(_texts(F.col("text")))
-    ids = texts.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.any_value("text").alias("text"))
-    nodes = materialize(ids.select("k1", "k2", "first", "text", sketches(F.col("text"), size).alias("s")).withColumn("node", F.monotonically_increasing_id()), "texts")
-    pairs = materialize(near_pairs(nodes.select("node", "s.prints", "s.shingles"), radius, dense), "pairs")
-    shingles = nodes.select("node", "s.shingles")
-    a, b = (shingles.select(F.col("node").alias(c), F.col("shingles").alias(f"h{c}")) for c in "ab")
-    likely = materialize(pairs.join(a, "a").join(b, "b").where(_differing(F.col("ha"), F.col("hb")) <= SHINGLE_RADIUS).select("a", "b"), "likely")
-    used = likely.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-    sets = used.join(nodes.select("node", "text"), "node").select("node", "n", _shingle_set(F.col("text"), size).alias("set"))
-    sets = materialize(sets, "shingles")
-    both = likely
+    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "weight")).alias("pivot")).where("n > 1"), "buckets")
+    held = materialize(join_values(keyed, sizes.withColumn("size", F.col("n")), "key", "n"), "bucket-members")
+    member = F.struct("node", "weight")
+    met = held.where(F.col("size") <= crowd).groupBy("key").agg(F.sort_array(F.collect_list(member)).alias("m"))  # ``crowd`` at most
+    pairs = met.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x, y))))")).alias("p")).select("p.x", "p.y")
+    stars = held.where(F.col("size") > crowd).select(F.col("pivot").alias("x"), member.alias("y")).where("x.node != y.node")
+    able = F.least("x.weight", "y.weight") >= F.lit(similarity) * F.greatest("x.weight", "y.weight")
+    both = pairs.unionByName(stars).where(able).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return both, held.where(F.col("size") > crowd).select("key", "node")
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
+    """The pairs whose sets of shingles have a Jaccard similarity of ``similarity`` or more, written to a table."""
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    pairs = materialize(ordered, "pairs")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    sets = materialize(used.join(nodes.select("node", "text"), "node").select("node", "n", _shingle_set(F.col("text"), size).alias("set")), "shingles")
+    both = pairs
     for c in "ab":
         both = join_values(both, sets.select(F.col("node").alias(c), "n", F.col("set").alias(f"set_{c}")), c, "n")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    alike = common >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - common)
+    alike = (common > 0) & (common >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - common))
     edges = materialize(both.where(alike).select("a", "b"), "alike")
-    found = components(edges)
-    of_node = nodes.select("node", "k1", "k2", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    order = F.struct(F.col("first").isNull().alias("last"), "first", "k1", "k2")
-    keepers = of_node.groupBy("component").agg(F.min(order).alias("best")).select("best.*").drop("last").withColumn("keeper", F.lit(True))
-    done = materialize(keepers, "keepers")
-    discard(nodes, pairs, likely, sets, edges)
-    return done
+    discard(pairs, sets)
+    return edges
 
 
-def _shingle_set(text: Column, size: int) -> Column:
-    @F.pandas_udf("array<bigint>")
-    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out = []
-            for t in batch:
-                words = np.array([xxhash.xxh64_intdigest(w) for w in (t or "").encode().lower().split()], np.uint64)
-                out.append(np.unique(shingle_hashes(words, size)).view(np.int64))
-            yield pd.Series(out, dtype=object)
+def _unsettled(crowds: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members (key, node, group, main, others, size) of crowds that are not one group; ``others`` are not of the main one."""
+    told = materialize(crowds.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("group")), "crowds")
+    by_group = told.groupBy("key", "group").agg(F.count("*").alias("n"))
+    mains = by_group.groupBy("key").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("others"))
+    return materialize(join_values(told, mains.where("others > 0").withColumn("n", F.col("size")), "key", "n"), "unsettled")
 
-    return hashed(text)
+
+def pivot_pairs(unsettled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs a, b; pivots key, node): ``PIVOTS`` members outside a crowd's main group, each with all of other groups."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))  # limited in each task first
+    pivots = materialize(unsettled.where(F.col("group") != F.col("main")).withColumn("place", place).where(F.col("place") <= PIVOTS), "pivots")
+    told = pivots.groupBy("key").agg(F.collect_list(F.struct("node", "group")).alias("pivots"), F.max("size").alias("n"))  # ``PIVOTS`` at most
+    met = join_values(unsettled.select("key", "node", "group"), told, "key", "n").withColumn("p", F.explode("pivots"))
+    return met.where(F.col("p.group") != F.col("group")).select(F.col("p.node").alias("a"), F.col("node").alias("b")), pivots.select("key", "node")
 
 
-def keep_one(docs: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, size: int = 5, radius: int = RADIUS) -> DataFrame:
+def groups_of_texts(docs: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, size: int = 5, dense: int = CROWD) -> DataFrame:
+    """Per distinct text (k1, k2): ``first``, its least id, and ``keeper``, whether it stands for its group.
+
+    Texts are linked if the Jaccard similarity of their sets of ``size``-word shingles is ``similarity`` or more and a
+    SimHash link or a min-hash band proposes them; groups are connected components. A group's keeper has the least
+    (id, k1, k2), null ids last. Texts without words are linked to their equals only.
+
+    Buckets of up to ``dense`` texts give all pairs. Members of a crowd meet its least member first. If they then are one
+    group, no further pair can change a group. Of a crowd with few members outside its main group, those meet all others,
+    which settles it exactly. Members of other crowds go on to the next level's narrower bands; on the last level, pivots
+    meet all others, in rounds, until every crowd is settled.
+    """
+    with temporary(docs.sparkSession) as tables:
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        texts = rows.withColumns(_texts(F.col("text"))).groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.any_value("text").alias("text"))
+        told = texts.select("k1", "k2", "first", "text", sketches(F.col("text"), size).alias("s"))
+        nodes = materialize(told.select("k1", "k2", "first", "text", "s.*").withColumn("node", F.monotonically_increasing_id()), "texts")
+        wordy = nodes.where("weight > 0")
+        pairs, crowds = bucket_pairs(wordy.select(F.explode("keys").alias("key"), "node", "weight"), similarity, dense)
+        edges = similar(pairs.unionByName(print_pairs(wordy.select("node", "fp"))), nodes, similarity, size)
+        groups, level = components(edges), 0
+        while not crowds.isEmpty() and not (open_ := _unsettled(crowds, groups)).isEmpty():
+            level += 1
+            last = level >= len(LEVELS)
+            pairs, pivots = pivot_pairs(open_ if last else open_.where(F.col("others") <= PIVOTS))
+            if last:
+                crowds = materialize(crowds.join(pivots, ["key", "node"], "left_anti"), "crowds")
+            else:
+                hard = open_.where(F.col("others") > PIVOTS).select("node").distinct()
+                keys = F.explode(_further_keys(F.col("text"), size, level)).alias("key")
+                found, crowds = bucket_pairs(wordy.join(hard, "node", "left_semi").select("node", "weight", keys), similarity, dense)
+                pairs = pairs.unionByName(found)
+            edges = edges.unionByName(similar(pairs, nodes, similarity, size))
+            groups = components(edges)
+        of_node = nodes.select("node", "k1", "k2", "first").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        order = F.struct(F.col("first").isNull().alias("last"), "first", "k1", "k2")
+        keepers = of_node.groupBy("component").agg(F.min(order).alias("best")).select("best.*").drop("last").withColumn("keeper", F.lit(True))
+        return tables.keep(materialize(keepers, "keepers"))
+
+
+def keep_one(docs: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, size: int = 5) -> DataFrame:
     """One row of ``docs`` for each group of near copies: rows are judged by their texts, and the least id stays.
 
     Two texts under one id are judged apart. Of repeated rows (id and text alike) one stays. A null id comes last in its
     group, so such a row stays only where no other has its text or a near copy of it. Null and empty texts are copies of
     each other. An empty table stays empty. All columns are kept, whatever their names.
     """
-    keepers = groups_of_texts(docs, id_col, text_col, similarity, size, radius)
+    keepers = groups_of_texts(docs, id_col, text_col, similarity, size)
     keys = _texts(F.coalesce(F.col(text_col), F.lit("")))
     own = {f"_{uuid.uuid4().hex}": c for c in (F.col(id_col), *keys.values())}
     i, a, b = own
