@@ -1,18 +1,23 @@
 """Replay-safe sinks over time-partitioned Parquet, as batch writes and as ``foreachBatch`` functions.
 
 A replayed batch leaves every table as it was: insert-ignore keeps the first row of a key, replacing keeps all rows and
-lets reads take the newest, upsert keeps the row of latest event time.
+lets reads take the newest, upsert keeps the row of latest event time. Sinks that would append a retried batch again commit
+by its number: files through ``manifests.Published``, database tables through a staging table and one transaction. Tables
+of many keys, and facts that change, are in ``manifests``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackstream.operators import ingest
+from trackstream.operators.manifests import Published
 from trackstream.sources.scratch import written
 
 HOUR_MS, DAY_MS = 3_600_000, 86_400_000
@@ -30,6 +35,8 @@ def _sliced(rows: DataFrame, time_col: str, slice_ms: int) -> DataFrame:
 def insert_ignore(batch: DataFrame, path: str, keys: list[str], time_col: str, slice_ms: int = DAY_MS, by: list[str] | None = None) -> None:
     """Append the rows whose key is not there yet; of rows of one key in a batch, the first by ``by`` (all columns).
 
+    Null is a key value like any other.
+
     ``time_col`` is part of the key, so only the slices that the batch touches are read. The batch is written once into the
     table's own staging folder, so its source is not computed twice.
     """
@@ -41,7 +48,9 @@ def insert_ignore(batch: DataFrame, path: str, keys: list[str], time_col: str, s
     if _exists(spark, path):
         known = spark.read.parquet(path)
         touched = [r[0] for r in fresh.select("slice").distinct().collect()]  # slices of one batch
-        fresh = fresh.join(known.where(F.col("slice").isin(touched)).select("slice", *keys), ["slice", *keys], "left_anti")
+        here = F.col("slice").isin([x for x in touched if x is not None]) | (F.col("slice").isNull() if None in touched else F.lit(False))
+        known = known.where(here).select(*[F.col(c).alias(f"_{c}") for c in ("slice", *keys)])
+        fresh = fresh.join(known, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("slice", *keys)]), "left_anti")
     fresh.write.mode("append").partitionBy("slice").parquet(path)
 
 
@@ -113,11 +122,10 @@ def to_topic(rows: DataFrame, key: str, topic: str) -> DataFrame:
     return rows.select(F.lit(topic).alias("topic"), F.col(key).cast("string").alias("key"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def split_letters(gated: DataFrame, valid_path: str, letters_path: str) -> None:
-    """One pass of a gated batch into two sinks: valid rows, and dead letters as text messages."""
+def split_letters(gated: DataFrame, into: Published, batch: int) -> bool:
+    """One pass of a gated batch into two sinks, ``valid`` rows and ``letters``, which show the batch together and once."""
     rows = written(gated, "gated")
-    ingest.valid(rows).write.mode("append").parquet(valid_path)
-    ingest.dead_letters(rows).write.mode("append").parquet(letters_path)
+    return into.write({"valid": ingest.valid(rows), "letters": ingest.dead_letters(rows)}, batch)
 
 
 def to_jdbc(batch: DataFrame, url: str, table: str, rows: int = 500, **options: str) -> None:
@@ -125,6 +133,46 @@ def to_jdbc(batch: DataFrame, url: str, table: str, rows: int = 500, **options:
     batch.write.format("jdbc").option("url", url).option("dbtable", table).option("batchsize", rows).options(**options).mode("append").save()
 
 
+def to_jdbc_once(batch: DataFrame, url: str, table: str, number: int, rows: int = 500, retries: int = 3, **options: str) -> None:
+    """Put a micro-batch into a database table once, however often it is tried; ``batch_id`` tells its number there.
+
+    The rows go to a staging table of the sink, which an attempt overwrites, and from there into the table in one transaction
+    that first takes away what an earlier attempt had put there. A failed attempt is repeated up to ``retries`` times.
+    """
+    told, stage = batch.withColumn("batch_id", F.lit(number).cast("long")), f"{table}_stage"
+    for attempt in range(retries + 1):
+        try:
+            to_jdbc(told.limit(0), url, table, rows, **options)  # makes the table where there is none
+            told.write.format("jdbc").option("url", url).option("dbtable", stage).option("batchsize", rows).options(**options).mode("overwrite").save()
+            _transaction(batch.sparkSession, url, [f'DELETE FROM {table} WHERE "batch_id" = {int(number)}', f"INSERT INTO {table} SELECT * FROM {stage}"], options)
+            return
+        except Exception:
+            if attempt == retries:
+                raise
+
+
+def _transaction(spark: SparkSession, url: str, statements: list[str], options: dict[str, str]) -> None:
+    """All statements or none, on one connection of the driver."""
+    jvm = spark._jvm
+    if "driver" in options:
+        jvm.java.lang.Class.forName(options["driver"])
+    login = jvm.java.util.Properties()
+    for name in ("user", "password"):
+        if name in options:
+            login.setProperty(name, options[name])
+    connection = jvm.java.sql.DriverManager.getConnection(url, login)
+    try:
+        connection.setAutoCommit(False)
+        for text in statements:
+            connection.createStatement().executeUpdate(text)
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
 def each_batch(write: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function; the batch is kept while it is used more than once."""
 
