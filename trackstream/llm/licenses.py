@@ -1,10 +1,10 @@
 """License scans by conditional compression.
 
-Every template is confirmed in every candidate block of a text, or refused, by the exact differences in wording; words
-with digits (versions) must be there as they are. A block
-with confirmed templates is compressed alone and with each template as a raw zstandard dictionary: templates are ranked by
-how many bytes their dictionary saves, which settles overlaps of wordings that fit equally well. Savings refuse nothing,
-as near-twin templates and long blocks make the share of a notice small.
+Candidate blocks around cues are cut into windows, and each window is compressed alone and with each template as a raw
+zstandard dictionary. A template whose dictionary saves nearly what its wording costs, or half of the window, is a winner;
+the others are not looked at again. Winners, ranked by their savings, are confirmed by the exact differences in wording:
+words with digits (versions) must be there as they are, and up to a tenth of the others may differ. Of wordings that fit a
+place equally well, the rank decides.
 """
 
 from __future__ import annotations
@@ -97,33 +97,80 @@ TEMPLATES = {
 
 #: A block is a candidate if it has one of these stems; every template has one, most have several.
 CUES = re.compile(r"licen[sc]|copyright|redistribut|permission|creative commons|cc[- ]by", re.IGNORECASE)
-#: Words around a cue that a block reaches out to, on the same line or on others: wrapped notices stay whole.
+#: Words around a cue that a block reaches out to, at least, on the same line or on others: wrapped notices stay whole.
 REACH = 60
 #: Share of a template's words that may be missing or different.
 TOLERANCE = 0.1
+#: Words of a window that is compressed at a time.
+WINDOW = 150
+LEVEL = 9
+#: Share of what its wording costs (or of half the window, where that is less) that a template must save to win. Measured on
+#: planted notices with as many changed words as are tolerated: see the tests.
+FLOOR = 0.3
 
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 _DIGIT = re.compile(r"[0-9]")
 RESULT = "array<struct<start:int,end:int,license:string,saved:double,missing:array<string>,added:array<string>>>"
 
 
-@lru_cache(maxsize=1)
-def _compressors() -> tuple[zstandard.ZstdCompressor, dict[str, zstandard.ZstdCompressor]]:
-    bare = zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False)
-    own = {}
-    for name, text in TEMPLATES.items():
-        raw = zstandard.ZstdCompressionDict(text.encode() * max(1, 64 // len(text) + 1), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        own[name] = zstandard.ZstdCompressor(level=9, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return bare, own
+class Templates:
+    """Wordings, and a compressor with each as its dictionary."""
 
+    def __init__(self, texts: dict[str, str]):
+        options = {"level": LEVEL, "write_content_size": False, "write_checksum": False}
+        self.bare = zstandard.ZstdCompressor(**options)
+        self.own, self.worth = {}, {}
+        self.words = {name: [w.lower() for w in _WORD.findall(text)] for name, text in texts.items()}
+        for name, words in self.words.items():
+            text = " ".join(words).encode()
+            # zstandard uses no dictionary below a few dozen bytes, so short wordings are repeated
+            raw = zstandard.ZstdCompressionDict((text + b" ") * (64 // len(text) + 1), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self.own[name] = zstandard.ZstdCompressor(dict_data=raw, write_dict_id=False, **options)
+            self.worth[name] = len(self.bare.compress(text)) - len(self.own[name].compress(text))
+        self.reach = max([REACH, *(1 + _stretch(text) * 11 // 10 for text in texts.values())])
 
-@lru_cache(maxsize=1)
-def _wordings() -> dict[str, list[str]]:
-    return {name: [w.lower() for w in _WORD.findall(text)] for name, text in TEMPLATES.items()}
+    def ranked(self, window: list[str]) -> list[tuple[str, int, int]]:
+        """(template, bytes that its dictionary saves, bytes that it must save to win) for a window's words, most first."""
+        raw = " ".join(window).encode()
+        alone = len(self.bare.compress(raw))
+        saved = [(name, alone - len(c.compress(raw)), round(FLOOR * min(self.worth[name], alone / 2))) for name, c in self.own.items()]
+        return sorted(saved, key=lambda s: (-s[1], s[0]))
 
+    def winners(self, block: str) -> list[tuple[str, int]]:
+        """Templates that win in some window of the block, with their greatest saving, most first."""
+        best: dict[str, int] = {}
+        for window in windows([w.lower() for w in _WORD.findall(block)]):
+            for name, saved, least in self.ranked(window):
+                if saved >= least:
+                    best[name] = max(saved, best.get(name, 0))
+        return sorted(best.items(), key=lambda s: (-s[1], s[0]))
 
-def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Code-point spans of candidate blocks: ``REACH`` words either side of each cue, across line breaks, merged."""
+
+def _stretch(text: str) -> int:
+    """Most words of a wording without a cue: what a block must reach over to hold it whole."""
+    at = [len(_WORD.findall(text, 0, m.start())) for m in CUES.finditer(text)]
+    ends = [0, *at, len(_WORD.findall(text))]
+    return max(b - a for a, b in zip(ends, ends[1:], strict=False))
+
+
+@lru_cache(maxsize=4)
+def _compiled(texts: tuple[tuple[str, str], ...]) -> Templates:
+    """One set of compressors a Python worker."""
+    return Templates(dict(texts))
+
+
+def _of(templates: dict[str, str] | None) -> Templates:
+    return _compiled(tuple((TEMPLATES if templates is None else templates).items()))
+
+
+def windows(words: list[str]) -> Iterator[list[str]]:
+    """Runs of ``WINDOW`` words, each half-way over the one before, so that most of any wording lies in one of them."""
+    for i in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
+        yield words[i : i + WINDOW]
+
+
+def blocks(text: str, reach: int = REACH) -> Iterator[tuple[int, int]]:
+    """Code-point spans of candidate blocks: ``reach`` words either side of each cue, across line breaks, merged."""
     if not CUES.search(text):
         return
     words = [m.span() for m in _WORD.finditer(text)]
@@ -132,7 +179,7 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
     for cue in CUES.finditer(text):
         while k < len(words) - 1 and words[k][1] <= cue.start():
             k += 1
-        a, b = max(0, k - REACH), min(len(words), k + REACH + 1)
+        a, b = max(0, k - reach), min(len(words), k + reach + 1)
         if last and a <= last[1]:
             last = (last[0], b)
         else:
@@ -143,21 +190,11 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
         yield words[last[0]][0], words[last[1] - 1][1]
 
 
-def ranked(block: str) -> list[tuple[str, float]]:
-    """Templates by the share of the block's compressed size that their dictionary saves, best first."""
-    bare, own = _compressors()
-    raw = block.encode()
-    alone = len(bare.compress(raw))
-    saved = [(name, (alone - len(c.compress(raw))) / alone) for name, c in own.items()]
-    return sorted(saved, key=lambda s: (-s[1], s[0]))
-
-
-def confirm(block: str, name: str, tolerance: float = TOLERANCE) -> Iterator[tuple[int, int, list[str], list[str]]]:
+def confirm(block: str, wording: list[str], tolerance: float = TOLERANCE) -> Iterator[tuple[int, int, list[str], list[str]]]:
     """Every place where the block has the template's wording but for few words: span, words missing, words added.
 
     A place may begin at any word of the wording. None of the words with digits may be missing.
     """
-    wording = _wordings()[name]
     known = set(wording)
     found = list(_WORD.finditer(block))
     words = [m.group().lower() for m in found]
@@ -195,37 +232,36 @@ def confirm(block: str, name: str, tolerance: float = TOLERANCE) -> Iterator[tup
         i += 1
 
 
-def scan_text(text: str) -> list[dict]:
+def scan_text(text: str, templates: dict[str, str] | None = None) -> list[dict]:
     """Confirmed notices of a text; where wordings overlap, the one with more words stands, then the better saving."""
-    out: list[dict] = []
-    for a, b in blocks(text):
+    known, out = _of(templates), []
+    for a, b in blocks(text, known.reach):
         block = text[a:b]
-        places = {name: found for name in TEMPLATES if (found := list(confirm(block, name)))}
-        if not places:
-            continue
         hits = []
-        for name, saved in ranked(block):
-            for start, end, missing, added in places.get(name, ()):
-                hits.append((end - start, saved, {"start": a + start, "end": a + end, "license": name, "saved": saved, "missing": missing, "added": added}))
+        for name, saved in known.winners(block):
+            for start, end, missing, added in confirm(block, known.words[name]):
+                hits.append({"start": a + start, "end": a + end, "license": name, "saved": float(saved), "missing": missing, "added": added})
         taken: list[dict] = []
-        for _, _, hit in sorted(hits, key=lambda h: (len(h[2]["missing"]) + len(h[2]["added"]), -h[0], -h[1])):
+        for hit in sorted(hits, key=lambda h: (len(h["missing"]) + len(h["added"]), h["start"] - h["end"], -h["saved"])):
             if all(hit["end"] <= t["start"] or hit["start"] >= t["end"] for t in taken):
                 taken.append(hit)
         out += sorted(taken, key=lambda t: t["start"])
     return out
 
 
-def scan(docs: DataFrame, text_col: str, out_col: str = "licenses") -> DataFrame:
-    """``docs`` with an array of confirmed notices (code points, end exclusive).
+def scan(docs: DataFrame, text_col: str, out_col: str = "licenses", templates: dict[str, str] | None = None) -> DataFrame:
+    """``docs`` with an array of confirmed notices (code points, end exclusive); ``saved`` is in bytes.
 
+    ``templates`` are names and wordings (``TEMPLATES``); whole licence texts may be given too, and travel with the tasks.
     Null and empty texts have none. Repeated rows get the same notices; wordings that fit a place equally well are told by
-    the longer one, then the better saving. An empty table stays empty. A column of the name ``out_col`` is replaced.
+    the longer one, then the better saving. An empty table stays empty. A column of the name ``out_col`` is replaced. The
+    work grows linearly with a text's candidate blocks, however long.
     """
 
     @F.pandas_udf(RESULT)
     def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([scan_text(t) if t else [] for t in batch], dtype=object)
+            yield pd.Series([scan_text(t, templates) if t else [] for t in batch], dtype=object)
 
     return docs.withColumn(out_col, scanned(F.col(text_col)))
 
