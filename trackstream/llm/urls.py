@@ -16,7 +16,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackstream.llm.common import sampled
+from trackstream.llm.common import discard, materialize, sampled
 
 #: Labelled pages that rules are mined from, at most (about).
 FIT_PAGES = 20_000
@@ -78,16 +78,29 @@ def mine(pages: DataFrame, id_col: str, url_col: str, labels: DataFrame, fit_pag
     """Pruned rules (tokens, confidence) that conclude a block. ``labels``: (doc_id, block 0/1).
 
     Rows with a null id, url or label teach nothing, and repeated rows teach once. A page with both labels counts under
-    each. No labelled page at all gives no rules.
+    each. The sample is drawn from labelled pages, so labels of other ids take no place in it. No labelled page at all
+    gives no rules.
     """
     rows = labels.select("doc_id", "block").where("doc_id is not null and block in (0, 1)").distinct()
-    available = rows.count()
-    rows = rows.where(sampled(F.col("doc_id"), fit_pages / available)) if available > fit_pages else rows
-    known = pages.select(F.col(id_col).alias("doc_id"), F.col(url_col).alias("url")).where("url is not null").join(F.broadcast(rows), "doc_id")
+    urls = pages.select(F.col(id_col).alias("doc_id"), F.col(url_col).alias("url")).where("doc_id is not null and url is not null")
+    labelled = urls.select("doc_id").distinct().join(rows.select("doc_id").distinct(), "doc_id").count()  # of the pages only
+    if labelled < MIN_PAGES:
+        return []
+    share = min(1.0, fit_pages / labelled)
+    drawn = [d if share == 1 else d.where(sampled(F.col("doc_id"), share)) for d in (urls, rows)]
+    known = materialize(drawn[0].join(drawn[1], "doc_id").distinct(), "labelled-pages")
+    try:
+        return _rules(known, support, confidence)
+    finally:
+        discard(known)
+
+
+def _rules(known: DataFrame, support: float, confidence: float) -> list[tuple[tuple[str, ...], float]]:
+    """Pruned rules of labelled pages (doc_id, url, block), a sample of bounded size."""
     label = F.when(F.col("block") == 1, F.lit(BLOCK)).otherwise(F.lit(ALLOW))
     pages_of = known.select(F.col("doc_id"), F.explode(tokens(F.col("url"))).alias("token"), label.alias("label")).distinct()
     n = known.select("doc_id").distinct().count()
-    if n < MIN_PAGES:
+    if n < MIN_PAGES:  # by the chance of the sample
         return []
     support = max(support, MIN_PAGES / n)
     uses = pages_of.groupBy("token").agg(F.count_distinct("doc_id").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
