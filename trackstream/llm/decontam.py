@@ -1,10 +1,10 @@
 """Benchmark decontamination: a broadcast set of normalised test n-grams, scanned over every training token window.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased. A window is ``size`` consecutive
-words of an item, or all words of a shorter one. Distinct windows, each with its items, are made by Spark and dealt by
-hash into blocks of about ``block_windows`` entries; only one block at a time is on the driver and in the workers. A
-benchmark of one block needs one pass; further blocks each take a pass over what the pass before wrote. Set members are
-the windows themselves, so a hit needs no further proof of equality.
+words of an item, or all words of a shorter one. Distinct pairs of a window and an item are made by Spark and dealt by
+hash into blocks of about ``block_windows``; only one block at a time is on the driver and in the workers, and a window that
+very many items share is dealt over several. A benchmark of one block needs one pass; further blocks each take a pass over
+what the pass before wrote. Set members are the windows themselves, so a hit needs no further proof of equality.
 """
 
 from __future__ import annotations
@@ -35,20 +35,24 @@ def words_of(text: str) -> list[bytes]:
 
 
 def windows(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> DataFrame:
-    """(window, items): every distinct window, its words joined by a space, and the ids of its items as strings."""
+    """(window, item): every distinct window, its words joined by a space, with the id of each of its items as a string."""
     lower = F.translate(F.col(text_col), string.ascii_uppercase, string.ascii_lowercase)
     words = F.filter(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
     each = benchmark.select(F.col(item_col).cast("string").alias("item"), words.alias("w")).where("size(w) > 0")
     k = F.least(F.lit(size), F.size("w"))
     cut = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))
-    return each.select("item", F.explode(F.array_distinct(cut)).alias("window")).groupBy("window").agg(F.collect_set("item").alias("items"))
+    return each.select(F.explode(F.array_distinct(cut)).alias("window"), "item").distinct()
 
 
 class Windows:
     """Hash set of windows, with the ids of the items that they come from, and their words."""
 
-    def __init__(self, rows: list[tuple[str, list[str]]]):
-        self.items = {w.encode(): items for w, items in rows}
+    def __init__(self, rows: list[tuple[str, str | None]]):
+        self.items: dict[bytes, list[str]] = {}
+        for window, item in rows:
+            items = self.items.setdefault(window.encode(), [])
+            if item is not None:
+                items.append(item)
         self.words = {w for window in self.items for w in window.split(b" ")}
         self.sizes = sorted({window.count(b" ") + 1 for window in self.items})
         self.runs = re.compile(b"\x01{%d,}" % self.sizes[0]) if self.sizes else None
@@ -130,11 +134,10 @@ def scan(
     """
     spark: SparkSession = docs.sparkSession
     found = materialize(windows(benchmark, item_col, item_text_col, size), "windows")
-    entries = found.agg(F.sum(F.size("items") + 1)).first()[0] or 0
-    blocks = int(entries // block_windows) + 1
+    blocks = 2 * found.count() // block_windows + 1  # a window and an id each
     rest, done = docs.drop(out_col), None
     for k in range(blocks):
-        shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in found.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).collect()]))
+        shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in found.where(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == k).collect()]))
         scanned = rest.withColumn(out_col, _scanner(shared, F.col(text_col), F.col(out_col) if k else None))
         if k == blocks - 1:
             break
