@@ -8,8 +8,10 @@ import math
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -874,3 +876,93 @@ def test_decontamination_cuts_spans(spark, block_windows):
     bench = spark.createDataFrame([(1, item), (2, rest)], "item_id long, text string")
     got = [r.text for r in decontam.remove_spans(docs(spark, texts), bench, "text", "item_id", "text", block_windows=block_windows).orderBy("doc_id").collect()]
     assert got == ["Keep this. ! And that ", "nothing", None]
+
+
+# Compression decides, long texts, samples, hot windows
+
+
+def test_license_notices_come_through_compression(monkeypatch):
+    """Planted notices with as many changed words as are tolerated: what the exact comparison would confirm wins by its
+    saving; with noise for a ranking hardly any does."""
+    rng = random.Random(3)
+    filler = "the of a lorem ipsum file and code data value which returns with some text about things in this module".split()
+    known = licenses._of(None)
+    planted = []
+    for _ in range(8):
+        for name, wording in licenses.TEMPLATES.items():
+            words = wording.split()
+            for i in rng.sample([i for i, w in enumerate(words) if not re.search("[0-9]", w)], int(rng.choice([0, 0.05, 0.1]) * len(words))):
+                words[i] = rng.choice(filler)
+            text = " ".join(rng.choices(filler, k=rng.randrange(90)) + words + rng.choices(filler, k=rng.randrange(90)))
+            if any(True for _ in licenses.confirm(text, known.words[name])):
+                planted.append((name, text))
+    won = [dict(known.winners(text)) for _, text in planted]
+    assert sum(name in w for (name, _), w in zip(planted, won, strict=True)) >= 0.99 * len(planted)
+    assert sum(map(len, won)) < 4.5 * len(won)  # of eighteen templates
+    assert sum(bool(known.winners(" ".join(rng.choices(filler, k=150)))) for _ in range(40)) <= 4
+    found = [sum(any(x["license"] == name for x in licenses.scan_text(text)) for name, text in planted)]
+    noise = random.Random(1)
+    monkeypatch.setattr(licenses.Templates, "ranked", lambda self, window: [(name, noise.randrange(40), 30) for name in self.own])
+    found.append(sum(any(x["license"] == name for x in licenses.scan_text(text)) for name, text in planted))
+    assert found[0] >= 0.7 * len(planted) and found[1] < 0.6 * found[0]
+
+
+def test_whole_licences_as_templates():
+    folder = Path("/usr/share/common-licenses")
+    names = [n for n in ("Apache-2.0", "MPL-2.0", "GPL-3") if (folder / n).exists()]
+    if not names:
+        pytest.skip("no licence texts on this machine")
+    texts = {f"{n} whole": (folder / n).read_text() for n in names}
+    for n in names:
+        text = "words before\n" + texts[f"{n} whole"].replace("Copyright", "copyright", 1) + "\nwords after"
+        found = licenses.scan_text(text, texts)
+        assert [x["license"] for x in found] == [f"{n} whole"] and found[0]["end"] - found[0]["start"] > 0.95 * len(text)
+
+
+def test_very_long_texts_of_licences_and_numbers():
+    unit = " ".join(["filler"] * 400) + " " + licenses.TEMPLATES["GPL-3.0 header"] + " "
+    began = time.time()
+    assert len(licenses.scan_text(unit * 300)) == 300 and time.time() - began < 60
+    rng = np.random.default_rng(0)
+    x = rng.random((2000, 30))
+    model = pii.Model(pii.Boosted().fit(x, (x[:, 0] > 0.5).astype(float)), [0.3] * 4)
+    r = random.Random(2)
+    text = " ".join(r.choice([f"u{r.randrange(10**6)}@mail.example.com", f"{r.randrange(10**9, 10**10)}", f"{r.randrange(256)}.{r.randrange(256)}.7.9"]) for _ in range(60_000))
+    began = time.time()
+    spans = model.spans(text)
+    assert len(text) > 900_000 and time.time() - began < 40 and len(spans) > 30_000
+    taken = sorted((a, b) for _, a, b, base in spans if not base)
+    assert all(b <= c for (_, b), (c, _) in zip(taken, taken[1:], strict=False))
+
+
+def test_covered_places_by_brute_force():
+    r = random.Random(6)
+    for _ in range(200):
+        start = [(a, a + r.randrange(1, 5)) for a in (r.randrange(40) for _ in range(r.randrange(5)))]
+        covered, plain = pii.Covered(start), list(start)
+        for _ in range(20):
+            a = r.randrange(45)
+            b = a + r.randrange(1, 6)
+            free = not any(a < e and s < b for s, e in plain)
+            assert covered.free(a, b) == free
+            if free:
+                covered.add(a, b)
+                plain.append((a, b))
+
+
+def test_labels_of_other_documents_leave_the_sample_alone(spark):
+    pages = spark.range(2000).selectExpr("id as page_id", "if(id % 10 = 0, concat('http://a.example/casino/', id), concat('http://b.example/news/', id)) as url")
+    few = spark.range(2000).selectExpr("id as doc_id", "if(id % 10 = 0, 1, 0) as block")
+    many = few.unionByName(spark.range(10_000, 2_010_000).selectExpr("id as doc_id", "0 as block"))
+    rules = [urls.mine(pages, "page_id", "url", labels, fit_pages=1000) for labels in (few, many)]
+    assert rules[0] and rules[0] == rules[1] and all(sure > 0.9 for _, sure in rules[0])
+
+
+def test_a_window_of_very_many_items_is_dealt_out(spark):
+    shared = " ".join(f"word{i}" for i in range(13))
+    bench = spark.range(3000).selectExpr("concat('i', id) as item_id", f"'{shared}' as text").unionByName(spark.createDataFrame([(None, shared)], "item_id string, text string"))
+    found = decontam.windows(bench, "item_id", "text", 13)
+    assert found.count() == 3001
+    got = decontam.scan(spark.createDataFrame([(1, f"a {shared} b"), (2, "nothing here")], "doc_id long, text string"), bench, "text", "item_id", "text", block_windows=500)
+    one, two = got.orderBy("doc_id").collect()
+    assert one.contamination["items"] == sorted(f"i{i}" for i in range(3000)) and one.contamination["n_hit"] == 13 and two.contamination["n_hit"] == 0
