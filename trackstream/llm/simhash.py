@@ -21,8 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackstream.llm.common import discard, join_values, materialize, temporary, text_input
@@ -161,13 +162,17 @@ def as_hex(fp: Column) -> Column:
 
 # Near copies by similarity: SimHash links and min-hash bands of five-word shingles propose, the shingle sets decide.
 
-#: (min-hashes in a band, bands) of each level. A pair of similarity s shares one of b bands of r with probability
-#: 1 - (1 - s^r)^b: at 0.8 that is 0.998, 0.994 and 0.935. Only members of crowds that their band cannot settle go a level on.
-LEVELS = ((4, 12), (8, 28), (16, 96))
+#: Min-hashes in a band, and bands: a pair of similarity s shares one with probability 1 - (1 - s^r)^b: 0.9965 at 0.8, and
+#: 0.005 at 0.3, as of texts that share a passage.
+ROWS, BANDS = 7, 24
+#: Bands whose crowds meet their least member at once; those of other bands then mostly are of one group already.
+STARRED = 3
 #: A bucket with more texts than this is a crowd: its members meet one of them, not each other.
 CROWD = 32
-#: Texts outside the main group of a crowd that are compared with all of its members at a time.
-PIVOTS = 32
+#: A crowd with no more texts outside its main group is settled by comparing those with all of its members.
+FEW = 64
+#: Texts of either side that a task compares.
+BLOCK = (64, 256)
 #: Shingles handled at a time.
 SHINGLES = 1 << 14
 
@@ -200,43 +205,34 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(out)
 
 
-def band_keys(shingles: np.ndarray, level: int) -> np.ndarray:
+def band_keys(shingles: np.ndarray) -> np.ndarray:
     """One number for each band of min-hashes; sets of similarity s share each with probability s to the band's width."""
-    rows, bands = LEVELS[level]
     if not len(shingles):
         return np.empty(0, np.int64)
-    seeds = _remixed(np.arange(1, 2 * rows * bands + 1, dtype=np.uint64), level + 2)
-    least = np.full(rows * bands, 2**64 - 1, np.uint64)
+    n = ROWS * BANDS
+    seeds = _remixed(np.arange(1, 2 * n + 1, dtype=np.uint64), 2)
+    least = np.full(n, 2**64 - 1, np.uint64)
     for k in range(0, len(shingles), SHINGLES // 8):
-        mixed = (shingles[k : k + SHINGLES // 8, None] ^ seeds[: rows * bands]) * (seeds[rows * bands :] | np.uint64(1))
+        mixed = (shingles[k : k + SHINGLES // 8, None] ^ seeds[:n]) * (seeds[n:] | np.uint64(1))
         np.minimum(least, mixed.min(0), out=least)
-    key = np.arange(bands, dtype=np.uint64) + np.uint64(1000 * level)
-    for column in least.reshape(bands, rows).T:
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
         key = _remixed(key ^ column, 1)
     return key.view(np.int64)
 
 
 def sketches(text: Column, size: int) -> Column:
-    """SimHash of the shingle set, its size, and the band keys of the first level."""
+    """SimHash of the shingle set, its size, and its band keys."""
 
     @F.pandas_udf("struct<fp:bigint,weight:int,keys:array<bigint>>")
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t or "", size) for t in batch]
-            yield pd.DataFrame({"fp": [_bits(s) for s in sets], "weight": [len(s) for s in sets], "keys": [band_keys(s, 0) for s in sets]})
+            yield pd.DataFrame({"fp": [_bits(s) for s in sets], "weight": [len(s) for s in sets], "keys": [band_keys(s) for s in sets]})
 
     return sketched(text)
 
 
-def _further_keys(text: Column, size: int, level: int) -> Column:
-    @F.pandas_udf("array<bigint>")
-    def keyed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([band_keys(shingle_set(t or "", size), level) for t in batch], dtype=object)
-
-    return keyed(text)
-
-
 def _shingle_set(text: Column, size: int) -> Column:
     @F.pandas_udf("array<bigint>")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -261,21 +257,18 @@ def print_pairs(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
     return links(prints.select("fp", "node"), 2, dense).select("a", "b").unionByName(same)
 
 
-def bucket_pairs(keyed: DataFrame, similarity: float, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs a, b; members of crowds: key, node) of ``keyed`` rows (key, node, weight), ``weight`` being a set's size.
+def bucket_members(keyed: DataFrame) -> DataFrame:
+    """``keyed`` rows (key, node, ...) of keys with several nodes, with ``size``, the key's rows, and ``pivot``, its least node."""
+    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1"), "buckets")
+    return materialize(join_values(keyed, sizes.withColumn("size", F.col("n")), "key", "n"), "bucket-members")
 
-    The members of a bucket of up to ``crowd`` meet each other; those of a crowd meet its least member. Sets whose sizes
-    rule the similarity out do not meet.
-    """
-    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "weight")).alias("pivot")).where("n > 1"), "buckets")
-    held = materialize(join_values(keyed, sizes.withColumn("size", F.col("n")), "key", "n"), "bucket-members")
-    member = F.struct("node", "weight")
-    met = held.where(F.col("size") <= crowd).groupBy("key").agg(F.sort_array(F.collect_list(member)).alias("m"))  # ``crowd`` at most
+
+def small_pairs(held: DataFrame, similarity: float, crowd: int) -> DataFrame:
+    """Pairs (a, b) of members of buckets of up to ``crowd``, but for sets whose sizes rule the similarity out."""
+    met = held.where(F.col("size") <= crowd).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "weight"))).alias("m"))  # ``crowd`` at most
     pairs = met.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x, y))))")).alias("p")).select("p.x", "p.y")
-    stars = held.where(F.col("size") > crowd).select(F.col("pivot").alias("x"), member.alias("y")).where("x.node != y.node")
     able = F.least("x.weight", "y.weight") >= F.lit(similarity) * F.greatest("x.weight", "y.weight")
-    both = pairs.unionByName(stars).where(able).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return both, held.where(F.col("size") > crowd).select("key", "node")
+    return pairs.where(able).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
@@ -294,6 +287,13 @@ def similar(pairs: DataFrame, nodes: DataFrame, similarity: float, size: int) ->
     return edges
 
 
+def _thinned(edges: DataFrame) -> DataFrame:
+    """Fewer links (a < b) with the same connected components: a node's smaller neighbours are linked to its least one."""
+    least = edges.groupBy("b").agg(F.min("a").alias("least"))
+    steps = edges.join(least, "b").select(F.col("least").alias("a"), F.when(F.col("a") == F.col("least"), F.col("b")).otherwise(F.col("a")).alias("b"))
+    return materialize(steps.distinct(), "thinned")
+
+
 def _unsettled(crowds: DataFrame, groups: DataFrame) -> DataFrame:
     """Members (key, node, group, main, others, size) of crowds that are not one group; ``others`` are not of the main one."""
     told = materialize(crowds.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("group")), "crowds")
@@ -302,13 +302,68 @@ def _unsettled(crowds: DataFrame, groups: DataFrame) -> DataFrame:
     return materialize(join_values(told, mains.where("others > 0").withColumn("n", F.col("size")), "key", "n"), "unsettled")
 
 
-def pivot_pairs(unsettled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs a, b; pivots key, node): ``PIVOTS`` members outside a crowd's main group, each with all of other groups."""
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))  # limited in each task first
-    pivots = materialize(unsettled.where(F.col("group") != F.col("main")).withColumn("place", place).where(F.col("place") <= PIVOTS), "pivots")
-    told = pivots.groupBy("key").agg(F.collect_list(F.struct("node", "group")).alias("pivots"), F.max("size").alias("n"))  # ``PIVOTS`` at most
-    met = join_values(unsettled.select("key", "node", "group"), told, "key", "n").withColumn("p", F.explode("pivots"))
-    return met.where(F.col("p.group") != F.col("group")).select(F.col("p.node").alias("a"), F.col("node").alias("b")), pivots.select("key", "node")
+def _main_pairs(unsettled: DataFrame) -> DataFrame:
+    """Members outside a crowd's main group, each with the crowd's least member of that group."""
+    least = unsettled.where(F.col("group") == F.col("main")).groupBy("key").agg(F.min("node").alias("a"), F.max("others").alias("n"))
+    return join_values(unsettled.where(F.col("group") != F.col("main")).select("key", F.col("node").alias("b")), least, "key", "n").select("a", "b")
+
+
+def block_links(unsettled: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Links (a, b) between the members outside each crowd's main group and all members of other groups, written to a table.
+
+    Those outside are dealt into parts of about ``BLOCK[0]``, all members into parts of about ``BLOCK[1]``; a task compares
+    one part with the other, so that what travels and what a task holds stay small however large the crowd.
+    """
+    sets = unsettled.select("node").distinct().join(nodes.select("node", "text"), "node").select("node", _shingle_set(F.col("text"), size).alias("set"))
+    told = materialize(unsettled.join(materialize(sets, "crowd-sets"), "node"), "crowd-members")
+    parts = [F.ceil(F.col(c) / n).cast("int") for c, n in zip(("others", "size"), BLOCK, strict=True)]
+    own = [F.pmod(F.xxhash64("node", F.lit(k)), parts[k]).cast("int") for k in (0, 1)]
+    outer = told.where(F.col("group") != F.col("main")).select("key", own[0].alias("c"), F.explode(F.sequence(F.lit(0), parts[1] - 1)).alias("m"), F.lit(True).alias("outer"), "node", "group", "set")
+    inner = told.select("key", F.explode(F.sequence(F.lit(0), parts[0] - 1)).alias("c"), own[1].alias("m"), F.lit(False).alias("outer"), "node", "group", "set")
+
+    def compare(block: pa.Table) -> pa.Table:
+        outer, group, node = (block[c].to_numpy() for c in ("outer", "group", "node"))
+        sets = [x.values.to_numpy() for x in block["set"]]
+        mine, theirs = np.flatnonzero(outer), np.flatnonzero(~outer)
+        found: list[tuple[int, int]] = []
+        if len(mine) and len(theirs):
+            flat, sizes = np.concatenate([sets[k] for k in theirs]), np.array([len(sets[k]) for k in theirs])
+            starts = np.cumsum(sizes) - sizes
+            for i in mine:
+                x = np.sort(sets[i])
+                common = np.add.reduceat((x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat).astype(np.int64), starts)
+                alike = (common >= similarity * (len(x) + sizes - common)) & (group[theirs] != group[i])
+                found += [(min(node[i], node[k]), max(node[i], node[k])) for k in theirs[alike]]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return materialize(outer.unionByName(inner).groupBy("key", "c", "m").applyInArrow(compare, "a long, b long").distinct(), "alike")
+
+
+def prefix_keys(nodes: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(key, node, weight): each text's rarest shingles, so many that two similar texts share one for certain.
+
+    Sets of similarity s or more share at least s of either; so of |x| shingles in one order, here by how few of ``nodes``
+    have them, one of the first |x| - s|x| + 1 is among the first ones of the other text too.
+    """
+    each = materialize(nodes.select("node", "weight", F.explode(_shingle_set(F.col("text"), size)).alias("key")), "crowd-shingles")
+    uses = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = join_values(each, uses.withColumn("uses", F.col("n")), "key", "n").groupBy("node", "weight").agg(F.sort_array(F.collect_list(F.struct("uses", "key"))).alias("shared"))
+    # shingles of one text alone come first and join nothing: they take places of the prefix
+    places = F.col("weight") - F.ceil(F.lit(similarity) * F.col("weight")) + 1 - (F.col("weight") - F.size("shared"))
+    return ranked.where(places > 0).select(F.explode(F.slice("shared", F.lit(1), places.cast("int"))).alias("s"), "node", "weight").select("s.key", "node", "weight")
+
+
+def _joined(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """``groups`` (node, component) with further links: only groups that these join are worked through again."""
+    ends = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "ends")
+    links_ = edges.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").where("x != y")
+    links_ = materialize(links_.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "group-links")
+    if links_.isEmpty():
+        return groups
+    both = groups.unionByName(ends.join(groups, "node", "left_anti"))
+    over = components(links_)
+    moved = both.join(over.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return materialize(moved, "groups")
 
 
 def groups_of_texts(docs: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, size: int = 5, dense: int = CROWD) -> DataFrame:
@@ -318,33 +373,38 @@ def groups_of_texts(docs: DataFrame, id_col: str, text_col: str, similarity: flo
     SimHash link or a min-hash band proposes them; groups are connected components. A group's keeper has the least
     (id, k1, k2), null ids last. Texts without words are linked to their equals only.
 
-    Buckets of up to ``dense`` texts give all pairs. Members of a crowd meet its least member first. If they then are one
-    group, no further pair can change a group. Of a crowd with few members outside its main group, those meet all others,
-    which settles it exactly. Members of other crowds go on to the next level's narrower bands; on the last level, pivots
-    meet all others, in rounds, until every crowd is settled.
+    Buckets of up to ``dense`` texts give all pairs. Of larger ones, crowds, members meet one of them: all in some bands,
+    then, in every band, those outside the group that most of the crowd is in. A crowd that is one group by then is
+    settled, as no further pair could change a group. Of a crowd with few members outside its main group, those are
+    compared with all others. Members of other crowds are joined by their rarest shingles, which finds every pair; in crowds
+    that these have in turn, all members outside the main group are compared with all others, in blocks.
     """
-    with temporary(docs.sparkSession) as tables:
+    spark = docs.sparkSession
+    with temporary(spark) as tables:
         rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         texts = rows.withColumns(_texts(F.col("text"))).groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.any_value("text").alias("text"))
         told = texts.select("k1", "k2", "first", "text", sketches(F.col("text"), size).alias("s"))
         nodes = materialize(told.select("k1", "k2", "first", "text", "s.*").withColumn("node", F.monotonically_increasing_id()), "texts")
         wordy = nodes.where("weight > 0")
-        pairs, crowds = bucket_pairs(wordy.select(F.explode("keys").alias("key"), "node", "weight"), similarity, dense)
-        edges = similar(pairs.unionByName(print_pairs(wordy.select("node", "fp"))), nodes, similarity, size)
-        groups, level = components(edges), 0
-        while not crowds.isEmpty() and not (open_ := _unsettled(crowds, groups)).isEmpty():
-            level += 1
-            last = level >= len(LEVELS)
-            pairs, pivots = pivot_pairs(open_ if last else open_.where(F.col("others") <= PIVOTS))
-            if last:
-                crowds = materialize(crowds.join(pivots, ["key", "node"], "left_anti"), "crowds")
-            else:
-                hard = open_.where(F.col("others") > PIVOTS).select("node").distinct()
-                keys = F.explode(_further_keys(F.col("text"), size, level)).alias("key")
-                found, crowds = bucket_pairs(wordy.join(hard, "node", "left_semi").select("node", "weight", keys), similarity, dense)
-                pairs = pairs.unionByName(found)
-            edges = edges.unionByName(similar(pairs, nodes, similarity, size))
-            groups = components(edges)
+        with temporary(spark) as used:
+            held = bucket_members(wordy.select(F.posexplode("keys").alias("band", "key"), "node", "weight"))
+            stars = held.where((F.col("size") > dense) & (F.col("band") < STARRED) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+            crowds = used.keep(materialize(held.where(F.col("size") > dense).select("key", "node"), "crowds"))
+            pairs = small_pairs(held, similarity, dense).unionByName(stars).unionByName(print_pairs(wordy.select("node", "fp")))
+            groups = used.keep(materialize(components(_thinned(similar(pairs, nodes, similarity, size))), "groups"))
+        with temporary(spark) as used:
+            groups = used.keep(_joined(groups, similar(_main_pairs(_unsettled(crowds, groups)), nodes, similarity, size)))
+        with temporary(spark) as used:
+            open_ = _unsettled(crowds, groups)
+            groups = used.keep(_joined(groups, block_links(open_.where(F.col("others") <= FEW), nodes, similarity, size)))
+            hard = used.keep(materialize(open_.where(F.col("others") > FEW).select("node").distinct(), "hard"))
+        if not hard.isEmpty():
+            with temporary(spark) as used:
+                held = bucket_members(prefix_keys(wordy.join(hard, "node", "left_semi"), similarity, size))
+                groups = _joined(groups, similar(small_pairs(held, similarity, dense), nodes, similarity, size))
+                crowds = held.where(F.col("size") > dense).select("key", "node")
+                groups = _joined(groups, similar(_main_pairs(_unsettled(crowds, groups)), nodes, similarity, size))
+                groups = used.keep(_joined(groups, block_links(_unsettled(crowds, groups), nodes, similarity, size)))
         of_node = nodes.select("node", "k1", "k2", "first").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         order = F.struct(F.col("first").isNull().alias("last"), "first", "k1", "k2")
         keepers = of_node.groupBy("component").agg(F.min(order).alias("best")).select("best.*").drop("last").withColumn("keeper", F.lit(True))
