@@ -132,14 +132,18 @@ def pickup_timeouts(events: DataFrame, timeout_ms: int, delay: str = "5 seconds"
     return timed(events, delay).groupBy("order_id").transformWithState(p.PickupTimeouts(timeout_ms), p.PickupTimeouts.OUT, "Append", "EventTime")
 
 
-def active_drivers(samples: DataFrame, delay: str = "5 seconds", size: str = "30 seconds", slide: str = "10 seconds") -> DataFrame:
-    """Approximate number of distinct drivers over sliding windows (exact distinct counts have no streaming form).
+def active_drivers(samples: DataFrame, delay_ms: int = 5_000, size_ms: int = 30_000, slide_ms: int = 10_000) -> DataFrame:
+    """Number of distinct drivers over sliding windows, exact, of windows that have closed.
 
-    Samples of driver -1 only move the watermark.
+    Two stateful steps: a driver counts once for each window, told by its start, and the distinct rows of a start are counted.
+    Both states end with the watermark, which lags by a window more than samples may. Samples of driver -1 only move it.
     """
-    driver = F.when(F.col("driver_id") != -1, F.col("driver_id"))  # no filter, which would be pushed below the watermark
-    w = timed(samples, delay).groupBy(F.window("event_time", size, slide)).agg(F.approx_count_distinct(driver, 0.01).alias("drivers")).where("drivers > 0")
-    return w.select(F.unix_millis("window.start").alias("window_start"), "drivers")
+    last = F.col("event_ms") - F.pmod(F.col("event_ms"), F.lit(slide_ms))
+    starts = F.explode(F.sequence(last - (size_ms - slide_ms), last, F.lit(slide_ms)))
+    each = samples.select("driver_id", starts.alias("start")).select("driver_id", F.timestamp_millis("start").alias("event_time"))
+    once = each.withWatermark("event_time", f"{delay_ms + size_ms} milliseconds").dropDuplicates(["driver_id", "event_time"])
+    counted = once.groupBy("event_time").agg(F.count_if(F.col("driver_id") != -1).alias("drivers"))  # no filter, which would be pushed below
+    return counted.select(F.unix_millis("event_time").alias("window_start"), "drivers").where("drivers > 0")
 
 
 def sessions(samples: DataFrame, gap: str = "120 seconds", delay: str = "5 seconds") -> DataFrame:
@@ -154,3 +158,27 @@ def interval_join(deliveries: DataFrame, events: DataFrame, delay: str = "5 seco
     e = timed(events, delay)
     near = (F.col("driver_id") == F.col("d")) & (F.col("event_time") >= F.col("d_time")) & (F.col("event_time") <= F.col("d_time") + F.expr(f"interval {reach}"))
     return d.join(e, near & F.col("event_ms").between(F.col("assigned_ms"), F.col("until_ms"))).select("order_id", "driver_id", "fence_id", "transition", "event_ms")
+
+
+def change_log(changes: DataFrame, delay: str) -> DataFrame:
+    """Upserts, deletes, history steps and regressions, told apart by ``kind``, from changes that come out of order.
+
+    ``changes`` have table, key, lsn, op, status, image (text), event_ms and offset. ``delay`` is how late a change may come.
+    """
+    return timed(changes, delay).groupBy("table", "key").transformWithState(p.ChangeLog(), p.ChangeLog.OUT, "Append", "EventTime")
+
+
+def latest_of(samples: DataFrame, updates: dict[str, DataFrame], delay: str = "5 seconds") -> DataFrame:
+    """Samples (driver_id, event_ms, event_id) with the latest value of each stream in ``updates`` (driver_id, event_ms, value).
+
+    Every stream has a watermark of its own, and the slowest counts. Of values of one time, that of greatest ``order`` (a
+    text) stays.
+    """
+    kept = ["driver_id", "event_ms", "event_id", "name", "value", "order"]
+    none = F.lit(None).cast("string")
+    both = timed(samples.select("driver_id", "event_ms", "event_id", none.alias("name"), none.alias("value"), none.alias("order")), delay)
+    for name, rows in updates.items():
+        told = rows.select("driver_id", "event_ms", F.lit(None).cast("long").alias("event_id"), F.lit(name).alias("name"), F.col("value").cast("string").alias("value"), "order")
+        both = both.unionByName(timed(told.select(kept), delay))
+    processor = p.LatestOf(list(updates))
+    return both.groupBy("driver_id").transformWithState(processor, processor.out, "Append", "EventTime")

@@ -204,3 +204,95 @@ class PickupTimeouts(StatefulProcessor):
             driver, assigned = self.waiting.get()
             self.waiting.clear()
             yield self.row(key[0], driver, assigned + self.timeout)
+
+
+class ChangeLog(StatefulProcessor):
+    """Changes of a row (table, key) put into the order of their log positions, each once.
+
+    A change waits, by log position, until the watermark has passed its time and that of all before it: nothing earlier can
+    come any more. Then it is told as an upsert or a delete, and as a step of the row's history: ``entered`` for the new
+    status, ``left`` for the one before with the time spent in it. A position at or below the last one told, or one that
+    waits already, is a replay and is dropped. ``regression`` tells at once that a change came after one of no lower position.
+    """
+
+    OUT = "kind string, table string, key string, lsn long, status string, ts_ms long, in_status_ms long, image string, prev_lsn long, offset long"
+
+    def __init__(self):
+        self.row = _shape(self.OUT)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "lsn long", "op string, status string, ts_ms long, image string, offset long")
+        self.told = handle.getValueState("told", "lsn long")
+        self.step = handle.getValueState("step", "lsn long, status string, ts_ms long")
+        self.came = handle.getValueState("came", "lsn long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        told = self.told.get()[0] if self.told.exists() else None
+        came, due = (self.came.get()[0] if self.came.exists() else None), set()
+        for r in sorted(rows, key=lambda r: (r.offset, r.lsn)):
+            if came is not None and r.lsn <= came:
+                yield self.row("regression", *key, r.lsn, None, None, None, None, came, r.offset)
+            came = r.lsn
+            if (told is None or r.lsn > told) and not self.waiting.containsKey((r.lsn,)):
+                self.waiting.updateValue((r.lsn,), (r.op, r.status, r.event_ms, r.image, r.offset))
+                due.add(r.event_ms)
+        if came is not None:
+            self.came.update((came,))
+        for t in due:
+            self.handle.registerTimer(t)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        now, step = timerValues.getCurrentWatermarkInMs(), (tuple(self.step.get()) if self.step.exists() else None)
+        for (lsn,), (op, status, ts, image, offset) in sorted((tuple(k), tuple(v)) for k, v in list(self.waiting.iterator())):
+            if ts > now:  # what comes before in the log goes first
+                break
+            self.waiting.removeKey((lsn,))
+            self.told.update((lsn,))
+            yield self.row("delete" if op == "DELETE" else "upsert", *key, lsn, status, ts, None, image, None, offset)
+            if op != "DELETE":
+                if step:
+                    yield self.row("left", *key, step[0], step[1], step[2], ts - step[2], None, None, offset)
+                step = (lsn, status, ts)
+                self.step.update(step)
+                yield self.row("entered", *key, lsn, status, ts, None, None, None, offset)
+
+
+class LatestOf(StatefulProcessor):
+    """Samples with the latest value of each column from other streams of the driver, at or before them in event time.
+
+    Rows of all streams wait until the watermark, which follows the slowest stream, has passed them; at equal times a value
+    comes before a sample. So a value that arrives after a later sample still counts.
+    """
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+        self.out = "driver_id long, event_ms long, event_id long, " + ", ".join(f"{c} string" for c in columns)
+        self.row = _shape(self.out)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "event_ms long, rank int, name string, order string, event_id long", "value string")
+        self.values = handle.getMapState("values", "name string", "value string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        due = set()
+        for r in rows:
+            sample = r.name is None
+            self.waiting.updateValue((r.event_ms, int(sample), r.name or "", r.order or "", r.event_id if sample else 0), (r.value,))
+            due.add(r.event_ms)
+        for t in due:
+            self.handle.registerTimer(t)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        due = sorted((tuple(k), v[0]) for k, v in list(self.waiting.iterator()) if k[0] <= now)
+        values = {k[0]: v[0] for k, v in self.values.iterator()} if due else {}
+        for k, value in due:
+            self.waiting.removeKey(k)
+            if k[1]:
+                yield self.row(key[0], k[0], k[4], *[values.get(c) for c in self.columns])
+            elif value is not None:
+                values[k[2]] = value
+                self.values.updateValue((k[2],), (value,))

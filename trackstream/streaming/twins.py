@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackstream import schemas
 from trackstream.functions.ids import alert_id
-from trackstream.operators import geofence, ingest, motion, orders, sinks
+from trackstream.operators import cdc, geofence, ingest, motion, orders, sinks
+from trackstream.operators.manifests import KeyedTable, Published
 from trackstream.plans import oracle
 from trackstream.sources import tables as t
 from trackstream.streaming import jobs
@@ -79,11 +81,15 @@ def stream_dead_letters(spark: SparkSession, d: str) -> DataFrame:
     rows = t.location_messages(spark, d)
     chunk = F.least(F.lit(CHUNKS - 1), F.floor((F.col("timestamp") - t.EPOCH_MS) / CHUNK_MS))
     stream = ingest.gate(ingest.decode(jobs.replay(rows.withColumn("chunk", chunk), "chunk").stream))
-    good, bad = t.scratch(spark, "valid"), t.scratch(spark, "letters")
-    write = sinks.each_batch(lambda b: sinks.split_letters(b, good, bad))
+    into = Published(spark, t.scratch(spark, "published"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        for _ in range(2):  # every batch is tried again after it was published
+            sinks.split_letters(batch, into, number)
+
     stream.writeStream.foreachBatch(write).option("checkpointLocation", t.scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-    letters = spark.read.parquet(bad).select("offset", F.lit("dead letter").alias("sink"), "reason")
-    return letters.unionByName(spark.read.parquet(good).select(F.col("event_id").alias("offset"), F.lit("valid").alias("sink"), F.lit(None).cast("string").alias("reason")))
+    letters = into.read("letters").select("offset", F.lit("dead letter").alias("sink"), "reason")
+    return letters.unionByName(into.read("valid").select(F.col("event_id").alias("offset"), F.lit("valid").alias("sink"), F.lit(None).cast("string").alias("reason")))
 
 
 def stream_pickup_timeouts(spark: SparkSession, d: str) -> DataFrame:
@@ -107,15 +113,16 @@ def stream_sink(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_latest(spark: SparkSession, d: str) -> DataFrame:
-    """Latest position by driver, upserted batch by batch under the batch's own number."""
-    folder, last = t.scratch(spark, "stream-upsert"), []
+    """Latest position by driver, merged batch by batch under the batch's own number into the buckets that it touches."""
+    table = KeyedTable(spark, t.scratch(spark, "stream-upsert"), ["driver_id"], ["event_ms", "event_id"])
 
     def write(batch: DataFrame, number: int) -> None:
-        last[:] = [sinks.upsert_latest(batch, folder, ["driver_id"], ["event_ms", "event_id"], number + 1)]
+        for _ in range(2):  # a retry changes nothing
+            table.merge(batch, number)
 
     rows = _stream(spark, d, "arrival_ms").stream.where("driver_id >= 0").select("driver_id", "event_ms", "event_id", "latitude", "longitude")
     rows.writeStream.foreachBatch(write).option("checkpointLocation", t.scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(last[0])
+    return table.read()
 
 
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -136,11 +143,107 @@ def stream_interval_join(spark: SparkSession, d: str) -> DataFrame:
         return jobs.drained(jobs.interval_join(a.stream, b.stream))
 
 
+#: How late a change may come, and how far apart the chunks of changes are that a replay brings.
+CHANGE_DELAY, CHANGE_DAY_MS, CHANGE_CHUNK_MS, FIRST_ORDER_MS = "300 days", 86_400_000, 45_000_000_000, 694_224_000_000
+
+
+def _change_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of orders as a log reader sends them on: images as text."""
+    rows = cdc.changes(cdc.normalise(t.order_messages(spark, d)))
+    status = F.coalesce("after.status", "before.status")
+    return rows.select("table", "key", "lsn", "op", status.alias("status"), F.to_json("after").alias("image"), F.col("ts_ms").alias("event_ms"), "offset")
+
+
+def _flush(spark: SparkSession, rows: DataFrame, at_ms: int) -> DataFrame:
+    """A change of no row, far ahead, that lets the watermark pass all others."""
+    given = {"table": F.lit(""), "key": F.lit(""), "lsn": F.lit(0), "event_ms": F.lit(at_ms), "offset": F.lit(0)}
+    return spark.range(1).select(*[given.get(c, F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+
+
+def _disordered(spark: SparkSession, d: str) -> jobs.Replay:
+    """Changes that arrive up to 160 days after their time, so many out of log order and in other chunks than those before
+    them; every seventh is replayed 40 days later."""
+    rows = _change_rows(spark, d)
+    late = F.pmod(F.col("lsn") * 31 + F.floor(F.col("lsn") / 100) * 17, F.lit(5)) * 40
+    again = F.when(F.col("lsn") % 7 == 0, F.array(F.lit(0), F.lit(40))).otherwise(F.array(F.lit(0)))
+    sent = rows.withColumn("again", F.explode(again))
+    arrival = F.col("event_ms") + (late + F.col("again")) * CHANGE_DAY_MS
+    chunk = F.least(F.lit(CHUNKS - 1), F.floor((arrival - FIRST_ORDER_MS) / CHANGE_CHUNK_MS))
+    return jobs.replay(sent.withColumn("chunk", chunk).drop("again"), "chunk", _flush(spark, rows, t.NOW_MS))
+
+
+def _into_tables(spark: SparkSession, d: str) -> tuple[KeyedTable, KeyedTable]:
+    """The change stream put into two tables, current rows and history, each batch twice as after a failure."""
+    current = KeyedTable(spark, t.scratch(spark, "current"), ["table", "key"], ["lsn"])
+    steps = KeyedTable(spark, t.scratch(spark, "history"), ["table", "key", "lsn"], ["known"])
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.where("key <> ''").persist()
+        moves = rows.where("kind in ('entered', 'left')").select("table", "key", "lsn", "status", F.col("ts_ms").alias("entered_ms"), "in_status_ms", (F.col("kind") == "left").cast("int").alias("known"))
+        for _ in range(2):
+            current.merge(rows.where("kind in ('upsert', 'delete')").select("table", "key", "lsn", "kind", "image"), number, F.col("kind") == "delete")
+            steps.merge(moves, number)
+        rows.unpersist()
+
+    replayed = _disordered(spark, d)
+    with jobs.stateful(spark, replayed.rows):
+        told = jobs.change_log(replayed.stream, CHANGE_DELAY)
+        told.writeStream.foreachBatch(write).option("checkpointLocation", t.scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return current, steps
+
+
+def stream_cdc_current(spark: SparkSession, d: str) -> DataFrame:
+    """The orders that a disordered, partly replayed change stream amounts to."""
+    rows = _into_tables(spark, d)[0].read()
+    return rows.select(F.from_json("image", schemas.ORDER_ROW).alias("r"), "lsn").select("r.*", "lsn")
+
+
+def stream_cdc_history(spark: SparkSession, d: str) -> DataFrame:
+    """Status trails from the same stream; a status is told when it is entered and completed when it is left."""
+    return _into_tables(spark, d)[1].read().select("key", "lsn", "status", "entered_ms", "in_status_ms")
+
+
+def stream_cdc_regressions(spark: SparkSession, d: str) -> DataFrame:
+    """Changes not above the one before in arrival order, from a stream in the order of its topic."""
+    rows = _change_rows(spark, d)
+    chunk = F.pmod(F.floor(F.col("offset") / 1_000), F.lit(3)) * 2 + (F.col("offset") % 1_000 >= 6).cast("long")
+    told = _run(spark, jobs.replay(rows.withColumn("chunk", chunk), "chunk"), lambda s: jobs.change_log(s, "4000 days"))
+    return told.where("kind = 'regression'").select("key", "lsn", "prev_lsn", "offset")
+
+
+def stream_state_enriched(spark: SparkSession, d: str) -> DataFrame:
+    """Samples with zone, order and shift from three further streams, each brought in chunks of its own."""
+    far = t.NOW_MS
+
+    def streamed(rows: DataFrame) -> jobs.Replay:
+        end = spark.range(1).select(*[(F.lit(-1) if c in ("driver_id", "event_id") else F.lit(far) if c == "event_ms" else F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+        chunk = F.least(F.lit(CHUNKS - 1), F.floor((F.col("event_ms") - t.EPOCH_MS) / CHUNK_MS))
+        return jobs.replay(rows.withColumn("chunk", chunk), "chunk", end)
+
+    samples = streamed(_valid(spark, d).select("driver_id", "event_ms", "event_id"))
+    crossed = geofence.transitions(_valid(spark, d), t.fences(spark)).where("fence_id = 4")
+    shift = t.shifts(spark, d)
+    turns = shift.selectExpr("driver_id", "started_ms as event_ms", "'ACTIVE' as value").unionByName(shift.where("ended_ms is not null").selectExpr("driver_id", "ended_ms as event_ms", "status as value"))
+    given = t.deliveries(spark, d).selectExpr("driver_id", "assigned_ms as event_ms", "cast(order_id as string) as value", "lpad(cast(order_id as string), 20, '0') as order")
+    told = {
+        "zone_state": streamed(crossed.selectExpr("driver_id", "event_ms", "transition as value", "'' as order")),
+        "current_order": streamed(given),
+        "shift_status": streamed(turns.selectExpr("driver_id", "event_ms", "value", "'' as order")),
+    }
+    with jobs.stateful(spark, samples.rows + sum(x.rows for x in told.values())):
+        out = jobs.drained(jobs.latest_of(samples.stream, {k: x.stream for k, x in told.items()}))
+    return out.where("driver_id >= 0").withColumn("current_order", F.col("current_order").cast("long"))
+
+
 def stream_active_drivers(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, _stream(spark, d, "event_ms"), jobs.active_drivers)
 
 
 QUERIES = {
+    "stream_cdc_current": stream_cdc_current,
+    "stream_cdc_history": stream_cdc_history,
+    "stream_cdc_regressions": stream_cdc_regressions,
+    "stream_driver_state_enriched": stream_state_enriched,
     "stream_dead_letters": stream_dead_letters,
     "stream_driver_state_ttl": stream_state_ttl,
     "stream_driver_sessions": stream_sessions,
@@ -167,6 +270,11 @@ judged AS (SELECT c.*, coalesce(event_ms - event_ms % 60000 + 59999 <= top - 500
 _snapshots = oracle.SQL["driver_snapshots"]
 
 SQL = {
+    "stream_cdc_current": oracle.SQL["cdc_current_orders"],
+    "stream_cdc_history": oracle.SQL["cdc_order_history"],
+    "stream_cdc_regressions": oracle.SQL["cdc_lsn_regressions"],
+    "stream_driver_state_enriched": oracle.SQL["driver_state_enriched"],
+    "stream_active_drivers_30s": oracle.SQL["active_drivers_30s"],
     "stream_dead_letters": oracle.loc("SELECT event_id AS offset, CASE WHEN reason IS NULL THEN 'valid' ELSE 'dead letter' END AS sink, reason FROM gated").replace("AS offset", 'AS "offset"'),
     "stream_driver_state_ttl": f"SELECT * EXCLUDE (processing_lag_ms) FROM ({_snapshots})".replace("> 120000", f"> {TTL_MS}"),
     "stream_driver_sessions": oracle.loc("SELECT driver_id, min(event_ms) AS start_ms, max(event_ms) AS end_ms, count(*) AS samples FROM sess GROUP BY driver_id, session", oracle.SESSIONS.replace("> 120000", ">= 120000")),
