@@ -83,9 +83,13 @@ def op_counts(normalised: DataFrame) -> DataFrame:
 
 
 def deduplicated(rows: DataFrame) -> DataFrame:
-    """One row for each (table, key, lsn): the first by offset."""
-    first = W.partitionBy("table", "key", "lsn").orderBy("offset")
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    """One row for each (table, key, lsn): the first by offset.
+
+    Rows of a key are sorted once, by (lsn, offset), so what follows by (table, key) in that order needs no further shuffle.
+    """
+    log = W.partitionBy("table", "key").orderBy("lsn", "offset")
+    again = F.col("lsn").eqNullSafe(F.lag("lsn").over(log)) & (F.row_number().over(log) > 1)
+    return rows.withColumn("_again", again).where("not _again").drop("_again")
 
 
 def current(rows: DataFrame) -> DataFrame:
@@ -96,9 +100,9 @@ def current(rows: DataFrame) -> DataFrame:
 
 def history(rows: DataFrame) -> DataFrame:
     """Status trail by key: entered_ms and time in status (null in the last)."""
-    order = W.partitionBy("table", "key").orderBy("lsn")
-    trail = deduplicated(rows).where("op <> 'DELETE'")
-    return trail.select("key", "lsn", F.col("after.status").alias("status"), F.col("ts_ms").alias("entered_ms"), (F.lead("ts_ms").over(order) - F.col("ts_ms")).alias("in_status_ms"))
+    order = W.partitionBy("table", "key").orderBy("lsn", "offset")
+    trail = deduplicated(rows.select("table", "key", "lsn", "offset", "op", "after.status", "ts_ms")).where("op <> 'DELETE'")
+    return trail.select("key", "lsn", "status", F.col("ts_ms").alias("entered_ms"), (F.lead("ts_ms").over(order) - F.col("ts_ms")).alias("in_status_ms"))
 
 
 def changed_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -115,7 +119,7 @@ def regressions(rows: DataFrame) -> DataFrame:
 
 def transitions(rows: DataFrame) -> DataFrame:
     """Status changes by key, labelled legal, noop or illegal; the first status of a key is not a change."""
-    order = W.partitionBy("table", "key").orderBy("lsn")
+    order = W.partitionBy("table", "key").orderBy("lsn", "offset")
     trail = deduplicated(rows).where("op <> 'DELETE'").select("table", "key", "lsn", F.col("after.status").alias("to_status"), F.lag("after.status").over(order).alias("from_status"))
     allowed = F.create_map(*[x for k, v in NEXT_STATUS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     legal = F.coalesce(F.array_contains(F.try_element_at(allowed, F.col("from_status")), F.col("to_status")), F.lit(False))

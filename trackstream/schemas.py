@@ -14,3 +14,10 @@ ENVELOPE = (
     f"before struct<{ORDER_ROW.replace(' ', ':').replace(',:', ',')}>, after struct<{ORDER_ROW.replace(' ', ':').replace(',:', ',')}>, "
     "source struct<table:string,lsn:long,snapshot:string>, op string, ts_ms long"
 )
+
+
+def envelope(before: list[str], after: list[str]) -> str:
+    """``ENVELOPE`` with only the named columns of the order images: what is not named is not parsed."""
+    kinds = dict(f.split() for f in ORDER_ROW.split(", "))
+    images = [f"{name} struct<{','.join(f'{c}:{kinds[c]}' for c in columns)}>" for name, columns in (("before", before), ("after", after))]
+    return f"{', '.join(images)}, source struct<table:string,lsn:long,snapshot:string>, op string, ts_ms long"
