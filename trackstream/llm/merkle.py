@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackstream.llm.common import materialize, new_path, shuffles_deleted
+from trackstream.llm.common import materialize, new_path, shuffles_deleted, temporary
 
 #: Children of a node.
 FAN = 3
@@ -153,7 +153,12 @@ def append(leaves: DataFrame, state: list[str] | None = None, group: str = "grp"
     Of what was there, only the open block at the right end of each group and level is read and grown again. A batch that
     failed half-way leaves a folder that no state names; commit it again with the state before.
     """
-    spark, path, state = leaves.sparkSession, new_path(leaves.sparkSession, "merkle"), list(state or [])
+    with temporary(leaves.sparkSession):
+        return _append(leaves, list(state or []), group, order)
+
+
+def _append(leaves: DataFrame, state: list[str], group: str, order: tuple[str, ...]) -> list[str]:
+    spark, path = leaves.sparkSession, new_path(leaves.sparkSession, "merkle")
     new = numbered(leaves.withColumnRenamed(group, "grp"), "grp", *order).select("grp", "pos", "n", "digest", "row")
     counts = new.groupBy("grp").agg(F.max("n").alias("more"))
     before = spark.read.parquet(f"{state[-1]}/groups") if state else spark.createDataFrame([], "grp string, n long")
@@ -162,6 +167,7 @@ def append(leaves: DataFrame, state: list[str] | None = None, group: str = "grp"
         sizes.write.parquet(f"{path}/sizes")
         sizes = spark.read.parquet(f"{path}/sizes")
         sizes.select("grp", "n").write.parquet(f"{path}/groups")
+        leaves.limit(0).select("row").write.parquet(f"{path}/none")  # the schema, where there are no leaves at all
     largest = sizes.agg(F.max("n")).first()[0] or 0
     if state:
         new = new.drop("n").join(sizes, "grp").withColumn("pos", F.col("pos") + F.col("had")).drop("had")
@@ -219,6 +225,9 @@ def _climb(tables: list[DataFrame], above: DataFrame | None) -> DataFrame:
 def witnesses(spark: SparkSession, state: list[str]) -> DataFrame:
     """Per leaf: ``row``, ``leaf``, ``witness`` (all steps to the root), ``subroot`` of its group, and ``root``."""
     tables = _levels(spark, state)
+    if not tables:
+        none = F.lit(None).cast("string")
+        return spark.read.parquet(f"{state[-1]}/none").select("row", none.alias("leaf"), F.lit(None).cast(WITNESS).alias("witness"), none.alias("subroot"), none.alias("root"))
     subroots = tables[-1].where("n = 1").select(F.col("grp").alias("member"), F.col("root").alias("digest"))
     tops = append(subroots.withColumns({"grp": F.lit(""), "row": F.struct("member")}), None, order=("member",))
     of_group = _levels(spark, tops)
