@@ -966,3 +966,28 @@ def test_a_window_of_very_many_items_is_dealt_out(spark):
     got = decontam.scan(spark.createDataFrame([(1, f"a {shared} b"), (2, "nothing here")], "doc_id long, text string"), bench, "text", "item_id", "text", block_windows=500)
     one, two = got.orderBy("doc_id").collect()
     assert one.contamination["items"] == sorted(f"i{i}" for i in range(3000)) and one.contamination["n_hit"] == 13 and two.contamination["n_hit"] == 0
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_katz_by_joins_gives_the_same(spark, monkeypatch, katz_texts, order):
+    """Beyond the size up to which documents travel as chunks, the same counts and scores come from plain joins."""
+    df = docs(spark, list(katz_texts.values()), True)
+    df = df.unionByName(df.where("doc_id = 3")).unionByName(df.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    columns = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    told = []
+    for limit in (10**12, -1):
+        monkeypatch.setattr(katz, "JOINED_TOKENS", limit)
+        told.append(sorted(map(tuple, katz.score(df, "doc_id", "text", in_train(), order).select(*columns).collect()), key=str))
+    assert len(told[0]) == len(told[1]) == len(katz_texts) + 2
+    for a, b in zip(*told, strict=True):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-9, abs=1e-9)
+    assert katz.score(df.limit(0), "doc_id", "text", in_train(), order).count() == 0
+
+
+def test_katz_refuses_ids_that_do_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(katz, "PART_TOKENS", 1)
+    asked = spark.createDataFrame([("c", 2**31 - 2, [1, 2, 3], [1, 1, 1])], "chunk string, bucket int, hashes array<long>, seen array<int>")
+    for name, kind in (f.split() for f in katz.ASKED.split(", ")):
+        asked = asked if name in asked.columns else asked.withColumn(name, F.lit(None).cast(kind))
+    with pytest.raises(Exception, match="31-bit ids"):
+        katz.answer_words(asked.select(*[f.split()[0] for f in katz.ASKED.split(", ")]), katz.Plan({1: 2**30})).collect()

@@ -15,9 +15,12 @@ several times the input (README), so documents travel as chunks:
    chunk can score its tokens once the corpus-wide counts of counts are known.
 
 A chunk sends an n-gram once however often it occurs. Contexts with a large share of all tokens are dealt over several
-partitions by successor. Chunks and partitions grow with the root of the corpus once their message would hold fewer than
-``MESSAGE`` tokens, so that the number of messages stays in proportion to the corpus. Words are told apart by 64-bit
-hashes, n-grams by exact ids of their words. Only sums of counts reach the driver.
+partitions by successor. Words are told apart by 64-bit hashes, n-grams by exact ids of their words. Only sums of counts
+reach the driver.
+
+The number of messages grows with the square of the corpus, so chunks and partitions would have to grow with its root, and
+with them what a task holds. Beyond ``JOINED_TOKENS`` the same counts are therefore made and looked up by plain Spark
+aggregations and joins over a row for each token (``fit_joined``): more moves, but no task holds a group.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ CHUNK_TOKENS = 1_000_000
 PART_TOKENS = 1_000_000
 #: Tokens for each message from a chunk to a partition, at least, on average.
 MESSAGE = 64
+#: Tokens up to which documents travel as chunks: there, a million tokens a chunk and partition make messages of ``MESSAGE``.
+JOINED_TOKENS = 15_000_000_000
 #: Counts up to this one are discounted.
 GT_K = 5
 
@@ -383,6 +388,8 @@ def answer_words(asked: DataFrame, plan: Plan) -> DataFrame:
         bucket, rows, at = asks[0]["bucket"], [], 0
         ids = np.empty(len(keys), np.int64)
         ids[np.argsort(-total, kind="stable")] = np.arange(len(keys)) * parts + bucket
+        if len(keys) and (len(keys) - 1) * parts + bucket >= 1 << 31:
+            raise OverflowError("more distinct words than 31-bit ids; lower JOINED_TOKENS")
         for a in asks:
             own = place[at : at + len(a["hashes"])]
             rows.append({"chunk": a["chunk"], "bucket": bucket, "counts": total[own], **_halves("ids", ids[own])})
@@ -476,13 +483,20 @@ class Model:
         columns = [F.col("grams")[k] for k in range(n)]
         return self.tables[n].where("chunk = ''").select(F.inline(F.arrays_zip(*columns, "counts"))).toDF(*[f"w{k + 1}" for k in range(n)], "count")
 
-    def contexts(self, n: int) -> DataFrame:
-        """(w1, ..., w<n-1>, total, scale, backoff) of every context of order ``n``."""
+    def context_sums(self, n: int) -> DataFrame:
+        """(w1, ..., w<n-1>, made1, ..., mass) of every context of order ``n``: how its successors' counts are made up (the
+        last: the sum of larger counts), and the lower order's mass of its successors."""
         keys = [f"w{k + 1}" for k in range(n - 1)]
         made = [f"made{r}" for r in range(1, GT_K + 2)]
         columns = [*(F.col("contexts")[k] for k in range(n - 1)), *(F.col("made")[r] for r in range(GT_K + 1)), "mass"]
         rows = self.tables[n].where("chunk = ''").select(F.inline(F.arrays_zip(*columns))).toDF(*keys, *made, "mass")
-        sums = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in (*made, "mass")])  # a wide context has several rows
+        return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in (*made, "mass")])  # a wide context has several rows
+
+    def contexts(self, n: int) -> DataFrame:
+        """(w1, ..., w<n-1>, total, scale, backoff) of every context of order ``n``."""
+        keys = [f"w{k + 1}" for k in range(n - 1)]
+        made = [f"made{r}" for r in range(1, GT_K + 2)]
+        sums = self.context_sums(n)
         small = sum((F.col(m) for m in made[:-1]), F.lit(0))
         total = sum((r * F.col(m) for r, m in enumerate(made[:-1], 1)), F.col(made[-1]))
         kept = sum((float(self.d[n][r]) * r * F.col(m) for r, m in enumerate(made[:-1], 1)), F.col(made[-1]))
@@ -497,6 +511,56 @@ class Model:
         return out
 
 
+class JoinedModel(Model):
+    """A model whose tables are rows: words (hash, id, count), where the id is the hash, and n-grams (w1, ..., wn, count)."""
+
+    def words(self) -> DataFrame:
+        return self.tables[1]
+
+    def grams(self, n: int) -> DataFrame:
+        return self.tables[n]
+
+    def context_sums(self, n: int) -> DataFrame:
+        keys, lower = [f"w{k + 1}" for k in range(n - 1)], [f"w{k + 1}" for k in range(1, n)]
+        if n == 2:
+            p = self.unigrams.scale * self.discounted(1, F.col("below")) / max(self.unigrams.total, 1)
+            below = self.words().select(F.col("id").alias("w2"), F.col("count").alias("below")).withColumn("p", p)
+        else:
+            held = self.contexts(n - 1).toDF(*lower[:-1], "total", "scale", "backoff")
+            below = self.grams(n - 1).toDF(*lower, "below").join(held, lower[:-1]).withColumn("p", F.col("scale") * self.discounted(n - 1, F.col("below")) / F.col("total"))
+        made = [F.count_if(F.col("count") == r).alias(f"made{r}") for r in range(1, GT_K + 1)]
+        large = F.coalesce(F.sum(F.when(F.col("count") > GT_K, F.col("count"))), F.lit(0)).alias(f"made{GT_K + 1}")
+        return self.grams(n).join(below.select(*lower, "p"), lower).groupBy(*keys).agg(*made, large, F.sum("p").alias("mass"))
+
+
+def _windows(docs: DataFrame, text_col: str, n: int, *more: Column) -> DataFrame:
+    """``more`` and the hashes h1, ..., hn of each token and the n - 1 before it; a text starts after ends, and has one."""
+    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    end = F.xxhash64(F.lit(END.decode()))
+    words = F.transform(F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    rows = docs.select(*more, F.concat(F.array_repeat(end, n - 1), words, F.array(end)).alias("h"))
+    at = F.explode(F.transform(F.sequence(F.lit(1), F.size("h") - (n - 1)), lambda i: F.slice("h", i, n)))
+    names = rows.columns[:-1]
+    return rows.select(*names, at.alias("h")).select(*names, *[F.col("h")[k].alias(f"h{k + 1}") for k in range(n)])
+
+
+def fit_joined(docs: DataFrame, id_col: str, text_col: str, train: Column, order: int = 2) -> JoinedModel:
+    """The model of ``fit``, counted by aggregations with partial sums in each task, whatever the size of the corpus."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("train", F.coalesce(train, F.lit(False)).cast("long"))
+    keys = [f"h{k + 1}" for k in range(order)]
+    top = materialize(_windows(rows, "text", order, F.col("train")).groupBy(*keys).agg(F.sum("train").alias("count")), f"katz-rows-{order}")
+    tables: dict[int, DataFrame] = {}
+    for n in range(order, 0, -1):
+        counted = top if n == order else materialize(top.groupBy(*keys[order - n :]).agg(F.sum("count").alias("count")), f"katz-rows-{n}")
+        tables[n] = counted.toDF(*[f"w{k + 1}" for k in range(n)], "count")
+    stats = {}
+    for n, rows in tables.items():
+        stats[n] = [int(x or 0) for x in rows.agg(F.sum("count"), F.count_if(F.col("count") > 0), *[F.count_if(F.col("count") == r) for r in range(1, GT_K + 2)]).first()]
+        tables[n] = rows.select(F.col("w1").alias("hash"), F.col("w1").alias("id"), "count") if n == 1 else rows.where("count > 0")
+    total, distinct, *counts = stats[1]
+    return JoinedModel(order, tables, Unigrams(total, distinct, [0, *counts]), {n: discounts([0, *stats[n][2:]]) for n in range(2, order + 1)})
+
+
 def _fit(docs: DataFrame, id_col: str, text_col: str, train: Column, order: int) -> tuple[Model, DataFrame, DataFrame, Plan]:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     guess = int(rows.agg(F.sum(F.length("text") / 6 + 1)).first()[0] or 0)
@@ -548,6 +612,10 @@ def score(docs: DataFrame, id_col: str, text_col: str, train: Column, order: int
     ``doc_id``; where it is null, a row is scored but not learned from. Repeated rows count and are scored each. An empty
     table gives no rows. Only id and text are used, so other columns may have any names.
     """
+    if (docs.agg(F.sum(F.length(F.col(text_col)) / 6 + 1)).first()[0] or 0) > JOINED_TOKENS:
+        model = fit_joined(docs, id_col, text_col, train, order)
+        scored = score_texts(model, docs, id_col, text_col).select("doc_id", "n_tokens", "n_known", "base_score", "score")
+        return scored.withColumn("train_tokens", F.lit(model.unigrams.total).cast("long"))
     model, table, answers, plan = _fit(docs, id_col, text_col, train, order)
     kind = table.schema["docs"].dataType.elementType.simpleString()
 
@@ -562,18 +630,14 @@ def score(docs: DataFrame, id_col: str, text_col: str, train: Column, order: int
 
 
 def score_texts(model: Model, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_tokens, n_known, score) of any texts from the model's tables, by joins, one order after the other.
+    """(doc_id, n_tokens, n_known, base_score, score) of any texts from the model's tables, by joins, one order after the other.
 
     Each row of ``docs`` is scored, repeated ones too; nulls and empty texts as in ``score``.
     """
-    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    end, n = F.xxhash64(F.lit(END.decode())), model.order
-    words = F.transform(F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-    padded = F.concat(F.array_repeat(end, n - 1), words, F.array(end))
-    rows = docs.select(F.col(id_col).alias("doc_id"), padded.alias("h")).withColumn("row", F.monotonically_increasing_id())
+    n = model.order
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows, "katz-texts")
-    at = F.explode(F.transform(F.sequence(F.lit(1), F.size("h") - (n - 1)), lambda i: F.slice("h", i, n)))
-    tokens = rows.select("doc_id", "row", at.alias("h")).select("doc_id", "row", *[F.col("h")[k].alias(f"h{k + 1}") for k in range(n)])
+    tokens = _windows(rows, "text", n, F.col("doc_id"), F.col("row"))
     known = model.words().where("count > 0")
     for k in range(1, n + 1):
         tokens = tokens.join(known.select(F.col("hash").alias(f"h{k}"), F.col("id").alias(f"t{k}"), F.col("count").alias(f"c{k}")), f"h{k}", "left")
@@ -581,7 +645,8 @@ def score_texts(model: Model, docs: DataFrame, id_col: str, text_col: str) -> Da
     count = F.col(f"c{n}")
     u = model.unigrams
     p = F.when(count > 0, u.scale * model.discounted(1, count) / max(u.total, 1)).otherwise(F.lit(float(u.unknown)))
-    tokens = tokens.withColumn("known", (F.coalesce(count, F.lit(0)) > 0).cast("long")).withColumn("p", p).drop(f"c{n}")
+    base = F.log10((F.coalesce(count, F.lit(0)) + 1.0) / (u.total + u.distinct + 1.0))
+    tokens = tokens.withColumns({"known": (F.coalesce(count, F.lit(0)) > 0).cast("long"), "base": base, "p": p}).drop(f"c{n}")
     for m in range(2, n + 1):
         names = [f"t{n - m + 1 + k}" for k in range(m)]
         grams = model.grams(m).toDF(*names, "count")
@@ -589,5 +654,5 @@ def score_texts(model: Model, docs: DataFrame, id_col: str, text_col: str) -> Da
         tokens = tokens.join(contexts, names[:-1], "left").join(grams, names, "left")
         seen = F.col("scale") * model.discounted(m, F.col("count")) / F.col("total")
         tokens = tokens.withColumn("p", F.when(F.col("count") > 0, seen).otherwise(F.coalesce("backoff", F.lit(1.0)) * F.col("p"))).drop("total", "scale", "backoff", "count")
-    sums = tokens.groupBy("row", "doc_id").agg(F.count("*").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum(F.log10("p")).alias("score"))
+    sums = tokens.groupBy("row", "doc_id").agg(F.count("*").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum(F.log10("p")).alias("score"))
     return sums.drop("row")
