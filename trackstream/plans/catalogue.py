@@ -122,17 +122,10 @@ def fence_history(spark: SparkSession) -> DataFrame:
     boxes = t.fences(spark)
     change = F.lit(t.EPOCH_MS + 600_000) + F.col("id") * 60_000
     first = boxes.withColumns({"valid_from": F.lit(0).cast("long"), "valid_to": change})
-    second = spark.createDataFrame([(i, n, k, _shifted(w)) for i, n, k, w in t.FENCES], schemas.FENCE).withColumns({"valid_from": change, "valid_to": F.lit(None).cast("long")})
+    second = spark.createDataFrame([(i, n, k, t.shifted(w)) for i, n, k, w in t.FENCES], schemas.FENCE).withColumns({"valid_from": change, "valid_to": F.lit(None).cast("long")})
     return first.unionByName(second)
 
 
-def _shifted(wkt: str) -> str:
-    """The fixed boxes, their western edge moved to the middle."""
-    points = [p.split() for p in wkt[9:-2].split(", ")]
-    xs = sorted({float(x) for x, _ in points})
-    return "POLYGON((" + ", ".join(f"{(xs[0] + xs[1]) / 2 if float(x) == xs[0] else float(x):.4f} {y}" for x, y in points) + "))"
-
-
 def zone_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Samples within the suppliers' zones, whose definitions are read from JSON files; unusable ones are left out."""
     path = t.scratch(spark, "zones")

@@ -128,6 +128,19 @@ def fence_transitions(samples: DataFrame, fences: DataFrame, delay: str = "5 sec
     return with_ids.groupBy("driver_id").transformWithState(p.FenceTransitions(), p.FenceTransitions.OUT, "Append", "EventTime")
 
 
+def fence_changes(samples: DataFrame, definitions: DataFrame, delay: str = "5 seconds", shards: int = 16) -> DataFrame:
+    """ENTER and EXIT events while a second stream defines fences anew (id, polygonWkt, valid_from, event_ms).
+
+    Definitions go to all ``shards``, as a broadcast state would; drivers are dealt over them. Polygons that cannot be read are
+    left out, so the fence's version before stays. Each stream has a watermark of its own, and the slower one counts.
+    """
+    usable = geo.with_edges(definitions).where("edges is not null")
+    told = usable.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "event_ms", F.col("id").alias("fence_id"), "valid_from", F.to_json("edges").alias("edges"))
+    at = samples.select(F.pmod(F.xxhash64("driver_id"), F.lit(shards)).cast("int").alias("shard"), "event_ms", "event_id", "driver_id", "latitude", "longitude")
+    both = timed(at, delay).unionByName(timed(told, delay), allowMissingColumns=True)
+    return both.groupBy("shard").transformWithState(p.FenceChanges(), p.FenceChanges.OUT, "Append", "EventTime")
+
+
 def pickup_timeouts(events: DataFrame, timeout_ms: int, delay: str = "5 seconds") -> DataFrame:
     return timed(events, delay).groupBy("order_id").transformWithState(p.PickupTimeouts(timeout_ms), p.PickupTimeouts.OUT, "Append", "EventTime")
 

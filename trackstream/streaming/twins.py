@@ -68,6 +68,19 @@ def stream_fences(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, _stream(spark, d, "event_ms"), lambda s: jobs.fence_transitions(s, t.fences(spark))).where("driver_id >= 0")
 
 
+def stream_fences_versioned(spark: SparkSession, d: str) -> DataFrame:
+    """Fences that change shape while samples come in, from a stream of definitions beside them."""
+    first = t.fences(spark).withColumn("valid_from", F.lit(0).cast("long"))
+    second = t.fences(spark).withColumn("valid_from", F.lit(t.EPOCH_MS + 600_000) + F.col("id") * 60_000)
+    second = second.withColumn("polygonWkt", F.create_map(*[F.lit(x) for i, _, _, wkt in t.FENCES for x in (i, t.shifted(wkt))])[F.col("id")])
+    told = first.unionByName(second).withColumn("event_ms", F.greatest("valid_from", F.lit(t.EPOCH_MS)))
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit("").alias("name"), F.lit("ZONE").alias("type"), F.lit("POLYGON((0 0, 1 0, 1 1, 0 0))").alias("polygonWkt"), F.lit(0).cast("long").alias("valid_from"), F.lit(t.NOW_MS).alias("event_ms"))
+    chunk = F.least(F.lit(CHUNKS - 1), F.floor((F.col("event_ms") - t.EPOCH_MS) / CHUNK_MS))
+    definitions, samples = jobs.replay(told.withColumn("chunk", chunk), "chunk", end), _stream(spark, d, "event_ms")
+    with jobs.stateful(spark, samples.rows):
+        return jobs.drained(jobs.fence_changes(samples.stream, definitions.stream, shards=4)).where("driver_id >= 0")
+
+
 def stream_mean_speed(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, _stream(spark, d, "arrival_ms"), motion.mean_speeds, "complete").where("driver_id >= 0")
 
@@ -241,6 +254,7 @@ def stream_active_drivers(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "stream_cdc_current": stream_cdc_current,
+    "stream_geofence_events_versioned": stream_fences_versioned,
     "stream_cdc_history": stream_cdc_history,
     "stream_cdc_regressions": stream_cdc_regressions,
     "stream_driver_state_enriched": stream_state_enriched,
@@ -271,6 +285,7 @@ _snapshots = oracle.SQL["driver_snapshots"]
 
 SQL = {
     "stream_cdc_current": oracle.SQL["cdc_current_orders"],
+    "stream_geofence_events_versioned": oracle.SQL["geofence_events_versioned"],
     "stream_cdc_history": oracle.SQL["cdc_order_history"],
     "stream_cdc_regressions": oracle.SQL["cdc_lsn_regressions"],
     "stream_driver_state_enriched": oracle.SQL["driver_state_enriched"],
