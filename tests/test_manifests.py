@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from trackstream.operators import manifests, sinks
+from trackstream.operators import manifests, quantiles, sinks
 from trackstream.operators.manifests import FactTable, KeyedTable, Manifest, Published
 from trackstream.sources import topics
 
@@ -153,3 +153,23 @@ def test_null_keys_are_inserted_once(spark, tmp_path):
 def test_newest_takes_the_greatest_row(spark):
     rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (None, 1, "c")], "k long, at long, v string")
     assert sorted(map(tuple, manifests.newest(rows, ["k"], ["at"]).collect()), key=str) == sorted([(1, 2, "b"), (None, 1, "c")], key=str)
+
+
+def test_hourly_sketches_merge_into_long_quantiles(spark):
+    """Exact up to ``k`` values; beyond, ranks within the bound, whatever the hours that were merged."""
+    rng = random.Random(12)
+    rows = [(k, h * quantiles.HOUR_MS + i, int(rng.lognormvariate(8, 1.2))) for k, n in ((1, 60), (2, 1500)) for h in range(20) for i in range(n // (1 + h % 3))]
+    df = spark.createDataFrame([*rows, (1, 5, None), (None, 7, 3)], "k int, at long, v long")
+    for k in (200, 4000):
+        told = quantiles.merged(quantiles.hourly(df, ["k"], "at", "v", k), ["k"], {"median": 0.5, "p95": 0.95}, k=k)
+        got = {r.k: r for r in told.collect()}
+        assert got[None].p95 == 3
+        for key in (1, 2):
+            values = sorted(v for x, _, v in rows if x == key)
+            assert got[key]["values"] == len(values)
+            for name, share in (("median", 0.5), ("p95", 0.95)):
+                low, high = sum(v < got[key][name] for v in values), sum(v <= got[key][name] for v in values)
+                error = 0 if len(values) <= k else quantiles.rank_error(k)
+                assert high >= (share - error) * len(values) - 1e-9 and low <= (share + error) * len(values) + 1e-9
+    few = quantiles.merged(quantiles.hourly(df, ["k"], "at", "v"), ["k"], {"p95": 0.95}, quantiles.HOUR_MS, 3 * quantiles.HOUR_MS)
+    assert {r.k: r["values"] for r in few.collect()} == {1: 30 + 20, 2: 750 + 500}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackstream import schemas
 from trackstream.functions.geo import round2
-from trackstream.operators import cdc, geofence, ingest, motion, orders, serving, sinks
+from trackstream.operators import cdc, geofence, ingest, motion, orders, quantiles, serving, sinks
 from trackstream.operators.manifests import FactTable, KeyedTable
 from trackstream.plans.oracle import SQL
 from trackstream.sources import tables as t
@@ -187,6 +187,29 @@ def facts_moved(spark: SparkSession, d: str) -> DataFrame:
     return table.read()
 
 
+def _near_rank(values: DataFrame, told: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, values, within_bound): whether the rank of a sketch's 95th percentile is within its bound in the values."""
+    n, error = F.col("values"), quantiles.rank_error()
+    both = values.join(told, key).groupBy(key, "values", "p95").agg(F.count_if(F.col(value) <= F.col("p95")).alias("upto"), F.count_if(F.col(value) < F.col("p95")).alias("below"))
+    within = (F.col("upto") >= (0.95 - error) * n) & (F.col("below") <= (0.95 + error) * n)
+    return both.select(key, "values", within.alias("within_bound"))
+
+
+def delivery_p95_long(spark: SparkSession, d: str) -> DataFrame:
+    """The 95th percentile of delivery times over all hours, from stored sketches of each hour, held against the values."""
+    rows = t.deliveries(spark, d).where("delivered_ms is not null").selectExpr("restaurant_id", "assigned_ms", "delivered_ms - assigned_ms as took")
+    path = t.scratch(spark, "sketches")
+    quantiles.hourly(rows, ["restaurant_id"], "assigned_ms", "took").write.partitionBy("hour_ms").parquet(path)
+    return _near_rank(rows, quantiles.merged(spark.read.parquet(path), ["restaurant_id"], {"p95": 0.95}), "restaurant_id", "took")
+
+
+def dwell_p95_long(spark: SparkSession, d: str) -> DataFrame:
+    """The same of stays in fences."""
+    rows = geofence.dwells(fence_events(spark, d))
+    told = quantiles.merged(quantiles.hourly(rows, ["fence_id"], "enter_ms", "dwell_ms"), ["fence_id"], {"p95": 0.95})
+    return _near_rank(rows, told, "fence_id", "dwell_ms")
+
+
 def speed_windows_twice(spark: SparkSession, d: str) -> DataFrame:
     """Closed windows inserted twice: nothing is new the second time, and no window of a key is replaced."""
     path, rows = t.scratch(spark, "windows"), motion.speed_windows(valid(spark, d))
@@ -403,6 +426,8 @@ QUERIES: dict[str, Query] = {
     "sink_replacing_replay": replacing_twice,
     "latest_state_upsert": upsert_three_times,
     "fact_merge": facts_twice,
+    "delivery_p95_rollup": delivery_p95_long,
+    "geofence_dwell_p95_rollup": dwell_p95_long,
     "fact_merge_updates": facts_moved,
     "order_totals": lambda s, d: orders.order_totals(t.order_items(s, d)),
     "order_with_items": with_item_text,

@@ -218,6 +218,8 @@ SQL: dict[str, str] = {
     "sink_replacing_replay": loc("SELECT event_id, transition, event_ms, CASE WHEN event_ms % 3 = 0 THEN event_ms + 60000 ELSE event_ms + 1000 END AS ingested_at FROM fence_events"),
     "latest_state_upsert": loc("SELECT driver_id, event_ms, event_id, latitude, longitude FROM valid QUALIFY row_number() OVER (PARTITION BY driver_id ORDER BY event_ms DESC, event_id DESC) = 1"),
     "fact_merge": cdc("SELECT order_id, restaurant_id, delivered_ms, (delivered_ms - delivered_ms % 86400000) AS day_ms FROM del WHERE delivered_ms IS NOT NULL"),
+    "delivery_p95_rollup": cdc('SELECT restaurant_id, count(*) AS "values", TRUE AS within_bound FROM del WHERE delivered_ms IS NOT NULL GROUP BY 1'),
+    "geofence_dwell_p95_rollup": loc("""SELECT fence_id, count(*) AS "values", TRUE AS within_bound FROM dwell WHERE transition = 'ENTER' AND next = 'EXIT' GROUP BY 1"""),
     "fact_merge_updates": cdc(
         """SELECT order_id, restaurant_id, known_ms, known_ms - known_ms % 86400000 AS day_ms FROM (SELECT order_id, restaurant_id,
         CASE WHEN delivered_ms IS NULL THEN picked_up_ms ELSE delivered_ms + CASE WHEN order_id % 11 = 3 THEN 259200000 ELSE 0 END END AS known_ms FROM del)"""
