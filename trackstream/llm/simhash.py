@@ -169,8 +169,9 @@ ROWS, BANDS = 7, 24
 STARRED = 3
 #: A bucket with more texts than this is a crowd: its members meet one of them, not each other.
 CROWD = 32
-#: A crowd with no more texts outside its main group is settled by comparing those with all of its members.
-FEW = 64
+#: A crowd with no more texts outside its main group is settled by comparing those with all of its members: up to some
+#: hundreds, that costs less than to deal out and count the members' shingles.
+FEW = 400
 #: Texts of either side that a task compares.
 BLOCK = (64, 256)
 #: Shingles handled at a time.
