@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trackstream.sources.scratch import written
+from trackstream.sources.scratch import staged
 
 #: Hash buckets of a keyed table or key index. A batch rewrites the buckets that it touches: a table of many keys that
 #: gets small batches wants some ten times as many buckets as a batch has keys.
@@ -138,15 +138,15 @@ class KeyedTable(_Sliced):
         if contents["buckets"] != self.buckets:
             raise ValueError(f"the table has {contents['buckets']} buckets")
         gone = F.coalesce(deleted, F.lit(False)) if deleted is not None else F.lit(False)
-        rows = written(newest(batch.withColumn("_deleted", gone), self.keys, self.by).withColumn("_bucket", self._bucket()), "merge")
-        touched = [str(r[0]) for r in rows.select("_bucket").distinct().collect()]  # at most ``buckets``
-        rows = rows.drop("_bucket")
-        held = self._scan(contents, "rows", touched)
-        if held is not None:
-            both = held.withColumn("_old", F.lit(1)).unionByName(rows.withColumn("_old", F.lit(0)))
-            rows = newest(both, self.keys, [*self.by, "_old"]).drop("_old")
-        if touched:
-            self._write(rows, self._bucket(), f"{version:012d}-{uuid.uuid4().hex[:8]}", "rows", contents)
+        with staged(newest(batch.withColumn("_deleted", gone), self.keys, self.by).withColumn("_bucket", self._bucket()), "merge") as rows:
+            touched = [str(r[0]) for r in rows.select("_bucket").distinct().collect()]  # at most ``buckets``
+            rows = rows.drop("_bucket")
+            held = self._scan(contents, "rows", touched)
+            if held is not None:
+                both = held.withColumn("_old", F.lit(1)).unionByName(rows.withColumn("_old", F.lit(0)))
+                rows = newest(both, self.keys, [*self.by, "_old"]).drop("_old")
+            if touched:
+                self._write(rows, self._bucket(), f"{version:012d}-{uuid.uuid4().hex[:8]}", "rows", contents)
         self.manifest.commit(version, contents)
         self.manifest.vacuum()
         return True
@@ -168,13 +168,20 @@ class FactTable(_Sliced):
         super().__init__(spark, folder)
         self.key, self.date_col, self.by, self.buckets = key, date_col, by, buckets
 
-    def merge(self, staged: DataFrame, version: int) -> bool:
+    def merge(self, facts: DataFrame, version: int) -> bool:
         """Takes a batch in under its number; False if it is there. Of rows of one key the greatest ``by`` stays, wherever it is."""
         last, contents = self.manifest.at()
         if version <= last:
             return False
         bucket = F.pmod(F.xxhash64(self.key), F.lit(contents.setdefault("buckets", self.buckets)))
-        rows = written(newest(staged, [self.key], self.by).withColumn("_bucket", bucket), "facts")
+        with staged(newest(facts, [self.key], self.by).withColumn("_bucket", bucket), "facts") as rows:
+            self._merge(rows, version, contents, bucket)
+        self.manifest.commit(version, contents)
+        self.manifest.vacuum()
+        return True
+
+    def _merge(self, rows: DataFrame, version: int, contents: dict, bucket: Column) -> None:
+        """Writes the partitions and index buckets that the batch touches, and enters them into ``contents``."""
         touched = [str(r[0]) for r in rows.select("_bucket").distinct().collect()]  # at most ``buckets``
         rows = rows.drop("_bucket")
         commit = f"{version:012d}-{uuid.uuid4().hex[:8]}"
@@ -187,23 +194,20 @@ class FactTable(_Sliced):
         dates = [r[0] for r in dates.distinct().collect()]  # dates of one batch, before and after
         names = [("__HIVE_DEFAULT_PARTITION__" if d is None else d) for d in dates]
         held = self._scan(contents, "facts", names)
-        if held is not None:
-            both = held.withColumn("_old", F.lit(1)).unionByName(rows.withColumn("_old", F.lit(0)))
-            merged = written(newest(both, [self.key], [*self.by, "_old"]).drop("_old"), "facts")
-        else:
-            merged = rows
         for n in names:  # a partition that all keys have left is no longer named
             contents.get("facts", {}).pop(n, None)
-        if touched:
+        if held is not None:
+            both = held.withColumn("_old", F.lit(1)).unionByName(rows.withColumn("_old", F.lit(0)))
+            rows = newest(both, [self.key], [*self.by, "_old"]).drop("_old")
+        with staged(rows, "facts") as merged:
+            if not touched:
+                return
             self._write(merged, F.col(self.date_col), commit, "facts", contents)
             new_place = merged.select(self.key, F.col(self.date_col).cast("string").alias("_date"))
             if index is not None:
                 stays = index.join(new_place.select(F.col(self.key).alias("_k")), F.col(self.key).eqNullSafe(F.col("_k")), "left_anti")
                 new_place = new_place.where(bucket.cast("string").isin(touched)).unionByName(stays)
             self._write(new_place, bucket, commit, "index", contents)
-        self.manifest.commit(version, contents)
-        self.manifest.vacuum()
-        return True
 
     def read(self) -> DataFrame | None:
         return self._scan(self.manifest.at()[1], "facts")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from trackstream.operators import ingest
 from trackstream.operators.manifests import Published
-from trackstream.sources.scratch import written
+from trackstream.sources.scratch import staged
 
 HOUR_MS, DAY_MS = 3_600_000, 86_400_000
 
@@ -44,14 +44,14 @@ def insert_ignore(batch: DataFrame, path: str, keys: list[str], time_col: str, s
     rest = [c for c in batch.columns if c not in keys]
     order = F.struct(*(by or rest or keys))
     first = batch.groupBy(*keys).agg(F.min_by(F.struct(*(rest or keys)), order).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
-    fresh = written(_sliced(first.select(batch.columns), time_col, slice_ms), "staged")
-    if _exists(spark, path):
-        known = spark.read.parquet(path)
-        touched = [r[0] for r in fresh.select("slice").distinct().collect()]  # slices of one batch
-        here = F.col("slice").isin([x for x in touched if x is not None]) | (F.col("slice").isNull() if None in touched else F.lit(False))
-        known = known.where(here).select(*[F.col(c).alias(f"_{c}") for c in ("slice", *keys)])
-        fresh = fresh.join(known, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("slice", *keys)]), "left_anti")
-    fresh.write.mode("append").partitionBy("slice").parquet(path)
+    with staged(_sliced(first.select(batch.columns), time_col, slice_ms), "staged") as fresh:
+        if _exists(spark, path):
+            known = spark.read.parquet(path)
+            touched = [r[0] for r in fresh.select("slice").distinct().collect()]  # slices of one batch
+            here = F.col("slice").isin([x for x in touched if x is not None]) | (F.col("slice").isNull() if None in touched else F.lit(False))
+            known = known.where(here).select(*[F.col(c).alias(f"_{c}") for c in ("slice", *keys)])
+            fresh = fresh.join(known, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("slice", *keys)]), "left_anti")
+        fresh.write.mode("append").partitionBy("slice").parquet(path)
 
 
 def append_versions(batch: DataFrame, path: str, time_col: str, slice_ms: int = DAY_MS) -> None:
@@ -101,20 +101,20 @@ def upsert_latest(batch: DataFrame, folder: str, keys: list[str], by: list[str],
     return f"{folder}/v={version}"
 
 
-def merge_facts(staged: DataFrame, path: str, key: str, date_col: str, by: list[str] | None = None) -> None:
+def merge_facts(facts: DataFrame, path: str, key: str, date_col: str, by: list[str] | None = None) -> None:
     """Append staged facts that are not in the warehouse yet, one for each key (the first by ``by``), partitioned by date.
 
     A key fixes its date, so only the partitions of the batch's dates are read.
     """
-    spark = staged.sparkSession
-    rest = [c for c in staged.columns if c != key]
-    first = staged.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*(by or rest))).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
-    fresh = written(first.select(staged.columns), "facts")
-    if _exists(spark, path):
-        dates = [r[0] for r in fresh.select(date_col).distinct().collect()]  # dates of one batch
-        known = spark.read.parquet(path).where(F.col(date_col).isin(dates)).select(key)
-        fresh = fresh.join(known, key, "left_anti")
-    fresh.write.mode("append").partitionBy(date_col).parquet(path)
+    spark = facts.sparkSession
+    rest = [c for c in facts.columns if c != key]
+    first = facts.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*(by or rest))).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    with staged(first.select(facts.columns), "facts") as fresh:
+        if _exists(spark, path):
+            dates = [r[0] for r in fresh.select(date_col).distinct().collect()]  # dates of one batch
+            known = spark.read.parquet(path).where(F.col(date_col).isin(dates)).select(key)
+            fresh = fresh.join(known, key, "left_anti")
+        fresh.write.mode("append").partitionBy(date_col).parquet(path)
 
 
 def to_topic(rows: DataFrame, key: str, topic: str) -> DataFrame:
@@ -124,8 +124,8 @@ def to_topic(rows: DataFrame, key: str, topic: str) -> DataFrame:
 
 def split_letters(gated: DataFrame, into: Published, batch: int) -> bool:
     """One pass of a gated batch into two sinks, ``valid`` rows and ``letters``, which show the batch together and once."""
-    rows = written(gated, "gated")
-    return into.write({"valid": ingest.valid(rows), "letters": ingest.dead_letters(rows)}, batch)
+    with staged(gated, "gated") as rows:
+        return into.write({"valid": ingest.valid(rows), "letters": ingest.dead_letters(rows)}, batch)
 
 
 def to_jdbc(batch: DataFrame, url: str, table: str, rows: int = 500, **options: str) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trackstream.functions import geo
 from trackstream.operators import geofence
-from trackstream.sources.scratch import scratch, written
+from trackstream.sources.scratch import scratch, staged
 from trackstream.streaming import processors as p
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -57,8 +57,13 @@ def replay(rows: DataFrame, chunk_col: str, last: DataFrame | None = None) -> Re
 
     Every chunk has the same number of files, which is what a micro-batch takes. The rows are computed once.
     """
-    spark, path = rows.sparkSession, scratch(rows.sparkSession, "stream")
-    rows = written(rows, "replay")
+    path = scratch(rows.sparkSession, "stream")
+    with staged(rows, "replay") as once:
+        return _replayed(once, chunk_col, last, path)
+
+
+def _replayed(rows: DataFrame, chunk_col: str, last: DataFrame | None, path: str) -> Replay:
+    spark = rows.sparkSession
     sizes = {r[0]: r[1] for r in rows.groupBy(chunk_col).count().collect()}  # a handful of chunks
     least = min(sizes.values(), default=0)
     files = max(1, min(-(-max(sizes.values(), default=0) // FILE_ROWS), least // 100))  # so that no file stays empty
