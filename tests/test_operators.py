@@ -13,7 +13,7 @@ from trackstream.functions import geo, ids
 from trackstream.operators import cdc, geofence, ingest, motion, orders, serving, sinks
 from trackstream.sources import tables, topics
 from trackstream.sources.scratch import scratch
-from trackstream.streaming import jobs
+from trackstream.streaming import jobs, processors
 
 T0 = 1_800_000_000_000
 
@@ -339,3 +339,32 @@ def test_an_idle_source_holds_nothing_back(spark):
     with jobs.stateful(spark, 10):
         assert spark.conf.get("spark.sql.streaming.multipleWatermarkPolicy") == "min"
     assert spark.conf.get("spark.sql.streaming.multipleWatermarkPolicy") == "min"
+
+
+def test_change_log_in_any_order(spark):
+    """Changes of one row in chunks out of log order, with replays: each told once, in order, and regressions as they come."""
+    rows = [
+        ("orders", "7", 3, "UPDATE", "READY", "c", T0 + 300, 30, 0), ("orders", "7", 1, "CREATE", "NEW", "a", T0 + 100, 31, 0), ("orders", "7", 3, "UPDATE", "READY", "c", T0 + 300, 32, 0),
+        ("orders", "7", 2, "UPDATE", "SEEN", "b", T0 + 200, 33, 1), ("orders", "8", 9, "DELETE", "NEW", None, T0 + 50, 34, 1), ("orders", "7", 4, "DELETE", "READY", None, T0 + 400, 35, 1),
+        ("", "", 0, None, None, None, T0 + 10_000_000, 36, 2),
+    ]
+    changes = spark.createDataFrame(rows, "table string, key string, lsn long, op string, status string, image string, event_ms long, offset long, chunk long")
+    replayed = jobs.replay(changes, "chunk")
+    with jobs.stateful(spark, replayed.rows):
+        told = jobs.drained(jobs.change_log(replayed.stream, "1 hour")).where("key <> ''").collect()
+    moves = sorted((r.key, r.lsn, r.kind, r.status, r.in_status_ms) for r in told if r.kind != "regression")
+    assert moves == [
+        ("7", 1, "entered", "NEW", None), ("7", 1, "left", "NEW", 100), ("7", 1, "upsert", "NEW", None),
+        ("7", 2, "entered", "SEEN", None), ("7", 2, "left", "SEEN", 100), ("7", 2, "upsert", "SEEN", None),
+        ("7", 3, "entered", "READY", None), ("7", 3, "upsert", "READY", None), ("7", 4, "delete", "READY", None), ("8", 9, "delete", "NEW", None),
+    ]
+    assert sorted((r.lsn, r.prev_lsn, r.offset) for r in told if r.kind == "regression") == [(1, 3, 31), (2, 3, 33)]
+
+
+def test_point_test_of_streams_is_that_of_columns(spark):
+    fences = geo.with_edges(spark.createDataFrame(SHAPES, schemas.FENCE)).where("edges is not null").collect()
+    rng = random.Random(4)
+    points = [(x, y) for _, x, y in POINTS] + [(rng.randrange(-2, 22) / 2, rng.randrange(-2, 22) / 2) for _ in range(200)]
+    df = spark.createDataFrame([(f.id, x, y, f.edges, f.min_x, f.max_x, f.min_y, f.max_y) for f in fences for x, y in points], "id long, lat double, lon double, edges array<struct<x1:double,y1:double,x2:double,y2:double>>, min_x double, max_x double, min_y double, max_y double")
+    for r in df.select("*", F.expr(geo.INSIDE).alias("within")).collect():
+        assert processors.inside(r.lat, r.lon, [e.asDict() for e in r.edges]) == r.within
