@@ -2,6 +2,9 @@
 
 Rows of a micro-batch reach a processor before the timers that fall due in it, and in no order. Each processor
 therefore sorts its rows and looks first whether a deadline lies before the row at hand.
+
+Every call on state or timers is a round trip to the JVM. So rows that wait are kept as JSON texts of many rows, and a batch
+sets one timer a key, for the first row that falls due; it deals with all that are due and sets the next.
 """
 
 from __future__ import annotations
@@ -36,6 +39,26 @@ def _shape(fields: str) -> Row:
     return Row(*[f.split()[0] for f in fields.split(", ")])
 
 
+#: Rows of one JSON text of a list state, at most.
+PACKED = 2_000
+
+
+def _packed(rows: list[tuple]) -> list[tuple[str]]:
+    return [(json.dumps(rows[i : i + PACKED]),) for i in range(0, len(rows), PACKED)]
+
+
+def _unpacked(state: Any) -> list[tuple]:
+    return [tuple(row) for (text,) in state.get() for row in json.loads(text)]
+
+
+def _keep(state: Any, rows: list[tuple]) -> None:
+    """``rows`` as the whole content of a list state."""
+    if rows:
+        state.put(_packed(rows))
+    else:
+        state.clear()
+
+
 def _in_event_order(rows: Iterator[Row]) -> list[Row]:
     return sorted(rows, key=lambda r: (r.event_ms, r.event_id))
 
@@ -58,31 +81,44 @@ class SpeedWindows(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.samples = handle.getMapState("samples", "start long, event_ms long, event_id long", "lat double, lon double")
+        self.samples = handle.getListState("samples", "rows string")
 
     def _business(self, timers: Any) -> float:
         now = timers.getCurrentWatermarkInMs()
         return now + self.horizon - self.bound - 1 if now > 0 else -math.inf
 
+    def _wake(self, start: int) -> None:
+        self.handle.registerTimer(start + self.size + self.bound - self.horizon)
+
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        watermark, open_ = self._business(timerValues), set()
+        watermark, open_ = self._business(timerValues), []
         for r in _in_event_order(rows):
             start = r.event_ms - r.event_ms % self.size
             if start + self.size - 1 <= watermark:
                 yield self.row("late", key[0], start, start + self.size, None, None, None, None, r.event_id, r.event_ms)
             else:
-                self.samples.updateValue((start, r.event_ms, r.event_id), (r.latitude, r.longitude))
-                open_.add(start)
-        for start in open_:
-            self.handle.registerTimer(start + self.size + self.bound - self.horizon)
+                open_.append((start, r.event_ms, r.event_id, r.latitude, r.longitude))
+        if open_:
+            self.samples.appendList(_packed(open_))
+            self._wake(open_[0][0])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        start = expiredTimerInfo.getExpiryTimeInMs() - self.size - self.bound + self.horizon
-        samples = sorted((*k[1:], *v) for k, v in self.samples.iterator() if k[0] == start)
-        for s in samples:
-            self.samples.removeKey((start, *s[:2]))
-        if not samples:
+        closed = max(self._business(timerValues), expiredTimerInfo.getExpiryTimeInMs() + self.horizon - self.bound - 1)
+        held = {row[:3]: row[3:] for row in _unpacked(self.samples)}  # a sample that came twice counts once
+        windows: dict[int, list[tuple]] = {}
+        for (start, *k), v in sorted(held.items()):
+            if start + self.size - 1 <= closed:
+                windows.setdefault(start, []).append((*k, *v))
+        if not windows:
             return
+        rest = sorted((*k, *v) for k, v in held.items() if k[0] not in windows)
+        _keep(self.samples, rest)
+        if rest:
+            self._wake(rest[0][0])
+        for start, samples in windows.items():
+            yield self._window(key[0], start, samples)
+
+    def _window(self, driver: int, start: int, samples: list[tuple]) -> Row:
         total = top = 0.0
         moved = 0
         for a, b in zip(samples, samples[1:], strict=False):
@@ -92,7 +128,7 @@ class SpeedWindows(StatefulProcessor):
                 moved += ms
                 top = max(top, m / (ms / 1000.0) * 3.6)
         mean = total / (moved / 1000.0) * 3.6 if moved else 0.0
-        yield self.row("window", key[0], start, start + self.size, len(samples), _round2(mean), _round2(top), _round2(total), None, None)
+        return self.row("window", driver, start, start + self.size, len(samples), _round2(mean), _round2(top), _round2(total), None, None)
 
 
 class DriverState(StatefulProcessor):
@@ -117,12 +153,18 @@ class DriverState(StatefulProcessor):
         fields = "event_ms long, lat double, lon double, speed double, heading int, metres double, n long"
         self.last = handle.getValueState("last", fields)
 
+    def _last(self) -> tuple | None:
+        last = self.last.get()
+        return tuple(last) if last else None
+
     def _ended(self, key: Any, last_ms: int) -> Iterator[Row]:
         if self.life == self.gap:
             yield self.row("GPS_GAP", key[0], None, last_ms + self.gap, *[None] * 10)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        last = tuple(self.last.get()) if self.last.exists() else None
+        last = before = self._last()
+        if before and self.life is not None:
+            self.handle.deleteTimer(before[0] + self.life + 1)
         for r in _in_event_order(rows):
             if last and self.life is not None and r.event_ms - last[0] > self.life:  # its timer has not fired yet
                 yield from self._ended(key, last[0])
@@ -133,21 +175,20 @@ class DriverState(StatefulProcessor):
                 kph = m / (ms / 1000.0) * 3.6 if ms > 0 else None
                 if kph is not None and kph > self.max_kph:
                     yield self.row("IMPOSSIBLE_SPEED", key[0], None, r.event_ms, None, None, None, None, None, _round2(kph), *[None] * 4)
-            before = last or (None, None, None, None, None, 0.0, 0)
-            speed = before[3] if r.speed_kph is None else r.speed_kph
-            heading = before[4] if r.heading_degrees is None else r.heading_degrees
-            last = (r.event_ms, r.latitude, r.longitude, speed, heading, before[5] + m, before[6] + 1)
-            yield self.row("snapshot", key[0], r.event_id, r.event_ms, r.latitude, r.longitude, before[1], before[2], speed, _round2(kph), heading, r.vehicle_type, _round2(last[5]), last[6])
+            was = last or (None, None, None, None, None, 0.0, 0)
+            speed = was[3] if r.speed_kph is None else r.speed_kph
+            heading = was[4] if r.heading_degrees is None else r.heading_degrees
+            last = (r.event_ms, r.latitude, r.longitude, speed, heading, was[5] + m, was[6] + 1)
+            yield self.row("snapshot", key[0], r.event_id, r.event_ms, r.latitude, r.longitude, was[1], was[2], speed, _round2(kph), heading, r.vehicle_type, _round2(last[5]), last[6])
         if last:
             self.last.update(last)
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
             if self.life is not None:
                 self.handle.registerTimer(last[0] + self.life + 1)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        if self.last.exists():
-            yield from self._ended(key, self.last.get()[0])
+        last = self._last()
+        if last:
+            yield from self._ended(key, last[0])
             self.last.clear()
 
 
@@ -160,19 +201,20 @@ class FenceTransitions(StatefulProcessor):
         self.row = _shape(self.OUT)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.inside = handle.getMapState("inside", "fence_id long", "since_ms long")
+        self.inside = handle.getValueState("inside", "fence_ids string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held = {k[0] for k in self.inside.keys()}
+        told = self.inside.get()
+        held = before = set(json.loads(told[0])) if told else set()
         for r in _in_event_order(rows):
             now = set(r.fence_ids)
             for fence in sorted(held - now):
-                self.inside.removeKey((fence,))
                 yield self.row(key[0], fence, "EXIT", r.latitude, r.longitude, r.event_ms)
             for fence in sorted(now - held):
-                self.inside.updateValue((fence,), (r.event_ms,))
                 yield self.row(key[0], fence, "ENTER", r.latitude, r.longitude, r.event_ms)
             held = now
+        if held != before:
+            self.inside.update((json.dumps(sorted(held)),))
 
 
 def inside(lat: float, lon: float, edges: list[dict]) -> bool:
@@ -200,21 +242,21 @@ class FenceChanges(StatefulProcessor):
         self.row = _shape(self.OUT)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.done = handle, None
+        self.handle = handle
         self.fences = handle.getMapState("fences", "fence_id long, valid_from long", "edges string")
-        self.waiting = handle.getMapState("waiting", "event_ms long, event_id long, driver_id long", "lat double, lon double")
-        self.held = handle.getMapState("held", "driver_id long, fence_id long", "since_ms long")
+        self.waiting = handle.getListState("waiting", "rows string")
+        self.held = handle.getListState("held", "rows string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        due = set()
+        fresh = []
         for r in rows:
             if r.fence_id is not None:
                 self.fences.updateValue((r.fence_id, r.valid_from), (r.edges,))
             else:
-                self.waiting.updateValue((r.event_ms, r.event_id, r.driver_id), (r.latitude, r.longitude))
-                due.add(r.event_ms)
-        for t in due:
-            self.handle.registerTimer(t)
+                fresh.append((r.event_ms, r.event_id, r.driver_id, r.latitude, r.longitude))
+        if fresh:
+            self.waiting.appendList(_packed(fresh))
+            self.handle.registerTimer(min(fresh)[0])
         return iter(())
 
     def _versions(self) -> dict[int, list[tuple[int, list[dict]]]]:
@@ -224,64 +266,32 @@ class FenceChanges(StatefulProcessor):
         return {fence: sorted(v, key=lambda x: x[0]) for fence, v in told.items()}
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
-        if self.done == (key[0], now):  # the first timer of a shard that fires in a batch does the work of all
-            return
-        self.done = (key[0], now)
-        due = sorted((tuple(k), tuple(v)) for k, v in list(self.waiting.iterator()) if k[0] <= now)
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        waiting = {row[:3]: row[3:] for row in _unpacked(self.waiting)}  # a sample that came twice counts once
+        due = sorted(x for x in waiting.items() if x[0][0] <= now)
         if not due:
             return
+        rest = [(*k, *v) for k, v in waiting.items() if k[0] > now]
+        _keep(self.waiting, rest)
+        if rest:
+            self.handle.registerTimer(min(rest)[0])
         versions, held = self._versions(), {}
-        for driver, fence in [tuple(k) for k in self.held.keys()]:
+        for driver, fence in _unpacked(self.held):
             held.setdefault(driver, set()).add(fence)
         for (ms, event, driver), (lat, lon) in due:
-            self.waiting.removeKey((ms, event, driver))
             at = {fence: edges for fence, told in versions.items() for start, edges in told if start <= ms}  # the last one stays
             here, before = {fence for fence, edges in at.items() if inside(lat, lon, edges)}, held.get(driver, set())
             for fence in sorted(before - here):
-                self.held.removeKey((driver, fence))
                 yield self.row(driver, fence, "EXIT", lat, lon, ms)
             for fence in sorted(here - before):
-                self.held.updateValue((driver, fence), (ms,))
                 yield self.row(driver, fence, "ENTER", lat, lon, ms)
             held[driver] = here
+        _keep(self.held, [(driver, fence) for driver, fences in held.items() for fence in sorted(fences)])
         for fence, told in versions.items():
             for start in [start for start, _ in told if start <= now][:-1]:
                 self.fences.removeKey((fence, start))
 
 
-class PickupTimeouts(StatefulProcessor):
-    """Orders with a driver but no pickup within the timeout."""
-
-    OUT = "order_id long, driver_id long, event_ms long"
-
-    def __init__(self, timeout_ms: int):
-        self.row = _shape(self.OUT)
-        self.timeout = timeout_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getValueState("waiting", "driver_id long, assigned_ms long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        for r in sorted(rows, key=lambda r: (r.event_ms, r.kind)):
-            if r.kind == "DRIVER_ASSIGNED":
-                self.waiting.update((r.driver_id, r.event_ms))
-                self.handle.registerTimer(r.event_ms + self.timeout)
-            elif self.waiting.exists():
-                driver, assigned = self.waiting.get()
-                self.waiting.clear()
-                self.handle.deleteTimer(assigned + self.timeout)
-                if r.event_ms - assigned > self.timeout:  # picked up after the deadline, in the batch that brings it
-                    yield self.row(key[0], driver, assigned + self.timeout)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        if self.waiting.exists():
-            driver, assigned = self.waiting.get()
-            self.waiting.clear()
-            yield self.row(key[0], driver, assigned + self.timeout)
-
-
 class ChangeLog(StatefulProcessor):
     """Changes of a row (table, key) put into the order of their log positions, each once.
 
@@ -350,31 +360,33 @@ class LatestOf(StatefulProcessor):
         self.row = _shape(self.out)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.done = handle, None
-        self.waiting = handle.getMapState("waiting", "event_ms long, rank int, name string, order string, event_id long", "value string")
-        self.values = handle.getMapState("values", "name string", "value string")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "rows string")
+        self.values = handle.getValueState("values", "named string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        due = set()
-        for r in rows:
-            sample = r.name is None
-            self.waiting.updateValue((r.event_ms, int(sample), r.name or "", r.order or "", r.event_id if sample else 0), (r.value,))
-            due.add(r.event_ms)
-        for t in due:
-            self.handle.registerTimer(t)
+        fresh = [(r.event_ms, int(r.name is None), r.name or "", r.order or "", r.event_id if r.name is None else 0, r.value) for r in rows]
+        self.waiting.appendList(_packed(fresh))
+        self.handle.registerTimer(min(r[0] for r in fresh))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
-        if self.done == (key[0], now):  # the first timer of a key that fires in a batch does the work of all
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        waiting = {row[:5]: row[5] for row in _unpacked(self.waiting)}  # a row that came twice counts once
+        due = sorted(k for k in waiting if k[0] <= now)
+        if not due:
             return
-        self.done = (key[0], now)
-        due = sorted((tuple(k), v[0]) for k, v in list(self.waiting.iterator()) if k[0] <= now)
-        values = {k[0]: v[0] for k, v in self.values.iterator()} if due else {}
-        for k, value in due:
-            self.waiting.removeKey(k)
+        rest = [(*k, v) for k, v in waiting.items() if k[0] > now]
+        _keep(self.waiting, rest)
+        if rest:
+            self.handle.registerTimer(min(r[0] for r in rest))
+        told = self.values.get()
+        values = json.loads(told[0]) if told else {}
+        before = dict(values)
+        for k in due:
             if k[1]:
                 yield self.row(key[0], k[0], k[4], *[values.get(c) for c in self.columns])
-            elif value is not None:
-                values[k[2]] = value
-                self.values.updateValue((k[2],), (value,))
+            elif waiting[k] is not None:
+                values[k[2]] = waiting[k]
+        if values != before:
+            self.values.update((json.dumps(values),))
