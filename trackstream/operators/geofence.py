@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackstream.functions import geo, ids
 
-#: Fences up to this number are broadcast whole; more are met by grid cell.
+#: Fences up to this number are broadcast whole; more are met by shape and grid cell.
 BROADCAST_FENCES = 2_000
-CELL_DEG = 0.05
 
 
 def split_fences(fences: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -23,11 +22,42 @@ def _validity(fences: DataFrame) -> list[str]:
     return [c for c in ("valid_from", "valid_to") if c in fences.columns]
 
 
+def _shaped(fences: DataFrame) -> DataFrame:
+    """Fences with ``_shape``: a digest of edges and validity."""
+    return fences.withColumn("_shape", F.sha2(F.to_json(F.struct("edges", *_validity(fences))), 256))
+
+
+def _spread(shaped: DataFrame) -> DataFrame:
+    """One row for each distinct shape and cell. The cells of a shape are as wide as its box, to the next power of two (its
+    ``_level``), so it has at most four, be it large or small."""
+    corners = ["min_x", "max_x", "min_y", "max_y"]
+    kinds = shaped.groupBy("_shape").agg(*[F.first(c).alias(c) for c in ("edges", *corners, *_validity(shaped))])  # equal in all
+    wide = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), F.lit(1e-9))
+    level = kinds.withColumn("_level", F.ceil(F.log2(wide)).cast("int"))
+    across = level.withColumn("_cx", F.explode(F.sequence(_cell("min_x"), _cell("max_x"))))
+    return across.withColumn("_cy", F.explode(F.sequence(_cell("min_y"), _cell("max_y"))))
+
+
+def _cell(c: str) -> Column:
+    return F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level")))
+
+
+def _of_many(at: DataFrame, fences: DataFrame, inside: Column, broadcast_cells: int) -> DataFrame:
+    """Points met with distinct shapes by cell, and then with all fences of each shape."""
+    shaped = _shaped(fences)
+    spread = _spread(shaped)
+    levels = [r[0] for r in spread.select("_level").distinct().collect()]  # powers of two
+    here = at.withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).withColumns({"_cx": _cell("lon"), "_cy": _cell("lat")})
+    spread = F.broadcast(spread) if spread.limit(broadcast_cells + 1).count() <= broadcast_cells else spread
+    hit = here.join(spread, ["_level", "_cx", "_cy"]).where(inside).select(*at.columns, "_shape")
+    return hit.join(shaped.select("_shape", "fence_id", "fence_name", "fence_type"), "_shape")
+
+
 def membership(points: DataFrame, fences: DataFrame, broadcast_fences: int = BROADCAST_FENCES) -> DataFrame:
     """(point columns, fence_id, fence_name, fence_type) for each point strictly inside a fence.
 
-    ``points`` have latitude and longitude. The number of fences is checked: few are broadcast, many are joined on the
-    grid cells that their bounding boxes touch. Fences with ``valid_from`` and ``valid_to`` (null: open) are versions of a
+    ``points`` have latitude and longitude. The number of fences is checked: few are broadcast, many are joined by shape,
+    on grid cells of about the shape's size, so that each shape is tested once however many fences have it. Fences with ``valid_from`` and ``valid_to`` (null: open) are versions of a
     definition, and a point with ``event_ms`` is held against the one that was valid then.
     """
     usable, _ = split_fences(fences)
@@ -39,13 +69,7 @@ def membership(points: DataFrame, fences: DataFrame, broadcast_fences: int = BRO
     if usable.limit(broadcast_fences + 1).count() <= broadcast_fences:
         joined = at.join(F.broadcast(shapes), inside)
     else:
-
-        def cell(c: str):
-            return F.floor(F.col(c) / CELL_DEG)
-
-        spread = shapes.withColumn("cx", F.explode(F.sequence(cell("min_x"), cell("max_x")))).withColumn("cy", F.explode(F.sequence(cell("min_y"), cell("max_y"))))
-        at = at.withColumns({"cx": cell("lon"), "cy": cell("lat")})
-        joined = at.join(spread, (at.cx == spread.cx) & (at.cy == spread.cy) & inside).drop(spread.cx).drop(spread.cy).drop("cx", "cy")
+        joined = _of_many(at, shapes, inside, broadcast_fences)
     return joined.select(*points.columns, "fence_id", "fence_name", "fence_type")
 
 
