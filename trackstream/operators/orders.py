@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from trackstream.functions import geo
 
 PICKUP_TIMEOUT_MS = 600_000
+#: Rows of a partition of a check of references, about.
+PART_ROWS = 1_000_000
 #: Time buckets in which intervals and events meet.
 BUCKET_MS = 600_000
 
@@ -115,6 +117,13 @@ def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """Child rows whose non-null key has no parent."""
-    keys = parent.select(F.col(parent_key).alias(child_key)).distinct()
-    return child.where(F.col(child_key).isNotNull()).join(keys, child_key, "left_anti")
+    """Child rows whose non-null key has no parent.
+
+    Keys compress so well that adaptive execution would put all of them into a few partitions, which grow with the tables.
+    A big child therefore gets partitions by its number of rows, and its parent's keys the same, if they are not few.
+    """
+    rows, keys = child.where(F.col(child_key).isNotNull()), parent.select(F.col(parent_key).alias(child_key))
+    parts = rows.count() // PART_ROWS
+    if parts > 1 and keys.count() > 100 * parts:
+        rows, keys = rows.repartition(parts, child_key), keys.repartition(parts, child_key)
+    return rows.join(keys, child_key, "left_anti")
