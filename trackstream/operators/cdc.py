@@ -46,9 +46,13 @@ def routed(topic: Column) -> Column:
 
 
 def normalise(messages: DataFrame, envelope: str = schemas.ENVELOPE) -> DataFrame:
-    """Topic rows (topic, key, value, offset) to change rows; a null value is a DELETE without images, a bad one has an error."""
+    """Topic rows (topic, key, value, offset) to change rows; a null value is a DELETE without images, a bad one has an error.
+
+    Of ``before`` and ``after``, those that ``envelope`` names are parsed and returned.
+    """
     e = F.from_json("value", f"{envelope}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    rows = messages.select("*", F.explode(F.array(e)).alias("e"))  # parsed once a row, not once a field
+    images = [n for n in ("before", "after") if f"{n} " in envelope]
+    rows = messages.select("*", e.alias("_e")).select("*", F.explode(F.array("_e")).alias("e"))  # parsed once a row, not once a field
     tombstone = F.col("value").isNull()
     bad = ~tombstone & (F.col("e").isNull() | F.col("e._bad").isNotNull() | F.col("e.op").isNull())
     named = F.create_map(*[F.lit(x) for pair in OPS.items() for x in pair])
@@ -58,8 +62,7 @@ def normalise(messages: DataFrame, envelope: str = schemas.ENVELOPE) -> DataFram
         F.col("e.ts_ms").alias("ts_ms"),
         F.col("e.source.lsn").alias("lsn"),
         F.coalesce(F.lower("e.source.snapshot") != "false", F.lit(False)).alias("from_snapshot"),
-        F.when(~bad, F.col("e.before")).alias("before"),
-        F.when(~bad, F.col("e.after")).alias("after"),
+        *[F.when(~bad, F.col(f"e.{n}")).alias(n) for n in images],
         "key",
         tombstone.alias("tombstone"),
         F.when(bad, "malformed envelope").alias("error"),
@@ -120,7 +123,8 @@ def regressions(rows: DataFrame) -> DataFrame:
 def transitions(rows: DataFrame) -> DataFrame:
     """Status changes by key, labelled legal, noop or illegal; the first status of a key is not a change."""
     order = W.partitionBy("table", "key").orderBy("lsn", "offset")
-    trail = deduplicated(rows).where("op <> 'DELETE'").select("table", "key", "lsn", F.col("after.status").alias("to_status"), F.lag("after.status").over(order).alias("from_status"))
+    told = rows.select("table", "key", "lsn", "offset", "op", F.col("after.status").alias("to_status"))  # no images are moved
+    trail = deduplicated(told).where("op <> 'DELETE'").withColumn("from_status", F.lag("to_status").over(order))
     allowed = F.create_map(*[x for k, v in NEXT_STATUS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     legal = F.coalesce(F.array_contains(F.try_element_at(allowed, F.col("from_status")), F.col("to_status")), F.lit(False))
     label = F.when(F.col("from_status") == F.col("to_status"), "noop").when(legal, "legal").otherwise("illegal")
@@ -131,6 +135,8 @@ def business_events(rows: DataFrame) -> DataFrame:
     """Events that row changes stand for: a status that is new to the row, by table."""
     spark = rows.sparkSession
     mapping = spark.createDataFrame([(*k, v) for k, v in EVENTS.items()], "`table` string, to_status string, event_type string")
-    fresh = deduplicated(rows).where("op <> 'DELETE' and (before is null or before.status <> after.status)")
-    named = fresh.withColumn("to_status", F.col("after.status")).join(F.broadcast(mapping), ["table", "to_status"])  # a fixed table of nine rows
+    is_new = F.expr("before is null or before.status <> after.status")
+    told = rows.select("table", "key", "lsn", "offset", "op", "ts_ms", is_new.alias("_new"), F.col("after.status").alias("to_status"))  # no images are moved
+    fresh = deduplicated(told).where("op <> 'DELETE' and _new")
+    named = fresh.join(F.broadcast(mapping), ["table", "to_status"])  # a fixed table of nine rows
     return named.select("key", "lsn", "event_type", F.col("ts_ms").alias("event_ms"))

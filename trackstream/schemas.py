@@ -10,6 +10,8 @@ FENCE = "id long, name string, type string, polygonWkt string"
 ORDER_ROW = "id long, customer_id long, status string, total_amount string"
 #: Envelopes of any table: images as maps from column to text.
 ENVELOPE_ANY = "before map<string,string>, after map<string,string>, source struct<table:string,lsn:long,snapshot:string>, op string, ts_ms long"
+#: Envelopes of any table without their images.
+ENVELOPE_BARE = "source struct<table:string,lsn:long,snapshot:string>, op string, ts_ms long"
 ENVELOPE = (
     f"before struct<{ORDER_ROW.replace(' ', ':').replace(',:', ',')}>, after struct<{ORDER_ROW.replace(' ', ':').replace(',:', ',')}>, "
     "source struct<table:string,lsn:long,snapshot:string>, op string, ts_ms long"

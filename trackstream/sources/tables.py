@@ -24,10 +24,24 @@ EPOCH_MS = 1_704_067_200_000
 NOW_MS = EPOCH_MS + 40 * 86_400_000
 
 
+#: Rows of a table that one task makes messages of, about.
+SPREAD_ROWS = 20_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str, per_task: int = SPREAD_ROWS) -> DataFrame:
+    """The rows of a file dealt over tasks by their number.
+
+    Tables of keys compress so well that splits by bytes, or a file's few row groups, give fewer tasks than there are
+    cores, and each row becomes several messages.
+    """
+    parts = -(-rows.count() // per_task)
+    return rows.repartition(parts, key) if parts > 1 else rows
+
+
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GPS samples in the order of ``(arrival_ms, event_id)``, a few of them bad, late or not decodable."""
     e = table(spark, sf_dir, "events").selectExpr(
@@ -76,9 +90,10 @@ def shifted(wkt: str) -> str:
     return "POLYGON((" + ", ".join(f"{(xs[0] + xs[1]) / 2 if float(x) == xs[0] else float(x):.4f} {y}" for x, y in points) + "))"
 
 
-def order_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_steps(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """Each status that an order goes through: k, customer_id, total_amount, n, i, status, before, lsn, ts_ms."""
-    o = table(spark, sf_dir, "orders").selectExpr(
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    o = (spread(rows, "o_orderkey") if dealt else rows).selectExpr(
         "o_orderkey as k", "o_custkey as customer_id", "cast(o_totalprice as decimal(12, 2)) as total_amount",
         "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(o_orderdate as timestamp_ntz)) div 1000 as t0",
         "case when o_orderkey % 11 = 0 then 3 when o_orderstatus = 'F' then 7 when o_orderstatus = 'P' then 5 else 2 end as n",
@@ -95,41 +110,42 @@ def order_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The steps as change envelopes on a topic, with deletes, tombstones, replays and malformed values."""
-    s = order_steps(spark, sf_dir)
+    s = order_steps(spark, sf_dir, dealt=True)
     image = "named_struct('id', k, 'customer_id', customer_id, 'status', {}, 'total_amount', cast(total_amount as string))"
-    source = "named_struct('table', 'orders', 'lsn', {}, 'snapshot', {})"
-    put = "to_json(named_struct('before', {}, 'after', {}, 'source', {}, 'op', {}, 'ts_ms', ts_ms))"
-    empty = f"cast(null as struct<{schemas.ORDER_ROW.replace(' ', ':').replace(',:', ',')}>)"
-    step = put.format(
-        f"case when before is not null then {image.format('before')} end", image.format("status"),
-        source.format("lsn", "case when i = 1 and k % 5 = 0 then 'true' else 'false' end"),
-        "case when i > 1 then 'u' when k % 5 = 0 then 'r' else 'c' end",
+    told = s.selectExpr(
+        "*", "explode(concat(array(i * 2), if(i = n and k % 17 = 0, array(i * 2 + 1), array()), if(i = n and k % 19 = 0, array(180, 181), array()), if(i = n and k % 1009 = 0, array(190), array()))) as nth"
     )
-    gone = put.format(image.format("status"), empty, source.format("k * 100 + 90", "'false'"), "'d'")
-    messages = (
-        f"array_compact(array(named_struct('value', {step}, 'nth', i * 2), "
-        f"case when i = n and k % 17 = 0 then named_struct('value', {step}, 'nth', i * 2 + 1) end, "
-        f"case when i = n and k % 19 = 0 then named_struct('value', {gone}, 'nth', 180) end, "
-        "case when i = n and k % 19 = 0 then named_struct('value', cast(null as string), 'nth', 181) end, "
-        "case when i = n and k % 1009 = 0 then named_struct('value', 'not-json', 'nth', 190) end))"
-    )
-    return s.selectExpr("k", f"explode({messages}) as m").selectExpr(
-        "'fleet.public.orders' as topic", "cast(k as string) as key", "m.value as value", "k * 1000 + m.nth as offset"
+    envelope = (
+        f"to_json(named_struct('before', case when nth = 180 then {image.format('status')} when before is not null then {image.format('before')} end, "
+        f"'after', case when nth <> 180 then {image.format('status')} end, 'source', named_struct('table', 'orders', 'lsn', if(nth = 180, k * 100 + 90, lsn), "
+        "'snapshot', if(nth <> 180 and i = 1 and k % 5 = 0, 'true', 'false')), 'op', case when nth = 180 then 'd' when i > 1 then 'u' when k % 5 = 0 then 'r' else 'c' end, 'ts_ms', ts_ms))"
     )
+    value = f"case when nth = 181 then null when nth = 190 then 'not-json' else {envelope} end as made"
+    return once(told.selectExpr("'fleet.public.orders' as topic", "cast(k as string) as key", value, "k * 1000 + nth as offset"))
+
+
+def once(made: DataFrame) -> DataFrame:
+    """Messages whose values (``made``) are made once a row, as if read from a topic, and not again where a filter asks for them.
+
+    What stands within the generator is not compiled, so the values are made before it.
+    """
+    return made.select("topic", "key", F.explode(F.array("made")).alias("value"), "offset")
 
 
-def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(
+def order_items(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return (spread(rows, "l_orderkey", 5 * SPREAD_ROWS) if dealt else rows).selectExpr(
         "l_orderkey as order_id", "l_linenumber as line",
         "case when l_orderkey % 997 = 0 then 0 else cast(l_quantity as int) end as quantity",
         "cast(floor(l_extendedprice / l_quantity * 100 + 0.5d) / 100 as decimal(12, 2)) as unit_price",
     )
 
 
-def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def deliveries(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """One delivery for each order that came to be picked up."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     drivers = table(spark, sf_dir, "events").agg(F.countDistinct("user_id").alias("drivers"))
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 11 <> 0 and o_orderstatus in ('F', 'P')").crossJoin(F.broadcast(drivers))  # one row
+    o = (spread(rows, "o_orderkey") if dealt else rows).where("o_orderkey % 11 <> 0 and o_orderstatus in ('F', 'P')").crossJoin(F.broadcast(drivers))  # one row
     d = o.selectExpr(
         "o_orderkey", "o_orderstatus", "o_custkey % drivers as driver_id", "o_orderkey % 3 as r", f"{EPOCH_MS} + (o_orderkey * 90007) % 1200000 as assigned_ms"
     ).selectExpr("*", "assigned_ms + 60000 + (o_orderkey % 23) * 45000 as picked_up_ms")
@@ -194,9 +210,9 @@ def captured_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def on(rows: DataFrame, name: str) -> DataFrame:
         value = envelope.format(source.format(name))
-        return rows.selectExpr(f"'fleet.public.{name}' as topic", "key", f"{value} as value", "lsn as offset")
+        return once(rows.selectExpr(f"'fleet.public.{name}' as topic", "key", f"{value} as made", "lsn as offset"))
 
-    steps = deliveries(spark, sf_dir).selectExpr(
+    steps = deliveries(spark, sf_dir, dealt=True).selectExpr(
         "id", "order_id", "driver_id", "explode(array_compact(array("
         "named_struct('i', 1, 'was', cast(null as string), 'is', 'DRIVER_ASSIGNED', 'at', assigned_ms), named_struct('i', 2, 'was', 'DRIVER_ASSIGNED', 'is', 'AT_PICKUP', 'at', picked_up_ms - 30000), "
         "named_struct('i', 3, 'was', 'AT_PICKUP', 'is', 'PICKED_UP', 'at', picked_up_ms), if(delivered_ms is not null, named_struct('i', 4, 'was', 'PICKED_UP', 'is', if(order_id % 29 = 0, 'FAILED', 'DELIVERED'), 'at', delivered_ms), null)))) as s",
@@ -211,7 +227,7 @@ def captured_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     none = "cast(null as map<string, string>) as before"
     driver = drivers(spark, sf_dir).selectExpr("cast(id as string) as key", none, f"{image.format('status')} as after", "id as lsn", "'r' as op", f"{EPOCH_MS} as ts_ms")
-    item = order_items(spark, sf_dir).selectExpr("concat(order_id, '-', line) as key", none, "map('order_id', cast(order_id as string), 'quantity', cast(quantity as string)) as after", "order_id * 10 + line as lsn", "'c' as op", f"{EPOCH_MS} as ts_ms")
+    item = order_items(spark, sf_dir, dealt=True).selectExpr("concat(order_id, '-', line) as key", none, "map('order_id', cast(order_id as string), 'quantity', cast(quantity as string)) as after", "order_id * 10 + line as lsn", "'c' as op", f"{EPOCH_MS} as ts_ms")
     rows = order_messages(spark, sf_dir).select("topic", "key", "value", "offset")
     for name, df in (("deliveries", delivery), ("driver_shifts", shift), ("drivers", driver), ("order_items", item)):
         rows = rows.unionByName(on(df, name))
