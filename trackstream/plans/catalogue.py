@@ -329,10 +329,11 @@ def current_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def one_trail(spark: SparkSession, d: str) -> DataFrame:
-    """Every change of the last order that went all the way."""
-    rows = cdc.deduplicated(changes(spark, d))
-    chosen = rows.where("op = 'UPDATE' and after.status = 'DELIVERED'").agg(F.max("after.id").alias("id"))
-    mine = rows.join(F.broadcast(chosen), F.col("key") == F.col("id").cast("string"), "left_semi")  # one row
+    """Every change of the last order that went all the way: only its own are put in order, as a replay changes no maximum."""
+    told = cdc.changes(narrow(spark, d, ["status"], ["id", "status"]))
+    chosen = told.where("op = 'UPDATE' and after.status = 'DELIVERED'").agg(F.max("after.id").cast("string").alias("key"))
+    messages = t.order_messages(spark, d).join(F.broadcast(chosen), "key", "left_semi")  # one row
+    mine = cdc.deduplicated(cdc.changes(cdc.normalise(messages)))
     return mine.select("key", "op", F.col("before.status").alias("before_status"), F.col("after.status").alias("after_status"), "lsn")
 
 
