@@ -438,13 +438,13 @@ QUERIES: dict[str, Query] = {
     "dq_row_rules": row_rules,
     "dq_uniqueness": lambda s, d: orders.repeated(t.shifts(s, d).where("status = 'ACTIVE'"), ["driver_id"]),
     "dq_orphans": lambda s, d: orders.orphans(order_rows(s, d), "customer_id", t.table(s, d, "customer").where("c_custkey % 101 <> 0"), "c_custkey").select("id", "customer_id"),
-    "illegal_transitions": lambda s, d: cdc.transitions(changes(s, d)),
+    "illegal_transitions": lambda s, d: cdc.transitions(cdc.changes(narrow(s, d, ["status"], ["status"]))),
     "terminal_orders": lambda s, d: t.order_steps(s, d).where(F.col("status").isin(*cdc.TERMINAL_ORDERS)).groupBy("status").agg(F.count("*").alias("n")),
     "cdc_normalised": normalised_flat,
     "cdc_op_counts": lambda s, d: cdc.op_counts(normalised(s, d)),
     "cdc_current_orders": current_orders,
     "cdc_order_history": lambda s, d: cdc.history(cdc.changes(narrow(s, d, ["status"], ["status"]))),
-    "cdc_dedup": lambda s, d: cdc.deduplicated(changes(s, d)).select("key", "lsn", "op"),
+    "cdc_dedup": lambda s, d: cdc.deduplicated(cdc.changes(narrow(s, d, ["status"], ["status"]))).select("key", "lsn", "op"),
     "cdc_changed_columns": lambda s, d: cdc.changed_columns(changes(s, d), ["id", "customer_id", "status", "total_amount"]),
     "cdc_lsn_regressions": lambda s, d: cdc.regressions(changes(s, d)),
     "cdc_business_events": lambda s, d: cdc.business_events(changes(s, d)),
