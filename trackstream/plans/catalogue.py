@@ -304,18 +304,24 @@ def fact_dims(spark: SparkSession, d: str) -> DataFrame:
     return facts.select("order_id", "customer", "driver", "vehicle", "restaurant")
 
 
-def captured(spark: SparkSession, d: str) -> DataFrame:
-    return cdc.normalise(t.captured_messages(spark, d), schemas.ENVELOPE_ANY)
+def captured(spark: SparkSession, d: str, tables: tuple[str, ...]) -> DataFrame:
+    """Changes of the named tables, as read from their topics only."""
+    messages = t.captured_messages(spark, d).where(F.col("topic").isin(*[f"fleet.public.{name}" for name in tables]))
+    return cdc.changes(cdc.normalise(messages, schemas.ENVELOPE_ANY)).where(F.col("table").isin(*tables))
+
+
+def captured_events(spark: SparkSession, d: str) -> DataFrame:
+    return cdc.business_events(captured(spark, d, ("deliveries", "driver_shifts")))
 
 
 def captured_counts(spark: SparkSession, d: str) -> DataFrame:
     """Changes of all captured tables by the topic that they are routed to."""
-    rows = captured(spark, d).where("error is null").withColumn("topic", cdc.routed(F.concat(F.lit("fleet.public."), F.col("table"))))
+    rows = cdc.normalise(t.captured_messages(spark, d), schemas.ENVELOPE_BARE).where("error is null").withColumn("topic", cdc.routed(F.concat(F.lit("fleet.public."), F.col("table"))))
     return rows.groupBy("topic", "table", "op").agg(F.count("*").alias("n"))
 
 
 def terminal_deliveries(spark: SparkSession, d: str) -> DataFrame:
-    rows = cdc.changes(captured(spark, d)).where("`table` = 'deliveries'").select(F.col("after").getItem("status").alias("status"))
+    rows = captured(spark, d, ("deliveries",)).select(F.col("after").getItem("status").alias("status"))
     return rows.where(F.col("status").isin(*cdc.TERMINAL_DELIVERIES)).groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -393,8 +399,8 @@ QUERIES: dict[str, Query] = {
     "dq_zone_rules": zone_rules,
     "fact_dims_enrich": fact_dims,
     "cdc_captured_op_counts": captured_counts,
-    "cdc_captured_events": lambda s, d: cdc.business_events(cdc.changes(captured(s, d)).where("`table` in ('deliveries', 'driver_shifts')")),
-    "cdc_surviving_image": lambda s, d: changes(s, d).withColumn("image", cdc.surviving()).select("key", "lsn", "op", "image.status", "image.total_amount", "offset"),
+    "cdc_captured_events": captured_events,
+    "cdc_surviving_image": lambda s, d: cdc.changes(narrow(s, d, ["status", "total_amount"], ["status", "total_amount"])).withColumn("image", cdc.surviving()).select("key", "lsn", "op", "image.status", "image.total_amount", "offset"),
     "terminal_deliveries": terminal_deliveries,
     "ingest_quality_counts": lambda s, d: ingest.quality_counts(gated(s, d)),
     "ingest_quality_rate_1m": lambda s, d: ingest.quality_rate(gated(s, d)),
