@@ -48,3 +48,9 @@ def test_order_of_changes_moves_no_images(spark):
         assert "before#" not in window and "after#" not in window
         below = plan(catalogue.QUERIES[query](spark, SF)).split("Window [", 1)[1].splitlines()[1]
         assert not re.search(r"AS (before|after|raw)#", below), below
+
+
+def test_samples_are_spread_and_made_outside_generators(spark):
+    rows = t.location_messages(spark, "/root/testdata/sf0.1")
+    assert rows.rdd.getNumPartitions() == 3  # 100,000 events in one small file
+    assert made(plan(rows)) == 1 and not re.search(r"Generate explode\([^\n]*(StructsToJson|to_json)", plan(rows))

@@ -42,9 +42,10 @@ def spread(rows: DataFrame, key: str, per_task: int = SPREAD_ROWS) -> DataFrame:
     return rows.repartition(parts, key) if parts > 1 else rows
 
 
-def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def locations(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """GPS samples in the order of ``(arrival_ms, event_id)``, a few of them bad, late or not decodable."""
-    e = table(spark, sf_dir, "events").selectExpr(
+    rows = table(spark, sf_dir, "events")
+    e = (spread(rows, "event_id", 2 * SPREAD_ROWS) if dealt else rows).selectExpr(
         "event_id", "user_id as driver_id", "value", "event_type",
         "cast(get_json_object(props, '$.k') as int) as k",
         "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz)) div 1920000 as e",
@@ -66,12 +67,13 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def location_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The samples as topic rows: value (bytes of JSON, or of something else), topic, partition, offset, timestamp."""
     fields = [f.split()[0] for f in schemas.LOCATION.split(", ")]
-    rows = locations(spark, sf_dir)
+    rows = locations(spark, sf_dir, dealt=True)
     value = F.when(F.col("undecodable"), F.expr("concat(x'00ff', cast(cast(event_id as string) as binary))")).otherwise(
         F.to_json(F.struct(*fields)).cast("binary")
     )
-    return rows.select(
-        F.explode(F.array(value)).alias("value"),  # made once a row, as if read from a topic
+    made = rows.select(value.alias("made"), "driver_id", "event_id", "arrival_ms")  # before the generator, which is not compiled
+    return made.select(
+        F.explode(F.array("made")).alias("value"),  # made once a row, as if read from a topic
         F.lit("driver.location").alias("topic"),
         F.expr("cast(driver_id % 24 as int)").alias("partition"),
         F.col("event_id").alias("offset"),
