@@ -363,6 +363,33 @@ def test_pii_of_held_out_spellings(spark):
     assert all(p >= 0.9 and r >= 0.9 for p, r in figures.values()), figures
 
 
+def test_pii_is_learned_from_every_document(spark):
+    """Against trees and thresholds from all examples at hand: more documents than a sample had, one with many spans."""
+    rng = random.Random(8)
+
+    def n(k):
+        return "".join(str(rng.randrange(10)) for _ in range(k))
+
+    texts = [f"id {i} is {n(7)} in" for i in range(4100)]
+    texts += [f"und {n(2)} +1 ({n(3)}) 555-{n(4)} so u{n(2)}@mail.example.com" for _ in range(100)]
+    texts += [" ".join(f"+1 ({n(3)}) 555-{n(4)}," for _ in range(510)), "no digits"]
+    model = pii.fit(docs(spark, texts + texts[:50]), "text")
+    held = {r.text: r.held for r in docs(spark, texts).selectExpr("text", "pmod(xxhash64(text), 4) = 0 as held").collect()}
+    each = [(x, y, held[t]) for t in sorted(set(texts)) for x, y in pii._examples(t)]
+    x, y, held = (np.array(v, float) for v in zip(*each, strict=True))
+    plain = pii.Boosted().fit(x[held == 0], y[held == 0])
+    p = plain.probability(x)
+    assert model.trees.model == plain.model and (model.trees.probability(x) == p).all()
+    for kind, least in enumerate(model.thresholds):
+        of = (held == 1) & (x[:, 0] == kind)
+        right = [(s, y[of & (p >= s)].mean()) for s in np.unique(p[of]) if s >= 0.5]
+        if least > 1:
+            assert all(share < pii.PRECISION for _, share in right) or y[of].sum() < 5
+        else:
+            assert y[of & (p >= least)].mean() >= pii.PRECISION
+            assert all(share < pii.PRECISION for s, share in right if s < least - 1 / pii.CELLS)
+
+
 def test_pii_of_odd_texts(spark):
     texts = ["1.2.3." + "0" * 5000, "1.2.3." + "0" * 5000 + "7", None, "", "1 " * 50_000, "x 4155550100 " * 2]
     model = pii.fit(docs(spark, texts * 30), "text")

@@ -1,34 +1,37 @@
 """Personal data: high-recall candidates, gradient-boosted trees, calibrated thresholds.
 
 Exact rules find the base spans (email, ip, card, phone), which always stay. Looser generators propose overlapping
-candidates of the same kinds. Boosted trees, fitted on candidates of a bounded sample of documents (``FIT_DOCS``), score
-each by its format and context: candidates that are base spans, and respellings of them, are the positive ones; others,
-decoys made of their digits, and runs that cut or join numbers side by side, the negative ones. For each kind, the
-threshold is the lowest that keeps the wanted precision on documents that were held back. Candidates above it that touch no base span are added.
+candidates of the same kinds. Boosted trees, fitted on the candidates of all documents but those held back, score each by
+its format and context: candidates that are base spans, and respellings of them, are the positive ones; others, decoys
+made of their digits, and runs that cut or join numbers side by side, the negative ones. For each kind, the threshold is
+the lowest that keeps the wanted precision on all documents that were held back, a quarter. Candidates above it that touch
+no base span are added.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackstream.llm.common import sampled
+from trackstream.llm.common import discard, materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents with digits or ``@`` that the trees are fitted on, at most (about).
-FIT_DOCS = 4_000
-#: Candidates of the sample that the trees are fitted on, at most; a sample is taken by hash beyond that.
-FIT_CANDIDATES = 60_000
 PRECISION = 0.99
-#: Base spans of one text that are respelt for fitting, at most; evenly spaced ones beyond that.
-FIT_SPANS = 500
+#: Bins of a feature.
+BINS = 32
+#: Distinct feature vectors that a task holds at a time while the trees are fitted.
+BLOCK = 50_000
+#: Gradients are summed in units of one in so many.
+UNIT = 1 << 24
+#: Cells of scores, from 0 to 1, in which the held-back examples are counted.
+CELLS = 10_000
 #: Candidates of a text scored at a time.
 SCORED = 20_000
 TREES, DEPTH, RATE = 40, 3, 0.2
@@ -247,64 +250,99 @@ def beside(text: str, kind: int, start: int, end: int) -> list[tuple[str, list[t
 
 
 class Boosted:
-    """Gradient-boosted trees for two classes: quantile bins, least-squares splits, Newton leaves."""
+    """Gradient-boosted trees for two classes: quantile bins, least-squares splits, Newton leaves.
+
+    Trees grow level by level, each level from sums over all examples: of their number, gradients and curvatures by open
+    node, feature and bin. The sums are whole numbers, so they can be taken anywhere and added in any order.
+    """
 
     def __init__(self, trees: int = TREES, depth: int = DEPTH, rate: float = RATE):
         self.trees, self.depth, self.rate = trees, depth, rate
         self.start, self.model = 0.0, []
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) for c in x.T]
-        binned = self._binned(x)
-        share = np.clip(y.mean(), 1e-4, 1 - 1e-4)
+        """From examples at hand."""
+        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1], method="inverted_cdf")) for c in x.T]
+        binned, yes = self.binned(x), np.asarray(y).astype(np.int64)
+        return self.boost(int(yes.sum()), len(yes), lambda opened: self.sums(binned, yes, 1 - yes, opened))
+
+    def boost(self, yes: int, n: int, told: Callable[[list[int]], np.ndarray]) -> Boosted:
+        """From ``told``, which gives the ``sums`` of all examples for the open nodes of the last tree."""
+        share = np.clip(yes / n, 1e-4, 1 - 1e-4)
         self.start = float(np.log(share / (1 - share)))
-        score = np.full(len(y), self.start)
         for _ in range(self.trees):
-            p = 1 / (1 + np.exp(-score))
-            tree = self._grow(binned, y - p, p * (1 - p), np.arange(len(y)), self.depth)
+            tree, opened = {0: 0.0}, [0]
             self.model.append(tree)
-            score += self.rate * self._apply(tree, binned)
+            for _ in range(self.depth):
+                inner = []
+                for node, sums in zip(opened, told(opened), strict=True):
+                    inner += self._split(tree, node, sums)
+                opened = inner
+                if not opened:
+                    break
         return self
 
-    def _binned(self, x: np.ndarray) -> np.ndarray:
+    def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, col, side="left") for c, col in zip(self.cuts, x.T, strict=True)], 1)
 
-    def _grow(self, x, g, h, rows, depth):
-        leaf = float(g[rows].sum() / (h[rows].sum() + 1.0))
-        if depth == 0 or len(rows) < 20:
-            return leaf
-        best = (1e-6, None, None)
-        whole = g[rows].sum() ** 2 / (h[rows].sum() + 1.0)
-        for f in range(x.shape[1]):
-            n = len(self.cuts[f]) + 1
-            gs, hs = (np.cumsum(np.bincount(x[rows, f], v[rows], n))[:-1] for v in (g, h))
-            if not len(gs):
+    def sums(self, binned: np.ndarray, yes: np.ndarray, no: np.ndarray, opened: list[int]) -> np.ndarray:
+        """(open node, bin of all features one after the other, 3) of distinct examples that stand for ``yes`` and ``no``."""
+        first = np.r_[0, np.cumsum([len(c) + 1 for c in self.cuts])]
+        p, n, at = self._probability(binned, self.model[:-1]), yes + no, self._nodes(self.model[-1], binned)
+        each = (n, yes * UNIT - n * np.rint(p * UNIT), n * np.rint(p * (1 - p) * UNIT))
+        out = np.zeros((len(opened), first[-1], 3), np.int64)
+        for i, node in enumerate(opened):
+            here = at == node
+            cells = (binned[here] + first[:-1]).ravel()
+            for k, v in enumerate(each):
+                out[i, :, k] = np.bincount(cells, np.repeat(v[here].astype(float), binned.shape[1]), first[-1])
+        return out
+
+    def _split(self, tree: dict, node: int, sums: np.ndarray) -> list[int]:
+        """Splits a node where that gains most, or makes it a leaf; its children that may be split further."""
+        sums, first = sums / [1, UNIT, UNIT], np.r_[0, np.cumsum([len(c) + 1 for c in self.cuts])]
+        n, g, h = sums[: first[1]].sum(0)
+        best, low = (1e-6, None, None), None
+        for f, (a, b) in enumerate(zip(first, first[1:], strict=False) if n >= 20 else ()):
+            left = sums[a:b].cumsum(0)[:-1]
+            if not len(left):
                 continue
-            gain = gs**2 / (hs + 1.0) + (g[rows].sum() - gs) ** 2 / (h[rows].sum() - hs + 1.0) - whole
+            gain = left[:, 1] ** 2 / (left[:, 2] + 1.0) + (g - left[:, 1]) ** 2 / (h - left[:, 2] + 1.0) - g**2 / (h + 1.0)
+            gain[(left[:, 0] == 0) | (left[:, 0] == n)] = 0.0
             k = int(gain.argmax())
             if gain[k] > best[0]:
-                best = (gain[k], f, k)
-        _, f, k = best
-        if f is None:
-            return leaf
-        left = x[rows, f] <= k
-        if left.all() or not left.any():
-            return leaf
-        return (f, k, self._grow(x, g, h, rows[left], depth - 1), self._grow(x, g, h, rows[~left], depth - 1))
-
-    def _apply(self, tree, x: np.ndarray) -> np.ndarray:
-        if isinstance(tree, float):
-            return np.full(len(x), tree)
-        f, k, low, high = tree
-        left = x[:, f] <= k
-        out = np.empty(len(x))
-        out[left], out[~left] = self._apply(low, x[left]), self._apply(high, x[~left])
-        return out
+                best, low = (gain[k], f, k), left[k]
+        if low is None:
+            tree[node] = float(g / (h + 1.0))
+            return []
+        tree[node] = best[1:]
+        children = [2 * node + 1, 2 * node + 2]
+        for child, (_, cg, ch) in zip(children, (low, np.array([n, g, h]) - low), strict=True):
+            tree[child] = float(cg / (ch + 1.0))
+        return children
+
+    def _nodes(self, tree: dict, binned: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(binned), np.int64)
+        for node, what in sorted(tree.items()):  # parents first
+            if isinstance(what, tuple):
+                here = np.flatnonzero(at == node)
+                at[here] = 2 * node + 1 + (binned[here, what[0]] > what[1])
+        return at
+
+    def _probability(self, binned: np.ndarray, model: list[dict]) -> np.ndarray:
+        score = np.full(len(binned), self.start)
+        for tree in model:
+            leaves = np.zeros(2 ** (self.depth + 1))
+            for node, what in tree.items():
+                leaves[node] = what if isinstance(what, float) else 0.0
+            score += self.rate * leaves[self._nodes(tree, binned)]
+        return 1 / (1 + np.exp(-score))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        binned = self._binned(x)
-        score = self.start + self.rate * sum((self._apply(t, binned) for t in self.model), np.zeros(len(x)))
-        return 1 / (1 + np.exp(-score))
+        return self.of_binned(self.binned(x))
+
+    def of_binned(self, binned: np.ndarray) -> np.ndarray:
+        return self._probability(binned, self.model)
 
 
 class Covered:
@@ -356,69 +394,178 @@ class Model:
         return sorted(out)
 
 
-def threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
+def threshold(counts: list[tuple[int, int, int]], precision: float) -> float:
     """The lowest score, one half at least, from which on the wanted precision holds; above 1 where it never does.
 
-    It lies half-way to the next lower score seen, if there is one.
+    ``counts``: (cell, right, wrong) of scores in cells of 1 / ``CELLS``, each at most once. It lies half-way to the next
+    lower cell with scores, if there is one.
     """
-    order = np.argsort(-p, kind="stable")
-    p, right = p[order], np.cumsum(y[order]) / np.arange(1, len(p) + 1)
-    last = np.r_[np.diff(p) != 0, True]  # only where a score ends
-    good = np.flatnonzero((right >= precision) & last)
-    if not len(good) or y.sum() < 5:
+    told = np.array(sorted(counts, reverse=True), np.int64).reshape(-1, 3)
+    right, n = told[:, 1].cumsum(), told[:, 1:].sum(1).cumsum()
+    good = np.flatnonzero(right >= precision * n)
+    if not len(good) or right[-1] < 5:
         return 2.0
     k = good[-1]
-    return max(0.5, float(p[k] + p[k + 1]) / 2 if k + 1 < len(p) else 0.5)
+    return max(0.5, float(told[k, 0] + told[k + 1, 0] + 1) / 2 / CELLS if k + 1 < len(told) else 0.5)
 
 
-def _examples(text: str) -> list[tuple[list[float], bool]]:
+def _examples(text: str) -> Iterator[tuple[list[float], bool]]:
     base = base_spans(text)
-    out, real = [], set(base)
+    real = set(base)
     of_kind = [Covered((a, b) for k, a, b in base if k == kind) for kind in range(len(KINDS))]
     for k, a, b in candidates(text):
         if (k, a, b) in real:
-            out.append((features(text, k, a, b), True))
+            yield features(text, k, a, b), True
         elif of_kind[k].free(a, b):
-            out.append((features(text, k, a, b), False))
-    for k, a, b in base[:: 1 + len(base) // FIT_SPANS]:
+            yield features(text, k, a, b), False
+    for k, a, b in base:
         near = (text[max(0, a - 40) : b + 40], k, min(a, 40), min(a, 40) + b - a)
         for changed, start, end in respelt(*near):
-            out.append((features(changed, k, start, end), True))
-            out += [(features(changed, *c), False) for c in candidates(changed) if c[1] < end and start < c[2] and c != (k, start, end)]
-        out += [(features(changed, kind, start, end), False) for changed, kind, start, end in decoys(*near)]
+            yield features(changed, k, start, end), True
+            yield from ((features(changed, *c), False) for c in candidates(changed) if c[1] < end and start < c[2] and c != (k, start, end))
+        yield from ((features(changed, kind, start, end), False) for changed, kind, start, end in decoys(*near))
         for changed, spans in beside(*near):
             low, high = near[2], spans[-1][2]
-            out += [(features(changed, *c), c in spans) for c in candidates(changed) if c[1] < high and low < c[2]]
-    return out
+            yield from ((features(changed, *c), c in spans) for c in candidates(changed) if c[1] < high and low < c[2])
 
 
-def fit(docs: DataFrame, text_col: str, fit_docs: int = FIT_DOCS, precision: float = PRECISION) -> Model:
-    """Trees and thresholds from at most about ``fit_docs`` documents that hold a digit or ``@``.
+def example_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(x, held, yes, no): each distinct feature vector, as packed floats, and how many examples of all texts have it.
 
-    The sample is drawn by a hash of the text, so repeated texts come together. Too few examples: nothing is added.
+    Repeated texts are learned from once. A quarter of the texts, by hash, is held back.
     """
-    some = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    available = some.count()
-    some = some.where(sampled(F.col("text"), fit_docs / available)) if available > fit_docs else some
-    some = some.distinct()
+    texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]")).distinct()
+    schema = "x binary, held boolean, yes long, no long"
+
+    def frame(sums: dict[tuple[bytes, bool], list[int]]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *n) for key, n in sums.items()], columns=["x", "held", "yes", "no"])
 
-    @F.pandas_udf("array<struct<x:binary,y:boolean>>")  # features as packed floats: the driver gets all examples at once
-    def examples(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[bytes, bool], list[int]] = {}
         for batch in batches:
-            yield pd.Series([[{"x": np.array(x, np.float32).tobytes(), "y": y} for x, y in _examples(t)] for t in batch], dtype=object)
+            for text, held in zip(batch["text"], batch["held"], strict=True):
+                for x, y in _examples(text):
+                    sums.setdefault((np.array(x, np.float32).tobytes(), bool(held)), [0, 0])[not y] += 1
+                    if len(sums) >= BLOCK:
+                        yield frame(sums)
+                        sums = {}
+        yield frame(sums)
 
-    each = some.select(F.xxhash64("text").alias("h"), F.explode(examples("text")).alias("e")).select("h", "e.x", "e.y")
-    rows = each.orderBy(F.xxhash64("h", "x")).limit(FIT_CANDIDATES).collect()
-    if len(rows) < 100:
-        return Model()
-    x, y = np.stack([np.frombuffer(r.x, np.float32) for r in rows]).astype(float), np.array([r.y for r in rows], float)
-    held = np.array([r.h % 4 == 0 for r in rows])
-    if not 0 < y[~held].sum() < (~held).sum() or not held.any():
+    held = F.pmod(F.xxhash64("text"), F.lit(4)) == 0
+    return texts.select("text", held.alias("held")).mapInPandas(count, schema).groupBy("x", "held").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+
+
+def _matrix(column: Iterable[bytes], kind: type) -> np.ndarray:
+    rows = list(column)
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
+
+
+def quantiles(vectors: DataFrame) -> list[np.ndarray]:
+    """By feature, the values at which a whole number of ``BINS``-ths of the examples to fit on is reached."""
+
+    def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n = (batch["yes"] + batch["no"]).to_numpy()
+            for f, column in enumerate(_matrix(batch["x"], np.float32).T):
+                own, at = np.unique(column, return_inverse=True)
+                yield pd.DataFrame({"f": f, "v": own.astype(float), "n": np.bincount(at, n).astype(np.int64)})
+
+    each = vectors.where("not held").mapInPandas(values, "f int, v double, n long").groupBy("f", "v").agg(F.sum("n").alias("n"))
+    up = Window.partitionBy("f").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    parts = each.withColumn("upto", F.sum("n").over(up)).withColumn("all", F.sum("n").over(Window.partitionBy("f")))
+    reached = parts.selectExpr("f", "v", f"upto * {BINS} div all as last", f"(upto - n) * {BINS} div all as before")
+    cuts: dict[int, list[float]] = {}
+    for r in reached.where(f"last > before and before < {BINS - 1}").select("f", "v").collect():  # at most BINS a feature
+        cuts.setdefault(r.f, []).append(r.v)
+    return [np.array(sorted(cuts[f])) for f in sorted(cuts)]
+
+
+def bins(vectors: DataFrame, trees: Boosted) -> DataFrame:
+    """``vectors`` summed up by what the trees can tell apart: ``x`` has the kind, then the bins, a byte each."""
+
+    def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = _matrix(batch["x"], np.float32)
+            batch["x"] = [r.tobytes() for r in np.c_[x[:, 0], trees.binned(x)].astype(np.uint8)]
+            yield batch
+
+    return vectors.mapInPandas(binned, vectors.schema).groupBy("x", "held").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """(held, x, yes, no): up to about ``BLOCK`` rows of ``bins`` packed in one."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[bool, list[pd.DataFrame]] = {False: [], True: []}
+
+        def block(held: bool) -> pd.DataFrame:
+            rows, kept[held] = pd.concat(kept[held]), []
+            return pd.DataFrame({"held": [held], "x": [b"".join(rows["x"])], "yes": [rows["yes"].to_numpy(np.int64).tobytes()], "no": [rows["no"].to_numpy(np.int64).tobytes()]})
+
+        for batch in batches:
+            for held, some in batch.groupby("held"):
+                kept[bool(held)].append(some)
+                if sum(map(len, kept[bool(held)])) >= BLOCK:
+                    yield block(bool(held))
+        for held in kept:
+            if kept[held]:
+                yield block(held)
+
+    return rows.mapInPandas(pack, "held boolean, x binary, yes binary, no binary")
+
+
+def _unpacked(batches: Iterator[pd.DataFrame], features: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kinds, bins, yes, no) of each block."""
+    for batch in batches:
+        for x, yes, no in zip(batch["x"], batch["yes"], batch["no"], strict=True):
+            both = np.frombuffer(x, np.uint8).reshape(-1, 1 + features).astype(np.int64)
+            yield both[:, 0], both[:, 1:], np.frombuffer(yes, np.int64), np.frombuffer(no, np.int64)
+
+
+def fit(docs: DataFrame, text_col: str, precision: float = PRECISION) -> Model:
+    """Trees and thresholds from all documents that hold a digit or ``@``. Too few examples: nothing is added.
+
+    The driver sees sums by bin only. Examples are summed up by what the trees can tell apart, and stay with the executors.
+    """
+    vectors = materialize(example_counts(docs, text_col), "pii-examples")
+    try:
+        return _fit(vectors, precision)
+    finally:
+        discard(vectors)
+
+
+def _fit(vectors: DataFrame, precision: float) -> Model:
+    totals = {r.held: (r.yes, r.yes + r.no) for r in vectors.groupBy("held").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()}
+    (yes, n), (_, n_held) = totals.get(False, (0, 0)), totals.get(True, (0, 0))
+    if n + n_held < 100 or not 0 < yes < n or not n_held:
         return Model()
-    trees = Boosted().fit(x[~held], y[~held])
-    p = trees.probability(x[held])
-    kinds, y = x[held, 0], y[held]
-    return Model(trees, [threshold(p[kinds == k], y[kinds == k], precision) for k in range(len(KINDS))])
+    trees = Boosted()
+    trees.cuts = quantiles(vectors)
+    told_apart = materialize(bins(vectors, trees), "pii-bins")  # so that tasks follow its size
+    packed = blocks(told_apart).persist()
+    width = len(trees.cuts)
+
+    def told(opened: list[int]) -> np.ndarray:
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = [trees.sums(*rest, opened) for _, *rest in _unpacked(batches, width)]
+            yield pd.DataFrame({"sums": [sum(sums).tobytes()] if sums else []})
+
+        parts = [np.frombuffer(r.sums, np.int64) for r in packed.where("not held").select("x", "yes", "no").mapInPandas(add, "sums binary").collect()]
+        return sum(parts).reshape(len(opened), -1, 3)
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for kinds, bins, yes, no in _unpacked(batches, width):
+            at = np.searchsorted(np.arange(CELLS + 1) / CELLS, trees.of_binned(bins), side="right") - 1
+            yield pd.DataFrame({"kind": kinds, "cell": at, "yes": yes, "no": no}).groupby(["kind", "cell"], as_index=False).sum()
+
+    try:
+        trees.boost(yes, n, told)
+        scored = packed.where("held").select("x", "yes", "no").mapInPandas(cells, "kind long, cell long, yes long, no long")
+        rows = scored.groupBy("kind", "cell").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()  # at most KINDS x CELLS
+    finally:
+        packed.unpersist()
+        discard(told_apart)
+    return Model(trees, [threshold([(r.cell, r.yes, r.no) for r in rows if r.kind == k], precision) for k in range(len(KINDS))])
 
 
 def find(docs: DataFrame, text_col: str, model: Model, out_col: str = "pii") -> DataFrame:
