@@ -507,6 +507,22 @@ def test_near_duplicates_by_brute_force(spark):
     assert simhash.near_duplicates(df.limit(0), "doc_id", "text").count() == 0
 
 
+def join_plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+@pytest.mark.parametrize("dense", [64, 2])
+def test_signatures_are_not_broadcast(spark, dense):
+    """Spark estimates exploded rows at the size of those before: at up to 10 MB, it broadcast 66 times as many."""
+    prints = spark.createDataFrame([(i * 0x9E3779B97F4A7C15 % 2**63 if i % 3 else i, i) for i in range(400)], "fp long, node long")
+    plan = join_plan(simhash.links(prints, 2, dense))
+    assert "SortMergeJoin" in plan and ("Generate" in plan)
+    broadcast = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "ShuffledHashJoin" in line]
+    assert all("LeftAnti" in line for line in broadcast)  # crowded values: few, and not made by an explode
+    found = simhash.near_duplicates(spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string"), "doc_id", "text")
+    assert "_salt" in (plan := join_plan(found)) and "SortMergeJoin [fp" in plan
+
+
 def plain_near(texts, similarity=0.8):
     """Groups of (id, text) rows by five-word Jaccard similarity: the (id, text) that stays for each."""
     sets = {}

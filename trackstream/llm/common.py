@@ -17,6 +17,9 @@ BATCH_ROWS = 500
 BATCH_BYTES = "32m"
 #: A key is hot with more than one in so many of all rows: there are at most so many such keys, whatever the size.
 HOT_KEYS = 1000
+#: Bytes up to which an estimate alone may have a table broadcast: estimates are sizes of compressed files and leave out what
+#: an explode adds, so the table in memory can be some hundred times as large.
+ESTIMATED = 256 << 10
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: str = BATCH_BYTES) -> None:
@@ -100,6 +103,23 @@ def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
+@contextmanager
+def measured_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Within, joins broadcast tables that adaptive execution has measured to be within the session's threshold, but tables
+    that are only estimated to be so up to ``ESTIMATED`` alone."""
+    estimate, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {k: spark.conf.get(k, None) for k in (estimate, measured)}
+    most = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if before[measured] is None:
+        spark.conf.set(measured, str(most))
+    spark.conf.set(estimate, str(min(most, ESTIMATED)))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables written by ``materialize`` that nothing will read any more."""
     for df in tables:
@@ -123,18 +143,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def join_values(rows: DataFrame, values: DataFrame, key: str, n_col: str) -> DataFrame:
+def join_values(rows: DataFrame, values: DataFrame, key: str, n_col: str, merged: bool = False) -> DataFrame:
     """``rows`` joined with ``values``, one row per key that tells in ``n_col`` how many rows have it.
 
     The rows of a key with more than one in ``HOT_KEYS`` of all are dealt over several tasks, in proportion, and its value
     is repeated for each. There are fewer than ``HOT_KEYS`` such keys, whatever the size, so their list is broadcast; the
-    values are not. Rows without a value, and null keys, are left out.
+    values are not, unless Spark estimates them to be small; with ``merged``, not even then. Rows without a value, and null
+    keys, are left out.
     """
     total = values.agg(F.sum(n_col)).first()[0] or 0
     told = values.withColumn("_salts", F.ceil(F.col(n_col) / max(64, total // HOT_KEYS))).drop(n_col)
     hot = F.broadcast(told.where("_salts > 1").select(key, F.col("_salts").alias("_of")))
     salt = F.when(F.col("_of").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_of"))).cast("long")
     dealt = told.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts")
+    dealt = dealt.hint("merge") if merged else dealt
     return rows.join(hot, key, "left").withColumn("_salt", salt).drop("_of").join(dealt, [key, "_salt"]).drop("_salt")
 
 

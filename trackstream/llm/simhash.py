@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackstream.llm.common import discard, join_values, materialize, temporary, text_input
+from trackstream.llm.common import discard, join_values, materialize, measured_broadcasts, temporary, text_input
 from trackstream.llm.components import components
 
 BITS = 64
@@ -108,6 +108,9 @@ def links(prints: DataFrame, max_bits: int = 2, dense: int = DENSE) -> DataFrame
 
     ``prints`` has distinct ``fp`` and a ``node`` id each. Sparse fingerprints give every such pair; dense ones give
     pairs with the same connected components.
+
+    Spark estimates rows made by an explode at the size of those before it, here less by a factor of up to 65, so their joins
+    are told to merge: by the estimate, signatures of some 100,000 fingerprints would be broadcast.
     """
     if max_bits not in (0, 1, 2):
         raise ValueError("max_bits must be 0, 1 or 2")
@@ -118,7 +121,7 @@ def links(prints: DataFrame, max_bits: int = 2, dense: int = DENSE) -> DataFrame
     crowds = crowded.count()
     sparse = rows.join(crowded, ["segment", "width", "value"], "left_anti") if crowds else rows
     signs = _signatures(sparse)
-    left, right = signs.where("bit != 1").alias("l"), signs.where("bit != 0").alias("r")
+    left, right = signs.where("bit != 1").alias("l"), signs.where("bit != 0").hint("merge").alias("r")
     same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("segment", "wildcard", "rest")]
     whole = (F.col("l.bit") == 2) & (F.col("l.fp") < F.col("r.fp"))
     joined = left.join(right, same[0] & same[1] & same[2] & (whole | (F.col("l.bit") == 0)) & (_differing(F.col("l.fp"), F.col("r.fp")) <= max_bits))
@@ -128,7 +131,7 @@ def links(prints: DataFrame, max_bits: int = 2, dense: int = DENSE) -> DataFrame
     beside = crowded.select(
         "segment", F.explode(F.expr("concat(array(value), transform(sequence(0, width - 1), i -> value ^ shiftleft(1L, i)))")).alias("value")
     ).distinct()
-    near = rows.join(beside, ["segment", "value"], "left_semi").select("fp", "node").distinct()
+    near = rows.join(beside.hint("merge"), ["segment", "value"], "left_semi").select("fp", "node").distinct()
     if max_bits == 2:  # values within one bit
         centres = near.select("node", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("centre"))
         centres = centres.withColumn("wildcard", F.lit(0))
@@ -148,11 +151,12 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, max_bits: int =
     """
     prints = materialize(text_input(docs, id_col, text_col).select("doc_id", fingerprint(F.col("text"), size).alias("fp")), "simhash")
     known = prints.where(F.col("doc_id").isNotNull())
-    nodes = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "simhash-nodes")
-    edges = materialize(links(nodes.select("fp", "node"), max_bits, dense), "simhash-links")
-    of_print = materialize(nodes.join(components(edges), "node", "left").select("fp", "copies", F.coalesce("component", "node").alias("component_id")), "simhash-groups")
+    with measured_broadcasts(docs.sparkSession):
+        nodes = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "simhash-nodes")
+        edges = materialize(links(nodes.select("fp", "node"), max_bits, dense), "simhash-links")
+        of_print = materialize(nodes.join(components(edges), "node", "left").select("fp", "copies", F.coalesce("component", "node").alias("component_id")), "simhash-groups")
     discard(nodes, edges)
-    out = join_values(known, of_print, "fp", "copies").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+    out = join_values(known, of_print, "fp", "copies", merged=True).select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
     return out.unionByName(prints.where(F.col("doc_id").isNull()).select("doc_id", F.col("fp").alias("fingerprint"), F.lit(None).cast(out.schema["component_id"].dataType).alias("component_id")))
 
 
