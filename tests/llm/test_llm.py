@@ -807,6 +807,23 @@ def test_katz_messages_grow_with_the_corpus(spark, monkeypatch):
     assert told[800] <= 5 * told[200]  # four times the corpus; chunks times partitions of a fixed size were sixteen times
 
 
+def test_katz_tables_have_small_row_groups(spark, monkeypatch):
+    """A reader holds a whole row group of long arrays: a file was one, whatever its task had written."""
+    import pyarrow.parquet as pq
+
+    for name, value in (("CHUNK_TOKENS", 2000), ("PART_TOKENS", 500), ("GROUP_BYTES", 1 << 14)):
+        monkeypatch.setattr(katz, name, value, raising=False)
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(100))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    model, table, _, _ = katz._fit(df, "doc_id", "text", F.lit(True), 2)
+    for written in (table, *model.tables.values()):
+        files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in written.inputFiles()]
+        groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+        assert len(groups) > len(files)
+        assert all(g.num_rows == 1 or g.total_byte_size < 4 << 14 for g in groups)
+
+
 def test_katz_without_training_or_rows(spark):
     rows = katz.score(docs(spark, ["a b", None]), "doc_id", "text", F.lit(False)).collect()
     assert {(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows} == {(3, 0, 0, 0, 0), (1, 0, 0, 0, 0)}

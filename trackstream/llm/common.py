@@ -49,8 +49,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors.
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` once to the shared folder, with the writer's ``options``, and read it back: cuts lineage and survives lost
+    executors.
 
     What it shuffled is deleted once it is written. The table stays until ``discard``.
     """
@@ -58,7 +59,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     for scope in _SCOPES:
         scope.paths.append(path)
     with shuffles_deleted(spark):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

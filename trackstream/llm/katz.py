@@ -57,6 +57,10 @@ UNKNOWN = -1
 #: Passes over the chunks to count n-grams: each moves the n-grams of its share of the partitions, so that this much less
 #: lies on disk at a time; every pass builds the chunks' n-grams anew.
 PASSES = 3
+#: Bytes of a row group. Rows hold up to millions of numbers, and a reader holds up to 4,096 rows of a row group at a time, a
+#: number as up to 12 bytes: with row groups of Spark's size, that is whatever a task has written. Writers look at the size of
+#: pages and row groups after a hundred rows only, unless told otherwise.
+GROUP_BYTES = 4 << 20
 
 CHUNK = "chunk string, kind string, docs array<{id}>, n bigint, stop int, words array<bigint>, seen array<int>, codes_lo array<smallint>, codes_hi array<smallint>, sizes array<int>, learn array<boolean>"
 ASKED = "chunk string, bucket int, hashes array<bigint>, contexts array<array<int>>, runs array<int>, wide array<int>, words_lo array<smallint>, words_hi array<smallint>, seen array<int>, lower_lo array<smallint>, lower_hi array<smallint>, values array<double>"
@@ -307,6 +311,11 @@ def _bucket_of(hashes: np.ndarray, parts: int) -> np.ndarray:
 _TYPES = {"string": pa.string(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
+def _small_groups() -> dict[str, str]:
+    """Options of Parquet's writer for tables of long arrays."""
+    return {"parquet.block.size": str(GROUP_BYTES), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+
+
 def _type(ddl: str) -> pa.DataType:
     if ddl.startswith("array<"):
         return pa.list_(pa.field("element", _type(ddl[6:-1])))
@@ -565,7 +574,7 @@ def _fit(docs: DataFrame, id_col: str, text_col: str, train: Column, order: int)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     guess = int(rows.agg(F.sum(F.length("text") / 6 + 1)).first()[0] or 0)
     made, path = chunks(rows, train, sizes(guess)[0]), new_path(docs.sparkSession, "katz-chunks")
-    made.write.partitionBy("kind").parquet(path)
+    made.write.options(**_small_groups()).partitionBy("kind").parquet(path)
     kept = {kind: docs.sparkSession.read.schema(made.schema).parquet(f"{path}/kind={kind}").drop("kind") if guess else made.where(F.lit(False)).drop("kind") for kind in ("words", "codes")}
     table = kept["codes"]
     tokens = table.agg(F.sum("n")).first()[0] or 0
@@ -580,7 +589,7 @@ def _fit(docs: DataFrame, id_col: str, text_col: str, train: Column, order: int)
             plan.parts[n] = parts
             made = [answer_grams(ask_grams(table, answers, plan, share, PASSES)) for share in range(PASSES)]
         for share in made:
-            one = materialize(share.withColumn("n", F.lit(n)), f"katz-{n}")
+            one = materialize(share.withColumn("n", F.lit(n)), f"katz-{n}", **_small_groups())
             tables[n] = tables[n].unionByName(one) if n in tables else one
         answers = tables[n] if answers is None else answers.unionByName(tables[n])
         total, distinct, *counts = _sums(tables[n])
