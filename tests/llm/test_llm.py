@@ -523,6 +523,17 @@ def test_signatures_are_not_broadcast(spark, dense):
     assert "_salt" in (plan := join_plan(found)) and "SortMergeJoin [fp" in plan
 
 
+def test_near_copies_broadcast_what_is_measured(spark, monkeypatch):
+    """No table of near copies is broadcast for its estimate alone, and the session's settings are as before."""
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before, seen, plain = [spark.conf.get(k, None) for k in keys], [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: (seen.append([spark.conf.get(k, None) for k in keys]), plain(df, name))[1])
+    kept = simhash.keep_one(spark.read.parquet(f"{SF}/documents.parquet").limit(60), "doc_id", "text")
+    assert seen and all([int(a), int(b)] == [256 << 10, 10 << 20] for a, b in seen)
+    assert [spark.conf.get(k, None) for k in keys] == before
+    assert "BroadcastHashJoin" not in join_plan(kept)
+
+
 def plain_near(texts, similarity=0.8):
     """Groups of (id, text) rows by five-word Jaccard similarity: the (id, text) that stays for each."""
     sets = {}

@@ -385,7 +385,7 @@ def groups_of_texts(docs: DataFrame, id_col: str, text_col: str, similarity: flo
     that these have in turn, all members outside the main group are compared with all others, in blocks.
     """
     spark = docs.sparkSession
-    with temporary(spark) as tables:
+    with measured_broadcasts(spark), temporary(spark) as tables:
         rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         texts = rows.withColumns(_texts(F.col("text"))).groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.any_value("text").alias("text"))
         told = texts.select("k1", "k2", "first", "text", sketches(F.col("text"), size).alias("s"))
@@ -429,4 +429,4 @@ def keep_one(docs: DataFrame, id_col: str, text_col: str, similarity: float = 0.
     i, a, b = own
     kept = keepers.select(F.col("first").alias(f"{i}_"), F.col("k1").alias(f"{a}_"), F.col("k2").alias(f"{b}_"))
     same = F.col(i).eqNullSafe(F.col(f"{i}_")) & (F.col(a) == F.col(f"{a}_")) & (F.col(b) == F.col(f"{b}_"))
-    return docs.withColumns(own).join(kept, same, "left_semi").dropDuplicates(list(own)).drop(*own)
+    return docs.withColumns(own).join(kept.hint("merge"), same, "left_semi").dropDuplicates(list(own)).drop(*own)
